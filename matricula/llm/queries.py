@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simple8b
+from . import decontaminate, langid, linededup, packing, perplexity, pii, quality_rules, simhash, simple8b, toxicity
 from .common import shared_dir, table
 
 
@@ -14,11 +14,44 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/matricula/ids-{uuid.uuid4().hex}"
     simple8b.write_ids(table(spark, sf_dir, "documents"), path)
     return simple8b.read_ids(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_simple8b_ids)}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_best_fit_packing, op2_toxicity, op3_quality_rules, op4_perplexity, op5_pii, op6_simple8b_ids, op7_decontamination, op8_language_id, op9_simhash, op10_line_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
