@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,21 @@ from pyspark.sql import functions as F
 from .common import crc_rest, materialize, per_batch
 
 SAMPLE = 8000
-LANDMARKS = 40
+LANDMARKS = 64
 DECAY, SPAN = 0.7, 6
+#: Power of the normalised kernel: higher tells near units from middling ones.
+POWER = 2
 #: Letters of a unit that are looked at together; longer units are covered by overlapping pieces.
 LENGTH = 16
 ROUNDS = 3
 
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][.\-_*]? ){2,}[^\W\d_](?!\S)")
+_MARKS = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+\s")
 _PATTERNS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN)]
 _SIGNS = 32
+#: Odd multipliers that mix hashes.
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 def _sign(c: str) -> int:
@@ -118,7 +124,12 @@ class Kernel:
             part[piece[starts]] = np.add.reduceat(terms, starts, axis=0)
             part /= np.sqrt(np.maximum(own_kernel(numbers, weights), 1e-9))[:, None].astype(np.float32)
             np.maximum.at(out, owner + at, part)
-        return out
+        return out**POWER
+
+
+def bare(unit: str) -> str:
+    """The letters of a unit."""
+    return _MARKS.sub("", unit)
 
 
 def units_of(text: str | None) -> list[str]:
@@ -126,7 +137,7 @@ def units_of(text: str | None) -> list[str]:
     text = (text or "").lower()
     words = text.split()
     if len(text) > 4:
-        words += [re.sub(r"[^\w]|_", "", x) for x in _SPELLED.findall(text)]
+        words += [bare(x) for x in _SPELLED.findall(text)]
     return words
 
 
@@ -152,26 +163,22 @@ def nystroem(kernel: Kernel, landmarks: list[str]) -> np.ndarray:
     """The inverse root of the landmarks' own kernel matrix."""
     own = kernel.values([x[:LENGTH] for x in landmarks]).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-6 * np.eye(len(own)))
-    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
+    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 30, ridge: float = 1e-4, seed: int = 3) -> np.ndarray:
-    """Linear SVM (hinge loss, averaged subgradient steps); the last weight is the intercept."""
-    rng = np.random.default_rng(seed)
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
+    """Linear SVM with squared hinge loss, by Newton steps over the rows inside the margin; the
+    last weight is the intercept."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w, mean, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(order), 128):
-            rows = order[at : at + 128]
-            t += 1
-            rate = 1.0 / (1 + 0.02 * t)
-            wrong = y[rows] * (x[rows] @ w) < 1
-            grad = ridge * w - ((weight[rows] * y[rows] * wrong) @ x[rows]) / len(rows)
-            w -= rate * grad
-            if epoch >= epochs // 2:
-                mean += (w - mean) / max(1, t - (epochs // 2) * -(-len(order) // 128))
-    return mean
+    w, inside = np.zeros(x.shape[1]), np.ones(len(x), dtype=bool)
+    for _ in range(steps):
+        part = x[inside] * weight[inside][:, None]
+        w = np.linalg.solve(part.T @ x[inside] + ridge * np.eye(len(w)), part.T @ y[inside])
+        now = y * (x @ w) < 1
+        if (now == inside).all():
+            break
+        inside = now
+    return w
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -189,9 +196,19 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     return w
 
 
+def sketch(text: str, n: int = 4) -> list[int]:
+    """The least hash of the text's 4-word runs under each of `n` mixings; near copies share one."""
+    words = text.lower().split()
+    runs = {" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))}
+    hashes = np.array([zlib.crc32(r.encode("utf-8", "surrogatepass")) for r in runs], dtype=np.uint64)
+    mixed = ((hashes[:, None] + np.uint64(1)) * np.array(_MIX[:n], dtype=np.uint64)) >> np.uint64(16)
+    return [int(x & np.uint64(0x7FFFFFFFFFFF)) for x in mixed.min(axis=0)]
+
+
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """text and toxic of `sample` labelled documents at most, half of them toxic if there are so
-    many: those with the least hash of their id."""
+    many: those with the least hash of their id. Of near copies one is left, as their chance words
+    would look telling."""
     one = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     one = one.withColumn("h", F.xxhash64("doc_id"))
     picked = None
@@ -200,7 +217,24 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         picked = part if picked is None else picked.unionByName(part)
     ids = F.broadcast(picked)  # `sample` rows at most
     source = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    chosen = materialize(source.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = [sketch(t) for t in batch.column("text").to_pylist()]
+            return pa.record_batch([batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
+
+        return work
+
+    seen: set[tuple[int, int]] = set()
+    copies = []
+    for r in sorted(per_batch(chosen.select("doc_id", "text"), "text", make, "doc_id long, keys array<long>").collect()):  # `sample` rows
+        keys = set(enumerate(r["keys"]))
+        if keys & seen:
+            copies.append((r["doc_id"],))
+        seen |= keys
+    gone = docs.sparkSession.createDataFrame(copies, "doc_id long")
+    return chosen.join(F.broadcast(gone), "doc_id", "left_anti")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
@@ -215,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             units, kinds = [], []
             for text, kind in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found = {u for s in sentences(text) for w in units_of(s) if len(u := re.sub(r"[^\w]|[\d_]", "", w)) > 2}
+                found = {u for s in sentences(text) for w in units_of(s) if len(u := bare(w)) > 2}
                 units += found
                 kinds += [kind] * len(found)
             return pa.record_batch([pa.array(units, pa.string()), pa.array(kinds, pa.int32())], ["unit", "toxic"])
@@ -229,19 +263,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
     telling = counts.filter((F.col("t") >= 2) & (lift > 2)).select("unit", "t", "c", evidence).orderBy(F.desc("evidence"), "unit").limit(600).collect()
     common = counts.orderBy(F.desc("c"), "unit").limit(3000).collect()
     chance = counts.filter("c > 0").orderBy(F.xxhash64("unit")).limit(6000).collect()
-    least = max(2, 0.002 * toxic)
-    positive = {r["unit"]: float(r["t"]) for r in telling if r["t"] >= least} or {r["unit"]: float(r["t"]) for r in telling[:20]}
+    positive = {r["unit"]: float(r["t"]) for r in telling}
     if not positive:
         return toxic / (toxic + clean)
+    names = set(positive)
+
+    def make_found():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [sorted(names & {bare(u) for u in units_of(t)}) for t in batch.column("text").to_pylist()]
+            return pa.record_batch([pa.array(found, pa.list_(pa.string()))], ["found"])
+
+        return work
+
+    texts = [set(r["found"]) for r in per_batch(picked.filter("toxic = 1").select("text"), "text", make_found, "found array<string>").collect()]
     negative = {r["unit"]: 1.0 for r in [*common, *chance] if r["unit"] not in positive}
-    landmarks = _spread(list(positive), LANDMARKS * 3 // 4) + sorted(negative)[:: max(1, len(negative) // (LANDMARKS // 4))][: LANDMARKS // 4]
+    positive = cover(positive, texts)
+    bent = altered(positive)
+    landmarks = spread(positive, LANDMARKS * 3 // 4)
+    landmarks += sorted(negative)[:: max(1, len(negative) // (LANDMARKS - len(landmarks)))][: LANDMARKS - len(landmarks)]
     kernel = Kernel(landmarks)
     root = nystroem(kernel, landmarks)
     model = None
     for _ in range(ROUNDS):
-        units = [*positive, *negative]
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        weight = np.array([min(x, 50.0) for x in positive.values()] + [min(x, 50.0) for x in negative.values()])
+        units = [*positive, *bent, *negative]
+        y = np.array([1.0] * (len(positive) + len(bent)) + [-1.0] * len(negative))
+        weight = np.array([min(x, 50.0) for x in [*positive.values(), *bent.values(), *negative.values()]])
         for kind in (1, -1):
             weight[y == kind] *= len(y) / 2 / weight[y == kind].sum()
         w = svm(kernel.values(units) @ root, y, weight)
@@ -249,23 +295,50 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
         best = _best(picked.select("doc_id", "text", "toxic"), model, ("toxic",)).collect()
         model.curve = logistic(np.array([[r["first"], r["second"]] for r in best]), np.array([float(r["toxic"]) for r in best]))
         for r in best:  # the most telling unit of each text teaches the next round
-            if r["toxic"] == 0 and r["first"] > -1 and r["unit"]:
+            if r["toxic"] == 0 and r["first"] > -1 and r["unit"] and r["unit"] not in positive:
                 negative[r["unit"]] = negative.get(r["unit"], 0.0) + 2.0
-                positive.pop(r["unit"], None)
     return model
 
 
-def _spread(units: list[str], n: int) -> list[str]:
-    """`n` units, each as unlike those before it as can be; the first is the most telling."""
-    n = min(n, len(units))
-    kernel = Kernel(units)
-    like = kernel.values(units)
-    out, nearest = [0], like[:, 0].copy()
-    while len(out) < n:
-        k = int(nearest.argmin())
+def spread(units: dict[str, float], n: int) -> list[str]:
+    """`n` units that stand for all of them: each is the one that raises the weighted kernel value
+    between the units and their nearest landmark the most."""
+    names, weight = list(units), np.array(list(units.values()))
+    like = Kernel(names).values(names)
+    nearest, out = np.zeros(len(names), dtype=np.float32), []
+    for _ in range(min(n, len(names))):
+        k = int((np.maximum(like - nearest[:, None], 0) * weight[:, None]).sum(axis=0).argmax())
         out.append(k)
         nearest = np.maximum(nearest, like[:, k])
-    return [units[k] for k in out]
+    return [names[k] for k in dict.fromkeys(out)]
+
+
+def altered(units: dict[str, float], share: float = 0.3, seed: int = 5) -> dict[str, float]:
+    """The units of five letters or more with a letter put in, as insults are disguised."""
+    rng, out = np.random.default_rng(seed), {}
+    for u, weight in units.items():
+        for _ in range(2 if len(u) >= 5 else 0):
+            at = int(rng.integers(1, len(u)))
+            out[u[:at] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + u[at:]] = weight * share
+    return {u: w for u, w in out.items() if u not in units}
+
+
+def cover(units: dict[str, float], texts: list[set[str]], times: int = 3) -> dict[str, float]:
+    """The units, strongest first, that toxic texts need so that each has `times` of them; the
+    rest are chance words of texts that are explained already."""
+    need = [times] * len(texts)
+    where: dict[str, list[int]] = {u: [] for u in units}
+    for k, found in enumerate(texts):
+        for u in found:
+            where[u].append(k)
+    out = {}
+    for u, weight in units.items():
+        new = [k for k in where[u] if need[k] > 0]
+        if len(new) * 5 >= len(where[u]) and new:
+            out[u] = weight
+            for k in new:
+                need[k] -= 1
+    return out
 
 
 def _best(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
@@ -295,7 +368,7 @@ def _best(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
                 top = max(m)
                 at = m.index(top)
                 m[at] = floor
-                first.append(max(top, floor)), second.append(max(max(m), floor)), unit.append(re.sub(r"[^\w]|[\d_]", "", t[at])[:200])
+                first.append(max(top, floor)), second.append(max(max(m), floor)), unit.append(bare(t[at])[:200])
             return pa.record_batch([*(batch.column(c) for c in keep), pa.array(first, pa.float64()), pa.array(second, pa.float64()), pa.array(unit, pa.string())], [*keep, "first", "second", "unit"])
 
         return work
