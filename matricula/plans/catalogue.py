@@ -1,4 +1,565 @@
-"""Registered queries: what runs on Spark, and the SQL it is held against."""
+"""Registered queries over the driver's tables, and the SQL that each is held against.
+
+Figures are rounded on both sides, as sums of floating numbers depend on their order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import extract, fit, grants, pages, programs, registry, resolve, review, rules, scoring, sets
+from ..streaming import jobs
+from . import adapters as A
+from .adapters import sql
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+AS_OF_GRANTS = "1999-01-01"
+AS_OF_REVIEW = "2001-08-01"
+#: Words of the driver's own texts.
+ORIGINAL, EXPANDED = ["the", "tion", "und"], ["the", "tion", "und", "para", "est", "ing"]
+AS_OF_YEAR = 2024
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE[name] = oracle
+        return f
+
+    return register
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+def _search(s: SparkSession, d: str) -> DataFrame:
+    return registry.program_search(A.institution(s, d), A.program(s, d), A.track(s, d), A.requirement_set(s, d))
+
+
+_SEARCH = """search AS (SELECT p.program_id, p.program_name, p.degree, p.priority_tier, i.institution_name, i.country,
+    coalesce(t.modalities, ['in_person']) AS modalities, coalesce(t.schedules, ['full_time']) AS schedules, t.last_verified_at,
+    CASE WHEN n > 0 THEN CAST(total / n AS DECIMAL(3,2)) ELSE CAST(0.5 AS DECIMAL(3,2)) END AS confidence, coalesce(n, 0) AS n_sets
+    FROM program p JOIN institution i USING (institution_id) LEFT JOIN (
+      SELECT program_id, list_sort(list(DISTINCT modality)) AS modalities, list_sort(list(DISTINCT schedule)) AS schedules,
+             max(last_verified_at) AS last_verified_at, sum(confidence) AS total, count(confidence) AS n
+      FROM track LEFT JOIN (SELECT * FROM requirement_set WHERE status = 'approved') r USING (track_id) GROUP BY program_id) t USING (program_id))"""
+_VIEWS = ("institution", "program", "track", "requirement_set")
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, ",") for c in ("modalities", "schedules")}).withColumn("n_sets", F.col("n_sets").cast("long"))
+
+
+_FLAT = "program_id, program_name, degree, priority_tier, institution_name, country, array_to_string(modalities, ',') AS modalities, array_to_string(schedules, ',') AS schedules, last_verified_at, confidence, n_sets"
+
+
+@query("current_requirements", sql("SELECT id, track_id, term_year, round_id, confidence FROM requirement_set WHERE status = 'approved' QUALIFY row_number() OVER (PARTITION BY track_id, term_year, coalesce(round_id, '-') ORDER BY last_verified_at DESC, id) = 1", "requirement_set"))
+def current_requirements(s, d):
+    return registry.current_requirements(A.requirement_set(s, d)).select("id", "track_id", "term_year", "round_id", "confidence")
+
+
+@query("program_search", sql(f"SELECT {_FLAT} FROM search", *_VIEWS, more=_SEARCH))
+def program_search(s, d):
+    return _flat(_search(s, d))
+
+
+@query("program_search_page", sql(f"SELECT {_FLAT} FROM search WHERE confidence >= 0.5 ORDER BY priority_tier, confidence DESC NULLS FIRST, last_verified_at DESC NULLS FIRST, program_id LIMIT 20 OFFSET 20", *_VIEWS, more=_SEARCH))
+def program_search_page(s, d):
+    return _flat(registry.page(registry.search_filter(_search(s, d), 0.5), 2, 20))
+
+
+@query("program_search_filter", sql(f"SELECT {_FLAT} FROM search WHERE confidence >= 0.4 AND (program_name ILIKE '%build%' OR institution_name ILIKE '%build%' OR degree ILIKE '%build%') AND list_contains(modalities, 'online')", *_VIEWS, more=_SEARCH))
+def program_search_filter(s, d):
+    return _flat(registry.search_filter(_search(s, d), 0.4, text="build", modality="online"))
+
+
+@query("search_pages", sql("SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS pages FROM search WHERE confidence >= 0.5", *_VIEWS, more=_SEARCH))
+def search_pages(s, d):
+    return registry.page_count(registry.search_filter(_search(s, d), 0.5))
+
+
+@query("program_stats", sql("SELECT count(*) AS programs, count(DISTINCT institution_name) AS institutions, count(DISTINCT country) AS countries, round(CAST(avg(confidence) AS DOUBLE), 4) AS avg_confidence, count(*) FILTER (confidence >= 0.8) AS high_confidence, count(*) FILTER (list_contains(modalities, 'online')) AS online FROM search", *_VIEWS, more=_SEARCH))
+def program_stats(s, d):
+    return registry.program_stats(_search(s, d)).withColumn("avg_confidence", F.round("avg_confidence", 4))
+
+
+@query("country_facet", sql("SELECT country, count(*) AS n FROM search GROUP BY country", *_VIEWS, more=_SEARCH))
+def country_facet(s, d):
+    return registry.country_facet(_search(s, d))
+
+
+@query("hierarchy_summary", sql("""SELECT institution_id, institution_name, count(DISTINCT program_id) AS programs, count(track_id) AS tracks, count(DISTINCT degree) AS degrees
+    FROM institution LEFT JOIN program USING (institution_id) LEFT JOIN track USING (program_id) GROUP BY ALL""", "institution", "program", "track"))
+def hierarchy_summary(s, d):
+    return registry.hierarchy_summary(A.institution(s, d), A.program(s, d), A.track(s, d))
+
+
+@query("approved_children", sql("SELECT i.requirement_set_id, i.field_no, i.severity FROM validation_issue i WHERE requirement_set_id IN (SELECT id FROM requirement_set WHERE status = 'approved')", "validation_issue", "requirement_set"))
+def approved_children(s, d):
+    return registry.visible_children(A.validation_issue(s, d), A.requirement_set(s, d)).select("requirement_set_id", "field_no", "severity")
+
+
+@query("sets_with_approved_twin", sql("""SELECT id, status FROM requirement_set r WHERE EXISTS (SELECT 1 FROM requirement_set a WHERE a.status = 'approved'
+    AND a.track_id = r.track_id AND a.term_year = r.term_year AND a.round_id IS NOT DISTINCT FROM r.round_id)""", "requirement_set"))
+def sets_with_approved_twin(s, d):
+    return registry.approved_programs_only(A.requirement_set(s, d)).select("id", "status")
+
+
+@query("set_confidence", sql("""SELECT id, round(greatest(0, least(1, 0.5 + coalesce(c.v, 0) + coalesce(t.v, 0) - 0.1 * coalesce(e.n, 0))), 6) AS evidence_confidence FROM requirement_set
+    LEFT JOIN (SELECT requirement_set_id AS id, count(*) AS n FROM validation_issue WHERE severity = 'error' AND resolved_at IS NULL GROUP BY 1) e USING (id)
+    LEFT JOIN (SELECT DISTINCT requirement_set_id AS id, 0.2e0 AS v FROM validation_issue WHERE severity = 'info') c USING (id)
+    LEFT JOIN (SELECT DISTINCT requirement_set_id AS id, 0.2e0 AS v FROM validation_issue WHERE field_no = 3) t USING (id)""", "requirement_set", "validation_issue"))
+def set_confidence(s, d):
+    issues = A.validation_issue(s, d)
+    return registry.set_confidence(A.requirement_set(s, d), issues, issues.filter("severity = 'info'"), issues.filter("field_no = 3")).withColumn("evidence_confidence", r6("evidence_confidence"))
+
+
+@query("pending_reviews", sql("""SELECT id, institution_name, program_name, degree, term_year, confidence, created_at, coalesce(n, 0) AS issues
+    FROM (SELECT * FROM requirement_set WHERE status = 'needs_review' ORDER BY confidence DESC, created_at, id LIMIT 20) JOIN track USING (track_id) JOIN program USING (program_id) JOIN institution USING (institution_id)
+    LEFT JOIN (SELECT requirement_set_id AS id, count(*) AS n FROM validation_issue WHERE resolved_at IS NULL GROUP BY 1) USING (id)""", *_VIEWS, "validation_issue"))
+def pending_reviews(s, d):
+    return review.pending(A.requirement_set(s, d), A.validation_issue(s, d), A.track(s, d), A.program(s, d), A.institution(s, d))
+
+
+@query("review_status_counts", sql("SELECT status, count(*) AS n, round(CAST(avg(confidence) AS DOUBLE), 4) AS avg_confidence FROM requirement_set GROUP BY status", "requirement_set"))
+def review_status_counts(s, d):
+    return review.status_counts(A.requirement_set(s, d)).withColumn("avg_confidence", F.round("avg_confidence", 4))
+
+
+@query("issues_by_severity", sql("SELECT severity, count(*) AS n FROM validation_issue WHERE resolved_at IS NULL AND requirement_set_id IN (SELECT id FROM requirement_set WHERE status = 'needs_review') GROUP BY severity", "validation_issue", "requirement_set"))
+def issues_by_severity(s, d):
+    return review.issues_by_severity(A.validation_issue(s, d), A.requirement_set(s, d))
+
+
+@query("high_conf_pending", sql("SELECT count(*) AS n FROM requirement_set WHERE status = 'needs_review' AND confidence >= 0.95", "requirement_set"))
+def high_conf_pending(s, d):
+    return review.high_confidence_pending(A.requirement_set(s, d))
+
+
+_ACTIVITY = "SELECT CAST(updated_at AS DATE) AS day, count(*) AS updated, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'draft') AS turned_down FROM requirement_set {} GROUP BY 1"
+
+
+@query("review_activity", sql(_ACTIVITY.format(""), "requirement_set"))
+def review_activity(s, d):
+    return review.activity(A.requirement_set(s, d))
+
+
+@query("review_activity_week", sql(_ACTIVITY.format("WHERE updated_at >= TIMESTAMP '2001-08-01' - INTERVAL 7 DAYS"), "requirement_set"))
+def review_activity_week(s, d):
+    return review.activity(A.requirement_set(s, d), AS_OF_REVIEW)
+
+
+@query("batch_approve", sql("""SELECT r.id, CASE WHEN c.id IS NULL THEN r.status ELSE 'approved' END AS status, r.confidence, CASE WHEN c.id IS NULL THEN r.updated_at ELSE TIMESTAMP '2001-08-01' END AS updated_at, CASE WHEN c.id IS NOT NULL THEN 'lead' END AS reviewer
+    FROM requirement_set r LEFT JOIN (SELECT id FROM requirement_set WHERE status = 'needs_review' AND confidence >= 0.95 ORDER BY confidence DESC, created_at, id LIMIT 50) c USING (id)""", "requirement_set"))
+def batch_approve(s, d):
+    return review.batch_approve(A.requirement_set(s, d), "lead", AS_OF_REVIEW).select("id", "status", "confidence", "updated_at", "reviewer")
+
+
+def _actions(s, d) -> DataFrame:
+    """A decision on every tenth order, half of them with notes."""
+    return A.read(s, d, "orders").filter("o_orderkey % 10 = 0").selectExpr("o_orderkey AS id", "'ann' AS reviewer", "TIMESTAMP '2001-08-01' AS at", "CASE WHEN o_orderkey % 20 = 0 THEN 0.9D END AS confidence", "CASE WHEN o_orderkey % 20 = 0 THEN 'seen' END AS notes")
+
+
+@query("approve_sets", sql("""SELECT id, CASE WHEN hit THEN 'approved' ELSE status END AS status, CASE WHEN hit AND id % 20 = 0 THEN CAST(0.9 AS DECIMAL(3,2)) ELSE confidence END AS confidence, CASE WHEN hit THEN 'ann' END AS reviewer
+    FROM (SELECT *, id % 10 = 0 AND status <> 'approved' AS hit FROM requirement_set)""", "requirement_set"))
+def approve_sets(s, d):
+    return review.decide(A.requirement_set(s, d), _actions(s, d), "approve")[0].select("id", "status", "confidence", "reviewer")
+
+
+@query("refused_rejections", sql("SELECT id, 'ann' AS reviewer FROM requirement_set WHERE id % 10 = 0 AND status <> 'needs_review'", "requirement_set"))
+def refused_rejections(s, d):
+    return review.decide(A.requirement_set(s, d), _actions(s, d), "reject")[1].select("id", "reviewer")
+
+
+@query("review_audit", "SELECT o_orderkey AS requirement_set_id, 'review' AS field_name, 'info' AS severity, 'approve by ann: seen' AS message FROM orders WHERE o_orderkey % 20 = 0")
+def review_audit(s, d):
+    return review.audit_rows(_actions(s, d), "approve")
+
+
+@query("set_details", sql("""SELECT id, status, confidence, coalesce(x, '') AS open_issues FROM requirement_set LEFT JOIN (
+    SELECT requirement_set_id AS id, string_agg(severity || ':' || field_no, ',' ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, field_no) AS x FROM validation_issue WHERE resolved_at IS NULL GROUP BY 1) USING (id)""", "requirement_set", "validation_issue"))
+def set_details(s, d):
+    return review.set_details(A.requirement_set(s, d), A.validation_issue(s, d))
+
+
+@query("test_unpivot", sql("""SELECT id, test_name, status, min_score, code FROM (
+      SELECT id, 'TOEFL' AS test_name, CASE WHEN toefl_min <> 0 THEN 'required' ELSE 'unknown' END AS status, toefl_min AS min_score, code_toefl AS code FROM requirements
+      UNION ALL SELECT id, 'IELTS', CASE WHEN ielts_min <> 0 THEN 'required' ELSE 'unknown' END, CAST(trunc(ielts_min) AS INT), NULL FROM requirements
+      UNION ALL SELECT id, 'GRE', gre_status, NULL, NULL FROM requirements UNION ALL SELECT id, 'GMAT', gmat_status, NULL, NULL FROM requirements UNION ALL SELECT id, 'LSAT', lsat_status, NULL, NULL FROM requirements) WHERE status <> 'unknown'""", "requirements"))
+def test_unpivot(s, d):
+    return registry.unpivot_tests(A.requirements(s, d))
+
+
+@query("program_detail", sql("""SELECT program_id, CASE WHEN c.id IS NULL THEN 'incomplete' ELSE 'complete' END AS status, c.id, q.gpa_min, q.toefl_min FROM program LEFT JOIN (
+    SELECT program_id, id FROM (SELECT r.*, t.program_id FROM requirement_set r JOIN track t USING (track_id) WHERE status = 'approved' QUALIFY row_number() OVER (PARTITION BY track_id, term_year, coalesce(round_id, '-') ORDER BY last_verified_at DESC, id) = 1)
+    QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY last_verified_at DESC, id) = 1) c USING (program_id) LEFT JOIN requirements q ON q.id = c.id""", "program", "track", "requirement_set", "requirements"))
+def program_detail(s, d):
+    linked = A.requirement_set(s, d).join(A.track(s, d).select("track_id", "program_id"), "track_id")
+    return registry.program_detail(A.program(s, d), linked, A.requirements(s, d)).select("program_id", "status", "id", "gpa_min", "toefl_min")
+
+
+@query("upsert_sets", sql("SELECT id, CASE WHEN id % 5 = 0 THEN 'draft' ELSE status END AS status FROM requirement_set UNION ALL SELECT -id, 'draft' FROM requirement_set WHERE id % 5 = 0 AND id <> 0", "requirement_set"))
+def upsert_sets(s, d):
+    old = A.requirement_set(s, d).select("id", "status")
+    fifth = old.filter("id % 5 = 0").withColumn("status", F.lit("draft"))
+    return registry.upsert(old, fifth.unionByName(fifth.withColumn("id", -F.col("id"))), ["id"])
+
+
+@query("store_chain", "SELECT count(DISTINCT (c_nationkey)) AS institutions, count(DISTINCT (c_nationkey, c_mktsegment)) AS programs, count(*) AS sets FROM customer")
+def store_chain(s, d):
+    rows = A.read(s, d, "customer").selectExpr("c_nationkey AS institution", "'all' AS department", "c_mktsegment AS program", "'MS' AS degree", "c_custkey AS track", "2025 AS term_year", "'1' AS round_id", "'a' AS parse_version")
+    half = registry.store_chain({}, rows.filter("track % 2 = 0"))
+    whole = registry.store_chain(half, rows)
+    n = lambda level, name: whole[level].agg(F.count(F.lit(1)).alias(name))
+    return n("institution", "institutions").crossJoin(n("program", "programs")).crossJoin(n("requirement_set", "sets"))
+
+
+@query("integrity_checks", "SELECT l_orderkey AS id, 'l_discount' AS field_name FROM lineitem WHERE l_discount > 0.05 UNION ALL SELECT l_orderkey, 'l_returnflag' FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') UNION ALL SELECT l_orderkey, 'l_linestatus' FROM lineitem WHERE l_linestatus <> 'O'")
+def integrity_checks(s, d):
+    checks = [rules.Rule("l_discount", "warning", "discount is high", F.col("l_discount") > 0.05), rules.not_in("l_returnflag", ["A", "N"]), rules.not_like("l_linestatus", "^O$")]
+    return rules.issues(A.read(s, d, "lineitem").withColumnRenamed("l_orderkey", "id"), checks).select("id", "field_name")
+
+
+@query("unique_key_checks", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT o_custkey, 0, count(*) FROM orders GROUP BY 1 HAVING count(*) > 1")
+def unique_key_checks(s, d):
+    one = rules.duplicate_keys(A.read(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+    two = rules.duplicate_keys(A.read(s, d, "orders").select(F.col("o_custkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber")), ["l_orderkey", "l_linenumber"])
+    return one.unionByName(two)
+
+
+@query("orphan_checks", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def orphan_checks(s, d):
+    return rules.orphans(A.read(s, d, "orders"), A.read(s, d, "customer").filter("c_acctbal > 0"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
+
+
+_STATUS = """status AS (SELECT *, CASE WHEN end_date IS NOT NULL THEN end_date - DATE '1999-01-01' >= 365 ELSE DATE '1999-01-01' - start_date <= 1095 END AS is_active,
+    CASE WHEN end_date IS NOT NULL THEN 'known' ELSE 'estimated' END AS confidence FROM grants)"""
+
+
+@query("grant_status", sql("SELECT grant_id, author_id, funder, is_active, confidence FROM status", "grants", more=_STATUS))
+def grant_status(s, d):
+    return grants.with_status(A.grant(s, d), AS_OF_GRANTS).select("grant_id", "author_id", "funder", "is_active", "confidence")
+
+
+@query("grant_confidence", sql("SELECT author_id, count(*) FILTER (is_active AND confidence = 'known') AS known, count(*) FILTER (is_active AND confidence = 'estimated') AS estimated, count(*) FILTER (confidence = 'unknown') AS unknown FROM status GROUP BY 1", "grants", more=_STATUS))
+def grant_confidence(s, d):
+    return grants.confidence_breakdown(grants.with_status(A.grant(s, d), AS_OF_GRANTS))
+
+
+_GRANT_SCORE = """scored AS (SELECT author_id, count(*) AS grants, count(*) FILTER (is_active) AS active,
+    CASE WHEN count(*) FILTER (is_active) = 0 THEN least(count(*) * 0.05e0, 0.2e0)
+         ELSE least(least(count(*) FILTER (is_active) / 3e0, 0.8e0) + least(count(*) FILTER (is_active AND funder IN ('NIH', 'NSF')) * 0.1e0, 0.2e0), 1e0) END AS grant_score FROM status GROUP BY 1)"""
+
+
+@query("grant_score", sql("SELECT author_id, grants, active, round(grant_score, 6) AS grant_score FROM scored", "grants", more=_STATUS + ", " + _GRANT_SCORE))
+def grant_score(s, d):
+    return scoring.grant_score(grants.with_status(A.grant(s, d), AS_OF_GRANTS)).withColumn("grant_score", r6("grant_score"))
+
+
+@query("top_k_per_author", sql("SELECT author_id, grant_id, start_date FROM grants QUALIFY row_number() OVER (PARTITION BY author_id ORDER BY start_date DESC, grant_id) <= 5", "grants"))
+def top_k_per_author(s, d):
+    return scoring.cap_per_group(A.grant(s, d), "author_id", 5, F.desc("start_date"), F.asc("grant_id")).select("author_id", "grant_id", "start_date")
+
+
+@query("grant_name_join", """SELECT DISTINCT s_suppkey AS author_id, p_partkey AS grant_id FROM supplier JOIN part ON p_partkey % 50 = s_suppkey % 50""")
+def grant_name_join(s, d):
+    authors = A.read(s, d, "supplier").selectExpr("s_suppkey AS author_id", "concat('Ann M ', 'Lee', s_suppkey % 50) AS name", "'Uni' AS institution")
+    awards = A.read(s, d, "part").selectExpr("p_partkey AS grant_id", "CASE WHEN p_partkey % 2 = 0 THEN array(concat('LEE', p_partkey % 50, ',  ann m'), 'Bob') ELSE array(concat('Ann Lee', p_partkey % 50)) END AS pi_names")
+    return grants.by_name(authors, awards)
+
+
+@query("grant_last_name_join", """WITH a AS (SELECT s_suppkey AS author_id, s_suppkey % 50 AS k, s_nationkey AS place FROM supplier), g AS (SELECT p_partkey AS grant_id, p_partkey % 50 AS k, p_partkey % 25 AS place FROM part),
+    one AS (SELECT author_id, grant_id, 1 AS step FROM a JOIN g USING (k, place)), few AS (SELECT author_id FROM one GROUP BY 1 HAVING count(*) >= 10)
+    SELECT * FROM one UNION ALL SELECT author_id, grant_id, 2 FROM a JOIN g USING (place) WHERE author_id NOT IN (SELECT author_id FROM few)""")
+def grant_last_name_join(s, d):
+    authors = A.read(s, d, "supplier").selectExpr("s_suppkey AS author_id", "concat('Ann ', 'Lee', s_suppkey % 50) AS name", "concat('Uni ', s_nationkey) AS institution")
+    awards = A.read(s, d, "part").selectExpr("p_partkey AS grant_id", "concat('uni  ', p_partkey % 25) AS institution", "array(concat('Ann Lee', p_partkey % 50)) AS pi_names")
+    return grants.by_last_name(authors, awards)
+
+
+def _hits(column: str, words: list[str]) -> str:
+    return " + ".join(f"CAST(contains(lower({column}), '{w}') AS INT)" for w in words)
+
+
+_WORKS = f"""hits AS (SELECT author_id, exp(-0.2e0 * greatest({AS_OF_YEAR} - year, 0)) AS w, {_hits("title || ' ' || abstract", EXPANDED)} AS n, {_hits("title", ORIGINAL)} AS o FROM work),
+    works AS (SELECT author_id, count(*) AS works, count(*) FILTER (n > 0) AS matching,
+    least(sum(CASE WHEN n > 0 THEN least(least(n / 3e0, 1e0) + CASE WHEN o > 0 THEN 0.3e0 ELSE 0e0 END, 1e0) ELSE 0e0 END * w) / sum(w) * (0.7e0 + 0.3e0 * least(count(*) FILTER (n > 0) / 5e0, 1e0)), 1e0) AS works_score FROM hits GROUP BY 1)"""
+
+
+@query("works_score", sql("SELECT author_id, works, matching, round(works_score, 6) AS works_score FROM works", "work", more=_WORKS))
+def works_score(s, d):
+    return scoring.works_score(A.work(s, d), ORIGINAL, EXPANDED, AS_OF_YEAR).withColumn("works_score", r6("works_score"))
+
+
+def _authors(s, d) -> DataFrame:
+    """Authors are the sources of documents, their topics the languages they write in."""
+    return A.read(s, d, "documents").groupBy(F.col("source").alias("author_id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("studies the lang "), "lang"))).alias("topics"))
+
+
+_TOPICS = f"""authors AS (SELECT source AS author_id, list_sort(list(DISTINCT 'studies the lang ' || lang)) AS topics FROM documents GROUP BY 1),
+    topic AS (SELECT author_id, CASE WHEN h = 0 THEN 0e0 ELSE least(least(h / greatest(len(topics), 1), 1e0) + 0.1e0 * o, 1e0) END AS topic_score
+    FROM (SELECT author_id, topics, {_hits("array_to_string(topics, ' ')", EXPANDED)} AS h, {_hits("array_to_string(topics, ' ')", ORIGINAL)} AS o FROM authors))"""
+
+
+@query("concept_score", sql("SELECT author_id, round(topic_score, 6) AS topic_score FROM topic", more=_TOPICS))
+def concept_score(s, d):
+    return _authors(s, d).select("author_id", r6(scoring.topic_score("topics", ORIGINAL, EXPANDED)).alias("topic_score"))
+
+
+def _scored(s, d) -> DataFrame:
+    held = grants.with_status(A.grant(s, d).withColumn("author_id", F.concat(F.lit("src"), F.pmod("author_id", F.lit(20)))), AS_OF_GRANTS)
+    return scoring.score_authors(_authors(s, d), A.work(s, d), held, ORIGINAL, EXPANDED, AS_OF_YEAR)
+
+
+_RANKED = f"""{_WORKS}, {_TOPICS}, {_STATUS.replace('FROM grants', "FROM (SELECT * REPLACE ('src' || (author_id % 20) AS author_id) FROM grants)")}, {_GRANT_SCORE},
+    ranked AS (SELECT author_id, topic_score, coalesce(works_score, 0) AS works_score, coalesce(grant_score, 0) AS grant_score, coalesce(active, 0) AS active, 0.625e0 * topic_score + 0.375e0 * coalesce(works_score, 0) AS final_score
+    FROM topic LEFT JOIN works USING (author_id) LEFT JOIN scored USING (author_id))"""
+
+
+@query("rank_advisors", sql("SELECT author_id, round(topic_score, 6) AS topic_score, round(works_score, 6) AS works_score, round(grant_score, 6) AS grant_score, round(final_score, 6) AS final_score FROM ranked", "work", "grants", more=_RANKED))
+def rank_advisors(s, d):
+    return scoring.ranked(_scored(s, d)).select("author_id", *(r6(c).alias(c) for c in ("topic_score", "works_score", "grant_score", "final_score")))
+
+
+@query("author_stats", sql("SELECT 'x' || (CAST(substr(author_id, 4) AS INT) % 3) AS place, count(*) AS authors, round(avg(final_score), 6) AS avg_score, CAST(sum(active) AS BIGINT) AS active, count(*) FILTER (final_score > 0.7) AS high, count(*) FILTER (final_score BETWEEN 0.4 AND 0.7) AS middle FROM ranked GROUP BY 1", "work", "grants", more=_RANKED))
+def author_stats(s, d):
+    placed = _scored(s, d).withColumns({"place": F.expr("concat('x', CAST(substr(author_id, 4) AS INT) % 3)"), "active": F.coalesce("active", F.lit(0))})
+    return scoring.author_stats(placed, "place").withColumns({"avg_score": r6("avg_score"), "active": F.col("active").cast("long")})
+
+
+@query("advisor_filter", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{M}\\p{N}_])the($|[^\\p{L}\\p{M}\\p{N}_])')")
+def advisor_filter(s, d):
+    authors = A.read(s, d, "documents").select("doc_id", F.array("text").alias("topics"))
+    return scoring.match_filter(authors, ["the", "of"], ["the"], unrelated=["qqq"], relevant=["qqq"], medical=["qqq"]).select("doc_id")
+
+
+@query("keyword_containment", "SELECT doc_id, array_to_string(list_filter(['the', 'tion', 'und', 'para', 'est', 'ing'], lambda k: contains(lower(text), k)), ',') AS found FROM documents")
+def keyword_containment(s, d):
+    return A.read(s, d, "documents").select("doc_id", F.array_join(T.contained("text", EXPANDED), ",").alias("found"))
+
+
+@query("prefix_dedupe", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 1, 100) ORDER BY length(text) DESC, doc_id) = 1")
+def prefix_dedupe(s, d):
+    return sets.by_prefix(A.read(s, d, "documents"), "text", 100, F.desc(F.length("text")), F.asc("doc_id")).select("doc_id")
+
+
+@query("content_dedupe", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def content_dedupe(s, d):
+    return sets.distinct_content(A.read(s, d, "documents"))
+
+
+@query("segment_relevance", "WITH s AS (SELECT doc_id, length(text) AS n, {} AS k, regexp_matches(text, '\\b\\d{{3,4}}\\b') AS num FROM documents) SELECT doc_id, CASE WHEN n < 100 THEN 0.5e0 ELSE 1e0 END * (2e0 * k + CASE WHEN num THEN 1e0 ELSE 0e0 END) AS relevance FROM s WHERE (CASE WHEN n < 100 THEN 0.5e0 ELSE 1e0 END * (2e0 * k + CASE WHEN num THEN 1e0 ELSE 0e0 END)) > 0 OR n > 500".format(_hits("text", EXPANDED)))
+def segment_relevance(s, d):
+    return T.keep_relevant(A.read(s, d, "documents"), T.segment_relevance("text", ((2.0, EXPANDED),))).select("doc_id", "relevance")
+
+
+@query("context_packing", """WITH s AS (SELECT conv_id, turn, role, text, 2e0 * ({}) AS k FROM conversations),
+    b AS (SELECT *, coalesce(sum(length(text) + 12) OVER (PARTITION BY conv_id ORDER BY k DESC, turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) > 900 AS o FROM s)
+    SELECT conv_id, turn FROM b QUALIFY max(CAST(o AS INT)) OVER (PARTITION BY conv_id ORDER BY k DESC, turn, role ROWS UNBOUNDED PRECEDING) = 0""".format(_hits("text", EXPANDED)))
+def context_packing(s, d):
+    turns = A.read(s, d, "conversations").withColumn("pos", F.struct("turn", "role"))
+    score = T._tiers(F.lower("text"), ((2.0, EXPANDED),))
+    return extract.pack_context(turns, score, 10, 900, "conv_id").select("conv_id", "turn")
+
+
+@query("recruit_signal", "SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])(worthless|license)($|[^a-z0-9_])') OR regexp_matches(lower(text), 'apache\\s+license') AS is_recruiting FROM documents")
+def recruit_signal(s, d):
+    return extract.recruiting(A.read(s, d, "documents"), ["worthless", "license"], [r"apache\s+license"]).select("doc_id", "is_recruiting")
+
+
+@query("inverted_index", "SELECT doc_id, text AS rebuilt FROM documents")
+def inverted_index(s, d):
+    """Every text taken apart into word positions and put together again."""
+    each = A.read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
+    index = each.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    return index.select("doc_id", T.from_inverted_index("index").alias("rebuilt"))
+
+
+@query("props_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def props_json(s, d):
+    read = extract.from_response("props", "k INT", F.struct(F.lit(0).alias("k")))
+    return A.read(s, d, "events").select("event_id", read["k"].alias("k"))
+
+
+_ISSUES = """issue AS (
+    SELECT id, 'toefl_min' AS f, 'error' AS s FROM requirements WHERE toefl_min <> 0 AND toefl_min NOT BETWEEN 0 AND 120
+    UNION ALL SELECT id, 'ielts_min', 'error' FROM requirements WHERE ielts_min <> 0 AND ielts_min NOT BETWEEN 0 AND 9
+    UNION ALL SELECT id, 'gpa_min', 'warning' FROM requirements WHERE gpa_min <> 0 AND gpa_min NOT BETWEEN 0 AND 4
+    UNION ALL SELECT id, 'toefl_reading', 'error' FROM requirements WHERE toefl_reading NOT BETWEEN 0 AND 30
+    UNION ALL SELECT id, 'toefl_writing', 'error' FROM requirements WHERE toefl_writing NOT BETWEEN 0 AND 30
+    UNION ALL SELECT id, 'code_toefl', 'error' FROM requirements WHERE code_toefl IS NOT NULL AND code_toefl NOT IN ('', '0000') AND NOT regexp_full_match(code_toefl, '\\d{4}')
+    UNION ALL SELECT id, 'fee_amount', 'error' FROM requirements WHERE fee_amount < 0
+    UNION ALL SELECT id, 'fee_amount', 'warning' FROM requirements WHERE fee_amount > 500
+    UNION ALL SELECT id, 'code_toefl', 'warning' FROM requirements WHERE code_toefl IS NOT NULL AND code_toefl <> '0000' AND regexp_full_match(code_toefl, '\\d{4}') AND code_toefl NOT IN ('0001', '0002', '0003')
+    UNION ALL SELECT id, 'code_toefl', 'warning' FROM requirements WHERE toefl_min <> 0 AND (code_toefl IS NULL OR code_toefl = '0000') AND english_exemptions IS NULL
+    UNION ALL SELECT id, 'rec_min', 'error' FROM requirements WHERE rec_min <> 0 AND rec_max <> 0 AND rec_min > rec_max
+    UNION ALL SELECT id, 'toefl_section_min', 'warning' FROM requirements WHERE toefl_min <> 0 AND toefl_reading + toefl_writing > toefl_min
+    UNION ALL SELECT id, 'gmat_status', 'warning' FROM requirements WHERE degree = 'MBA' AND gmat_status = 'not_accepted'
+    UNION ALL SELECT id, 'gmat_status', 'info' FROM requirements WHERE degree = 'MBA' AND gmat_status = 'unknown'
+    UNION ALL SELECT id, 'gre_status', 'info' FROM requirements WHERE degree = 'PhD' AND gre_status = 'not_accepted'
+    UNION ALL SELECT id, 'lsat_status', 'warning' FROM requirements WHERE degree = 'JD' AND lsat_status <> 'required'
+    UNION ALL SELECT id, 'english_exemptions', 'info' FROM requirements WHERE (toefl_min <> 0 OR ielts_min <> 0) AND english_exemptions IS NULL
+    UNION ALL SELECT id, 'deadline_ts', 'warning' FROM requirements WHERE deadline_ts < TIMESTAMP '1999-01-01' AND floor(date_diff('second', deadline_ts, TIMESTAMP '1999-01-01') / 86400) > 30
+    UNION ALL SELECT id, 'deadline_ts', 'warning' FROM requirements WHERE deadline_ts > TIMESTAMP '1999-01-01' + INTERVAL 730 DAYS
+    UNION ALL SELECT id, 'term_year', 'info' FROM requirements WHERE term_year < 1999
+    UNION ALL SELECT id, c, 'warning' FROM (SELECT *, unnest(['toefl_min', 'ielts_min', 'code_toefl', 'gre_status', 'fee_amount', 'rec_min', 'gpa_min']) AS c FROM requirements)
+      WHERE NOT list_contains(cited_fields, c) AND NOT (c = 'code_toefl' AND code_toefl IS NULL) AND NOT (c = 'gre_status' AND gre_status = 'unknown')
+    UNION ALL SELECT id, 'toefl_min', 'info' FROM requirements WHERE toefl_min > 110 UNION ALL SELECT id, 'toefl_min', 'info' FROM requirements WHERE toefl_min <> 0 AND toefl_min < 70)"""
+KNOWN_CODES = ["0001", "0002", "0003"]
+
+
+@query("validation_issues", sql("SELECT id, f AS field_name, s AS severity FROM issue", "requirements", more=_ISSUES))
+def validation_issues(s, d):
+    return rules.validate(A.requirements(s, d), KNOWN_CODES, AS_OF_GRANTS)[0].select("id", "field_name", "severity")
+
+
+@query("validate_sets", sql("""SELECT id, errors, warnings, round(c, 6) AS confidence, CASE WHEN errors > 0 THEN 'needs_review' WHEN c >= 0.9 THEN 'approved' WHEN c >= 0.7 THEN 'needs_review' ELSE 'draft' END AS status FROM (
+    SELECT q.id, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, greatest(0e0, least(1e0, 0.7e0 - coalesce(errors, 0) * 0.2e0 - coalesce(warnings, 0) * 0.05e0 + least(0.2e0, 0.2e0 * (len(cited_fields) / greatest(1,
+      CAST(toefl_min <> 0 AS INT) + CAST(code_toefl IS NOT NULL AND code_toefl <> '0000' AS INT) + CAST(fee_amount <> 0 AS INT) + CAST(rec_min <> 0 AS INT) + CAST(gre_status <> 'unknown' AS INT)))) + 0.1e0)) AS c
+    FROM requirements q LEFT JOIN (SELECT id, count(*) FILTER (s = 'error') AS errors, count(*) FILTER (s = 'warning') AS warnings FROM issue GROUP BY 1) USING (id))""", "requirements", more=_ISSUES))
+def validate_sets(s, d):
+    return rules.validate(A.requirements(s, d), KNOWN_CODES, AS_OF_GRANTS)[1].withColumn("confidence", r6("confidence"))
+
+
+def _applicants(s, d) -> DataFrame:
+    return A.read(s, d, "supplier").filter("s_suppkey <= 20").selectExpr(
+        "s_suppkey AS applicant_id", "CASE WHEN s_suppkey % 2 = 0 THEN 'MS' END AS degree", "2 + (s_suppkey % 20) / 10D AS gpa", "CAST(300 + s_suppkey AS INT) AS gre_total", "CAST(90 + s_suppkey AS INT) AS toefl_total",
+        "6.5D AS ielts_total", "CAST(600 AS INT) AS gmat_total", "CAST(s_suppkey % 5 AS INT) AS work_experience_years", "CAST(s_suppkey % 2 AS INT) AS publications", "array('ASIA') AS preferred_countries", "array('online') AS preferred_modalities", "100D AS max_application_fee")
+
+
+@query("fit_check", """WITH p AS (SELECT p_partkey AS program_id, CASE WHEN p_partkey % 3 = 0 THEN 'MS' ELSE 'PhD' END AS degree, CASE WHEN p_partkey % 2 = 0 THEN 'ASIA' ELSE 'EUROPE' END AS country, p_partkey % 4 / 2e0 + 2 AS gpa_min, CAST(p_partkey % 3 AS INT) AS years, CAST(p_size * 5 AS DOUBLE) AS fee,
+      p_partkey % 5 AS k FROM part WHERE p_partkey <= 500),
+    a AS (SELECT s_suppkey AS applicant_id, CASE WHEN s_suppkey % 2 = 0 THEN 'MS' END AS wished, 2 + (s_suppkey % 20) / 10e0 AS gpa, 300 + s_suppkey AS gre, 90 + s_suppkey AS toefl, s_suppkey % 5 AS exp FROM supplier WHERE s_suppkey <= 20),
+    m AS (SELECT *, CASE k WHEN 0 THEN 85e0 WHEN 1 THEN least(100e0, gre / 320e0 * 100) WHEN 2 THEN least(100e0, toefl / 100e0 * 100) WHEN 3 THEN 85e0 ELSE (least(100e0, gre / 320e0 * 100) + least(100e0, toefl / 100e0 * 100)) / 2 END AS t,
+      CASE WHEN gpa >= gpa_min THEN least(100e0, 80 + (gpa - gpa_min) * 50) ELSE greatest(0e0, 80 + (gpa - gpa_min) * 100) END AS g,
+      CASE WHEN years = 0 THEN 80e0 WHEN exp = 0 THEN 30e0 WHEN exp >= years THEN 100e0 ELSE greatest(0e0, 70 - (years - exp) * 20e0) END AS e,
+      least(100e0, greatest(0e0, 70e0 + CASE WHEN country = 'ASIA' THEN 20 ELSE -10 END + 10 + CASE WHEN fee <= 100 THEN 5 ELSE -5 END)) AS w FROM p JOIN a ON wished IS NULL OR wished = degree)
+    SELECT applicant_id, program_id, round(t, 6) AS test_match, round(g, 6) AS gpa_match, round(e, 6) AS experience_match, round(w, 6) AS preference_match, round((t + g + e + w) / 4, 6) AS overall FROM m""")
+def fit_check(s, d):
+    test = lambda name, least: f"named_struct('test_name', '{name}', 'status', 'required', 'min_score', {least}, 'code', CAST(NULL AS STRING))"
+    gre, toefl = test("GRE", "CAST(NULL AS INT)"), test("TOEFL", "100")
+    offered = A.read(s, d, "part").filter("p_partkey <= 500").selectExpr(
+        "p_partkey AS program_id", "CASE WHEN p_partkey % 3 = 0 THEN 'MS' ELSE 'PhD' END AS degree", "CASE WHEN p_partkey % 2 = 0 THEN 'ASIA' ELSE 'EUROPE' END AS country", "array('online', 'hybrid') AS modalities",
+        "(p_partkey % 4) / 2D + 2 AS gpa_min", "CAST(p_partkey % 3 AS INT) AS min_experience_years", "CAST(p_size * 5 AS DOUBLE) AS application_fee",
+        f"CASE p_partkey % 5 WHEN 1 THEN array({gre}) WHEN 2 THEN array({toefl}) WHEN 4 THEN array({gre}, {toefl}) ELSE filter(array({gre}), x -> false) END AS tests")
+    out = fit.fit(_applicants(s, d), offered)
+    return out.select("applicant_id", "program_id", *(r6(c).alias(c) for c in ("test_match", "gpa_match", "experience_match", "preference_match", "overall")))
+
+
+@query("rank_overlay", """SELECT p_partkey AS program_id, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 99 ELSE p_size END AS toefl_min, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_partkey % 50 AS INT) ELSE 999 END AS rank FROM part""")
+def rank_overlay(s, d):
+    part = A.read(s, d, "part")
+    given = part.select(F.col("p_partkey").alias("program_id"), F.col("p_size").alias("toefl_min"))
+    verified = part.filter("p_partkey % 5 = 0").selectExpr("p_partkey AS program_id", "map('toefl_min', CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE '99' END) AS fields")
+    ranks = part.filter("p_partkey % 7 = 0").selectExpr("p_partkey AS program_id", "CAST(p_partkey % 50 AS INT) AS rank")
+    return programs.with_rank(programs.overlay(given, verified, ["program_id"]), ranks, ["program_id"], "survey").select("program_id", "toefl_min", "rank")
+
+
+@query("top_ranks", "SELECT p_partkey, p_size AS rank, p_brand AS track FROM part QUALIFY rank() OVER (PARTITION BY p_brand ORDER BY p_size) <= 3")
+def top_ranks(s, d):
+    return programs.top(A.read(s, d, "part").selectExpr("p_partkey", "p_size AS rank", "p_brand AS track"), 3).select("p_partkey", "rank", "track")
+
+
+@query("stale_programs", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' - INTERVAL 365 DAYS")
+def stale_programs(s, d):
+    return programs.stale(A.read(s, d, "orders").withColumn("last_updated", F.col("o_orderdate").cast("timestamp")), AS_OF_GRANTS).select("o_orderkey")
+
+
+@query("institution_match", "SELECT s_suppkey AS query_id, s_nationkey AS id, 115 AS score FROM supplier")
+def institution_match(s, d):
+    """Every supplier's nation, spelled otherwise, against the registry of nations."""
+    names = A.read(s, d, "nation").selectExpr("n_nationkey AS id", "n_nationkey AS pos", "n_name AS name", "CAST(array() AS ARRAY<STRING>) AS aliases", "CAST(array() AS ARRAY<STRING>) AS acronyms", "'active' AS status", "array('Education') AS types")
+    asked = A.read(s, d, "supplier").join(A.read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("  "), F.lower("n_name")).alias("query"))
+    best = resolve.resolve(asked.select("query").distinct(), names).select("query", "id", "score")
+    return asked.join(best, "query").select(F.col("s_suppkey").alias("query_id"), "id", "score")
+
+
+@query("set_union", "SELECT n_nationkey AS k FROM nation UNION SELECT c_nationkey FROM customer")
+def set_union(s, d):
+    return sets.union_distinct(A.read(s, d, "nation").select(F.col("n_nationkey").alias("k")), A.read(s, d, "customer").select("c_nationkey"))
+
+
+@query("set_intersect", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def set_intersect(s, d):
+    return sets.common(A.read(s, d, "customer").withColumnRenamed("c_nationkey", "k"), A.read(s, d, "supplier").withColumnRenamed("s_nationkey", "k"), "k").select("c_custkey")
+
+
+@query("set_except", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def set_except(s, d):
+    return sets.difference(A.read(s, d, "orders").withColumnRenamed("o_custkey", "k"), A.read(s, d, "customer").filter("c_mktsegment = 'BUILDING'").withColumnRenamed("c_custkey", "k"), "k").select("o_orderkey")
+
+
+@query("first_source_wins", "SELECT s_suppkey AS k, 'supplier' AS source FROM supplier UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def first_source_wins(s, d):
+    a = A.read(s, d, "supplier").selectExpr("s_suppkey AS k", "'supplier' AS source", "0 AS pos")
+    b = A.read(s, d, "customer").selectExpr("c_custkey AS k", "'customer' AS source", "0 AS pos")
+    return sets.first_of([a, b], "k").select("k", "source")
+
+
+@query("rate_windows", """SELECT start, start + INTERVAL 60 SECONDS AS "end", user_id, count(*) AS n, count(*) >= 2 AS over_limit FROM (
+    SELECT user_id, time_bucket(INTERVAL 10 SECONDS, ts) - o * INTERVAL 10 SECONDS AS start FROM events, (SELECT unnest(range(6)) AS o)) GROUP BY 1, 2, 3""")
+def rate_windows(s, d):
+    return jobs.request_rates(A.read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", most=2)
+
+
+@query("daily_activity", "SELECT CAST(ts AS DATE) AS day, count(*) AS actions, count(*) FILTER (event_type = 'click') AS approved, count(*) FILTER (event_type = 'view') AS rejected FROM events GROUP BY 1")
+def daily_activity(s, d):
+    marked = A.read(s, d, "events").withColumns({"ts": F.col("ts").cast("timestamp"), "action": F.when(F.col("event_type") == "click", "approve").when(F.col("event_type") == "view", "reject")})
+    return jobs.daily_activity(marked)
+
+
+@query("page_change", "SELECT url, \"at\", content_hash FROM (SELECT CAST(user_id AS VARCHAR) AS url, ts AS \"at\", sha256(event_type) AS content_hash, lag(sha256(event_type)) OVER (PARTITION BY user_id ORDER BY ts, sha256(event_type)) AS last FROM events) WHERE last IS NULL OR last <> content_hash")
+def page_change(s, d):
+    return jobs.page_changes(A.read(s, d, "events").select(F.col("user_id").cast("string").alias("url"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("html")))
+
+
+@query("link_facts", "SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=\"')) AS BIGINT) AS n_links FROM pages WHERE len(regexp_extract_all(html, '<a [^>]*href=\"')) > 0")
+def link_facts(s, d):
+    captured = A.read(s, d, "pages")
+    found = pages.links(pages.tokens(captured)).groupBy(F.col("src").alias("url")).agg(F.count(F.lit(1)).alias("n_links"))
+    return found.join(captured.select("url", "page_id"), "url").select("page_id", "n_links")
+
+
+@query("url_priority", """SELECT page_id, CAST(CASE WHEN contains(u, 'graduate') AND contains(u, 'admission') THEN 100 WHEN contains(u, 'graduate') OR contains(u, 'admission') THEN 50 ELSE 0 END
+    + CASE WHEN regexp_matches(u, 'ms|ma|phd|masters|doctoral') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(u, 'requirements|apply|application') THEN 40 ELSE 0 END - CASE WHEN length(u) > 100 THEN 10 ELSE 0 END AS INT) AS priority,
+    CASE WHEN regexp_matches(u, 'engineering\\.|gsb\\.|law\\.|med\\.|business\\.|education\\.') THEN 'school' WHEN regexp_matches(u, 'masters|phd|doctoral|mba|ms-|phd-|program') THEN 'program'
+      WHEN regexp_matches(u, 'computer-science|cs/|electrical-engineering|mechanical-engineering|mathematics|physics|chemistry|biology|psychology') THEN 'department' ELSE 'general' END AS class FROM (SELECT page_id, lower(url) AS u FROM pages)""")
+def url_priority(s, d):
+    return A.read(s, d, "pages").select("page_id", U.priority("url").alias("priority"), U.url_class("url").alias("class"))
+
+
+@query("page_text")
+def page_text(s, d):
+    return pages.page_text(pages.tokens(A.read(s, d, "pages")))
+
+
+@query("page_segments")
+def page_segments(s, d):
+    return pages.segments(pages.tokens(A.read(s, d, "pages")))
+
+
+@query("requirement_extract", "SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '(?i)toefl[^\\n]*?(\\d{2,3})', 1), '') AS DOUBLE) AS toefl_min FROM (SELECT doc_id, text || ' TOEFL score ' || (70 + doc_id % 51) AS text FROM documents)")
+def requirement_extract(s, d):
+    said = A.read(s, d, "documents").select("doc_id", F.concat("text", F.lit(" TOEFL score "), (70 + F.col("doc_id") % 51).cast("string")).alias("text"))
+    return said.select("doc_id", extract.requirements("text")["toefl_min"].alias("toefl_min"))
+
+
+@query("deadline_extract", "SELECT doc_id, make_date(2025 + doc_id % 2, 12, 1 + doc_id % 28) AS deadline, 'priority' AS kind, 'both' AS audience FROM documents")
+def deadline_extract(s, d):
+    said = A.read(s, d, "documents").select("doc_id", F.lit(0).alias("pos"), F.concat(F.lit("Priority deadline: December "), (1 + F.col("doc_id") % 28).cast("string"), F.lit(", "), (2025 + F.col("doc_id") % 2).cast("string"), F.lit(". "), F.substring("text", 1, 0)).alias("text"))
+    return extract.deadlines(said, 2025).select("doc_id", "deadline", "kind", "audience")
+
+
+@query("export_rows")
+def export_rows(s, d):
+    from ..sources.export import researchers
+
+    ready = _scored(s, d).withColumnsRenamed({"topic_score": "concept_score", "works_score": "recent_works_score"}).withColumns({"name": F.col("author_id"), "openalex_id": F.col("author_id"), "active_grants": F.col("active")})
+    return researchers(ready)
