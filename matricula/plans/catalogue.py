@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.dates import freshness
 from ..operators import extract, fit, grants, pages, programs, registry, resolve, review, rules, scoring, sets
 from ..streaming import jobs
 from . import adapters as A
@@ -557,6 +559,53 @@ def deadline_extract(s, d):
     return extract.deadlines(said, 2025).select("doc_id", "deadline", "kind", "audience")
 
 
+@query("confidence_bands", sql("SELECT CASE WHEN confidence >= 0.95 THEN 'high' WHEN confidence >= 0.8 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM requirement_set GROUP BY 1", "requirement_set"))
+def confidence_bands(s, d):
+    return A.requirement_set(s, d).groupBy(rules.confidence_band(F.col("confidence")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("freshness_buckets", "SELECT CASE WHEN n < 30 THEN 'fresh' WHEN n < 365 THEN 'aging' ELSE 'stale' END AS bucket, count(*) AS n FROM (SELECT DATE '2001-08-01' - CAST(o_orderdate AS DATE) AS n FROM orders) GROUP BY 1")
+def freshness_buckets(s, d):
+    return A.read(s, d, "orders").groupBy(freshness(F.to_date("o_orderdate"), AS_OF_REVIEW).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("extraction_confidence", sql("""SELECT id, round(greatest(0e0, least(1e0, 0.5e0 + least(0.2e0, len(cited_fields) * 0.05e0) + CASE WHEN toefl_min <> 0 THEN 0.1e0 ELSE 0 END + CASE WHEN code_toefl IS NOT NULL AND code_toefl <> '0000' THEN 0.1e0 ELSE 0 END
+    + CASE WHEN fee_amount <> 0 THEN 0.1e0 ELSE 0 END + 0.1e0)), 6) AS extraction_confidence FROM requirements""", "requirements"))
+def extraction_confidence(s, d):
+    rows = A.requirements(s, d).withColumns({"deadlines": F.lit(1), "contacts": F.lit(0), "citations": F.size("cited_fields")})
+    return rules.extraction_confidence(rows).withColumn("extraction_confidence", r6("extraction_confidence"))
+
+
+@query("program_order", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY CASE WHEN p_size % 10 = 0 THEN 999 ELSE p_size END, p_name, p_partkey) AS INT) AS place FROM part QUALIFY place <= 100")
+def program_order(s, d):
+    rows = A.read(s, d, "part").selectExpr("p_partkey", "CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size END AS rank", "struct(p_name, p_partkey) AS university")
+    top = programs.ordered(rows, "rank").limit(100)
+    return top.select("p_partkey", F.row_number().over(W.orderBy(F.coalesce(F.nullif("rank", F.lit(0)), F.lit(999)), "university")).alias("place"))
+
+
+@query("shared_words", "SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'))) AS INT) AS n_words FROM documents")
+def shared_words(s, d):
+    return A.read(s, d, "documents").select("doc_id", F.size(T.words("text")).alias("n_words"))
+
+
+@query("url_normalize", "SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z]+://[^/]+')) || rtrim(regexp_extract(url, '^[a-zA-Z]+://[^/]+([^?#]*)', 1), '/') || regexp_extract(url, '\\?[^#]*') AS url FROM pages")
+def url_normalize(s, d):
+    spelled = A.read(s, d, "pages").select(F.explode(F.array("url", F.concat("url", F.lit("#top")))).alias("url"))
+    return spelled.select(U.normal("url").alias("url")).distinct()
+
+
+@query("link_hop")
+def link_hop(s, d):
+    """Addresses one link away from the captured pages, on the page's own site."""
+    found = pages.links(pages.tokens(A.read(s, d, "pages")))
+    return U.hop(A.read(s, d, "pages"), found, U.same_site(U.absolute("href", "src"), "src"))
+
+
+@query("heading_sections")
+def heading_sections(s, d):
+    return pages.heading_sections(pages.tokens(A.read(s, d, "pages"))).select("url", "pos", "level", "heading", "text")
+
+
 @query("export_rows")
 def export_rows(s, d):
     from ..sources.export import researchers
