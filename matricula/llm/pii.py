@@ -136,8 +136,10 @@ def redact(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     Spans that overlap are replaced from the first start on; a span inside a replaced one goes
     with it. Null text stays null.
     """
-    spans = docs.select("*", *(matches(F.coalesce("text", F.lit("")), k).alias(f"__{k}") for k in KINDS))
-    every = F.concat(*(F.transform(F.filter(f"__{k}", lambda s, k=k: F.lit(KINDS[k][2] >= min_score)), lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS))
+    chosen = [k for k in KINDS if KINDS[k][2] >= min_score]
+    spans = docs.select("*", *(matches(F.coalesce("text", F.lit("")), k).alias(f"__{k}") for k in chosen))
+    named = lambda kind: F.transform(f"__{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+    every = F.concat(*(named(k) for k in chosen))
 
     def cut(state: Column, s: Column) -> Column:
         piece = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit("<"), s["kind"], F.lit(">"))
