@@ -591,7 +591,7 @@ def shared_words(s, d):
 @query("url_normalize", "SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z]+://[^/]+')) || rtrim(regexp_extract(url, '^[a-zA-Z]+://[^/]+([^?#]*)', 1), '/') || regexp_extract(url, '\\?[^#]*') AS url FROM pages")
 def url_normalize(s, d):
     spelled = A.read(s, d, "pages").select(F.explode(F.array("url", F.concat("url", F.lit("#top")))).alias("url"))
-    return spelled.select(U.normal("url").alias("url")).distinct()
+    return spelled.select(U.normal("url").alias("url")).filter("url is not null").distinct()
 
 
 @query("link_hop")
