@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linededup, packing, perplexity, pii, quality_rules, simhash, simple8b, toxicity
+from . import decontaminate, langid, linededup, oracle, packing, perplexity, pii, quality_rules, simhash, simple8b, toxicity
 from .common import shared_dir, table
 
 
@@ -54,4 +54,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_best_fit_packing, op2_toxicity, op3_quality_rules, op4_perplexity, op5_pii, op6_simple8b_ids, op7_decontamination, op8_language_id, op9_simhash, op10_line_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {}
+ORACLE = oracle.ORACLE
