@@ -26,6 +26,8 @@ UNKNOWN = "und"
 #: Documents that the network is trained on, at most, and the windows taken from each.
 SAMPLE, WINDOWS_EACH = 3000, 3
 _LETTER = r"\pL"
+#: Languages that are learned, at most.
+LANGUAGES = 1000
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,10 +129,15 @@ def train(labelled: DataFrame, sample: int = SAMPLE, windows_each: int = WINDOWS
 
     usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
     keys = usable.select("lang", F.xxhash64("text").alias("h")).distinct()
-    languages = sorted(r["lang"] for r in keys.select("lang").distinct().limit(1000).collect())
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES).collect()}
+    languages = sorted(sizes)
     if not languages:
         return None
-    chosen = keys.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("nth") <= max(1, sample // len(languages)))
+    each = max(1, sample // len(languages))
+    # hashes are spread evenly, so twice the wanted share of them leaves few rows to rank
+    below = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, 2 * each / sizes[lang] + 1e-3))))[F.col("lang")]
+    few = keys.filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= below)
+    chosen = few.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("nth") <= each)
     chosen = F.broadcast(chosen.select("lang", "h"))  # `sample` rows at most
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
