@@ -39,7 +39,6 @@ POWER = 2
 LENGTH = 16
 ROUNDS = 3
 
-_SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][.\-_*]? ){2,}[^\W\d_](?!\S)")
 _MARKS = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+\s")
 _PATTERNS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN)]
@@ -73,7 +72,7 @@ def coded(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
             piece = signs[at : at + LENGTH]
             rows.append(piece + [0] * (LENGTH - len(piece)))
             owner.append(k)
-    return np.array(rows, dtype=np.int64).reshape(-1, LENGTH), np.array(owner, dtype=np.int64)
+    return np.array(rows, dtype=np.int32).reshape(-1, LENGTH), np.array(owner, dtype=np.int64)
 
 
 def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,20 +80,28 @@ def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, weights = [], []
     for a, b in _PATTERNS:
         first, second, third = rows[:, : LENGTH - b], rows[:, a : LENGTH - b + a], rows[:, b:]
-        found.append(np.where(third > 0, (first * _SIGNS + second) * _SIGNS + third, 0))
+        found.append(np.where(third > 0, (first * _SIGNS + second) * _SIGNS + third, 0).astype(np.int16))  # below 32 ** 3
         weights.append(np.where(third > 0, DECAY ** (b + 1), 0.0).astype(np.float32))
     return np.concatenate(found, axis=1), np.concatenate(weights, axis=1)
 
 
 def own_kernel(numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The kernel of each piece with itself: the squared sums of equal subsequences' weights."""
+    """The kernel of each piece with itself: the squared sums of equal subsequences' weights.
+
+    Without equal ones that is the sum of squares, so only pieces that have some are put in order.
+    """
+    out = np.einsum("ij,ij->i", weights, weights).astype(np.float64)
+    ordered = np.sort(numbers, axis=1)
+    rows = np.flatnonzero(((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0)).any(axis=1))
+    numbers, weights = numbers[rows], weights[rows]
     order = np.argsort(numbers, axis=1, kind="stable")
     n, w = np.take_along_axis(numbers, order, 1), np.take_along_axis(weights, order, 1)
     sums = np.cumsum(w, axis=1, dtype=np.float64)
     last = np.concatenate([n[:, 1:] != n[:, :-1], np.ones((len(n), 1), bool)], axis=1)
     before = np.maximum.accumulate(np.where(last, sums, 0), axis=1)
     before = np.concatenate([np.zeros((len(n), 1)), before[:, :-1]], axis=1)
-    return (np.where(last, sums - before, 0) ** 2).sum(axis=1)
+    out[rows] = (np.where(last, sums - before, 0) ** 2).sum(axis=1)
+    return out
 
 
 class Kernel:
@@ -133,11 +140,17 @@ def bare(unit: str) -> str:
 
 
 def units_of(text: str | None) -> list[str]:
-    """Lower-case words, and letters spelled out one by one put together."""
-    text = (text or "").lower()
-    words = text.split()
-    if len(text) > 4:
-        words += [bare(x) for x in _SPELLED.findall(text)]
+    """Lower-case words without commas and full stops, and letters spelled out one by one put
+    together."""
+    words = (text or "").lower().replace(",", "").replace(".", "").split()
+    single = [i for i, w in enumerate(words) if len(w) == 1]
+    run: list[str] = []
+    for k, i in enumerate(single):
+        run.append(words[i])
+        if k + 1 == len(single) or single[k + 1] != i + 1:
+            if len(run) >= 3:
+                words.append("".join(run))
+            run = []
     return words
 
 
