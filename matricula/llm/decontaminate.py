@@ -31,7 +31,7 @@ from .common import per_batch
 
 SEED = 3
 CHANCE = 1e-8
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of test items that one pass over the corpus takes.
 ITEM_BYTES = 16 << 20
