@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ WORD_BREAK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one step of a batch function works on at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,13 @@ def slices(batch: pa.RecordBatch, text_column: str, limit: int = SLICE_BYTES) ->
     yield from slices(batch.slice(half), text_column, limit)
 
 
+def release() -> None:
+    """Give memory that a batch has used back to the system, as executors are sized tightly."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def per_batch(df: DataFrame, text_column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow over bounded slices; `make` builds the batch function once in each task."""
 
@@ -66,6 +75,7 @@ def per_batch(df: DataFrame, text_column: str, make: Callable[[], Callable[[pa.R
             for part in slices(batch, text_column):
                 if part.num_rows and (out := work(part)) is not None and out.num_rows:
                     yield out
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import slices
+from .common import release, slices
 from .tokens import default_path, tokenizer
 
 BLOCK = 256
@@ -147,6 +147,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, chu
                     if open_ids >= chunk_ids:
                         yield close()
                         open_ids = 0
+            release()
         if held:
             yield close()
 

@@ -367,7 +367,7 @@ def _best(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
             texts = [units_of(t) for t in batch.column("text").to_pylist()]
             new = list({u for t in texts for u in t if u not in memo})
             fresh = dict(zip(new, model.margins(new).tolist(), strict=True)) if new else {}
-            if len(memo) < 400_000:
+            if len(memo) < 300_000:
                 memo.update(fresh)
                 known = memo
             else:
