@@ -22,10 +22,18 @@ def literals(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
 
 
+def once(x: Column, use) -> Column:
+    """`use(x)` with x worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def contained(x: Column | str, keywords: list[str]) -> Column:
     """The keywords that occur in the normalised text, in their order."""
-    text = normalize(x)
-    return F.filter(literals(keywords), lambda k: F.contains(text, normalize(k))) if keywords else literals([])
+    if not keywords:
+        return literals([])
+    known = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(" ".join(k.lower().split())).alias("plain")) for k in keywords))
+    hits = once(F.coalesce(normalize(x), F.lit("")), lambda t: F.filter(known, lambda s: F.contains(t, s["plain"])))
+    return F.transform(hits, lambda s: s["k"])
 
 
 def words(x: Column | str) -> Column:
@@ -128,10 +136,9 @@ DOCUMENT_PATTERNS = (r"\btoefl\s+\d{2,3}\b", r"\bielts\s+\d\.\d\b", r"\bgre\s+\d
 
 
 def _tiers(lower: Column, tiers) -> Column:
-    total = F.lit(0.0)
-    for weight, keywords in tiers:
-        total = total + F.size(F.filter(literals(keywords), lambda k: F.contains(lower, k))) * F.lit(float(weight))
-    return total
+    every = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(weight)).alias("w")) for weight, keywords in tiers for k in keywords))
+    hits = once(lower, lambda t: F.filter(every, lambda s: F.contains(t, s["k"])))
+    return F.aggregate(hits, F.lit(0.0), lambda total, s: total + s["w"])
 
 
 def segment_relevance(text: Column | str, tiers=SEGMENT_TIERS) -> Column:

@@ -67,18 +67,17 @@ def tokens(pages: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for url, html in zip(frame["url"], frame["html"], strict=True):
-                reader = _Reader()
-                reader.feed(html or "")
-                reader.close()
-                rows = [
-                    (url, k, None if r[0] is None else r[0], r[1], r[2], r[3], r[4], r[6], " ".join(" ".join(t for _, t in r[7]).split()), r[8])
-                    for k, r in enumerate(reader.rows)
-                ]
-                if rows:
-                    out = pd.DataFrame(rows, columns=["url", "pos", "parent", "depth", "tag", "names", "href", "selector", "text", "noise"])
-                    out["parent"] = out["parent"].astype("Int32")
-                    yield out
+            for at in range(0, len(frame), 500):
+                part, rows = frame.iloc[at : at + 500], []
+                for url, html in zip(part["url"], part["html"], strict=True):
+                    reader = _Reader()
+                    reader.feed(html or "")
+                    reader.close()
+                    for k, (parent, depth, tag, names, href, _, path, said, noise) in enumerate(reader.rows):
+                        rows.append((url, k, parent, depth, tag, names, href, path, " ".join(" ".join(t for _, t in said).split()), noise))
+                out = pd.DataFrame(rows, columns=["url", "pos", "parent", "depth", "tag", "names", "href", "selector", "text", "noise"])
+                out["parent"] = out["parent"].astype("Int32")
+                yield out
 
     return pages.select("url", "html").mapInPandas(read, TOKENS)
 
@@ -178,7 +177,11 @@ def table_segments(found: DataFrame, most: int = 10, least: int = 50) -> DataFra
 
 
 def segments(found: DataFrame) -> DataFrame:
-    """Sections, lists, tables and paragraphs of every page (they overlap), by place and kind."""
+    """Sections, lists, tables and paragraphs of every page (they overlap), by place and kind.
+
+    Pages are read once: the elements are kept, and may be let go when the result has been used.
+    """
+    found = found.persist()
     kind = lambda df, name: df.select("url", "pos", F.lit(name).alias("kind"), "text")
     paragraphs = clean(found).filter("tag = 'p' and length(text) >= 50")
     sections = heading_sections(found).withColumn("text", F.concat_ws("\n", "heading", "text"))
