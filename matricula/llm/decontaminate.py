@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 The test items are small beside the corpus (their size is checked, and larger sets are worked
-off in blocks of items); their seeds go to every task, and the corpus is read where it lies. A
-seed is a word n-gram of an item that would rarely occur by chance: its expected count, from the
-counts of its words over the whole corpus, is below `chance` of all places. Copies in the corpus
-do not raise that expectation much, so heavily copied passages stay seeds.
+off in blocks of items); their seeds go to every task, and the corpus is read once, where it
+lies. Every word n-gram of an item is a seed, however common its words are, so that an item is
+found however often the corpus holds it and however small the corpus is.
 
 Each run of seed hits of an item is aligned locally, word by word, against the text around it,
 so that replaced, inserted and lost words only lower the score. The score is the alignment's
-share of the best possible, and counts from `min_score` on.
+share of the best possible, and counts from `min_score` on. Text that has too few of the item's
+words for that score in any order is not aligned, which loses nothing.
 
 Words are compared in lower case (ASCII), without marks at either end.
 
@@ -19,9 +19,6 @@ than a seed are matched as a whole, exactly. Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import per_batch
 
 SEED = 3
-CHANCE = 1e-8
 MIN_SCORE = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of test items that one pass over the corpus takes.
@@ -45,44 +41,19 @@ def words_of(text: str | None) -> list[bytes]:
     return [x for x in found if x]
 
 
-def word_counts(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:
-    """How often each word of `vocabulary` occurs in all texts, and the number of all words."""
-
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            count: Counter[bytes] = Counter()
-            total = 0
-            for text in batch.column("text").to_pylist():
-                found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                total += len(found)
-                count.update(found)
-            inside: Counter[bytes] = Counter()
-            for w, n in count.items():
-                if (w := w.strip(_STRIP)) in vocabulary:
-                    inside[w] += n
-            return pa.record_batch([pa.array([*inside, None], pa.binary()), pa.array([*inside.values(), total], pa.int64())], ["word", "n"])
-
-        return work
-
-    rows = per_batch(docs.select("text"), "text", make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r["word"]): r["n"] for r in rows if r["word"] is not None}, sum(r["n"] for r in rows if r["word"] is None)
-
-
 class Seeds:
-    """Numbered words of some items, and the places of their rare n-grams, sorted by n-gram."""
+    """Numbered words of some items, and the places of their n-grams, sorted by n-gram."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], counts: dict[bytes, int], total: int, chance: float, n: int = SEED) -> None:
+    def __init__(self, items: list[tuple[int, list[bytes]]], n: int = SEED) -> None:
         self.n, self.items = n, items
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         self.base = len(self.number) + 1
-        rate = {w: math.log(max(1, counts.get(w, 1)) / max(1, total)) for w in self.number}
         self.coded = [np.array([self.number[w] for w in ws], dtype=np.int64) for _, ws in items]
+        self.known = [np.unique(c, return_counts=True) for c in self.coded]
         keys, places = [], []
         for k, (_, ws) in enumerate(items):
             size = min(n, len(ws))
             for at in range(len(ws) - size + 1 if ws else 0):
-                if size == n and sum(rate[w] for w in ws[at : at + n]) > math.log(chance):
-                    continue
                 keys.append(self.key(self.coded[k][at : at + size]))
                 places.append((k, at))
         order = np.argsort(np.array(keys, dtype=np.uint64), kind="stable")
@@ -96,6 +67,12 @@ class Seeds:
             out = (out * self.base + c) & 0xFFFFFFFFFFFFFFFF
         return out
 
+    def most(self, k: int, codes: np.ndarray) -> int:
+        """A score that no alignment of item `k` with a text exceeds: that of their shared words."""
+        words, count = self.known[k]
+        at = np.minimum(np.searchsorted(words, codes), len(words) - 1)
+        return MATCH * int(np.minimum(np.bincount(at[words[at] == codes], minlength=len(words)), count).sum())
+
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text (word numbers, 0: no item has the word), and seeds met there."""
         at, seed = [], []
@@ -156,7 +133,7 @@ def _windows(at: np.ndarray, offset: np.ndarray, size: int, slack: int, length:
     return [(a, b) for a, b in out]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, chance: float = CHANCE) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word: the best match of each item in each text.
 
     `benchmark`: item_id, text. Every `ITEM_BYTES` of items take one more pass over the corpus.
@@ -170,8 +147,7 @@ def find(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, ch
     for b in range(blocks):
         rows = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about ITEM_BYTES
         items = [(r["item_id"], ws) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"])) if (ws := words_of(r["text"]))]
-        counts, total = word_counts(source, {w for _, ws in items for w in ws}) if items else ({}, 0)
-        seeds = spark.sparkContext.broadcast(Seeds(items, counts, total, chance))
+        seeds = spark.sparkContext.broadcast(Seeds(items))
         found = per_batch(source, "text", lambda seeds=seeds: _matcher(seeds.value, min_score), _HIT)
         out = found if out is None else out.unionByName(found)
     return out
@@ -204,6 +180,8 @@ def _matcher(seeds: Seeds, min_score: float):
                 item = seeds.coded[k]
                 best = (0, 0, 0)
                 for a, b in _windows(at[mine], places[mine, 1], len(item), len(item) // 2 + 4, len(codes)):
+                    if seeds.most(k, codes[a:b]) / (MATCH * len(item)) < min_score:
+                        continue
                     score, first, last = align(item, codes[a:b])
                     best = max(best, (score, a + first, a + last), key=lambda x: x[0])
                 share = best[0] / (MATCH * len(item))

@@ -70,6 +70,19 @@ def test_edited_copies(spark):
     assert all(0.4 <= r.score < 1 for r in rows)
 
 
+def test_copies_in_a_third_of_the_words_and_in_two_documents(spark):
+    rng = random.Random(8)
+    common = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(rng.choices(common, k=30))) for k in range(2)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    many = [(k, " ".join(rng.choices(common, k=60)) + (" " + items[0][1] if k % 3 else "")) for k in range(300)]
+    rows = decontaminate.find(spark.createDataFrame(many, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id for r in rows if r.item_id == 0 and r.score == 1} == {k for k in range(300) if k % 3}
+    two = [(1, items[1][1]), (2, "nothing of the kind")]
+    rows = decontaminate.find(spark.createDataFrame(two, "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in rows if r.score == 1] == [(1, 1, 1.0)]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "And a second line.", "q"), (2, None, "q"), (3, "", "q"), (4, "Plain text here, with words.", "q"), (4, "words.\nAnd a", "q"), (5, "***!!!", "q")], "item_id long, text string, score string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.find(odd_docs, bench).collect()}
