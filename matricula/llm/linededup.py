@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
 Documents become sequences of line hashes. A line of at least `seed_words` words that several
-documents share is a seed; each document that has it is paired with the first that has it (the
-smallest doc_id), so that pairs stay in proportion to the lines, whatever the size of a group.
-Each pair is aligned by patience diff: lines unique in both and in the same order anchor the
-alignment, and equal lines next to an anchor join it. Aligned lines of the later document go
-where they form a run of at least `block_words` words, counted over all its pairs.
+documents share is a seed, and so is a run of two lines or more that comes to as many words; each
+document that has it is paired with the first that has it (the smallest doc_id), so that pairs
+stay in proportion to the lines, whatever the size of a group. Each pair is aligned by patience
+diff: lines unique in both and in the same order anchor the alignment, gaps are aligned in the same
+way, and those without a unique line by their longest common runs. Stretches that stay unaligned
+are aligned once more, so that repeated and moved blocks are found. Aligned lines of the later
+document go where they form a run of at least `block_words` words, counted over all its pairs.
 
 Lines are compared without blanks at either end. Each line keeps its first place: only lines
 that an earlier document has go, so no passage is lost altogether.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +33,23 @@ from .common import materialize, per_batch
 SEED_WORDS = 8
 BLOCK_WORDS = 40
 
-_LINES = "doc_id long, hashes array<long>, words array<int>"
+_LINES = "doc_id long, hashes array<long>, words array<int>, runs array<long>"
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, and the hash and number of words of each line of the text."""
+def line_hashes(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
+    """doc_id, the hash and number of words of each line of the text, and the hashes of its runs."""
 
     def make():
         from xxhash import xxh64_intdigest
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hashes, words = [], []
+            hashes, words, runs = [], [], []
             for text in batch.column("text").to_pylist():
                 lines = [x.strip() for x in text.encode("utf-8", "surrogatepass").split(b"\n")]
                 hashes.append(np.array([xxh64_intdigest(x) for x in lines], dtype=np.uint64).view(np.int64))
                 words.append(np.array([x.count(b" ") + 1 if x else 0 for x in lines], dtype=np.int32))
-            return pa.record_batch([batch.column("doc_id"), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["doc_id", "hashes", "words"])
+                runs.append([xxh64_intdigest(hashes[-1][i].tobytes()) for i in run_lines(words[-1].tolist(), seed_words)])
+            return pa.record_batch([batch.column("doc_id"), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array([np.array(x, dtype=np.uint64).view(np.int64) for x in runs], pa.list_(pa.int64()))], ["doc_id", "hashes", "words", "runs"])
 
         return work
 
@@ -60,9 +64,24 @@ def _unique(x: list[int]) -> dict[int, int]:
     return {v: i for v, i in place.items() if count[v] == 1}
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places (i, j) of two sequences, in order: patience diff without recursion into
-    gaps, its anchors grown in both directions over equal neighbours."""
+def run_lines(words: list[int], seed_words: int) -> list[list[int]]:
+    """From each line with a word on, the fewest lines with words, two at least, that come to
+    `seed_words` words."""
+    full = [i for i, n in enumerate(words) if n]
+    out, end, total = [], 0, 0
+    for k in range(len(full)):
+        while end < len(full) and (end < k + 2 or total < seed_words):
+            total += words[full[end]]
+            end += 1
+        if end < k + 2 or total < seed_words:
+            break
+        out.append(full[k:end])
+        total -= words[full[k]]
+    return out
+
+
+def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The longest chain of places, in order in both, of values that are unique in both."""
     in_a, in_b = _unique(a), _unique(b)
     pairs = [(i, in_b[v]) for v, i in in_a.items() if v in in_b]  # ordered by i
     tails, ends, back = [], [], []
@@ -79,28 +98,72 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         chain.append(pairs[k])
         k = back[k]
     chain.reverse()
+    return chain
+
+
+def _longest_runs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Plain diff: the longest common run, then the same before and after it."""
+    common = set(a) & set(b)
+    if len(common) <= 1:
+        in_a, in_b = ([i for i, v in enumerate(x) if v in common] for x in (a, b))
+        return list(zip(in_a, in_b, strict=False))
+    blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+    return [(m.a + k, m.b + k) for m in blocks for k in range(m.size)]
+
+
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Aligned places (i, j) of two sequences, in order: patience diff, its gaps aligned again,
+    those without a unique value by their longest common runs."""
     out: list[tuple[int, int]] = []
-    for n, (i, j) in enumerate(chain):
-        low = out[-1] if out else (-1, -1)
-        if i <= low[0] or j <= low[1]:
-            continue
-        grown = [(i, j)]
-        x, y = i - 1, j - 1
-        while x > low[0] and y > low[1] and a[x] == b[y]:
-            grown.append((x, y))
-            x, y = x - 1, y - 1
-        out += reversed(grown)
-        high = chain[n + 1] if n + 1 < len(chain) else (len(a), len(b))
-        x, y = i + 1, j + 1
-        while x < high[0] and y < high[1] and a[x] == b[y]:
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        x, x_end, y, y_end = todo.pop()
+        while x < x_end and y < y_end and a[x] == b[y]:
             out.append((x, y))
             x, y = x + 1, y + 1
-    return out
+        while x < x_end and y < y_end and a[x_end - 1] == b[y_end - 1]:
+            x_end, y_end = x_end - 1, y_end - 1
+            out.append((x_end, y_end))
+        if x == x_end or y == y_end:
+            continue
+        chain = _anchors(a[x:x_end], b[y:y_end])
+        if not chain:
+            out += [(x + i, y + j) for i, j in _longest_runs(a[x:x_end], b[y:y_end])]
+            continue
+        low = (x, y)
+        for i, j in chain:
+            out.append((x + i, y + j))
+            todo.append((low[0], x + i, low[1], y + j))
+            low = (x + i + 1, y + j + 1)
+        todo.append((low[0], x_end, low[1], y_end))
+    return sorted(out)
+
+
+def shared_lines(early: list[int], late: list[int], words: list[int], block_words: int) -> list[int]:
+    """The lines of `late` that align with `early`; stretches that are left are aligned again, as
+    long as a block of `block_words` words is found in them."""
+    same = [j for _, j in patience(early, late)]
+    todo = _stretches(same, 0, len(late))
+    while todo:
+        start, end = todo.pop()
+        if sum(words[start:end]) < block_words:
+            continue
+        found = block([start + j for _, j in patience(early, late[start:end])], words, block_words)
+        if found:
+            same += found
+            todo += _stretches(found, start, end)
+    return sorted(same)
+
+
+def _stretches(taken: list[int], start: int, end: int) -> list[tuple[int, int]]:
+    edges = [start - 1, *taken, end]
+    return [(i + 1, j) for i, j in zip(edges, edges[1:], strict=False) if j - i > 1]
 
 
 def overlaps(lines: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
-    """Pairs of documents (first, later) that share a seed line, each pair once."""
-    seeds = lines.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).filter(F.col("x.words") >= seed_words).select("doc_id", F.col("x.hashes").alias("line"))
+    """Pairs of documents (first, later) that share a seed line or run, each pair once."""
+    long = F.transform(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= seed_words), lambda x: x["hashes"])
+    seeds = lines.select("doc_id", F.explode(F.concat(long, "runs")).alias("line"))
     first = seeds.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     first = materialize(first.select("line", "first"))
     return seeds.join(first, "line").filter("first < doc_id").select("first", F.col("doc_id").alias("later")).distinct()
@@ -108,26 +171,26 @@ def overlaps(lines: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_lines, the numbers of the lines to delete (from 0), and their words."""
-    lines = materialize(line_hashes(docs))
+    lines = materialize(line_hashes(docs, seed_words))
     clear = lines.groupBy("doc_id").agg(F.min(F.xxhash64("hashes")).alias("least"), F.max(F.xxhash64("hashes")).alias("most"))
+    twice = materialize(clear.filter("least <> most").select("doc_id"))
+    lines = lines.join(twice, "doc_id", "left_anti")
     pairs = materialize(overlaps(lines, seed_words))
     wanted = pairs.select(F.col("later").alias("doc_id")).union(pairs.select(F.col("first").alias("doc_id"))).distinct()
     texts = lines.join(wanted, "doc_id", "left_semi")
-    one = texts.dropDuplicates(["doc_id"])
-    twice = clear.filter("least <> most").select("doc_id")
-    one = materialize(one.join(twice, "doc_id", "left_anti"))
+    one = materialize(texts.select("doc_id", "hashes", "words").dropDuplicates(["doc_id"]))
     early = one.select(F.col("doc_id").alias("first"), F.col("hashes").alias("early"))
-    late = one.select(F.col("doc_id").alias("later"), F.col("hashes").alias("late"))
+    late = one.select(F.col("doc_id").alias("later"), F.col("hashes").alias("late"), "words")
 
     def align(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                early, late = part.column("early").to_pylist(), part.column("late").to_pylist()
-                found = [[j for _, j in patience(a, b)] for a, b in zip(early, late, strict=True)]
+                sides = (part.column(c).to_pylist() for c in ("early", "late", "words"))
+                found = [shared_lines(a, b, n, block_words) for a, b, n in zip(*sides, strict=True)]
                 yield pa.record_batch([part.column("later"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "same"])
 
-    aligned = pairs.join(early, "first").join(late, "later").select("later", "early", "late").mapInArrow(align, "doc_id long, same array<int>")
+    aligned = pairs.join(early, "first").join(late, "later").select("later", "early", "late", "words").mapInArrow(align, "doc_id long, same array<int>")
     merged = aligned.select("doc_id", F.explode("same").alias("line")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("same"))
 
     def runs(batches):

@@ -58,6 +58,31 @@ def test_passage_goes_from_later_documents_only(spark):
     assert out[5].text == docs[5][1] and out[5].n_chars == 3
 
 
+def test_passages_that_no_unique_line_or_single_holder_shows(spark):
+    line = lambda name, n=15: " ".join(f"{name}w{k}" for k in range(n))
+    text = lambda *lines: "\n".join(lines)
+    passage = [line(f"p{i}") for i in range(4)]
+    swapped = [line(f"s{i}") for i in range(4)]
+    short = [line(f"k{i}", 5) for i in range(10)]
+    split = [line(f"m{i}") for i in range(4)]
+    docs = [
+        (1, text(*passage, line("one"), *passage)),  # the first holder has it twice
+        (2, text(line("two"), *passage)),
+        (3, text(*passage, line("three"), *passage)),  # so has a later one
+        (10, text(*swapped[::-1])),  # the first holder has its lines in another order
+        (11, text(line("eleven"), *swapped)),
+        (12, text(line("twelve"), *swapped)),
+        (20, text(*short)),  # no line is long enough for a seed
+        (21, text(line("x"), *short)),
+        (30, text(*split)),  # the first holder's id has another text
+        (30, "else"),
+        (31, text(*split)),
+        (32, text(line("y"), *split)),
+    ]
+    gone = {r.doc_id: r.gone for r in linededup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert gone == {2: "1,2,3,4", 3: "0,1,2,3,5,6,7,8", 12: "1,2,3,4", 21: "1,2,3,4,5,6,7,8,9,10", 32: "1,2,3,4"}
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = linededup.dedup(odd_docs)
     assert rows.columns == odd_docs.columns and rows.count() == odd_docs.count()
