@@ -555,7 +555,10 @@ def requirement_extract(s, d):
 
 @query("deadline_extract", "SELECT doc_id, make_date(2025 + doc_id % 2, 12, 1 + doc_id % 28) AS deadline, 'priority' AS kind, 'both' AS audience FROM documents")
 def deadline_extract(s, d):
-    said = A.read(s, d, "documents").select("doc_id", F.lit(0).alias("pos"), F.concat(F.lit("Priority deadline: December "), (1 + F.col("doc_id") % 28).cast("string"), F.lit(", "), (2025 + F.col("doc_id") % 2).cast("string"), F.lit(". "), F.substring("text", 1, 0)).alias("text"))
+    """A sentence of each document's own and its whole text, as two segments."""
+    docs = A.read(s, d, "documents")
+    sentence = F.concat(F.lit("Priority deadline: December "), (1 + F.col("doc_id") % 28).cast("string"), F.lit(", "), (2025 + F.col("doc_id") % 2).cast("string"), F.lit(". "))
+    said = docs.select("doc_id", F.posexplode(F.array(sentence, "text")).alias("pos", "text"))
     return extract.deadlines(said, 2025).select("doc_id", "deadline", "kind", "audience")
 
 

@@ -45,6 +45,16 @@ def test_requirements_from_text(spark):
     assert found[1].toefl_min is None and found[1].gre_required and found[2].gpa_min is None
 
 
+def test_deadline_query_reads_the_texts(spark, tmp_path):
+    from matricula.plans import catalogue
+
+    filler = "Plain words. " * 2000
+    rows = [(1, f"{filler}Final deadline: January 5, 2026 for international students."), (2, "nothing"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = sorted((r.doc_id, str(r.deadline), r.kind, r.audience) for r in catalogue.deadline_extract(spark, f"file://{tmp_path}").collect())
+    assert found == [(1, "2026-01-05", "final", "international"), (1, "2026-12-02", "priority", "both"), (2, "2025-12-03", "priority", "both"), (3, "2026-12-04", "priority", "both")]
+
+
 def test_deadlines(spark):
     said = [(1, 0, "Deadline: December 1, 2025. International students."), (1, 1, "due 1 December 2025"), (2, 0, "Priority deadline: Dec 1, 2025"), (3, 0, "deadline: March 3rd, 2031"), (4, 0, "nothing")]
     rows = extract.deadlines(spark.createDataFrame(said, "doc_id int, pos int, text string"), 2025).collect()
