@@ -5,6 +5,10 @@ several widths, the maximum over the window, and a softmax. It is trained in num
 a bounded sample of labelled texts (`sample` documents), and applied to every window of every
 text; a text's probabilities are the softmax of its mean window scores, weighted by length.
 
+A softmax always gives some learned language, and often with certainty, so that its score does not
+tell what the network never saw. `keep_known` therefore asks how many of a text's letter trigrams
+are usual in some learned language, and sets its limits by labelled texts held out of training.
+
 Defined results: null text, or text without any letter, is `und` with score 0. With no labelled
 text at all every text is `und`. Repeated rows and null ids are scored row by row; lang, source
 and doc_id are no inputs of a prediction. Other columns are ignored.
@@ -28,6 +32,10 @@ SAMPLE, WINDOWS_EACH = 3000, 3
 _LETTER = r"\pL"
 #: Languages that are learned, at most.
 LANGUAGES = 1000
+#: The share of a language's letter trigrams, the commonest first, that are usual in it; signs of a
+#: text that count as usual before any is seen; the low quantile of held-out texts that, times the
+#: margin, is the limit; and the held-out texts that a language needs for a limit of its own.
+USUAL, PRIOR, QUANTILE, MARGIN, LEAST = 0.995, 20, 0.005, 0.9, 50
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,24 +129,10 @@ class ByteConvNet:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, windows_each: int = WINDOWS_EACH) -> ByteConvNet | None:
-    """A network for the languages of `labelled` (text, lang).
-
-    The sample takes as many texts of each language, those of the least hash of the text.
-    """
-    from pyspark.sql.window import Window as W
-
-    usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
-    keys = usable.select("lang", F.xxhash64("text").alias("h")).distinct()
-    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES).collect()}
-    languages = sorted(sizes)
+    """A network for the languages of `labelled` (text, lang)."""
+    languages, picked = _sampled(labelled, sample)
     if not languages:
         return None
-    each = max(1, sample // len(languages))
-    # hashes are spread evenly, so twice the wanted share of them leaves few rows to rank
-    below = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, 2 * each / sizes[lang] + 1e-3))))[F.col("lang")]
-    few = keys.filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= below)
-    chosen = few.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("nth") <= each)
-    chosen = F.broadcast(chosen.select("lang", "h"))  # `sample` rows at most
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, langs = [], []
@@ -151,18 +145,71 @@ def train(labelled: DataFrame, sample: int = SAMPLE, windows_each: int = WINDOWS
                 langs.append(lang)
         return pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "bytes"])
 
-    picked = usable.withColumn("h", F.xxhash64("text")).join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"])
-    rows = sorted((r["lang"], bytes(r["bytes"])) for r in per_batch(picked.select("text", "lang", "h"), "text", lambda: cut, "lang string, bytes binary").collect())
+    rows = sorted((r["lang"], bytes(r["bytes"])) for r in per_batch(picked, "text", lambda: cut, "lang string, bytes binary").collect())
     net = ByteConvNet(languages)
     x, _, _ = windows([b for _, b in rows])
     net.train(x, np.array([languages.index(lang) for lang, _ in rows]))
     return net
 
 
-def predict(docs: DataFrame, net: ByteConvNet | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """`keep` columns, the language and its probability (as `names`) for every row of `docs`."""
+def _sampled(labelled: DataFrame, sample: int) -> tuple[list[str], DataFrame | None]:
+    """The languages, and as many texts (text, lang, h) of each, those of the least hash h."""
+    from pyspark.sql.window import Window as W
+
+    usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+    keys = usable.select("lang", F.xxhash64("text").alias("h")).distinct()
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES).collect()}
+    languages = sorted(sizes)
+    if not languages:
+        return [], None
+    each = max(1, sample // len(languages))
+    # hashes are spread evenly, so twice the wanted share of them leaves few rows to rank
+    below = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, 2 * each / sizes[lang] + 1e-3))))[F.col("lang")]
+    few = keys.filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= below)
+    chosen = few.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("nth") <= each)
+    chosen = F.broadcast(chosen.select("lang", "h"))  # `sample` rows at most
+
+    picked = usable.withColumn("h", F.xxhash64("text")).join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"])
+    return languages, picked.select("text", "lang", "h")
+
+
+def letter_grams(text: str) -> np.ndarray:
+    """Numbers of the trigrams of bytes that are letters, signs beyond ASCII, or blanks."""
+    x = np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8).astype(np.int32)
+    fine = ((x >= 0x61) & (x <= 0x7A)) | (x >= 0x80) | (x == 0x20)
+    whole = fine[:-2] & fine[1:-1] & fine[2:]
+    return ((x[:-2] << 16) | (x[1:-1] << 8) | x[2:])[whole]
+
+
+def usual_grams(labelled: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The letter trigrams that are usual in some language of the sample, as one bit each."""
+    from pyspark.sql.window import Window as W
+
+    bits = np.zeros(1 << 24, dtype=bool)
+    languages, picked = _sampled(labelled, sample)
+    if not languages:
+        return np.packbits(bits)
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, texts = (batch.column(c).to_pylist() for c in ("lang", "text"))
+        out = [(lang, *np.unique(np.concatenate([letter_grams(t) for t, x in zip(texts, langs, strict=True) if x == lang]), return_counts=True)) for lang in sorted(set(langs))]
+        names = np.repeat(np.array([x for x, _, _ in out], dtype=object), [len(g) for _, g, _ in out])
+        return pa.record_batch([pa.array(names, pa.string()), pa.array(np.concatenate([g for _, g, _ in out]), pa.int32()), pa.array(np.concatenate([n for _, _, n in out]), pa.int64())], ["lang", "gram", "n"])
+
+    found = per_batch(picked, "text", lambda: count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    whole = W.partitionBy("lang")
+    before = F.sum("n").over(whole.orderBy(F.desc("n"), "gram")) - F.col("n")
+    usual = found.withColumns({"before": before, "all": F.sum("n").over(whole)}).filter(F.col("before") < USUAL * F.col("all"))
+    bits[[r["gram"] for r in usual.select("gram").distinct().collect()]] = True  # 2^24 at most
+    return np.packbits(bits)
+
+
+def predict(docs: DataFrame, net: ByteConvNet | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("lang_pred", "score"), bits: np.ndarray | None = None) -> DataFrame:
+    """`keep` columns, the language and its probability (as `names`) for every row of `docs`; with
+    `bits` of usual trigrams also their share in the text (the third name)."""
+    shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + f", `{names[0]}` string, `{names[1]}` double"
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + f", `{names[0]}` string, `{names[1]}` double" + "".join(f", `{c}` double" for c in names[2:])
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -184,7 +231,8 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: tuple[str, ...] = ("
                 best = p.argmax(axis=1)
                 lang[rows] = np.array(net.languages, dtype=object)[best]
                 score[rows] = p[np.arange(len(rows)), best]
-            return pa.record_batch([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, *names])
+            more = [] if shared is None else [shares(batch.column("text").to_pylist(), shared.value)]
+            return pa.record_batch([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), *more], [*keep, *names])
 
         return work
 
@@ -200,9 +248,36 @@ def identify(docs: DataFrame, rest: int = 1, modulus: int = 3, sample: int = SAM
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.25) -> DataFrame:
-    """Rows of `docs` with a known language: not `und`, and a score of at least `min_score`."""
-    columns, names = docs.columns, ("__language", "__probability")
-    net = train(docs.filter(crc_rest("doc_id", 3) != 1).select("text", "lang"))
-    found = predict(docs, net, tuple(columns), names)
-    return found.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= min_score)).select(*columns)
+def shares(texts: list[str | None], bits: np.ndarray) -> pa.Array:
+    """The share of usual letter trigrams in each text."""
+    grams = [letter_grams(t or "") for t in texts]
+    seen = [int(((bits[g >> 3] >> (7 - (g & 7))) & 1).sum()) for g in grams]
+    return pa.array([(n + PRIOR) / (len(g) + PRIOR) for n, g in zip(seen, grams, strict=True)], pa.float64())
+
+
+def familiar(labelled: DataFrame, bits: np.ndarray, name: str) -> DataFrame:
+    """The lang of each row of `labelled` and the share of usual letter trigrams in its text."""
+    shared = labelled.sparkSession.sparkContext.broadcast(bits)
+
+    def make():
+        return lambda batch: pa.record_batch([batch.column("lang"), shares(batch.column("text").to_pylist(), shared.value)], ["lang", name])
+
+    return per_batch(labelled.select("lang", "text"), "text", make, f"lang string, `{name}` double")
+
+
+def keep_known(docs: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST) -> DataFrame:
+    """Rows of `docs` in a known language: not `und`, and with a share of usual letter trigrams that
+    held-out texts of that language have. Without held-out texts only `und` goes."""
+    columns, share = docs.columns, "__familiar"
+    names = ("__language", "__probability", share)
+    trained = docs.filter(crc_rest("doc_id", 3) != 1).select("text", "lang")
+    net, bits = train(trained), usual_grams(trained)
+    held = docs.filter((crc_rest("doc_id", 3) == 1) & F.col("lang").isNotNull() & F.col("text").rlike(_LETTER)).select("lang", "text")
+    found = familiar(held, bits, share)
+    low = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(share, quantile, 10000).alias("low"))
+    by_lang = {r["lang"]: (r["n"], r["low"]) for r in low(found.groupBy("lang")).limit(LANGUAGES).collect()}
+    limit_of = F.lit(low(found).first()["low"] or 0.0)
+    own = [F.lit(x) for lang, (n, q) in by_lang.items() if n >= least for x in (lang, q)]
+    if own:
+        limit_of = F.coalesce(F.create_map(*own)[F.col(names[0])], limit_of)
+    return predict(docs, net, tuple(columns), names, bits).filter((F.col(names[0]) != UNKNOWN) & (F.col(share) >= limit_of * margin)).select(*columns)

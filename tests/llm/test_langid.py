@@ -34,6 +34,17 @@ def test_gradient():
     assert (net.scores(x).argmax(axis=1) == y).mean() > 0.95
 
 
+def test_an_unlearned_language_and_letter_junk_go(spark):
+    rng = np.random.default_rng(4)
+    finnish = "Talvella järvi jäätyy ja kylän lapset luistelevat sen yli kouluun, mutta keväällä tie kiertää metsän kautta ja matka kestää kaksi kertaa pidempään. "
+    russian = "Зимой озеро замерзает, и дети идут в школу по льду, но весной дорога идёт через лес. "
+    junk = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 600))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    planted = spark.createDataFrame([(10**9 + k, t * 2, None) for k, t in enumerate((finnish, russian, junk))], docs.schema)
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(planted)).select("doc_id").collect()}
+    assert not kept & {10**9, 10**9 + 1, 10**9 + 2} and len(kept) >= 0.99 * docs.count()
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     found = {r.doc_id: r.lang_pred for r in langid.identify(odd_docs).collect()}
     assert found[2] == found[3] == found[8] == "und" and found[4] in {"en", "fr", "de"}
