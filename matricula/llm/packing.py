@@ -80,6 +80,9 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> list[tuple[tuple[
     (b) one item k fills the place beside j exactly; (c) no two items fit beside j: j and the
     largest k that fits; (d) no three items fit beside j, and the largest k that fits is no
     smaller than any two that fit together: j and k.
+
+    Fewer items make the smallest ones larger and the largest pairs smaller, so a pair that is
+    fixed once by (c) or (d) is fixed as often as there are both: each step uses up a length.
     """
     fixed: list[tuple[tuple[int, ...], int]] = []
     sizes = sorted(s for s, c in counts.items() if c > 0)
@@ -115,12 +118,9 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> list[tuple[tuple[
                 spend((j, k), most)
                 continue
             low = smallest(3, j)
-            if len(low) < 2 or low[0] + low[1] > room:
+            if len(low) < 2 or low[0] + low[1] > room or ((len(low) < 3 or sum(low) > room) and _largest_pair(sizes, counts, j, room) <= k):
                 spend((j, k), most)
                 continue
-            if (len(low) < 3 or sum(low) > room) and _largest_pair(sizes, counts, j, room) <= k:
-                spend((j, k), 1)
-                continue
             break
     return fixed
 
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     histogram = by_task.groupBy("rest").agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
     runs, _ = plan({r["rest"]: r["n"] for r in histogram}, capacity)
     tables = {size: [np.array(x, dtype=np.int64) for x in zip(*sorted(found), strict=True)] for size, found in runs.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(tables)  # grows with `capacity` only
+    shared = docs.sparkSession.sparkContext.broadcast(tables)  # runs in proportion to the lengths, `capacity` at most
 
     before = by_task.select("rest", "task", (F.sum("n").over(W.partitionBy("rest").orderBy("task")) - F.col("n")).alias("before"))
     placed = rows.join(before, ["rest", "task"], "left")
