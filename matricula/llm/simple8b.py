@@ -30,63 +30,68 @@ BLOCK = 256
 _COUNT = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 _WIDTH = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _POWERS = np.array([1 << k for k in range(64)], dtype=np.uint64)
+_BITS = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 
 CHUNK = "part int, chunk int, first long, doc_ids array<long>, lengths array<long>, n long, words binary, blocks binary"
 
 
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits of each value."""
+    if len(values) and int(values.max()) < len(_BITS):
+        return _BITS[values.astype(np.uint16)]
+    return np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of a 1-d array of unsigned integers, and the place of each block's first word."""
-    values = np.asarray(values, dtype=np.uint64)
     n_blocks = -(-len(values) // BLOCK)
-    padded = np.zeros((n_blocks, BLOCK + 128), dtype=np.uint64)
-    flat = np.zeros(n_blocks * BLOCK, dtype=np.uint64)
-    flat[: len(values)] = values
-    padded[:, :BLOCK] = flat.reshape(n_blocks, BLOCK)
-    bits = np.searchsorted(_POWERS, padded, side="right").astype(np.uint8)
+    if not n_blocks:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    most = np.zeros((n_blocks, BLOCK + 128), dtype=np.uint8)  # values after a block's end are zeros
+    flat = np.zeros(n_blocks * BLOCK, dtype=np.uint8)
+    flat[: len(values)] = _bits(values)
+    most[:, :BLOCK] = flat.reshape(n_blocks, BLOCK)
     size = np.full(n_blocks, BLOCK)
-    if n_blocks:
-        size[-1] = len(values) - (n_blocks - 1) * BLOCK
-
-    def reach(of: np.ndarray, ahead: int) -> np.ndarray:
-        out = of.copy()
-        np.maximum(of[:, :-ahead], of[:, ahead:], out=out[:, :-ahead])
-        return out
-
-    most = {1: bits}
-    for count, half in ((2, 1), (3, 2), (4, 2), (5, 4), (6, 3), (7, 4), (8, 4), (10, 5), (12, 6), (15, 8), (20, 10), (30, 15), (60, 30), (120, 60)):
-        most[count] = reach(most[half], count - half)
-    selector = np.where(bits > 60, 0, 15).astype(np.uint8)
-    for s in range(14, 0, -1):
-        np.copyto(selector, s, where=most[int(_COUNT[s])] <= _WIDTH[s])
-
-    at, rows = np.zeros(n_blocks, dtype=np.int64), np.arange(n_blocks)
-    chosen, places, live = [], [], np.arange(n_blocks)
+    size[-1] = len(values) - (n_blocks - 1) * BLOCK
+
+    # the selector with the most values wins, so those of few values are written first
+    selector = np.where(most > 60, 0, 15).astype(np.uint8)
+    reach = {1: most}
+    for s, count, half in ((14, 2, 1), (13, 3, 2), (12, 4, 2), (11, 5, 4), (10, 6, 3), (9, 7, 4), (8, 8, 4), (7, 10, 5), (6, 12, 6), (5, 15, 8), (4, 20, 10), (3, 30, 15), (2, 60, 30), (1, 120, 60)):
+        wide, ahead = reach[half].copy(), count - half
+        np.maximum(wide[:, :-ahead], reach[half][:, ahead:], out=wide[:, :-ahead])
+        reach[count] = wide
+        np.copyto(selector, s, where=wide <= _WIDTH[s])
+
+    at, live, chosen = np.zeros(n_blocks, dtype=np.int64), np.arange(n_blocks), []
+    jump, selector, stride = _COUNT.astype(np.int64), selector.reshape(-1), BLOCK + 128
     while len(live):
         here = at[live]
-        s = selector[live, here]
-        chosen.append((live, here, s))
-        at[live] = here + _COUNT[s]
-        live = live[at[live] < size[live]]
-    if not chosen:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows, here, s = (np.concatenate(x) for x in zip(*chosen, strict=True))
-    order = np.lexsort((here, rows))
-    rows, here, s = rows[order], here[order], s[order]
+        s = selector[live * stride + here]
+        chosen.append((live * BLOCK + here, s))
+        at[live] = here = here + jump[s]
+        live = live[here < size[live]]
+    place, s = (np.concatenate(x) for x in zip(*chosen, strict=True))
+    order = np.argsort(place)
+    place, s = place[order], s[order]
     takes = 1 + (s == 0)
-    places = np.cumsum(takes) - takes
+    to = np.cumsum(takes) - takes
     words = np.zeros(int(takes.sum()), dtype=np.uint64)
-    for k in np.unique(s).tolist():
+    ends = np.minimum(place // BLOCK * BLOCK + BLOCK, len(values))
+    for k in np.flatnonzero(np.bincount(s, minlength=16)).tolist():
         mine = np.flatnonzero(s == k)
+        first, end = place[mine], ends[mine]
         if k == 0:
-            words[places[mine] + 1] = padded[rows[mine], here[mine]]
+            words[to[mine] + 1] = values[first]
             continue
         total = np.full(len(mine), k << 60, dtype=np.uint64)
         if _WIDTH[k]:
             for i in range(int(_COUNT[k])):
-                total |= padded[rows[mine], here[mine] + i] << np.uint64(i * _WIDTH[k])
-        words[places[mine]] = total
-    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return words, places[starts].astype(np.int64)
+                value = values[np.minimum(first + i, len(values) - 1)].astype(np.uint64) << np.uint64(i * _WIDTH[k])
+                total |= np.where(first + i < end, value, np.uint64(0))
+        words[to[mine]] = total
+    starts = np.flatnonzero(np.diff(place // BLOCK, prepend=-1))
+    return words, to[starts]
 
 
 def decode(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
@@ -159,7 +164,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32 per document."""
     chunks = spark.read.parquet(path)
     parts = chunks.groupBy("part").agg(F.sum("n").alias("n"))
-    before = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row per file
+    before = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row of 12 bytes for each file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,4 +176,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["first"] + row["before"]), pa.array(row["lengths"], pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return chunks.join(before, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return chunks.join(F.broadcast(before), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

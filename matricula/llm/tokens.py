@@ -27,8 +27,8 @@ class PieceTokenizer:
     Texts are cut at single blanks, before line feeds, and between a letter or digit and a comma
     or full stop: all borders of the byte-level pattern, so that ids of the pieces, put together,
     are those of the whole text. Arrow cuts a batch and numbers its distinct pieces; only new
-    ones are encoded. Texts that cannot be cut so are encoded whole. What the memo holds never
-    changes ids.
+    ones are encoded. Texts that cannot be cut so, or that hold one of the vocabulary's added
+    tokens, are encoded whole. What the memo holds never changes ids.
     """
 
     def __init__(self, path: str, max_entries: int = 250_000, longest: int = 40) -> None:
@@ -36,7 +36,7 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [x.content for x in self._tokenizer.get_added_tokens_decoder().values()]
         self._break = self.whole("\n")
         strings = self._tokenizer.get_vocab()
         self._starts_blank = np.zeros(max(strings.values()) + 1, dtype=bool)
@@ -109,6 +109,8 @@ class PieceTokenizer:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         texts = pc.fill_null(texts, "")
         quick = pc.and_(pc.invert(pc.match_substring_regex(texts, _NOT_QUICK)), pc.and_(pc.greater(pc.binary_length(texts), 0), pc.less(pc.binary_length(texts), 1 << 24)))
+        for added in self._added:
+            quick = pc.and_(quick, pc.invert(pc.match_substring(texts, added)))
         out: list[bytes] = [b""] * len(texts)
         rows = np.flatnonzero(quick.to_numpy(zero_copy_only=False))
         if len(rows):

@@ -1,8 +1,10 @@
 import zlib
+from array import array
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from matricula.llm import queries, simple8b
 from matricula.llm.tokens import default_path, tokenizer
@@ -23,14 +25,20 @@ def test_runs_of_zeros_are_small():
 
 
 def expected(docs):
-    t, at, out = tokenizer(default_path()), 0, []
+    t, at, out = Tokenizer.from_file(default_path()), 0, []
     for doc_id, text in sorted(docs, key=lambda x: (x[0], x[1] or "")):
-        ids = (t.whole(text) if text else b"") + b"\0\0\0\0"
+        ids = array("I", [*t.encode(text or "", add_special_tokens=False).ids, 0]).tobytes()
         out.append((doc_id, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     return out
 
 
+def test_added_tokens_are_the_librarys():
+    t = Tokenizer.from_file(default_path())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny.", "<|endoftext|", "one two three"):
+        assert np.frombuffer(tokenizer(default_path()).encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op6_simple8b_ids(spark, SF).collect())) == expected(docs)
