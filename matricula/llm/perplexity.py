@@ -1,83 +1,115 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters.
 
-The model: trigrams over at most 256 signs (the 255 commonest lower-case characters of the
-trusted text, and one sign for the rest), counted over all trusted documents; Kneser-Ney
-continuation counts below, and three discounts per order from the counts of counts. Its tables
-are bounded by the signs, not by the corpus: 65,536 contexts.
-
-Scoring is a join of counts, sharded by context. Each batch of documents becomes, per shard, one
-packed row of (document, trigram, count); a row meets its shard of the model by an equi-join,
-and gives the shard's part of every document's sum; the parts are added up per batch. No text is
-shuffled. Trusted documents are found by a bitmap of fixed size over the labelled ids first, and
-exactly by a join of what passes it.
-
-A document is kept if its smoothed mean negative log-likelihood is within the quantile of the
+The model: 5-grams of lower-case characters, of any script, counted over trusted text. Counts,
+continuation counts, discounts, back-off weights and probabilities are groupings and joins of
+DataFrames keyed by the gram, so that the model grows with its text; only the counts of counts
+reach the driver. A fifth of the trusted documents (`HELD` of `FOLDS`, by a hash of the id) is held
+out of the counts: the limits are quantiles of what the model thinks of those.
+
+The logarithm of an interpolated probability is a sum over the orders: the back-off weight of each
+context, and for each gram that was seen what it adds to its own suffix. A text's log-likelihood is
+thus the sum of one number for each gram of one to five characters that ends at one of its places,
+and scoring is a join of (document, gram, count) with (gram, number), sharded by the gram. The most
+frequent grams (`TOP` at most) are looked up while the counts are made, so that they are not
+shuffled, and a bitmap of fixed size keeps grams out of the join that the model surely lacks; every
+other gram of a document goes through the join.
+
+A document is kept if its smoothed mean negative log-likelihood is within the quantile of held-out
 trusted documents of its language (widened by `margin`); smoothing towards the language's median
-keeps short texts from failing by chance. Languages without `least` trusted documents use the
+keeps short texts from failing by chance. Languages without `least` such documents use the
 quantile of all.
 
-Defined results: null or empty text has perplexity null and is not kept; a null language is
-`und`. Repeated rows and null ids are scored row by row. Without trusted text nothing can be
-judged, and every document with text is kept. Extra columns are ignored.
+Grams are told apart by 64-bit hashes. Defined results: null or empty text has perplexity null and
+is not kept; a null language is `und`. Repeated rows and null ids are scored row by row. Without
+held-out trusted text nothing can be judged, and every document with text is kept. The control
+characters 0, 2 and 3 count as one replacement character. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, per_batch, release, slices
-
-SHARDS = 16
-SALTS = 4
-#: Bits of the bitmap over labelled ids.
-BITMAP_BITS = 1 << 23
-QUANTILE, MARGIN, LEAST, PRIOR = 0.995, 1.05, 50, 200
-SIGNS = 256
-
-_PACKED = "block string, shard int, salt int, payload binary, ids array<long>, langs array<string>, signs array<int>"
-
-
-def sign_table(common: list[int]) -> np.ndarray:
-    """Sign of each UTF-16 unit; 0 is any other, 1 the blank."""
-    table = np.zeros(1 << 16, dtype=np.uint8)
-    for k, c in enumerate(c for c in common if c != 0x20):
-        table[c] = k + 2
-    table[0x20] = 1
-    return table
-
-
-def signs_of(text: str, table: np.ndarray) -> np.ndarray:
-    return table[np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), dtype="<u2")]
-
-
-def trigrams(signs: np.ndarray) -> np.ndarray:
-    """Numbers of the trigrams; two blanks stand before the text."""
-    padded = np.concatenate([[1, 1], signs]).astype(np.int64)
-    return (padded[:-2] << 16) | (padded[1:-1] << 8) | padded[2:]
-
-
-def shard_of(context: np.ndarray) -> np.ndarray:
-    return (context * 40503 >> 4) % SHARDS
+from .common import materialize, release, slices
+
+ORDER = 5
+#: Grams that are looked up without a join, at most; bits of the bitmaps over ids and over grams.
+TOP, BITMAP_BITS = 1 << 18, 1 << 23
+QUANTILE, MARGIN, LEAST, PRIOR = 0.995, 1.05, 50, 100
+#: Of FOLDS parts of the trusted documents, the one that is held out.
+HELD, FOLDS = 0, 5
+#: Text bytes and places that are worked on at a time.
+BATCH_BYTES, PLACES = 2 << 20, 1 << 20
+
+_START, _END = "\x02", "\x03"
+_BASE, _SALT, _MIX = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93, np.uint64(0xFF51AFD7ED558CCD)
+
+
+def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts, each between ORDER start signs and an end sign, and the number
+    of characters of each."""
+    clean = [(t or "").lower().replace("\x00", "�").replace(_START, "�").replace(_END, "�") for t in texts]
+    joined = "".join(f"{_START * ORDER}{t}{_END}" for t in clean)
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4"), np.array([len(t) for t in clean], dtype=np.int64)
+
+
+def gram_keys(grams: np.ndarray) -> np.ndarray:
+    """Hashes of grams of one length, one row of characters each."""
+    h = np.zeros(len(grams), dtype=np.uint64)
+    for j in range(grams.shape[1]):
+        h = h * _BASE + grams[:, j].astype(np.uint64) + np.uint64(1)
+    h ^= np.uint64(grams.shape[1] * _SALT & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def distinct_windows(characters: np.ndarray, sizes: np.ndarray, skip: int):
+    """In runs of PLACES: the characters of each distinct window of ORDER, which window ends at each
+    place, and the text of each place. The first `skip` places of a text are left out."""
+    starts = np.cumsum(sizes + ORDER + 1) - (sizes + ORDER + 1)
+    wanted = np.ones(len(characters), dtype=bool)
+    wanted[(starts[:, None] + np.arange(skip)).reshape(-1)] = False
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + ORDER + 1)
+    back = np.arange(1 - ORDER, 1)
+    for start in range(0, len(characters), PLACES):
+        low, end = max(0, start - ORDER + 1), min(start + PLACES, len(characters))
+        part = characters[low:end].astype(np.uint64)
+        h = np.zeros(max(0, len(part) - ORDER + 1), dtype=np.uint64)
+        for j in range(ORDER):
+            h = h * _BASE + part[j : j + len(h)] + np.uint64(1)
+        keep = wanted[low + ORDER - 1 : end]
+        places = np.flatnonzero(keep) + low + ORDER - 1
+        if not len(places):
+            continue
+        numbered = pa.array(h[keep]).dictionary_encode()
+        window = numbered.indices.to_numpy()
+        first = np.empty(len(numbered.dictionary), dtype=np.int64)
+        first[window[::-1]] = places[::-1]
+        yield characters[first[:, None] + back], window, owner[places]
+
+
+def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Which of BITMAP_BITS residues occur among the numbers of a column, as packed bits."""
+    bit = F.pmod(column, F.lit(BITMAP_BITS))
+    maps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    full = np.zeros(BITMAP_BITS + 32768, dtype=bool)
+    for row in maps.collect():  # BITMAP_BITS at most
+        start = (row["bucket"] - 1) * 32768 + 1 if row["bucket"] else 0
+        found = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), bitorder="little")
+        full[max(0, start) : max(0, start) + len(found)] |= found.astype(bool)
+    return np.packbits(full)
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Text of the documents that are labelled good. Only those that pass the bitmap are shuffled."""
+    """doc_id and text of the documents that are labelled good. Only those that pass a bitmap over
+    the ids are shuffled."""
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    maps = good.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    bits = {r["bucket"]: bytes(r["bits"]) for r in maps.collect()}  # BITMAP_BITS at most
-    full = np.zeros(BITMAP_BITS + 32768, dtype=bool)
-    for bucket, data in bits.items():
-        start = (bucket - 1) * 32768 + 1 if bucket else 0
-        found = np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little")
-        full[max(0, start) : max(0, start) + len(found)] |= found.astype(bool)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(full))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(good.select(F.xxhash64("doc_id").alias("h")), "h"))
 
     def may(batches):
         known = np.unpackbits(shared.value).astype(bool)
@@ -87,205 +119,173 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(keep)).select(["doc_id", "text"])
 
     source = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    passed = source.withColumn("bit", bit).mapInArrow(may, "doc_id long, text string")
+    passed = source.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))).mapInArrow(may, "doc_id long, text string")
     return passed.join(good.hint("merge"), "doc_id", "left_semi")
 
 
-def count_trigrams(texts: DataFrame, table: np.ndarray) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(table)
-
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate([trigrams(signs_of(t, shared.value)) for t in batch.column("text").to_pylist()]), return_counts=True)
-            return pa.record_batch([pa.array(found), pa.array(n)], ["gram", "n"])
-
-        return work
-
-    return per_batch(texts.select("text"), "text", make, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def held_out() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(FOLDS)) == HELD
 
 
-def common_characters(texts: DataFrame) -> list[int]:
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            units = np.concatenate([np.frombuffer(t.lower().encode("utf-16-le", "surrogatepass"), dtype="<u2") for t in batch.column("text").to_pylist()])
-            n = np.bincount(units, minlength=1)
-            found = np.flatnonzero(n)
-            return pa.record_batch([pa.array(found, pa.int64()), pa.array(n[found], pa.int64())], ["c", "n"])
+def count_grams(texts: DataFrame) -> DataFrame:
+    """gram (ORDER characters) and c: how often it occurs in the texts."""
 
-        return work
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", BATCH_BYTES):
+                texts = [t for t in batch.column("text").to_pylist() if t]
+                for grams, window, _ in distinct_windows(*code_points(texts), skip=ORDER) if texts else ():
+                    yield pa.record_batch([pa.array(grams.view(f"<U{ORDER}").reshape(-1)), pa.array(np.bincount(window, minlength=len(grams)))], ["gram", "c"])
+            release()
 
-    counts = per_batch(texts.select("text"), "text", make, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    return [r["c"] for r in counts.orderBy(F.desc("n"), "c").limit(SIGNS - 2).collect()]
+    return texts.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts for counts of 1, 2 and more, from the counts of counts."""
-    n1, n2, n3, n4 = ((counts == k).sum() for k in (1, 2, 3, 4))
+def discounts(counts: list[int]) -> list[float]:
+    """Discounts for counts of 1, 2 and more, from the numbers of grams with counts of 1, 2, 3, 4."""
+    n1, n2, n3, n4 = counts
     if not (n1 and n2):
-        return np.array([0.0, 0.5, 0.5, 0.5])
+        return [0.5, 0.5, 0.5]
     y = n1 / (n1 + 2 * n2)
-    out = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return np.array([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), out, strict=True))])
-
-
-def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From all trigrams (sorted) and their counts: the probability of each, the back-off weight
-    of each of the 65,536 contexts, and the probabilities of all bigrams (context by sign)."""
-    middle = grams & 0xFFFF
-    pairs, joined = np.unique(middle, return_counts=True)  # N1+(. b c)
-    signs, single = np.unique(pairs & 0xFF, return_counts=True)  # N1+(. c)
-    d1, d2, d3 = discounts(single), discounts(joined), discounts(counts)
-
-    one = np.zeros(SIGNS)
-    take = d1[np.minimum(single, 3)]
-    one[signs] = (single - take) / single.sum()
-    one += take.sum() / single.sum() / SIGNS
-
-    total, weight = np.zeros(SIGNS), np.zeros(SIGNS)
-    take = d2[np.minimum(joined, 3)]
-    np.add.at(total, pairs >> 8, joined)
-    np.add.at(weight, pairs >> 8, take)
-    two = np.where(total > 0, weight / np.maximum(total, 1), 1.0)[:, None] * one[None, :]
-    two[pairs >> 8, pairs & 0xFF] += (joined - take) / total[pairs >> 8]
-
-    total, weight = np.zeros(SIGNS * SIGNS), np.zeros(SIGNS * SIGNS)
-    take = d3[np.minimum(counts, 3)]
-    np.add.at(total, grams >> 8, counts)
-    np.add.at(weight, grams >> 8, take)
-    back = np.where(total > 0, weight / np.maximum(total, 1), 1.0)
-    three = (counts - take) / total[grams >> 8] + back[grams >> 8] * two[(grams >> 8) & 0xFF, grams & 0xFF]
-    return three, back, two
-
-
-def model_shards(counts: DataFrame, table: np.ndarray) -> DataFrame:
-    """The model as SHARDS x SALTS rows: shard, salt, and its packed tables.
-
-    All trigrams of 256 signs come to 16.7 million at most; those that occur are far fewer.
-    """
-    spark = counts.sparkSession
-    found = counts.orderBy("gram").toPandas()
-    grams, n = found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-    three, back, two = kneser_ney(grams, n) if len(grams) else (np.zeros(0), np.ones(SIGNS**2), np.full((SIGNS, SIGNS), 1 / SIGNS))
-    shards, contexts = shard_of(grams >> 8), shard_of(np.arange(SIGNS * SIGNS))
-    rows = []
-    for s in range(SHARDS):
-        mine = shards == s
-        parts = [grams[mine].astype("<i4").tobytes(), np.log(three[mine]).astype("<f4").tobytes(), np.log(back[contexts == s]).astype("<f4").tobytes(), np.log(two).astype("<f4").tobytes()]
-        rows += [(s, salt, *(bytearray(p) for p in parts)) for salt in range(SALTS)]
-    return spark.createDataFrame(rows, "shard int, salt int, grams binary, three binary, back binary, two binary")
-
-
-def pack(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """Per batch of documents and shard: which trigrams each document has, and how often."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    run_id = uuid.uuid4().hex[:8]
+    out = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+    return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), out, strict=True)]
+
+
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
+    """gram, number (what it adds to a log-likelihood wherever a text has it) and f (how often the
+    trusted text has it), of all lengths up to ORDER; and the number that every place has.
+
+    `counts`: gram (ORDER characters) and c, written."""
+    levels = {ORDER: counts.select("gram", "c", F.col("c").alias("f"))}
+    for n in range(ORDER - 1, 0, -1):  # lower orders count the signs that a gram was seen after
+        suffix = F.substring("gram", 2, n).alias("gram")
+        levels[n] = materialize(levels[n + 1].groupBy(suffix).agg(F.count(F.lit(1)).alias("c"), F.sum("f").alias("f")))
+    signs = levels[1].count() + 1
+    log_p: DataFrame | None = None
+    floor, parts = -math.log(signs), []
+    for n in range(1, ORDER + 1):
+        level = levels[n]
+        seen = level.agg(*(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).first()
+        d1, d2, d3 = discounts(list(seen))
+        take = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        context = F.substring("gram", 1, n - 1)
+        contexts = level.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.log(F.sum(take) / F.sum("c")).alias("back"), F.sum("f").alias("f"))
+        if n == 1:
+            back = contexts.first()
+            floor += back["back"] if back else 0.0
+            joined = level.withColumns({"total": F.lit(back["total"] if back else 1), "base": F.lit(floor)})
+        else:
+            contexts = materialize(contexts)
+            parts.append(contexts.select(F.col("context").alias("gram"), F.col("back").alias("number"), "f"))
+            joined = level.withColumns({"context": context, "suffix": F.substring("gram", 2, n - 1)})
+            joined = joined.join(contexts.drop("f"), "context").join(log_p.withColumnRenamed("gram", "suffix"), "suffix")
+            joined = joined.withColumn("base", F.col("back") + F.col("log_p"))
+        found = joined.select("gram", F.log((F.col("c") - take) / F.col("total") + F.exp("base")).alias("log_p"), "base", "f")
+        found = materialize(found)
+        parts.append(found.select("gram", (F.col("log_p") - F.col("base")).alias("number"), "f"))
+        log_p = found.select("gram", "log_p")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return materialize(every.groupBy("gram").agg(F.sum("number").alias("number"), F.max("f").alias("f"))), floor
+
+
+def keyed(model: DataFrame) -> DataFrame:
+    """key (the gram's hash), number and f."""
 
     def run(batches):
-        import zstandard
+        for batch in batches:
+            grams = batch.column("gram").to_pylist()
+            sizes = np.array([len(g) for g in grams], dtype=np.int64)
+            keys = np.zeros(len(grams), dtype=np.uint64)
+            for k in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == k)
+                signs = "".join(grams[i] for i in mine.tolist()).encode("utf-32-le", "surrogatepass")
+                keys[mine] = gram_keys(np.frombuffer(signs, "<u4").reshape(-1, k))
+            yield pa.record_batch([pa.array(keys.view(np.int64)), batch.column("number"), batch.column("f")], ["key", "number", "f"])
+
+    return model.mapInArrow(run, "key long, number double, f long")
+
+
+def split_model(model: DataFrame, top: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+    """The keys (in order) and numbers of the most frequent grams, `top` at most, and the rest.
+
+    The border is one of a few hundred steps of frequency, so that no ranking of all is needed."""
+    step = F.floor(F.log2(F.col("f").cast("double")) * 8).cast("int")
+    border, so_far = None, 0
+    for r in sorted(model.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # 512 rows at most
+        if so_far + r["n"] > top:
+            break
+        border, so_far = r["step"], so_far + r["n"]
+    if border is None:
+        return (np.zeros(0, np.uint64), np.zeros(0)), model
+    rows = model.filter(step >= border).select("key", "number").toArrow()  # `top` rows at most
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return (keys[order], rows.column("number").to_numpy()[order]), model.filter(step < border)
 
-        squeeze, block = zstandard.ZstdCompressor(level=1), 0
-        task = TaskContext.get().partitionId()
+
+_SCORED = "row long, doc_id long, lang string, n_signs long, total double, keys array<long>, counts array<int>"
+
+
+def count_and_score(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> DataFrame:
+    """Per row of `docs`: its number of characters, the sum over frequent grams, and the hashes
+    and counts of its other grams that the model may have."""
+    shared = docs.sparkSession.sparkContext.broadcast((*frequent, bits))
+
+    def run(batches):
+        keys, numbers, packed = shared.value
+        if not len(keys):
+            keys, numbers = np.zeros(1, np.uint64), np.zeros(1)
+        may, task, row = np.unpackbits(packed).astype(bool), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                if not batch.num_rows:
-                    continue
-                texts = batch.column("text").to_pylist()
-                signs = [signs_of(t or "", shared.value) for t in texts]
-                grams = np.concatenate([trigrams(x) for x in signs])
-                owner = np.repeat(np.arange(len(texts)), [len(x) for x in signs])
-                key, n = np.unique(shard_of(grams >> 8) << 50 | owner << 24 | grams, return_counts=True)
-                cuts = np.searchsorted(key >> 50, np.arange(SHARDS + 1))
-                name, rows = f"{run_id}-{task}-{block}", []
-                for s in range(SHARDS):
-                    part, many = key[cuts[s] : cuts[s + 1]] & ((1 << 50) - 1), n[cuts[s] : cuts[s + 1]]
-                    rows.append(squeeze.compress(_planes(part, many)))
-                block += 1
-                first = [True] + [False] * (SHARDS - 1)
-                yield pa.record_batch(
-                    [
-                        pa.array([name] * SHARDS),
-                        pa.array(range(SHARDS), pa.int32()),
-                        pa.array([(task + block) % SALTS] * SHARDS, pa.int32()),
-                        pa.array(rows, pa.binary()),
-                        pa.array([batch.column("doc_id").to_pylist() if f else None for f in first], pa.list_(pa.int64())),
-                        pa.array([batch.column("lang").to_pylist() if f else None for f in first], pa.list_(pa.string())),
-                        pa.array([[len(x) for x in signs]] * SHARDS, pa.list_(pa.int32())),
-                    ],
-                    ["block", "shard", "salt", "payload", "ids", "langs", "signs"],
-                )
+            for batch in slices(whole, "text", BATCH_BYTES):
+                n_docs = batch.num_rows
+                characters, sizes = code_points(batch.column("text").to_pylist())
+                total, found = np.zeros(n_docs), []
+                for grams, window, owner in distinct_windows(characters, sizes, skip=ORDER - 1) if n_docs else ():
+                    value, missing = np.zeros(len(grams)), []
+                    for k in range(1, ORDER + 1):
+                        key = gram_keys(grams[:, ORDER - k :])
+                        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        hit = keys[at] == key
+                        value += np.where(hit, numbers[at], 0.0)
+                        missing.append((key, ~hit & may[(key.view(np.int64) % BITMAP_BITS)]))
+                    total += np.bincount(owner, weights=value[window], minlength=n_docs)
+                    some = np.logical_or.reduce([m for _, m in missing])[window]
+                    if some.any():
+                        pair, n = np.unique(owner[some].astype(np.int64) * len(grams) + window[some], return_counts=True)
+                        who, which = np.divmod(pair, len(grams))
+                        for key, m in missing:
+                            mine = m[which]
+                            found.append((who[mine], key[which[mine]].view(np.int64), n[mine]))
+                who, key, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+                order = np.argsort(who, kind="stable")
+                ends = pa.array(np.searchsorted(who[order], np.arange(n_docs + 1)), pa.int32())
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x[order], t)) for x, t in ((key, pa.int64()), (n, pa.int32())))
+                rows = pa.array(np.arange(row, row + n_docs) + (task << 40))
+                row += n_docs
+                yield pa.record_batch([rows, batch.column("doc_id"), batch.column("lang"), pa.array(sizes), pa.array(total), *lists], ["row", "doc_id", "lang", "n_signs", "total", "keys", "counts"])
             release()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return source.mapInArrow(run, _PACKED)
-
-
-def _planes(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as steps, and counts less one; a step or count of 255 or more is given in
-    full at the end, all bytes of one kind together."""
-    steps = np.diff(keys, prepend=0)
-    big, many = steps >= 1 << 24, counts > 255
-    low = np.where(big, 0xFFFFFF, np.minimum(steps, 0xFFFFFE + 1)).astype("<u4")
-    big = low == 0xFFFFFF
-    bytes_ = low.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
-    head = np.array([len(keys), big.sum(), many.sum()], dtype="<i8").tobytes()
-    return head + bytes_ + np.where(many, 0, counts).astype(np.uint8).tobytes() + steps[big].astype("<i8").tobytes() + counts[many].astype("<i8").tobytes()
-
-
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, n_big, n_many = np.frombuffer(data, "<i8", 3).tolist()
-    steps = np.zeros((n, 4), dtype=np.uint8)
-    steps[:, :3] = np.frombuffer(data, np.uint8, 3 * n, 24).reshape(3, n).T
-    steps = steps.view("<u4").reshape(-1).astype(np.int64)
-    counts = np.frombuffer(data, np.uint8, n, 24 + 3 * n).astype(np.int64)
-    at = 24 + 4 * n
-    steps[steps == 0xFFFFFF] = np.frombuffer(data, "<i8", n_big, at)
-    counts[counts == 0] = np.frombuffer(data, "<i8", n_many, at + 8 * n_big)
-    return np.cumsum(steps), counts
-
-
-def _parts(batches):
-    """A shard's part of the sum of every document of a block."""
-    import zstandard
-
-    expand = zstandard.ZstdDecompressor()
-    contexts = shard_of(np.arange(SIGNS * SIGNS))
-    rank = np.zeros(SIGNS * SIGNS, dtype=np.int64)
-    for s in range(SHARDS):
-        rank[contexts == s] = np.arange((contexts == s).sum())
-    for batch in batches:
-        for i in range(batch.num_rows):
-            get = lambda c, kind, i=i: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
-            grams, three, back, two = get("grams", "<i4"), get("three", "<f4"), get("back", "<f4"), get("two", "<f4")
-            keys, counts = _unpacked(expand.decompress(batch.column("payload")[i].as_py()))
-            owner, gram = keys >> 24, keys & 0xFFFFFF
-            at = np.minimum(np.searchsorted(grams, gram), max(0, len(grams) - 1))
-            seen = grams[at] == gram if len(grams) else np.zeros(len(gram), bool)
-            log = back[rank[gram >> 8]] + two[gram & 0xFFFF]
-            if len(grams):
-                log = np.where(seen, three[at], log)
-            n_docs = len(batch.column("signs")[i])
-            sums = np.bincount(owner, weights=-log * counts, minlength=n_docs) if len(owner) else np.zeros(n_docs)
-            yield pa.record_batch(
-                [batch.column("block").slice(i, 1), pa.array([sums], pa.list_(pa.float64())), *(batch.column(c).slice(i, 1) for c in ("ids", "langs", "signs"))],
-                ["block", "sums", "ids", "langs", "signs"],
-            )
-
-
-def likelihoods(docs: DataFrame, shards: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, lang, n_signs and nll (mean negative log-likelihood of a sign) per row of `docs`."""
-    joined = pack(docs, table).join(shards.hint("shuffle_hash"), ["shard", "salt"])
-    parts = joined.select("block", "payload", "ids", "langs", "signs", "grams", "three", "back", "two").mapInArrow(_parts, "block string, sums array<double>, ids array<long>, langs array<string>, signs array<int>")
-
-    def add(table: pa.Table) -> pa.Table:
-        """The parts of one block: SHARDS rows."""
-        sums = np.array(table.column("sums").to_pylist(), dtype=np.float64).sum(axis=0)
-        k = int(np.flatnonzero(np.array(table.column("ids").is_valid()))[0])
-        n = np.array(table.column("signs")[k].as_py(), dtype=np.int64)
-        nll = np.where(n > 0, sums / np.maximum(n, 1), 0)
-        ids, langs = (pa.array(table.column(c)[k].as_py(), t) for c, t in (("ids", pa.int64()), ("langs", pa.string())))
-        return pa.table([ids, langs, pa.array(n), pa.array(nll, mask=n == 0)], ["doc_id", "lang", "n_signs", "nll"])
-
-    return parts.groupBy("block").applyInArrow(add, "doc_id long, lang string, n_signs long, nll double")
+    return source.mapInArrow(run, _SCORED)
+
+
+def likelihoods(docs: DataFrame, counts: DataFrame, top: int = TOP) -> DataFrame:
+    """doc_id, lang, n_signs and nll (mean negative log-likelihood of a sign, the text's end
+    included) per row of `docs`; `counts` as of `count_grams`, written."""
+    numbers, floor = kneser_ney(counts)
+    model = materialize(keyed(numbers))
+    frequent, rest = split_model(model, top)
+    scored = materialize(count_and_score(docs, frequent, _bitmap(rest, "key")))
+    one = F.explode(F.arrays_zip("keys", "counts"))
+    asked = scored.filter(F.size("keys") > 0).select("row", one.alias("one")).select("row", F.col("one.keys").alias("key"), F.col("one.counts").alias("n"))
+    added = asked.join(rest.select("key", "number").hint("merge"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("number")).alias("more"))
+    places = F.col("n_signs") + 1
+    nll = -(F.col("total") + F.coalesce("more", F.lit(0.0))) / places - floor
+    joined = scored.drop("keys", "counts").join(added, "row", "left")
+    return joined.select("doc_id", "lang", "n_signs", F.when(F.col("n_signs") > 0, nll).alias("nll"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST, prior: int = PRIOR) -> DataFrame:
@@ -293,12 +293,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
 
     `labels`: doc_id and quality; quality 1 marks trusted text.
     """
-    trusted = materialize(trusted_texts(docs, labels))
-    table = sign_table(common_characters(trusted))
-    counts = materialize(count_trigrams(trusted, table))
-    shards = materialize(model_shards(counts, table))
-    scored = materialize(likelihoods(docs, shards, table))
-    good = scored.join(labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("nll is not null")
+    counts = materialize(count_grams(trusted_texts(docs, labels).filter(~held_out())))
+    scored = materialize(likelihoods(docs, counts))
+    trusted = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().filter(held_out())
+    good = materialize(scored.join(trusted, "doc_id", "left_semi").filter("nll is not null"))
     by_lang = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("nll", 0.5, 10000).alias("median"))
     all_ = good.agg(F.percentile_approx("nll", 0.5, 10000).alias("all_median"))
     known = materialize(by_lang.filter(F.col("n") >= least))
@@ -317,4 +315,3 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
 def _small_join(df: DataFrame, by_lang: DataFrame, most: int = 10_000) -> DataFrame:
     """Left join on lang; the other side is broadcast if it has `most` rows at most."""
     return df.join(F.broadcast(by_lang) if by_lang.count() <= most else by_lang, "lang", "left")
-

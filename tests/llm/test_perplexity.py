@@ -1,67 +1,76 @@
 import math
 from collections import Counter, defaultdict
 
-import numpy as np
-
 from matricula.llm import perplexity, queries
-
-
-def brute_model(texts):
-    """Interpolated modified Kneser-Ney trigrams over dictionaries."""
-    grams = Counter(tuple(([1, 1, *t])[i : i + 3]) for t in texts for i in range(len(t)))
-    pairs = Counter(g[1:] for g in grams)
-    signs = Counter(p[1] for p in pairs)
-
-    def discounts(c):
-        return perplexity.discounts(np.array(list(c.values())))
-
-    d1, d2, d3 = discounts(signs), discounts(pairs), discounts(grams)
-    of = lambda d, n: d[min(n, 3)]
-    total2, take2, total3, take3 = (defaultdict(float) for _ in range(4))
-    for (b, _), n in pairs.items():
-        total2[b] += n
-        take2[b] += of(d2, n)
-    for (a, b, _), n in grams.items():
-        total3[a, b] += n
-        take3[a, b] += of(d3, n)
-
-    def p1(c):
-        all_ = sum(signs.values())
-        return max(signs[c] - of(d1, signs[c]), 0) / all_ + sum(of(d1, n) for n in signs.values()) / all_ / 256
-
-    def p2(b, c):
-        if not total2[b]:
-            return p1(c)
-        return (pairs[b, c] - of(d2, pairs[b, c])) / total2[b] + take2[b] / total2[b] * p1(c)
-
-    def p3(a, b, c):
-        if not total3[a, b]:
-            return p2(b, c)
-        n = grams[a, b, c]
-        return (n - of(d3, n)) / total3[a, b] + take3[a, b] / total3[a, b] * p2(b, c)
-
-    return p3
+from matricula.llm.common import materialize
+
+START, END = "\x02", "\x03"
+
+
+def taken(counts):
+    """Discounts by count, worked out from the published formulas."""
+    n = Counter(counts.values())
+    if not (n[1] and n[2]):
+        return {1: 0.5, 2: 0.5, 3: 0.5}
+    y = n[1] / (n[1] + 2 * n[2])
+    raw = {1: 1 - 2 * y * n[2] / n[1], 2: 2 - 3 * y * n[3] / n[2], 3: 3 - 4 * y * n[4] / n[3] if n[3] else 1.5}
+    return {k: min(max(d, 0.05), k - 0.05) for k, d in raw.items()}
+
+
+def brute_model(texts, order=5):
+    """Interpolated modified Kneser-Ney over dictionaries, by recursion on the order."""
+    padded = [START * order + t.lower() + END for t in texts]
+    counts = {order: Counter(t[i - order + 1 : i + 1] for t in padded for i in range(order, len(t)))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount = {n: taken(c) for n, c in counts.items()}
+    followers = {n: defaultdict(dict) for n in counts}
+    for n, found in counts.items():
+        for g, c in found.items():
+            followers[n][g[:-1]][g[-1]] = c
+
+    def p(context, sign, n):
+        if n == 0:
+            return 1 / (len(counts[1]) + 1)
+        seen = followers[n].get(context[len(context) - n + 1 :] if n > 1 else "")
+        lower = p(context, sign, n - 1)
+        if not seen:
+            return lower
+        d, total = discount[n], sum(seen.values())
+        c = seen.get(sign, 0)
+        return ((c - d[min(c, 3)]) if c else 0) / total + sum(d[min(x, 3)] for x in seen.values()) / total * lower
+
+    return lambda context, sign: p(context, sign, order)
 
 
 def test_scores(spark):
-    texts = ["the cat sat on the mat", "a cat and a hat", "the dog sat", "that is a hat on the cat", "zzz ###", "", None, "The Cat é"]
+    texts = ["the cat sat on the mat", "a cat and a hat", "the dog sat", "that is a hat on the cat", "zzz ###", "", None, "The Cat \u00e9", "\u4e2d\u6587 the", "a\x02b"]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    trusted = docs.filter("doc_id < 4")
-    table = perplexity.sign_table(perplexity.common_characters(trusted))
-    shards = perplexity.model_shards(perplexity.count_trigrams(trusted, table), table)
-    found = {r.doc_id: r for r in perplexity.likelihoods(docs, shards, table).collect()}
-    p3 = brute_model([perplexity.signs_of(t, table).tolist() for t in texts[:4]])
-    for i, t in enumerate(texts):
-        signs = perplexity.signs_of(t or "", table).tolist()
-        assert found[i].n_signs == len(signs)
-        if not signs:
-            assert found[i].nll is None
-            continue
-        padded = [1, 1, *signs]
-        want = -sum(math.log(p3(*padded[k : k + 3])) for k in range(len(signs))) / len(signs)
-        assert math.isclose(found[i].nll, want, rel_tol=1e-4)
-    everything = [p3(1, 30, c) for c in range(256)]
-    assert math.isclose(sum(everything), 1, rel_tol=1e-9)
+    counts = materialize(perplexity.count_grams(docs.filter("doc_id < 4")))
+    p = brute_model(texts[:4])
+    for top in (0, 40, 1 << 18):  # how many grams skip the join changes nothing
+        found = {r.doc_id: r for r in perplexity.likelihoods(docs, counts, top).collect()}
+        for i, t in enumerate(texts):
+            signs = (t or "").lower().replace(START, "\ufffd")
+            assert found[i].n_signs == len(signs)
+            if not signs:
+                assert found[i].nll is None
+                continue
+            padded = START * 5 + signs + END
+            want = -sum(math.log(p(padded[k - 4 : k], padded[k])) for k in range(5, len(padded))) / (len(signs) + 1)
+            assert math.isclose(found[i].nll, want, rel_tol=1e-9)
+    signs = {x for t in texts[:4] for x in t} | {END}
+    assert math.isclose(sum(p("the ", x) for x in signs) + p("the ", "#"), 1, rel_tol=1e-9)
+
+
+def test_long_texts_are_cut_without_loss(spark, monkeypatch):
+    import numpy as np
+
+    characters, sizes = perplexity.code_points(["abcdefgh" * 40, "x" * 300, ""])
+    whole = [(g.tobytes(), o) for grams, window, owner in perplexity.distinct_windows(characters, sizes, 4) for g, o in zip(grams[window], owner.tolist(), strict=True)]
+    monkeypatch.setattr(perplexity, "PLACES", 37)
+    parts = [(g.tobytes(), o) for grams, window, owner in perplexity.distinct_windows(characters, sizes, 4) for g, o in zip(grams[window], owner.tolist(), strict=True)]
+    assert parts == whole and len(whole) == 320 + 300 + 3 * 2 and isinstance(characters, np.ndarray)
 
 
 def test_query_keeps_good_text(spark):
@@ -74,14 +83,6 @@ def test_query_keeps_good_text(spark):
         assert least <= sum(kept) / len(kept) <= most
 
 
-def test_planes_round_trip():
-    rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 1 << 49, 500) >> rng.integers(0, 40, 500))
-    counts = rng.integers(1, 1000, len(keys))
-    a, b = perplexity._unpacked(perplexity._planes(keys, counts))
-    assert a.tolist() == keys.tolist() and b.tolist() == counts.tolist()
-
-
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (4, 1), (2, 1), (6, 0), (None, 1)], "doc_id long, quality int")
     rows = {r.doc_id: r for r in perplexity.judge(odd_docs, labels).collect()}
