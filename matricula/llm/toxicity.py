@@ -1,20 +1,27 @@
-"""Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
-
-The kernel compares two units (words, or letters spelled out one by one) by the subsequences of
-three letters that they share; a subsequence may have gaps, each letter that it spans weighs
-`DECAY`, and it spans `SPAN` letters at most. Inserted, doubled or lost letters thus lower the
-kernel only a little. Kernel values with a few landmark units are mapped by Nystroem to a space
-where a linear SVM is trained, so that a unit's margin is a weighted sum of kernel values.
-
-A text's sentences are scored by their best unit; the text's two best margins go through a
-logistic curve to its score. Training is on sentences with the label of their text: as a toxic
-text need not be toxic throughout, the SVM is trained in rounds on the most telling units of
-toxic sentences against those of clean ones. It learns from `sample` labelled texts at most.
-
-Defined results: null, empty or blank texts score as texts without any telling unit. With
-labels of only one kind every text scores that kind's share (0 without labels). Repeated rows and
-null ids are scored row by row; doc_id, lang, source and labels are no inputs. Extra columns are
-ignored.
+"""Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine that is
+trained on labelled sentences.
+
+The kernel compares two strings by the subsequences of three letters that they share; a subsequence
+may have gaps, each letter that it spans weighs `DECAY`, and it spans `SPAN` letters at most.
+Inserted, doubled or lost letters thus lower the kernel only a little. A sentence is compared with a
+landmark string by its best unit (a word, or letters spelled out one by one), so that its length
+does not drown an insult. Kernel values with the landmarks are mapped by Nystroem to the space where
+a linear SVM learns; a sentence's margin is then a weighted sum of kernel values.
+
+The SVM's rows are sentences. Those of clean texts are negative; of a toxic text, which need not be
+toxic throughout, the sentence with the best margin is positive, and is chosen anew in each round
+(multiple-instance learning). The first choice, and the landmarks, come from the same SVM over exact
+units, trained on all sentences with the label of their text: landmarks are the units that carry its
+weight, and common units of the other side. Sentences with a letter put into their longer units are
+trained on as well, with the same label, as insults are disguised so. A text's best margins
+(`MARGINS` of them) go through a logistic curve to its score.
+
+It learns from `sample` labelled texts at most, and from `most` of their sentences, those with the
+least hash.
+
+Defined results: null, empty or blank texts score as sentences without any unit. With labels of
+only one kind every text scores that kind's share (0 without labels). Repeated rows and null ids are
+scored row by row; doc_id, lang, source and labels are no inputs. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,32 +32,40 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_rest, materialize, per_batch
 
-SAMPLE = 8000
+#: Labelled texts and sentences that are learned from, at most.
+SAMPLE, SENTENCES = 4000, 150_000
 LANDMARKS = 64
 DECAY, SPAN = 0.7, 6
 #: Power of the normalised kernel: higher tells near units from middling ones.
 POWER = 2
 #: Letters of a unit that are looked at together; longer units are covered by overlapping pieces.
 LENGTH = 16
-ROUNDS = 3
+ROUNDS = 4
+#: Sentences of a text that its score looks at, the best ones, and the ridge of the SVM.
+MARGINS, RIDGE = 4, 0.1
+#: Sentences that a unit must be in to be a landmark, and the ridge of the SVM over exact units.
+MIN_SENTENCES, UNIT_RIDGE = 3, 20.0
 
 _MARKS = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+\s")
 _PATTERNS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN)]
-_SIGNS = 32
+#: Numbers of a to z are exact; subsequences with other letters share the numbers after those.
+_LATIN, _NUMBERS = 26, 1 << 16
+_PLAIN = (_LATIN * 32 + _LATIN) * 32 + _LATIN + 1
 #: Odd multipliers that mix hashes.
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 def _sign(c: str) -> int:
-    """1 to 26 for letters, with accents taken off; the rest of the letters share five numbers."""
+    """1 to 26 for letters a to z, with accents taken off, and beyond for all others."""
     bare = unicodedata.normalize("NFKD", c)[0]
-    return ord(bare) - 96 if "a" <= bare <= "z" else 27 + ord(c) % 5
+    return ord(bare) - 96 if "a" <= bare <= "z" else _LATIN + 1 + ord(c) % 9973
 
 
 class _Alphabet(dict):
@@ -78,9 +93,15 @@ def coded(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and weights of every subsequence of three letters, one row per piece."""
     found, weights = [], []
+    other = np.flatnonzero(rows.max(axis=1, initial=0) > _LATIN)
     for a, b in _PATTERNS:
         first, second, third = rows[:, : LENGTH - b], rows[:, a : LENGTH - b + a], rows[:, b:]
-        found.append(np.where(third > 0, (first * _SIGNS + second) * _SIGNS + third, 0).astype(np.int16))  # below 32 ** 3
+        number = (first * 32 + second) * 32 + third
+        if len(other):
+            x, y, z = first[other], second[other], third[other]
+            mixed = _PLAIN + ((x * 7919 + y) % 65521 * 7919 + z) % (_NUMBERS - _PLAIN)
+            number[other] = np.where((x > _LATIN) | (y > _LATIN) | (z > _LATIN), mixed, number[other])
+        found.append(np.where(third > 0, number, 0).astype(np.uint16))
         weights.append(np.where(third > 0, DECAY ** (b + 1), 0.0).astype(np.float32))
     return np.concatenate(found, axis=1), np.concatenate(weights, axis=1)
 
@@ -110,7 +131,7 @@ class Kernel:
     def __init__(self, landmarks: list[str]) -> None:
         rows, owner = coded([x[:LENGTH] for x in landmarks])
         numbers, weights = subsequences(rows)
-        table = np.zeros((_SIGNS**3, len(landmarks)), dtype=np.float32)
+        table = np.zeros((_NUMBERS, len(landmarks)), dtype=np.float32)
         np.add.at(table, (numbers, owner[:, None]), weights)
         table[0] = 0
         self.table = table / np.maximum(np.sqrt((table**2).sum(axis=0)), 1e-9)
@@ -158,18 +179,45 @@ def sentences(text: str | None) -> list[str]:
     return [x for x in _SENTENCE.split(text or "") if x.strip()]
 
 
+class Features:
+    """Sentences by landmarks: the best kernel value of a sentence's units with each landmark."""
+
+    def __init__(self, kernel: Kernel, most: int = 100_000) -> None:
+        self.kernel, self.most = kernel, most
+        self.number: dict[str, int] = {}
+        self.table = np.zeros((1 << 14, kernel.table.shape[1]), dtype=np.float32)
+
+    def of(self, sentences: list[list[str]]) -> np.ndarray:
+        if len(self.number) > self.most:  # what the memo holds never changes values
+            self.number = {}
+            self.table = np.zeros((1 << 14, self.table.shape[1]), dtype=np.float32)
+        units = [u for s in sentences for u in s]
+        new = list({u for u in units if u not in self.number})
+        if new:
+            start, end = len(self.number), len(self.number) + len(new)
+            if end > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
+            self.table[start:end] = self.kernel.values(new)
+            self.number.update(zip(new, range(start, end), strict=True))
+        out = np.zeros((len(sentences), self.table.shape[1]), dtype=np.float32)
+        at = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        owner = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+        for k in range(0, len(at), 1 << 15):
+            part = owner[k : k + (1 << 15)]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            who = part[starts]
+            out[who] = np.maximum(out[who], np.maximum.reduceat(self.table[at[k : k + (1 << 15)]], starts, axis=0))
+        return out
+
+
 class Model:
-    """A unit's margin is its kernel values with the landmarks times `alpha`, less `shift`."""
+    """A sentence's margin is its values with the landmarks times `alpha`, less `shift`."""
 
     def __init__(self, kernel: Kernel, alpha: np.ndarray, shift: float, curve: np.ndarray) -> None:
         self.kernel, self.alpha, self.shift, self.curve = kernel, alpha, shift, curve
 
-    def margins(self, units: list[str]) -> np.ndarray:
-        return self.kernel.values(units) @ self.alpha - self.shift
-
-    def score(self, best: np.ndarray) -> np.ndarray:
-        z = best @ self.curve[:-1] + self.curve[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    def margins(self, sentences: list[list[str]]) -> np.ndarray:
+        return Features(self.kernel).of(sentences) @ self.alpha - self.shift
 
 
 def nystroem(kernel: Kernel, landmarks: list[str]) -> np.ndarray:
@@ -250,154 +298,207 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return chosen.join(F.broadcast(gone), "doc_id", "left_anti")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
-    """The model, or the share of toxic labels where there is only one kind of them."""
-    picked = materialize(_sample(docs, labels, sample))
-    sizes = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic or not clean:
-        return float(toxic > 0)
+def exact_svm(sentence: np.ndarray, unit: np.ndarray, y: np.ndarray, weight: np.ndarray, n_units: int, ridge: float, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """The SVM over exact units: the weight of each, and the margin of each sentence. A row has the
+    `unit` numbers that stand beside its `sentence` number; the last unit number is the intercept.
+    Newton steps over the rows inside the margin, each by conjugate gradients."""
+    times = lambda w: np.bincount(sentence, weights=w[unit], minlength=len(y)) + w[-1]
+
+    def back(z: np.ndarray) -> np.ndarray:
+        out = np.bincount(unit, weights=z[sentence], minlength=n_units + 1)
+        out[-1] += z.sum()
+        return out
+
+    w = np.zeros(n_units + 1)
+    for _ in range(steps):
+        margin = times(w)
+        inside = weight * (y * margin < 1)
+        residual = ridge * w + back(inside * (margin - y))
+        step, r = np.zeros_like(w), -residual
+        d, size = r.copy(), r @ r
+        for _ in range(25):
+            if size < 1e-9:
+                break
+            curved = ridge * d + back(inside * times(d))
+            a = size / (d @ curved)
+            step += a * d
+            r -= a * curved
+            size, last = r @ r, size
+            d = r + size / last * d
+        w += step
+        if np.abs(step).max() < 1e-3:
+            break
+    return w[:-1], times(w)
+
+
+def balanced(y: np.ndarray) -> np.ndarray:
+    """Weights of rows that let both kinds count the same, one on average."""
+    return np.where(y > 0, len(y) / 2 / max(1, (y > 0).sum()), len(y) / 2 / max(1, (y < 0).sum()))
+
 
-    def make_units():
+def labelled_sentences(picked: DataFrame, most: int) -> DataFrame:
+    """doc_id, toxic and units of the sentences of the sample, `most` at most."""
+
+    def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            units, kinds = [], []
-            for text, kind in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found = {u for s in sentences(text) for w in units_of(s) if len(u := bare(w)) > 2}
-                units += found
+            ids, kinds, units, hashes = [], [], [], []
+            for doc_id, text, kind in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
+                found = [sorted({b for u in units_of(s) if (b := bare(u))}) for s in sentences(text)]
+                found = [x for x in found if x]
+                ids += [doc_id] * len(found)
                 kinds += [kind] * len(found)
-            return pa.record_batch([pa.array(units, pa.string()), pa.array(kinds, pa.int32())], ["unit", "toxic"])
+                units += found
+                hashes += [zlib.crc32(f"{doc_id} {k}".encode()) for k in range(len(found))]
+            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(units, pa.list_(pa.string())), pa.array(hashes, pa.int64())], ["doc_id", "toxic", "units", "h"])
 
         return work
 
-    counts = per_batch(picked, "text", make_units, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    counts = materialize(counts)
-    lift = F.log((F.col("t") + 0.02) / (toxic + 1)) - F.log((F.col("c") + 0.02) / (clean + 1))
-    evidence = (F.col("t") * F.greatest(lift, F.lit(0.0))).alias("evidence")
-    telling = counts.filter((F.col("t") >= 2) & (lift > 2)).select("unit", "t", "c", evidence).orderBy(F.desc("evidence"), "unit").limit(600).collect()
-    common = counts.orderBy(F.desc("c"), "unit").limit(3000).collect()
-    chance = counts.filter("c > 0").orderBy(F.xxhash64("unit")).limit(6000).collect()
-    positive = {r["unit"]: float(r["t"]) for r in telling}
-    if not positive:
-        return toxic / (toxic + clean)
-    names = set(positive)
-
-    def make_found():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted(names & {bare(u) for u in units_of(t)}) for t in batch.column("text").to_pylist()]
-            return pa.record_batch([pa.array(found, pa.list_(pa.string()))], ["found"])
+    found = materialize(per_batch(picked.select("doc_id", "text", "toxic"), "text", make, "doc_id long, toxic int, units array<string>, h long"))
+    share = most / max(most, found.count())
+    return found.filter(F.col("h") < int(share * 2**32))
 
-        return work
 
-    texts = [set(r["found"]) for r in per_batch(picked.filter("toxic = 1").select("text"), "text", make_found, "found array<string>").collect()]
-    negative = {r["unit"]: 1.0 for r in [*common, *chance] if r["unit"] not in positive}
-    positive = cover(positive, texts)
-    bent = altered(positive)
-    landmarks = spread(positive, LANDMARKS * 3 // 4)
-    landmarks += sorted(negative)[:: max(1, len(negative) // (LANDMARKS - len(landmarks)))][: LANDMARKS - len(landmarks)]
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SENTENCES) -> Model | float:
+    """The model, or the share of toxic labels where there is only one kind of them."""
+    picked = materialize(_sample(docs, labels, sample))
+    sizes = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes.get(1) or not sizes.get(0):
+        return float(sizes.get(1, 0) > 0)
+    rows = labelled_sentences(picked, most).select("doc_id", "toxic", "units").toArrow().combine_chunks().sort_by("doc_id")  # `most` sentences
+    texts, y = rows.column("doc_id").to_numpy(), np.where(rows.column("toxic").to_numpy() == 1, 1.0, -1.0)
+    if len(set(y.tolist())) < 2:
+        return sizes[1] / (sizes[0] + sizes[1])
+
+    units = rows.column("units").combine_chunks()
+    sentence, numbered = pc.list_parent_indices(units).to_numpy(), units.flatten().dictionary_encode()
+    names, unit = np.array(numbered.dictionary.to_pylist(), dtype=object), numbered.indices.to_numpy()
+    often = np.bincount(unit, minlength=len(names))
+    usable = (often >= MIN_SENTENCES) & np.array([len(x) > 2 for x in names])
+    keep = usable[unit]
+    value, margin = exact_svm(sentence[keep], unit[keep], y, balanced(y), len(names), UNIT_RIDGE)
+
+    landmarks = choose_landmarks(names, np.where(usable, value, 0.0), often)
+    if not landmarks:
+        return sizes[1] / (sizes[0] + sizes[1])
     kernel = Kernel(landmarks)
     root = nystroem(kernel, landmarks)
+    lists = units.to_pylist()
+    features = _mapped(docs, lists, kernel)
+    starts = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]])
+    ends = np.r_[starts[1:], len(texts)]
+    toxic = [(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if y[a] > 0]
+    clean = np.flatnonzero(y < 0)
+    bent: dict[int, np.ndarray] = {}
+
+    def disguised(found: np.ndarray) -> np.ndarray:
+        new = [i for i in found.tolist() if i not in bent]
+        values = Features(kernel).of([altered(lists[i], i) for i in new])
+        bent.update(zip(new, values, strict=True))
+        return np.array([bent[i] for i in found.tolist()]).reshape(len(found), len(landmarks))
+
+    quiet = clean[:: max(1, len(clean) // len(toxic))]
     model = None
     for _ in range(ROUNDS):
-        units = [*positive, *bent, *negative]
-        y = np.array([1.0] * (len(positive) + len(bent)) + [-1.0] * len(negative))
-        weight = np.array([min(x, 50.0) for x in [*positive.values(), *bent.values(), *negative.values()]])
-        for kind in (1, -1):
-            weight[y == kind] *= len(y) / 2 / weight[y == kind].sum()
-        w = svm(kernel.values(units) @ root, y, weight)
-        model = Model(kernel, root @ w[:-1], -float(w[-1]), np.zeros(3))
-        best = _best(picked.select("doc_id", "text", "toxic"), model, ("toxic",)).collect()
-        model.curve = logistic(np.array([[r["first"], r["second"]] for r in best]), np.array([float(r["toxic"]) for r in best]))
-        for r in best:  # the most telling unit of each text teaches the next round
-            if r["toxic"] == 0 and r["first"] > -1 and r["unit"] and r["unit"] not in positive:
-                negative[r["unit"]] = negative.get(r["unit"], 0.0) + 2.0
+        telling = np.array([a + int(margin[a:b].argmax()) for a, b in toxic])
+        x = np.concatenate([features[telling], disguised(telling), features[clean], disguised(quiet)]) @ root
+        kind = np.repeat([1.0, -1.0], [2 * len(telling), len(clean) + len(quiet)])
+        w = svm(x, kind, balanced(kind), RIDGE)
+        model = Model(kernel, root @ w[:-1], -float(w[-1]), np.zeros(MARGINS + 1))
+        margin = features @ model.alpha - model.shift
+    best = np.array([best_margins(margin[a:b], -model.shift) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    model.curve = logistic(best, (y[starts] > 0).astype(float))
     return model
 
 
-def spread(units: dict[str, float], n: int) -> list[str]:
-    """`n` units that stand for all of them: each is the one that raises the weighted kernel value
-    between the units and their nearest landmark the most."""
-    names, weight = list(units), np.array(list(units.values()))
-    like = Kernel(names).values(names)
-    nearest, out = np.zeros(len(names), dtype=np.float32), []
-    for _ in range(min(n, len(names))):
-        k = int((np.maximum(like - nearest[:, None], 0) * weight[:, None]).sum(axis=0).argmax())
-        out.append(k)
-        nearest = np.maximum(nearest, like[:, k])
-    return [names[k] for k in dict.fromkeys(out)]
+def _mapped(docs: DataFrame, sentences_: list[list[str]], kernel: Kernel) -> np.ndarray:
+    """Values of the bounded sample's sentences with the landmarks, worked out by the executors."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(kernel)
+    table = pa.table({"i": pa.array(range(len(sentences_)), pa.int64()), "units": pa.array(sentences_, pa.list_(pa.string()))})
+
+    def run(batches):
+        features = Features(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                values = features.of(part.column("units").to_pylist())
+                yield pa.record_batch([part.column("i"), pa.array([v.tobytes() for v in values], pa.binary())], ["i", "x"])
+
+    parts = max(1, len(sentences_) // 5000)
+    found = spark.createDataFrame(table).repartition(parts).mapInArrow(run, "i long, x binary").toArrow()
+    order = np.argsort(found.column("i").to_numpy())
+    return np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(sentences_), -1)[order]
+
+
+def choose_landmarks(names: np.ndarray, value: np.ndarray, often: np.ndarray, n: int = LANDMARKS) -> list[str]:
+    """Three quarters of the landmarks stand for the units that the SVM holds toxic (a quarter of
+    the greatest weight or more), the rest are common units that it holds clean."""
+    order = np.argsort(-value, kind="stable")
+    order = order[: 8 * n]
+    telling = {names[i]: float(value[i]) for i in order.tolist() if value[i] > 0 and value[i] >= value[order[0]] / 4}
+    if not telling:
+        return []
+    out = spread(telling, n * 3 // 4)
+    plain = np.argsort(-np.where(value < 0, often, 0), kind="stable")[: n - len(out)]
+    return out + sorted(names[i] for i in plain.tolist() if value[i] < 0)
+
+
+def altered(units: list[str], seed: int) -> list[str]:
+    """The units, those of five letters or more with a letter put in, as insults are disguised."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for u in units:
+        at = int(rng.integers(1, max(2, len(u))))
+        out.append(u[:at] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + u[at:] if len(u) >= 5 else u)
+    return out
 
 
-def altered(units: dict[str, float], share: float = 0.3, seed: int = 5) -> dict[str, float]:
-    """The units of five letters or more with a letter put in, as insults are disguised."""
-    rng, out = np.random.default_rng(seed), {}
-    for u, weight in units.items():
-        for _ in range(2 if len(u) >= 5 else 0):
-            at = int(rng.integers(1, len(u)))
-            out[u[:at] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + u[at:]] = weight * share
-    return {u: w for u, w in out.items() if u not in units}
-
-
-def cover(units: dict[str, float], texts: list[set[str]], times: int = 3) -> dict[str, float]:
-    """The units, strongest first, that toxic texts need so that each has `times` of them; the
-    rest are chance words of texts that are explained already."""
-    need = [times] * len(texts)
-    where: dict[str, list[int]] = {u: [] for u in units}
-    for k, found in enumerate(texts):
-        for u in found:
-            where[u].append(k)
-    out = {}
-    for u, weight in units.items():
-        new = [k for k in where[u] if need[k] > 0]
-        if len(new) * 5 >= len(where[u]) and new:
-            out[u] = weight
-            for k in new:
-                need[k] -= 1
-    return out
+def best_margins(margins: np.ndarray, floor: float) -> list[float]:
+    """The best margins of a text's sentences, MARGINS of them; `floor` where it has fewer."""
+    best = np.partition(margins, len(margins) - MARGINS)[-MARGINS:] if len(margins) > MARGINS else margins
+    return sorted([*(max(m, floor) for m in best.tolist()), *[floor] * (MARGINS - len(best))], reverse=True)
 
 
-def _best(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, the two best margins of each text's units, and the unit of the first."""
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+def score(docs: DataFrame, model: Model | float) -> DataFrame:
+    """doc_id and score (0 to 1) of every row."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if isinstance(model, float):
+        return source.select("doc_id", F.lit(model).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        model, memo = shared.value, {}
-        floor = float(-model.shift) - 1.0
+        model = shared.value
+        features = Features(model.kernel)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [units_of(t) for t in batch.column("text").to_pylist()]
-            new = list({u for t in texts for u in t if u not in memo})
-            fresh = dict(zip(new, model.margins(new).tolist(), strict=True)) if new else {}
-            if len(memo) < 300_000:
-                memo.update(fresh)
-                known = memo
-            else:
-                known = {**fresh}
-            first, second, unit = [], [], []
-            for t in texts:
-                m = [known[u] if u in known else memo[u] for u in t]
-                if not m:
-                    first.append(floor), second.append(floor), unit.append(None)
-                    continue
-                top = max(m)
-                at = m.index(top)
-                m[at] = floor
-                first.append(max(top, floor)), second.append(max(max(m), floor)), unit.append(bare(t[at])[:200])
-            return pa.record_batch([*(batch.column(c) for c in keep), pa.array(first, pa.float64()), pa.array(second, pa.float64()), pa.array(unit, pa.string())], [*keep, "first", "second", "unit"])
+            found, sizes = [], []
+            for text in batch.column("text").to_pylist():
+                own = [units_of(s) for s in sentences(text)]
+                found += own
+                sizes.append(len(own))
+            margins = features.of(found) @ model.alpha - model.shift
+            ends = np.cumsum(sizes)
+            best = np.array([best_margins(margins[b - n : b], -model.shift) for b, n in zip(ends.tolist(), sizes, strict=True)]).reshape(-1, MARGINS)
+            z = best @ model.curve[:-1] + model.curve[-1]
+            return pa.record_batch([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
 
         return work
 
-    schema = "".join(f"`{c}` {fields[c]}, " for c in keep) + "first double, second double, unit string"
-    return per_batch(docs.select(*keep, "text"), "text", make, schema)
+    return per_batch(source, "text", make, "doc_id long, score double")
 
 
-def score(docs: DataFrame, model: Model | float) -> DataFrame:
-    """doc_id and score (0 to 1) of every row."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if isinstance(model, float):
-        return source.select("doc_id", F.lit(model).alias("score"))
-    a, b, c = model.curve.tolist()
-    z = F.greatest(F.least(a * F.col("first") + b * F.col("second") + c, F.lit(50.0)), F.lit(-50.0))
-    return _best(source, model, ("doc_id",)).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+
+def spread(units: dict[str, float], n: int) -> list[str]:
+    """`n` units that stand for all of them: each is the one that raises the weighted kernel value
+    between the units and their nearest landmark the most."""
+    names, weight = list(units), np.array(list(units.values()))
+    like = Kernel(names).values(names)
+    nearest, out = np.zeros(len(names), dtype=np.float32), []
+    for _ in range(min(n, len(names))):
+        k = int((np.maximum(like - nearest[:, None], 0) * weight[:, None]).sum(axis=0).argmax())
+        out.append(k)
+        nearest = np.maximum(nearest, like[:, k])
+    return [names[k] for k in dict.fromkeys(out)]
 
 
 def classify(docs: DataFrame, labels: DataFrame, rest: int = 0, modulus: int = 5, sample: int = SAMPLE) -> DataFrame:

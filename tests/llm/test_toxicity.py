@@ -23,13 +23,35 @@ def brute_kernel(s, t):
 
 
 def test_kernel_values():
-    words = ["idiot", "idxiot", "banana", "ananas", "nanabana", "ab", "abc", "aaaaaaa"]
-    landmarks = ["idiot", "banana", "aaaa", "abc"]
+    words = ["idiot", "idxiot", "banana", "ananas", "nanabana", "ab", "abc", "aaaaaaa", "\u0434\u0443\u0440\u0430\u043a", "\u0434\u0443\u0440\u0430", "\u043a\u043e\u0448\u043a\u0430"]
+    landmarks = ["idiot", "banana", "aaaa", "abc", "\u0434\u0443\u0440\u0430\u043a"]
     found = toxicity.Kernel(landmarks).values(words)
     want = [[brute_kernel(w, x) ** toxicity.POWER for x in landmarks] for w in words]
     assert np.allclose(found, want, atol=1e-5)
 
 
+def test_a_sentence_counts_by_its_best_unit():
+    kernel = toxicity.Kernel(["idiot", "banana"])
+    found = toxicity.Features(kernel).of([["a", "idiott", "banana"], [], ["ananas"] * 40_000, ["idiott"]])
+    each = kernel.values(["idiott", "banana", "ananas"])
+    assert np.allclose(found, [np.maximum(each[0], each[1]), [0, 0], each[2], each[0]])
+
+
+def test_exact_svm_finds_the_telling_unit():
+    rng, rows = np.random.default_rng(3), []
+    y = np.repeat([1.0, -1.0], 300)
+    for i in range(600):
+        rows += [(i, int(u)) for u in set(rng.integers(1, 50, 8).tolist())] + ([(i, 0)] if i < 200 else [])
+    sentence, unit = map(np.array, zip(*rows, strict=True))
+    value, margin = toxicity.exact_svm(sentence, unit, y, toxicity.balanced(y), 50, 5.0)
+    assert value.argmax() == 0 and margin[:200].mean() > margin[300:].mean() + 0.5
+    x = np.zeros((600, 51))
+    x[sentence, unit], x[:, 50] = 1, 1
+    w = np.append(value, margin[0] - value[unit[sentence == 0]].sum())
+    inside = y * (x @ w) < 1
+    assert np.abs(5.0 * w + x[inside].T @ (x[inside] @ w - y[inside])).max() < 0.5  # nothing pulls any more
+
+
 def test_held_out_and_disguised(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
@@ -40,8 +62,9 @@ def test_held_out_and_disguised(spark):
     held = [r for r in rows if r.held_out and r.doc_id in toxic]
     assert sum(r.predicted == toxic[r.doc_id] for r in held) / len(held) > 0.93
     model = toxicity.train(docs, labels)
-    margins = dict(zip(["idiot", "i.d.i.o.t", "idiiot", "woorthless", "onblean"], model.margins(["idiot", "i.d.i.o.t", "idiiot", "woorthless", "onblean"]), strict=True))
-    assert all(margins[x] > margins["onblean"] + 0.5 for x in margins if x != "onblean")
+    told = ["the idiot of onthan", "an i.d.i.o.t and ering", "thing idiiot is", "so woorthless onea", "a onblean thing is of onthan"]
+    margins = dict(zip(told, model.margins([toxicity.units_of(x) for x in told]), strict=True))
+    assert all(margins[x] > margins[told[-1]] + 0.5 for x in told[:-1])
     assert "idiot" in toxicity.units_of("you I d i o t now")
 
 
