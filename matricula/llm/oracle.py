@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .pii import BASE, CONTEXT, KINDS, NEAR
-from .quality_rules import LEVEL, MAX_REJECTION, RULES
+from .pii import BASE, CONTEXT, KINDS, NEAR, near_pattern
+from .quality_rules import LEAST, LEVEL, MAX_REJECTION, PATH, RULES
 
 #: The patterns of personal data as that engine spells them.
 PATTERNS = {
@@ -44,12 +44,12 @@ def pii() -> str:
     """Counts, hash, spans and scores of the PII query."""
     raw, spans, out = [], [], []
     for kind, pattern in PATTERNS.items():
-        raw.append(f"regexp_extract_all(text, '{pattern}') AS m_{kind}, list_transform(string_split_regex(text, '{pattern}'), lambda g: length(g)) AS g_{kind}")
+        raw.append(f"regexp_extract_all(text, '{pattern}') AS m_{kind}, list_transform(string_split_regex(text, '{pattern}'), lambda g: length(g)) AS g_{kind}, string_split_regex(text, '{pattern}') AS t_{kind}")
         start = f"(list_sum(g_{kind}[1:i]) + coalesce(list_sum(list_transform(m_{kind}[1:i - 1], lambda m: length(m))), 0))"
-        each = f"list_transform(range(1, len(m_{kind}) + 1), lambda i: {{'s': CAST({start} AS BIGINT), 'v': m_{kind}[i]}})"
+        each = f"list_transform(range(1, len(m_{kind}) + 1), lambda i: {{'s': CAST({start} AS BIGINT), 'v': m_{kind}[i], 'near': lower(right(t_{kind}[i], {NEAR}) || ' ' || left(t_{kind}[i + 1], {NEAR}))}})"
         spans.append(f"list_filter({each}, lambda x: {_VALID[kind]}) AS {kind}")
-        base, words = KINDS[kind][2], KINDS[kind][3]
-        near = f"regexp_matches(lower(substr(text, CAST(greatest(x.s - {NEAR}, 0) + 1 AS BIGINT), CAST(least(x.s, {NEAR}) AS BIGINT)) || ' ' || substr(text, CAST(x.s + length(x.v) + 1 AS BIGINT), {NEAR})), '{words}')"
+        base, words = KINDS[kind][2], near_pattern(kind)
+        near = f"regexp_matches(x.near, '{words}')"
         out.append((f"list_transform({kind}, lambda x: '{kind}:' || x.s || ':' || (x.s + length(x.v)))", f"list_transform({kind}, lambda x: '{kind}:' || x.s || ':' || format('{{:.2f}}', {base}e0 + CASE WHEN {near} THEN {CONTEXT}e0 ELSE 0e0 END))"))
     joined = lambda parts: f"array_to_string(list_concat({', '.join(parts)}), ',')"
     return f"""WITH source AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), raw AS (SELECT *, {", ".join(raw)} FROM source), found AS (SELECT doc_id, text, {", ".join(spans)} FROM raw)
@@ -58,14 +58,10 @@ def pii() -> str:
 
 def quality_rules() -> str:
     """Counts and verdicts of the quality rules; doc_id must be a key."""
-    tests = sum(len(cuts) for _, cuts in RULES.values())
-    p = MAX_REJECTION / len(RULES)
+    p = MAX_REJECTION
     cdf = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}e0) + (n - i) * ln(1 - {p}e0))))"
     numbers = ", ".join(f"{number.replace(' / ', ' * 1e0 / ')} AS r_{rule}" for rule, (number, _) in RULES.items())
-    counted = " UNION ALL ".join(
-        f"SELECT stratum, '{rule}' AS rule, {cut}e0 AS cut, count(*) AS n, count(*) FILTER (r_{rule} > {cut}e0) AS k FROM held GROUP BY stratum" for rule, (_, cuts) in RULES.items() for cut in cuts
-    )
-    limits = " AND ".join(f"r_{rule} <= coalesce((SELECT min(cut) FROM sure WHERE sure.stratum = rated.stratum AND rule = '{rule}'), 1e300)" for rule in RULES)
+    first = ", ".join("CASE " + " ".join(f"WHEN r_{rule} > {cut}e0 THEN {step}" for step, (name, cut) in enumerate(PATH, 1) if name == rule) + " END" for rule in RULES)
     return rf"""WITH source AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text FROM documents),
     split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM source),
     windows AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS w FROM split),
@@ -74,11 +70,15 @@ def quality_rules() -> str:
     counts AS (SELECT doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
       FROM split LEFT JOIN covered USING (doc_id)),
-    rated AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {numbers} FROM counts),
+    numbers AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {numbers} FROM counts),
+    rated AS (SELECT *, least({first}) AS fails_at FROM numbers),
     held AS (SELECT * FROM rated WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-    tested AS ({counted}),
-    sure AS (SELECT * FROM tested WHERE {cdf} <= {LEVEL}e0 / {tests} / (SELECT count(DISTINCT stratum) FROM held))
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {limits} AS kept FROM rated"""
+    strata AS (SELECT stratum, CASE WHEN count(*) >= {LEAST} THEN stratum END AS test FROM held GROUP BY stratum),
+    tested AS (SELECT test, step, count(*) AS n, count(*) FILTER (fails_at <= step) AS k FROM held JOIN strata USING (stratum), range(1, {len(PATH) + 1}) AS steps(step) GROUP BY test, step),
+    failing AS (SELECT test, min(step) AS step FROM tested WHERE NOT {cdf} <= {LEVEL}e0 / (SELECT count(*) FROM (SELECT DISTINCT test FROM strata)) GROUP BY test),
+    certified AS (SELECT stratum, CAST(coalesce(step - 1, {len(PATH)}) AS INT) AS certified FROM strata LEFT JOIN failing ON strata.test IS NOT DISTINCT FROM failing.test)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(fails_at <= certified, FALSE) AS kept, fails_at, coalesce(certified, 0) AS certified
+    FROM rated LEFT JOIN certified USING (stratum)"""
 
 
 ORACLE = {"op3_quality_rules": quality_rules(), "op5_pii": pii()}

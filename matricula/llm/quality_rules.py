@@ -1,11 +1,17 @@
 """Quality rules whose cutoffs carry a guarantee: few good documents are rejected in any stratum.
 
 Every rule is a number that grows as a text gets worse, with a fixed list of cutoffs from mild to
-strict. A labelled holdout (the documents labelled good) counts, per stratum (language), how many
-good documents each cutoff would reject. A cutoff is certified if the exact binomial
-(Clopper-Pearson) upper bound of its false rejection rate is at most the rule's share of the
-allowed rate, with the level divided by the number of tests (Bonferroni); the strictest
-certified one is used. A stratum with too few labels certifies nothing and rejects nothing.
+strict. The cutoffs of all rules make one path (`PATH`), fixed beforehand: each step makes one rule
+stricter, the rules in turn. A labelled holdout (the documents labelled good) counts, per stratum
+(language), how many good documents the rules reject together at each step. A step is certified if
+the exact binomial (Clopper-Pearson) upper bound of the false rejection rate is at most
+`max_rejection` and all steps before it are certified: testing in a fixed order that ends with the
+first failure needs no further correction within a stratum, and the level is divided by the number
+of strata (Bonferroni). So, at the level, no stratum loses more than `max_rejection` of its good
+documents by all rules together.
+
+Strata with fewer than `LEAST` good documents are tested together as one, for which the guarantee
+then holds as a whole; a stratum without any, or one that certifies nothing, rejects nothing.
 
 All of it is built-in expressions; the features are computed once and written, and only they
 (a few numbers for each document) are joined. Equal windows and lines are found by 64-bit hashes
@@ -36,8 +42,11 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.25, 0.2, 0.15, 0.1, 0.05, 0.02)),
     "long_words": ("word_chars / greatest(n_words, 1)", (40, 30, 25, 20, 16, 14, 12, 11, 10)),
 }
-#: Allowed false rejection of good documents over all rules together, and the level of the test.
-MAX_REJECTION, LEVEL = 0.02, 0.05
+#: The path: (rule, cutoff) by how far a cutoff is along its rule's list.
+PATH = [(rule, float(cut)) for _, _, rule, cut in sorted(((i + 1) / len(cuts), k, rule, cut) for k, (rule, (_, cuts)) in enumerate(RULES.items()) for i, cut in enumerate(cuts))]
+#: Allowed false rejection of good documents over all rules together, the level of the test, and
+#: the good documents that a stratum needs to be tested by itself.
+MAX_REJECTION, LEVEL, LEAST = 0.03, 0.05, 200
 #: Strata up to which the cutoffs are broadcast; beyond, they are joined by shuffle.
 BROADCAST_STRATA = 10_000
 
@@ -98,38 +107,53 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
     start = F.struct(first.cast("double").alias("term"), first.cast("double").alias("sum"))
     summed = F.aggregate(F.sequence(F.lit(1), k.cast("int")), start, step)["sum"]
-    return F.when(k == 0, F.exp(first)).when(k > n * p, F.lit(1.0)).otherwise(F.exp(summed))
+    return F.when(k == 0, F.exp(first.cast("double"))).when(k > n * p, F.lit(1.0)).otherwise(F.exp(summed))
 
 
-def certify(measured: DataFrame, good: DataFrame, max_rejection: float = MAX_REJECTION, level: float = LEVEL) -> DataFrame:
-    """stratum and one cutoff for each rule (infinite where none is certified).
+def fails_at() -> Column:
+    """The first step of the path that rejects a text (from 1), null if none does."""
+    first = {rule: F.lit(None).cast("int") for rule in RULES}
+    for step, (rule, cut) in reversed(list(enumerate(PATH, 1))):
+        first[rule] = F.when(F.expr(RULES[rule][0]) > cut, step).otherwise(first[rule])
+    return F.least(*first.values())
+
+
+def certify(measured: DataFrame, good: DataFrame, max_rejection: float = MAX_REJECTION, level: float = LEVEL, least: int = LEAST) -> DataFrame:
+    """stratum, n (good documents of its test), certified (steps of the path), and the cutoff of
+    each rule at that step, infinite where there is none.
 
     Documents that already fail the base rules are no evidence for the cutoffs.
     """
     held = measured.join(good.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("not base_failed")
-    over = [F.count_if(F.expr(number) > cut).alias(f"{rule}_{i}") for rule, (number, cuts) in RULES.items() for i, cut in enumerate(cuts)]
-    counted = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over)
-    tests = sum(len(cuts) for _, cuts in RULES.values())
-    n_strata = max(1, counted.count())
-    share = max_rejection / len(RULES)
-    small = level / (tests * n_strata)
+    by_stratum = materialize(held.groupBy("stratum", "fails_at").agg(F.count(F.lit(1)).alias("n")))
+    size = materialize(by_stratum.groupBy("stratum").agg(F.sum("n").alias("n")).withColumn("test", F.when(F.col("n") >= least, F.col("stratum"))))
+    tests = size.groupBy("test").agg(F.sum("n").alias("n"))
+    small = level / max(1, tests.count())
+    step = F.explode(F.sequence(F.lit(1), F.lit(len(PATH)))).alias("step")
+    rejected = by_stratum.filter("fails_at is not null").join(size.select("stratum", "test"), "stratum").select("test", "n", F.explode(F.sequence("fails_at", F.lit(len(PATH)))).alias("step"))
+    rejected = rejected.groupBy(F.col("test").alias("of"), F.col("step").alias("at")).agg(F.sum("n").alias("k"))
+    tested = tests.select("test", "n", step).join(rejected, F.col("test").eqNullSafe(F.col("of")) & (F.col("step") == F.col("at")), "left")
+    unsure = F.when(binomial_cdf(F.coalesce("k", F.lit(0)), F.col("n"), max_rejection) > small, F.col("step") - 1)
+    found = tested.groupBy(F.col("test").alias("of"), "n").agg(F.coalesce(F.min(unsure), F.lit(len(PATH))).alias("certified"))
     cutoffs = []
-    for rule, (_, cuts) in RULES.items():
-        strictest = F.lit(float("inf"))
-        for i, cut in enumerate(cuts):
-            strictest = F.when(binomial_cdf(F.col(f"{rule}_{i}"), F.col("n"), share) <= small, F.lit(float(cut))).otherwise(strictest)
-        cutoffs.append(strictest.alias(f"max_{rule}"))
-    return counted.select("stratum", "n", *cutoffs)
-
-
-def judge(docs: DataFrame, labels: DataFrame, max_rejection: float = MAX_REJECTION, level: float = LEVEL) -> DataFrame:
-    """One row per document: the counts, base_failed and kept. `labels`: doc_id, quality (1: good)."""
+    for rule in RULES:
+        reached = F.lit(float("inf"))
+        for step, (name, cut) in enumerate(PATH, 1):
+            if name == rule:
+                reached = F.when(F.col("certified") >= step, cut).otherwise(reached)
+        cutoffs.append(reached.alias(f"max_{rule}"))
+    joined = size.select("stratum", "test").join(found, F.col("test").eqNullSafe(F.col("of")))
+    return joined.select("stratum", "n", "certified", *cutoffs)
+
+
+def judge(docs: DataFrame, labels: DataFrame, max_rejection: float = MAX_REJECTION, level: float = LEVEL, least: int = LEAST) -> DataFrame:
+    """One row per document: the counts, base_failed and kept; then the first step of the path that
+    rejects it (null: none) and the steps certified in its stratum. `labels`: doc_id, quality (1:
+    good)."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    measured = materialize(features(docs).withColumn("base_failed", failed))
-    cutoffs = materialize(certify(measured, labels.filter("quality = 1"), max_rejection, level))
-    small = F.broadcast(cutoffs) if cutoffs.count() <= BROADCAST_STRATA else cutoffs
-    bad = F.lit(False)
-    for rule, (number, _) in RULES.items():
-        bad = bad | (F.expr(number) > F.coalesce(f"max_{rule}", F.lit(float("inf"))))
-    kept = ~F.col("base_failed") & ~bad
-    return measured.join(small, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    measured = materialize(features(docs).withColumn("base_failed", failed).withColumn("fails_at", fails_at()))
+    steps = materialize(certify(measured, labels.filter("quality = 1"), max_rejection, level, least)).select("stratum", "certified")
+    small = F.broadcast(steps) if steps.count() <= BROADCAST_STRATA else steps
+    joined = measured.join(small, "stratum", "left").withColumn("certified", F.coalesce("certified", F.lit(0)))
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("fails_at") <= F.col("certified"), F.lit(False))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "fails_at", "certified")

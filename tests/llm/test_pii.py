@@ -57,6 +57,7 @@ TRICKY = [
     "a." * 20000 + "@",
     "x@" + "y." * 9000 + "z",
     "+1" + " (" * 20000,
+    " ".join(f"u{i}@host{i % 7}.org, 10.0.{i % 300}.1;" for i in range(16_000)),
 ]
 
 
@@ -77,3 +78,13 @@ def test_odd_rows_and_redaction(spark, odd_docs, no_docs):
     out = pii.redact(spark.createDataFrame([(1, "mail x@y.zz or 1.2.3.4!", "k"), (2, None, "k")], "doc_id long, text string, spans string")).orderBy("doc_id").collect()
     assert [r.text for r in out] == ["mail <email> or <ip>!", None]
     assert pii.redact(odd_docs).count() == odd_docs.count()
+
+
+def test_whole_words_nearby_decide(spark):
+    texts = ["the login host is 10.0.0.1 here", "shipped hotels 10.0.0.1 repay", "call +1 202 555 0170", "total +1 202 555 0170"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r.doc_id: r.scores for r in pii.report(docs).collect()}
+    assert [scores[i].split(":")[-1] for i in range(4)] == ["0.70", "0.60", "0.80", "0.70"]
+    out = [r.text for r in pii.redact(docs, 0.7).orderBy("doc_id").collect()]
+    assert out == ["the login host is <ip> here", texts[1], "call <phone>", "total <phone>"]
+    assert [r.text for r in pii.redact(docs, 2.0).orderBy("doc_id").collect()] == texts

@@ -34,25 +34,36 @@ def verdicts(docs, good):
         "long_words": lambda c: c[1] / max(c[0], 1),
     }
     rows = [(d, lang or "und", counts(t)) for d, t, lang in docs]
-    held = [(s, c) for d, s, c in rows if d in good and not c[5]]
-    strata = {s for s, _ in held}
-    tests = sum(len(c) for _, c in quality_rules.RULES.values())
-    cut = {}
-    for s in strata:
-        mine = [c for t, c in held if t == s]
-        for rule, (_, cuts) in quality_rules.RULES.items():
-            cut[s, rule] = math.inf
-            for x in cuts:
-                k = sum(rules[rule](c) > x for c in mine)
-                if cdf(k, len(mine), quality_rules.MAX_REJECTION / len(rules)) <= quality_rules.LEVEL / tests / len(strata):
-                    cut[s, rule] = float(x)
-    return sorted((d, *c[:6], not c[5] and all(f(c) <= cut.get((s, r), math.inf) for r, f in rules.items())) for d, s, c in rows)
+    first = lambda c: min((i for i, (r, cut) in enumerate(quality_rules.PATH, 1) if rules[r](c) > cut), default=None)
+    held = [(s, first(c)) for d, s, c in rows if d in good and not c[5]]
+    size = Counter(s for s, _ in held)
+    test = {s: s if n >= quality_rules.LEAST else None for s, n in size.items()}
+    certified = {}
+    for t in set(test.values()):
+        mine = [f for s, f in held if test[s] == t]
+        certified[t] = 0
+        for step in range(1, len(quality_rules.PATH) + 1):
+            k = sum(f is not None and f <= step for f in mine)
+            if cdf(k, len(mine), quality_rules.MAX_REJECTION) > quality_rules.LEVEL / len(set(test.values())):
+                break
+            certified[t] = step
+    steps = {s: certified[test[s]] for s in test}
+    return sorted(((d, *c[:6], not c[5] and not (first(c) and first(c) <= steps.get(s, 0)), first(c), steps.get(s, 0)) for d, s, c in rows), key=str)
 
 
 def test_query(spark):
     docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
-    assert sorted(map(tuple, queries.op3_quality_rules(spark, SF).collect())) == verdicts(docs, good)
+    assert sorted(map(tuple, queries.op3_quality_rules(spark, SF).collect()), key=str) == verdicts(docs, good)
+
+
+def test_the_method_rejects_and_keeps_its_promise(spark):
+    folder = "/root/testdata/sf0.01"
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = queries.op3_quality_rules(spark, folder).collect()
+    assert any(not r.kept and not r.base_failed for r in rows)
+    good = [r for r in rows if quality.get(r.doc_id) == 1 and not r.base_failed]
+    assert sum(not r.kept for r in good) <= quality_rules.MAX_REJECTION * len(good)
 
 
 def test_cutoffs_need_evidence(spark):
@@ -66,6 +77,18 @@ def test_cutoffs_need_evidence(spark):
     assert not kept[2000] and kept[2001] and kept[2002] and kept[2003] and kept[5]
 
 
+def test_small_strata_are_tested_together(spark):
+    """Three languages of 90 good documents each certify as one what none of them could alone."""
+    text, junk = (" ".join(f"w{i}{x}" for i in range(30)) for x in ("", "***"))
+    docs = [(i, text, f"l{i % 3}") for i in range(270)] + [(300 + k, junk, f"l{k}") for k in range(4)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(270)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(frame, labels).collect()}
+    assert [kept[300 + k] for k in range(4)] == [False, False, False, True] and all(kept[i] for i in range(270))
+    few = {r.doc_id: r.kept for r in quality_rules.judge(frame, labels.filter("doc_id < 60")).collect()}
+    assert all(few.values())
+
+
 def test_binomial(spark):
     rows = [(k, n) for n in (1, 7, 300, 5000) for k in (0, 1, 3, 10) if k <= n]
     found = spark.createDataFrame(rows, "k long, n long").select("k", "n", quality_rules.binomial_cdf(F.col("k"), F.col("n"), 0.005).alias("p")).collect()
@@ -77,6 +100,6 @@ def test_binomial(spark):
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 1), (99, None), (None, 1)], "doc_id long, quality int")
     docs = [(r.doc_id, r.text, r.lang) for r in odd_docs.collect()]
-    assert sorted(map(tuple, quality_rules.judge(odd_docs, labels).collect())) == verdicts(docs, {1})
+    assert sorted(map(tuple, quality_rules.judge(odd_docs, labels).collect()), key=str) == verdicts(docs, {1})
     assert quality_rules.judge(no_docs, labels).collect() == []
     assert quality_rules.judge(odd_docs, labels.limit(0)).count() == odd_docs.count()
