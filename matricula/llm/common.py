@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, new_path, scratch, shared_dir
+
+__all__ = ["WORD", "WORD_BREAK", "bitmap", "crc_rest", "in_bitmap", "materialize", "new_path", "per_batch", "release", "scratch", "shared_dir", "slices", "table"]
+
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,30 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only where it is unset (tests, a single machine) a folder is made and set.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="matricula-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and return it as read back.
-
-    Later reads do not depend on the executors that computed it, and its lineage ends here.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matricula/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, text_column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about `limit` bytes of text each (one row at least)."""
     size = batch.column(text_column).nbytes
@@ -83,3 +62,28 @@ def per_batch(df: DataFrame, text_column: str, make: Callable[[], Callable[[pa.R
 def crc_rest(column: str, modulus: int):
     """crc32 of an id written as text, modulo `modulus`: the fixed split of labelled rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which of `bits` residues (a power of two) occur among the numbers of a column, as packed
+    bits; rows are put into maps by the executors."""
+    bit = F.pmod(column, F.lit(bits))
+    maps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros((bits >> 3) + 4096, dtype=np.uint8)
+    low = np.zeros(1, dtype=np.uint8)
+    for row in maps.collect():  # `bits` at most
+        if row["bucket"] == 0:
+            low[0] |= row["bits"][0] & 1  # bucket 0 holds the number 0 alone
+            continue
+        start = ((row["bucket"] - 1) * 32768 + 1) >> 3  # bucket b starts at (b - 1) * 32768 + 1
+        found = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), bitorder="little")
+        moved = np.packbits(np.concatenate([np.zeros(1, np.uint8), found]), bitorder="little")
+        out[start : start + len(moved)] |= moved
+    out[0] |= low[0]
+    return out
+
+
+def in_bitmap(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the residue of each number (signed) is in a bitmap."""
+    at = keys & ((len(packed) - 4096) * 8 - 1)
+    return ((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)

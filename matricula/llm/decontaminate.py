@@ -1,16 +1,18 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores.
 
-The test items are small beside the corpus (their size is checked, and larger sets are worked
-off in blocks of items); their seeds go to every task, and the corpus is read once, where it
-lies. Every word n-gram of an item is a seed, however common its words are, so that an item is
-found however often the corpus holds it and however small the corpus is.
+Texts are read twice where they lie. The first pass counts in how many documents each word n-gram of
+an item occurs. In every stretch of `STRETCH` n-grams of an item that occur at all, the rarest half
+become its seeds, so that each item that can be found has some, however common its words are and
+however often the corpus holds it. The second pass cuts out the passages around seeds, wide enough
+for the longest item; they meet the items in a join on the seeds (salted, as a copied item's seeds
+may be everywhere). In both passes a bitmap of fixed size keeps n-grams out that no item has.
 
-Each run of seed hits of an item is aligned locally, word by word, against the text around it,
-so that replaced, inserted and lost words only lower the score. The score is the alignment's
-share of the best possible, and counts from `min_score` on. Text that has too few of the item's
-words for that score in any order is not aligned, which loses nothing.
+Each passage is aligned locally, word by word, with the items that it met, so that replaced, inserted
+and lost words only lower the score. The score is the alignment's share of the best possible; it
+counts from `min_score` on, or where it is worth `EXCERPT` words without an error, as of a long item.
+Passages with too few of an item's words for that in any order are not aligned, which loses nothing.
 
-Words are compared in lower case (ASCII), without marks at either end.
+Words are compared in lower case (ASCII), without marks at either end, by 64-bit hashes.
 
 Defined results: null or blank texts and items match nothing. Equal items are reported each;
 repeated rows give repeated results; a null doc_id is reported as null. Items with fewer words
@@ -21,19 +23,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import per_batch
+from .common import bitmap, in_bitmap, materialize, per_batch
 
-SEED = 3
-MIN_SCORE = 0.4
+SEED, STRETCH = 3, 8
+MIN_SCORE, EXCERPT = 0.4, 30
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bytes of test items that one pass over the corpus takes.
-ITEM_BYTES = 16 << 20
+#: Bits of the bitmap over n-grams, and parts into which rows of one seed or item are dealt.
+BITMAP_BITS, SALTS = 1 << 25, 8
 
 _STRIP = b".,;:!?\"'()[]{}<>*#$%&|-"
-_HIT = "doc_id long, item_id long, score double, first_word int, last_word int"
+_ITEM = "item long, item_id long, words string, n int, grams array<long>"
+_PASSAGE = "passage long, row long, doc_id long, first int, words string, grams array<long>"
+_HIT = "row long, doc_id long, item long, item_id long, score double, first_word int, last_word int"
+_MULTIPLY = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,57 +48,132 @@ def words_of(text: str | None) -> list[bytes]:
     return [x for x in found if x]
 
 
-class Seeds:
-    """Numbered words of some items, and the places of their n-grams, sorted by n-gram."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]], n: int = SEED) -> None:
-        self.n, self.items = n, items
-        self.number = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-        self.base = len(self.number) + 1
-        self.coded = [np.array([self.number[w] for w in ws], dtype=np.int64) for _, ws in items]
-        self.known = [np.unique(c, return_counts=True) for c in self.coded]
-        keys, places = [], []
-        for k, (_, ws) in enumerate(items):
-            size = min(n, len(ws))
-            for at in range(len(ws) - size + 1 if ws else 0):
-                keys.append(self.key(self.coded[k][at : at + size]))
-                places.append((k, at))
-        order = np.argsort(np.array(keys, dtype=np.uint64), kind="stable")
-        self.keys = np.array(keys, dtype=np.uint64)[order]
-        self.places = np.array(places, dtype=np.int64).reshape(-1, 2)[order]
-        self.short = sorted({len(ws) for _, ws in items if 0 < len(ws) < n})
-
-    def key(self, codes: np.ndarray) -> int:
-        out = 0
-        for c in codes.tolist():
-            out = (out * self.base + c) & 0xFFFFFFFFFFFFFFFF
+class _Hashes(dict):
+    """Hash of each word as it stands in a text; 0 for a word that is nothing but marks."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        bare = word.strip(_STRIP)
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = (xxh64_intdigest(bare) or 1) if bare else 0
         return out
 
-    def most(self, k: int, codes: np.ndarray) -> int:
-        """A score that no alignment of item `k` with a text exceeds: that of their shared words."""
-        words, count = self.known[k]
-        at = np.minimum(np.searchsorted(words, codes), len(words) - 1)
-        return MATCH * int(np.minimum(np.bincount(at[words[at] == codes], minlength=len(words)), count).sum())
-
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a text (word numbers, 0: no item has the word), and seeds met there."""
-        at, seed = [], []
-        for n in (self.n, *self.short):
-            if len(codes) < n:
-                continue
-            key, known = np.zeros(len(codes) - n + 1, np.uint64), np.ones(len(codes) - n + 1, bool)
-            for i in range(n):
-                part = codes[i : len(codes) - n + 1 + i]
-                key = key * np.uint64(self.base) + part.astype(np.uint64)
-                known &= part > 0
-            where = np.flatnonzero(known)
-            low, high = (np.searchsorted(self.keys, key[where], side=s) for s in ("left", "right"))
-            many = high - low
-            at.append(np.repeat(where, many))
-            seed.append(np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-        if not at:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(at), np.concatenate(seed)
+
+def codes_of(words: list[bytes], hashes: _Hashes) -> np.ndarray:
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def gram_keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of `n` words, as signed numbers."""
+    if len(codes) < n:
+        return np.zeros(0, np.int64)
+    h = np.full(len(codes) - n + 1, n, dtype=np.uint64)
+    for i in range(n):
+        h = (h ^ codes[i : len(codes) - n + 1 + i]) * _MULTIPLY[i]
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def prepared(benchmark: DataFrame, n: int = SEED) -> DataFrame:
+    """Items with words: a number, item_id, words, how many, and the hash of each n-gram in order."""
+
+    def make():
+        hashes, task, number = _Hashes(), TaskContext.get().partitionId() << 40, 0
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal number
+            rows = []
+            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if words := words_of(text):
+                    rows.append((task + number, item_id, b" ".join(words).decode("utf-8", "replace"), len(words), gram_keys(codes_of(words, hashes), min(n, len(words)))))
+                    number += 1
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64())]
+            return pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["item", "item_id", "words", "n", "grams"])
+
+        return work
+
+    source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    return per_batch(source, "text", make, _ITEM)
+
+
+class _Finder:
+    """Where a text has n-grams that a bitmap holds."""
+
+    def __init__(self, bits: np.ndarray, lengths: list[int]) -> None:
+        self.bits, self.lengths, self.hashes = bits, lengths, _Hashes()
+
+    def __call__(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words that are not only marks, and places and hashes of the n-grams."""
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        codes = codes_of(words, self.hashes)
+        if not codes.all():
+            words = [w for w, c in zip(words, codes.tolist(), strict=True) if c]
+            codes = codes[codes != 0]
+        places, keys = [], []
+        for n in self.lengths:
+            key = gram_keys(codes, n)
+            at = np.flatnonzero(in_bitmap(self.bits, key))
+            places.append(at)
+            keys.append(key[at])
+        return words, np.concatenate(places), np.concatenate(keys)
+
+
+def document_counts(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
+    """gram and n: in how many rows of `docs` each n-gram of the bitmap occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make():
+        find = _Finder(shared.value, lengths)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.unique(find(t)[2]) for t in batch.column("text").to_pylist()]
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.record_batch([pa.array(keys), pa.array(n)], ["gram", "n"])
+
+        return work
+
+    return per_batch(docs.select("text"), "text", make, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def choose_seeds(items: DataFrame, counts: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """gram and item: of the n-grams of an item that occur, the rarest half in every stretch."""
+    grams = items.select("item", F.posexplode("grams").alias("place", "gram"))
+    seen = grams.join(counts, "gram").groupBy("item", "gram").agg(F.min("place").alias("place"), F.min("n").alias("n"))
+    order = W.partitionBy("item", F.floor(F.col("place") / stretch)).orderBy("n", "place")
+    return seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, stretch // 2)).select("gram", "item")
+
+
+def passages(docs: DataFrame, bits: np.ndarray, lengths: list[int], reach: int) -> DataFrame:
+    """Stretches of the texts within `reach` words of a seed, with the seeds in them."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make():
+        find, task, row, number = _Finder(shared.value, lengths), TaskContext.get().partitionId() << 40, 0, 0
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal row, number
+            out = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words, places, keys = find(text)
+                row += 1
+                if not len(places):
+                    continue
+                order = np.argsort(places, kind="stable")
+                places, keys = places[order], keys[order]
+                starts = np.flatnonzero(np.r_[True, np.diff(places) > 2 * reach])
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(places)], strict=True):
+                    first = max(0, int(places[a]) - reach)
+                    told = b" ".join(words[first : int(places[b - 1]) + reach + 1])
+                    out.append((task + number, task + row, doc_id, first, told.decode("utf-8", "replace"), np.unique(keys[a:b])))
+                    number += 1
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+            return pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], ["passage", "row", "doc_id", "first", "words", "grams"])
+
+        return work
+
+    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", make, _PASSAGE)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -120,80 +202,63 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, span[0], span[1]
 
 
-def _windows(at: np.ndarray, offset: np.ndarray, size: int, slack: int, length: int) -> list[tuple[int, int]]:
-    """Stretches of the text that may hold an item, from hits at `at` of its words `offset`."""
-    starts = np.sort(at - offset)
-    out: list[list[int]] = []
-    for s in starts.tolist():
-        a, b = max(0, s - slack), min(length, s + size + slack)
-        if out and a <= out[-1][1] - slack and b - out[-1][0] <= 3 * (size + 2 * slack):
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def shared_most(item: np.ndarray, text: np.ndarray) -> int:
+    """A score that no alignment of an item with a text exceeds: that of their shared words."""
+    words, count = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    return MATCH * int(np.minimum(np.bincount(at[words[at] == text], minlength=len(words)), count).sum())
+
+
+def _aligned(min_score: float):
+    def run(batches):
+        hashes = _Hashes()
+        code = lambda text: codes_of(text.encode("utf-8", "surrogatepass").split(), hashes).view(np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part, found = batch.slice(start, 1000).to_pylist(), []
+                known: dict[str, np.ndarray] = {}
+                for r in part:
+                    item = known[r["asked"]] if r["asked"] in known else known.setdefault(r["asked"], code(r["asked"]))
+                    text = code(r["words"])
+                    least = min(min_score * MATCH * len(item), MATCH * EXCERPT)
+                    if shared_most(item, text) < least:
+                        continue
+                    score, first, last = align(item, text)
+                    if score >= least:
+                        found.append((r["row"], r["doc_id"], r["item"], r["item_id"], score / (MATCH * len(item)), r["first"] + first, r["first"] + last))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
+                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 7, types, strict=True)], ["row", "doc_id", "item", "item_id", "score", "first_word", "last_word"])
+
+    return run
 
 
 def find(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word: the best match of each item in each text.
 
-    `benchmark`: item_id, text. Every `ITEM_BYTES` of items take one more pass over the corpus.
+    `benchmark`: item_id, text.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // ITEM_BYTES))
-    out = None
-    for b in range(blocks):
-        rows = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about ITEM_BYTES
-        items = [(r["item_id"], ws) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"])) if (ws := words_of(r["text"]))]
-        seeds = spark.sparkContext.broadcast(Seeds(items))
-        found = per_batch(source, "text", lambda seeds=seeds: _matcher(seeds.value, min_score), _HIT)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _matcher(seeds: Seeds, min_score: float):
-    raw: dict[bytes, int] = {}
-
-    def number(word: bytes) -> int:
-        """The word's number, -1 for a word that is nothing but marks."""
-        bare = word.strip(_STRIP)
-        out = seeds.number.get(bare, 0) if bare else -1
-        if len(raw) > 500_000:
-            raw.clear()
-        raw[word] = out
-        return out
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: list[tuple] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            split = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            codes = np.array([raw[w] if w in raw else number(w) for w in split], dtype=np.int64)
-            codes = codes[codes >= 0]
-            at, seed = seeds.hits(codes)
-            if not len(at):
-                continue
-            places = seeds.places[seed]
-            for k in np.unique(places[:, 0]).tolist():
-                mine = places[:, 0] == k
-                item = seeds.coded[k]
-                best = (0, 0, 0)
-                for a, b in _windows(at[mine], places[mine, 1], len(item), len(item) // 2 + 4, len(codes)):
-                    if seeds.most(k, codes[a:b]) / (MATCH * len(item)) < min_score:
-                        continue
-                    score, first, last = align(item, codes[a:b])
-                    best = max(best, (score, a + first, a + last), key=lambda x: x[0])
-                share = best[0] / (MATCH * len(item))
-                if share >= min_score:
-                    found.append((doc_id, seeds.items[k][0], share, best[1], best[2]))
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
-        return pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 5, types, strict=True)], ["doc_id", "item_id", "score", "first_word", "last_word"])
-
-    return work
+    items = materialize(prepared(benchmark))
+    lengths = sorted(r[0] for r in items.select(F.least("n", F.lit(SEED)).alias("n")).distinct().collect())  # SEED rows at most
+    longest = items.agg(F.max("n")).first()[0]
+    if longest is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word int, last_word int")
+    grams = items.select(F.explode("grams").alias("gram"))
+    counts = materialize(document_counts(docs, bitmap(grams, "gram", BITMAP_BITS), lengths))
+    seeds = materialize(choose_seeds(items, counts))
+    cut = materialize(passages(docs, bitmap(seeds, "gram", BITMAP_BITS), lengths, longest + longest // 2 + 4))
+    salt = F.pmod("passage", F.lit(SALTS)).alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    asked = cut.select("passage", salt, F.explode("grams").alias("gram"))
+    met = materialize(asked.join(seeds.select("gram", "item", every), ["gram", "salt"]).select("passage", "item").distinct())
+    pairs = met.join(cut.drop("grams"), "passage").withColumn("salt", salt)
+    pairs = pairs.join(items.select("item", "item_id", F.col("words").alias("asked"), every), ["item", "salt"])
+    pairs = pairs.select("row", "doc_id", "first", "words", "item", "item_id", "asked")
+    hits = pairs.mapInArrow(_aligned(min_score), _HIT)
+    best = hits.groupBy("row", "item").agg(F.max_by(F.struct("doc_id", "item_id", "score", "first_word", "last_word"), F.struct("score", -F.col("first_word"))).alias("best"))
+    return best.select("best.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` in which no test item is found; rows without a doc_id stay."""
-    gone = find(docs, benchmark).select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
+    gone = materialize(find(docs, benchmark).select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct())
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left_anti")

@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: Documents that the network is trained on, at most, and the windows taken from each.
 SAMPLE, WINDOWS_EACH = 3000, 3
 _LETTER = r"\pL"
-#: Languages that are learned, at most.
+#: Languages that are learned, at most: those with the most texts.
 LANGUAGES = 1000
 #: The share of a language's letter trigrams, the commonest first, that are usual in it; signs of a
 #: text that count as usual before any is seen; the low quantile of held-out texts that, times the
@@ -158,7 +158,7 @@ def _sampled(labelled: DataFrame, sample: int) -> tuple[list[str], DataFrame | N
 
     usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
     keys = usable.select("lang", F.xxhash64("text").alias("h")).distinct()
-    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], None
@@ -275,7 +275,7 @@ def keep_known(docs: DataFrame, quantile: float = QUANTILE, margin: float = MARG
     held = docs.filter((crc_rest("doc_id", 3) == 1) & F.col("lang").isNotNull() & F.col("text").rlike(_LETTER)).select("lang", "text")
     found = familiar(held, bits, share)
     low = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(share, quantile, 10000).alias("low"))
-    by_lang = {r["lang"]: (r["n"], r["low"]) for r in low(found.groupBy("lang")).limit(LANGUAGES).collect()}
+    by_lang = {r["lang"]: (r["n"], r["low"]) for r in low(found.groupBy("lang")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     limit_of = F.lit(low(found).first()["low"] or 0.0)
     own = [F.lit(x) for lang, (n, q) in by_lang.items() if n >= least for x in (lang, q)]
     if own:

@@ -3,7 +3,8 @@
 Documents become sequences of line hashes. A line of at least `seed_words` words that several
 documents share is a seed, and so is a run of two lines or more that comes to as many words; each
 document that has it is paired with the first that has it (the smallest doc_id), so that pairs
-stay in proportion to the lines, whatever the size of a group. Each pair is aligned by patience
+stay in proportion to the lines, whatever the size of a group; a line needs not be rare for that, and
+common passages are not lost. Each pair is aligned by patience
 diff: lines unique in both and in the same order anchor the alignment, gaps are aligned in the same
 way, and those without a unique line by their longest common runs. Stretches that stay unaligned
 are aligned once more, so that repeated and moved blocks are found. Aligned lines of the later
@@ -32,6 +33,8 @@ from .common import materialize, per_batch
 
 SEED_WORDS = 8
 BLOCK_WORDS = 40
+#: A line, or a first holder, is heavy with more than one in HEAVY of all rows; SALTS parts of it.
+HEAVY, SALTS = 1000, 32
 
 _LINES = "doc_id long, hashes array<long>, words array<int>, runs array<long>"
 
@@ -161,12 +164,21 @@ def _stretches(taken: list[int], start: int, end: int) -> list[tuple[int, int]]:
 
 
 def overlaps(lines: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
-    """Pairs of documents (first, later) that share a seed line or run, each pair once."""
+    """Pairs of documents (first, later) that share a seed line or run, each pair once.
+
+    Seeds that hold more than one in HEAVY of all rows, HEAVY at most, are looked up in a broadcast
+    table, so that no task gets all rows of a common line; the others are joined by shuffle.
+    """
     long = F.transform(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= seed_words), lambda x: x["hashes"])
-    seeds = lines.select("doc_id", F.explode(F.concat(long, "runs")).alias("line"))
-    first = seeds.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    first = materialize(first.select("line", "first"))
-    return seeds.join(first, "line").filter("first < doc_id").select("first", F.col("doc_id").alias("later")).distinct()
+    seeds = lines.select("doc_id", F.explode(F.array_distinct(F.concat(long, "runs"))).alias("line"))
+    first = seeds.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last")
+    first = materialize(first.select("line", "first", "n"))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    heavy = first.filter(F.col("n") > total / HEAVY).select("line", F.col("first").alias("heavy_first"))  # HEAVY rows at most
+    marked = seeds.join(F.broadcast(heavy), "line", "left")
+    light = marked.filter("heavy_first is null").join(first.select("line", "first"), "line")
+    met = light.select("first", "doc_id").unionByName(marked.filter("heavy_first is not null").select(F.col("heavy_first").alias("first"), "doc_id"))
+    return met.filter("first < doc_id").select("first", F.col("doc_id").alias("later")).distinct()
 
 
 def repeated_lines(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -179,7 +191,13 @@ def repeated_lines(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: i
     wanted = pairs.select(F.col("later").alias("doc_id")).union(pairs.select(F.col("first").alias("doc_id"))).distinct()
     texts = lines.join(wanted, "doc_id", "left_semi")
     one = materialize(texts.select("doc_id", "hashes", "words").dropDuplicates(["doc_id"]))
-    early = one.select(F.col("doc_id").alias("first"), F.col("hashes").alias("early"))
+    # documents that open more than one in HEAVY of all pairs are copied into SALTS parts
+    busy = pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    busy = busy.filter(F.col("n") > pairs.count() / HEAVY).select("first", F.lit(SALTS).alias("parts"))  # HEAVY rows at most
+    deal = lambda df: df.join(F.broadcast(busy), "first", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    pairs = deal(pairs).withColumn("part", F.pmod(F.xxhash64("later"), F.col("parts")).cast("int")).drop("parts")
+    early = deal(one.select(F.col("doc_id").alias("first"), F.col("hashes").alias("early")))
+    early = early.select("first", "early", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     late = one.select(F.col("doc_id").alias("later"), F.col("hashes").alias("late"), "words")
 
     def align(batches):
@@ -190,7 +208,7 @@ def repeated_lines(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: i
                 found = [shared_lines(a, b, n, block_words) for a, b, n in zip(*sides, strict=True)]
                 yield pa.record_batch([part.column("later"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "same"])
 
-    aligned = pairs.join(early, "first").join(late, "later").select("later", "early", "late", "words").mapInArrow(align, "doc_id long, same array<int>")
+    aligned = pairs.join(early, ["first", "part"]).join(late, "later").select("later", "early", "late", "words").mapInArrow(align, "doc_id long, same array<int>")
     merged = aligned.select("doc_id", F.explode("same").alias("line")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("same"))
 
     def runs(batches):

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices
+from .common import bitmap, in_bitmap, materialize, release, slices
 
 ORDER = 5
 #: Grams that are looked up without a join, at most; bits of the bitmaps over ids and over grams.
@@ -93,33 +93,20 @@ def distinct_windows(characters: np.ndarray, sizes: np.ndarray, skip: int):
         yield characters[first[:, None] + back], window, owner[places]
 
 
-def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Which of BITMAP_BITS residues occur among the numbers of a column, as packed bits."""
-    bit = F.pmod(column, F.lit(BITMAP_BITS))
-    maps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    full = np.zeros(BITMAP_BITS + 32768, dtype=bool)
-    for row in maps.collect():  # BITMAP_BITS at most
-        start = (row["bucket"] - 1) * 32768 + 1 if row["bucket"] else 0
-        found = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), bitorder="little")
-        full[max(0, start) : max(0, start) + len(found)] |= found.astype(bool)
-    return np.packbits(full)
-
-
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and text of the documents that are labelled good. Only those that pass a bitmap over
     the ids are shuffled."""
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(good.select(F.xxhash64("doc_id").alias("h")), "h"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(good.select(F.xxhash64("doc_id").alias("h")), "h", BITMAP_BITS))
 
     def may(batches):
-        known = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            keep = known[batch.column("bit").to_numpy()]
+            keep = in_bitmap(shared.value, batch.column("h").to_numpy())
             if keep.any():
                 yield batch.filter(pa.array(keep)).select(["doc_id", "text"])
 
     source = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    passed = source.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))).mapInArrow(may, "doc_id long, text string")
+    passed = source.withColumn("h", F.xxhash64("doc_id")).mapInArrow(may, "doc_id long, text string")
     return passed.join(good.hint("merge"), "doc_id", "left_semi")
 
 
@@ -237,7 +224,7 @@ def count_and_score(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bi
         keys, numbers, packed = shared.value
         if not len(keys):
             keys, numbers = np.zeros(1, np.uint64), np.zeros(1)
-        may, task, row = np.unpackbits(packed).astype(bool), TaskContext.get().partitionId(), 0
+        task, row = TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 n_docs = batch.num_rows
@@ -250,7 +237,7 @@ def count_and_score(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bi
                         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                         hit = keys[at] == key
                         value += np.where(hit, numbers[at], 0.0)
-                        missing.append((key, ~hit & may[(key.view(np.int64) % BITMAP_BITS)]))
+                        missing.append((key, ~hit & in_bitmap(packed, key.view(np.int64))))
                     total += np.bincount(owner, weights=value[window], minlength=n_docs)
                     some = np.logical_or.reduce([m for _, m in missing])[window]
                     if some.any():
@@ -278,7 +265,7 @@ def likelihoods(docs: DataFrame, counts: DataFrame, top: int = TOP) -> DataFrame
     numbers, floor = kneser_ney(counts)
     model = materialize(keyed(numbers))
     frequent, rest = split_model(model, top)
-    scored = materialize(count_and_score(docs, frequent, _bitmap(rest, "key")))
+    scored = materialize(count_and_score(docs, frequent, bitmap(rest, "key", BITMAP_BITS)))
     one = F.explode(F.arrays_zip("keys", "counts"))
     asked = scored.filter(F.size("keys") > 0).select("row", one.alias("one")).select("row", F.col("one.keys").alias("key"), F.col("one.counts").alias("n"))
     added = asked.join(rest.select("key", "number").hint("merge"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("number")).alias("more"))

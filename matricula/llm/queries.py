@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, langid, linededup, oracle, packing, perplexity, pii, quality_rules, simhash, simple8b, toxicity
-from .common import shared_dir, table
+from .common import new_path, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +29,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/matricula/ids-{uuid.uuid4().hex}"
+    path = new_path(spark, "ids-")
     simple8b.write_ids(table(spark, sf_dir, "documents"), path)
     return simple8b.read_ids(spark, path)
 

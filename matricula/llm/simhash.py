@@ -34,6 +34,8 @@ RADIUS = 4
 #: Largest meeting in a half variant whose pairs are compared one by one; beyond it the full
 #: ball (2,081 variants for each) is cheaper.
 PAIRWISE = 48
+#: Rows of variants that a task sorts, about.
+PART_ROWS = 8_000_000
 
 _HALF_FLIPS = np.array([0] + [1 << k for k in range(32)], dtype=np.uint64)
 _BALL = np.array([0] + [1 << k for k in range(64)] + [(1 << a) | (1 << b) for a, b in combinations(range(64), 2)], dtype=np.uint64)
@@ -158,10 +160,12 @@ def links(fps: DataFrame) -> DataFrame:
     """Links between distinct fingerprints (column fp), enough to join all within the radius."""
     spark = fps.sparkSession
     halves = fps.mapInArrow(_half_variants, "meet long, fp long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, fps.count() * 66 // PART_ROWS + 1)
     met = halves.repartition(parts, "meet").sortWithinPartitions("meet").mapInArrow(_verified, "a long, b long").distinct()
     met = materialize(met)
     crowd = met.filter("b is null").select(F.col("a").alias("fp")).distinct()
+    parts = max(least, crowd.count() * len(_BALL) // PART_ROWS + 1)
     balls = crowd.repartition(parts, "fp").mapInArrow(_full_variants, "meet long, fp long")
     stars = balls.repartition(parts, "meet").sortWithinPartitions("meet", "fp").mapInArrow(_stars, "a long, b long").distinct()
     return met.filter("b is not null").unionByName(stars).distinct()
@@ -205,7 +209,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that open their component: one of each group, whole, same columns.
 
-    Repeated rows of the doc_id that stays all stay, and so do rows without a doc_id.
+    Of rows that repeat a doc_id with the same text one stays. Rows without a doc_id stay.
     """
-    found = near_duplicates(docs).filter("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_anti")
+    found = materialize(near_duplicates(docs))
+    gone = found.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    twice = materialize(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left_anti")
+    if twice.isEmpty():
+        return kept
+    same = kept["doc_id"].cast("long") == twice["__id"]
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import crc_rest, materialize, per_batch
 
 #: Labelled texts and sentences that are learned from, at most.
-SAMPLE, SENTENCES = 4000, 150_000
+SAMPLE, SENTENCES = 4000, 100_000
 LANDMARKS = 64
 DECAY, SPAN = 0.7, 6
 #: Power of the normalised kernel: higher tells near units from middling ones.
@@ -230,11 +230,16 @@ def nystroem(kernel: Kernel, landmarks: list[str]) -> np.ndarray:
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
     """Linear SVM with squared hinge loss, by Newton steps over the rows inside the margin; the
     last weight is the intercept."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     w, inside = np.zeros(x.shape[1]), np.ones(len(x), dtype=bool)
     for _ in range(steps):
-        part = x[inside] * weight[inside][:, None]
-        w = np.linalg.solve(part.T @ x[inside] + ridge * np.eye(len(w)), part.T @ y[inside])
+        square, pull = ridge * np.eye(len(w)), np.zeros(len(w))
+        for at in range(0, len(x), 8192):  # in parts, so that no copy of all rows is made
+            mine = at + np.flatnonzero(inside[at : at + 8192])
+            part = x[mine].astype(np.float64)
+            square += (part * weight[mine][:, None]).T @ part
+            pull += part.T @ (weight[mine] * y[mine])
+        w = np.linalg.solve(square, pull)
         now = y * (x @ w) < 1
         if (now == inside).all():
             break
@@ -337,25 +342,27 @@ def balanced(y: np.ndarray) -> np.ndarray:
 
 
 def labelled_sentences(picked: DataFrame, most: int) -> DataFrame:
-    """doc_id, toxic and units of the sentences of the sample, `most` at most."""
+    """doc_id, nth, toxic and units of the sentences of the sample, `most` at most, written."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, kinds, units, hashes = [], [], [], []
+            ids, places, kinds, units, hashes = [], [], [], [], []
             for doc_id, text, kind in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
                 found = [sorted({b for u in units_of(s) if (b := bare(u))}) for s in sentences(text)]
                 found = [x for x in found if x]
                 ids += [doc_id] * len(found)
+                places += range(len(found))
                 kinds += [kind] * len(found)
                 units += found
                 hashes += [zlib.crc32(f"{doc_id} {k}".encode()) for k in range(len(found))]
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(units, pa.list_(pa.string())), pa.array(hashes, pa.int64())], ["doc_id", "toxic", "units", "h"])
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64()]
+            return pa.record_batch([pa.array(x, t) for x, t in zip((ids, places, kinds, units, hashes), types, strict=True)], ["doc_id", "nth", "toxic", "units", "h"])
 
         return work
 
-    found = materialize(per_batch(picked.select("doc_id", "text", "toxic"), "text", make, "doc_id long, toxic int, units array<string>, h long"))
+    found = materialize(per_batch(picked.select("doc_id", "text", "toxic"), "text", make, "doc_id long, nth int, toxic int, units array<string>, h long"))
     share = most / max(most, found.count())
-    return found.filter(F.col("h") < int(share * 2**32))
+    return materialize(found.filter(F.col("h") < int(share * 2**32)).drop("h"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SENTENCES) -> Model | float:
@@ -364,26 +371,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     sizes = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return float(sizes.get(1, 0) > 0)
-    rows = labelled_sentences(picked, most).select("doc_id", "toxic", "units").toArrow().combine_chunks().sort_by("doc_id")  # `most` sentences
-    texts, y = rows.column("doc_id").to_numpy(), np.where(rows.column("toxic").to_numpy() == 1, 1.0, -1.0)
-    if len(set(y.tolist())) < 2:
-        return sizes[1] / (sizes[0] + sizes[1])
-
+    share = sizes[1] / (sizes[0] + sizes[1])
+    table = labelled_sentences(picked, most)
+    rows = table.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("nth", "ascending")])  # `most` sentences
+    texts, y = rows.column("doc_id").to_numpy(), np.where(rows.column("toxic").to_numpy() == 1, 1.0, -1.0).astype(np.float32)
+    if len(np.unique(y)) < 2:
+        return share
     units = rows.column("units").combine_chunks()
-    sentence, numbered = pc.list_parent_indices(units).to_numpy(), units.flatten().dictionary_encode()
-    names, unit = np.array(numbered.dictionary.to_pylist(), dtype=object), numbered.indices.to_numpy()
-    often = np.bincount(unit, minlength=len(names))
-    usable = (often >= MIN_SENTENCES) & np.array([len(x) > 2 for x in names])
-    keep = usable[unit]
-    value, margin = exact_svm(sentence[keep], unit[keep], y, balanced(y), len(names), UNIT_RIDGE)
-
-    landmarks = choose_landmarks(names, np.where(usable, value, 0.0), often)
+    landmarks, margin = _landmarks(units, y)
     if not landmarks:
-        return sizes[1] / (sizes[0] + sizes[1])
+        return share
     kernel = Kernel(landmarks)
-    root = nystroem(kernel, landmarks)
-    lists = units.to_pylist()
-    features = _mapped(docs, lists, kernel)
+    root = nystroem(kernel, landmarks).astype(np.float32)
+    features = _mapped(table, kernel)
     starts = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]])
     ends = np.r_[starts[1:], len(texts)]
     toxic = [(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if y[a] > 0]
@@ -392,16 +392,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
 
     def disguised(found: np.ndarray) -> np.ndarray:
         new = [i for i in found.tolist() if i not in bent]
-        values = Features(kernel).of([altered(lists[i], i) for i in new])
+        values = Features(kernel).of([altered(units[i].as_py(), i) for i in new])
         bent.update(zip(new, values, strict=True))
-        return np.array([bent[i] for i in found.tolist()]).reshape(len(found), len(landmarks))
+        return np.array([bent[i] for i in found.tolist()], dtype=np.float32).reshape(len(found), len(landmarks))
 
     quiet = clean[:: max(1, len(clean) // len(toxic))]
     model = None
     for _ in range(ROUNDS):
         telling = np.array([a + int(margin[a:b].argmax()) for a, b in toxic])
         x = np.concatenate([features[telling], disguised(telling), features[clean], disguised(quiet)]) @ root
-        kind = np.repeat([1.0, -1.0], [2 * len(telling), len(clean) + len(quiet)])
+        kind = np.repeat(np.array([1.0, -1.0], np.float32), [2 * len(telling), len(clean) + len(quiet)])
         w = svm(x, kind, balanced(kind), RIDGE)
         model = Model(kernel, root @ w[:-1], -float(w[-1]), np.zeros(MARGINS + 1))
         margin = features @ model.alpha - model.shift
@@ -410,11 +410,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     return model
 
 
-def _mapped(docs: DataFrame, sentences_: list[list[str]], kernel: Kernel) -> np.ndarray:
-    """Values of the bounded sample's sentences with the landmarks, worked out by the executors."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(kernel)
-    table = pa.table({"i": pa.array(range(len(sentences_)), pa.int64()), "units": pa.array(sentences_, pa.list_(pa.string()))})
+def _landmarks(units: pa.ListArray, y: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Landmarks by the SVM over exact units, and its margin of each sentence."""
+    sentence, numbered = pc.list_parent_indices(units).to_numpy(), units.flatten().dictionary_encode()
+    names, unit = np.array(numbered.dictionary.to_pylist(), dtype=object), numbered.indices.to_numpy()
+    often = np.bincount(unit, minlength=len(names))
+    usable = (often >= MIN_SENTENCES) & np.array([len(x) > 2 for x in names])
+    keep = usable[unit]
+    value, margin = exact_svm(sentence[keep], unit[keep], y, balanced(y), len(names), UNIT_RIDGE)
+    return choose_landmarks(names, np.where(usable, value, 0.0), often), margin
+
+
+def _mapped(table: DataFrame, kernel: Kernel) -> np.ndarray:
+    """Values of the bounded sample's sentences with the landmarks, in order of doc_id and nth."""
+    shared = table.sparkSession.sparkContext.broadcast(kernel)
 
     def run(batches):
         features = Features(shared.value)
@@ -422,12 +431,13 @@ def _mapped(docs: DataFrame, sentences_: list[list[str]], kernel: Kernel) -> np.
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 values = features.of(part.column("units").to_pylist())
-                yield pa.record_batch([part.column("i"), pa.array([v.tobytes() for v in values], pa.binary())], ["i", "x"])
+                yield pa.record_batch([part.column("doc_id"), part.column("nth"), pa.array([v.tobytes() for v in values], pa.binary())], ["doc_id", "nth", "x"])
 
-    parts = max(1, len(sentences_) // 5000)
-    found = spark.createDataFrame(table).repartition(parts).mapInArrow(run, "i long, x binary").toArrow()
-    order = np.argsort(found.column("i").to_numpy())
-    return np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(sentences_), -1)[order]
+    found = table.select("doc_id", "nth", "units").mapInArrow(run, "doc_id long, nth int, x binary").toArrow()
+    order = np.lexsort((found.column("nth").to_numpy(), found.column("doc_id").to_numpy()))
+    out = np.empty((len(order), kernel.table.shape[1]), dtype=np.float32)
+    out[:] = np.array([np.frombuffer(x.as_buffer(), np.float32) for x in found.column("x")]).reshape(out.shape)[order]
+    return out
 
 
 def choose_landmarks(names: np.ndarray, value: np.ndarray, often: np.ndarray, n: int = LANDMARKS) -> list[str]:

@@ -36,7 +36,7 @@ def brute(docs, items):
             if not item:
                 continue
             score, _, _ = decontaminate.align(np.array([codes[w] for w in item]), np.array([codes.get(w, -1) for w in words], dtype=np.int64))
-            if score / (2 * len(item)) >= decontaminate.MIN_SCORE:
+            if score / (2 * len(item)) >= decontaminate.MIN_SCORE or score >= 2 * decontaminate.EXCERPT:
                 out[doc_id, item_id] = score / (2 * len(item))
     return out
 
@@ -83,6 +83,36 @@ def test_copies_in_a_third_of_the_words_and_in_two_documents(spark):
     assert [(r.doc_id, r.item_id, r.score) for r in rows if r.score == 1] == [(1, 1, 1.0)]
 
 
+def test_recall_on_items_of_common_words(spark):
+    """Copies with a fifth of the words replaced, of items made of fifty words that every text has."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(50)]
+    items = [(k, " ".join(rng.choices(common, k=30))) for k in range(10)]
+    docs, planted = [], set()
+    for k in range(400):
+        words = rng.choices(common, k=120)
+        if k % 8 == 0:
+            copy = items[k % 10][1].split()
+            for at in rng.sample(range(30), 6):
+                copy[at] = rng.choice(common)
+            words[60:60] = copy
+            planted.add((k, k % 10))
+        docs.append((k, " ".join(words)))
+    rows = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in rows}
+    want = brute(docs, [(k, decontaminate.words_of(t)) for k, t in items])
+    assert planted <= set(want) and len(found & planted) >= 0.95 * len(planted) and len(found) >= 0.9 * len(want) and found <= set(want)
+
+
+def test_an_excerpt_of_a_long_item(spark):
+    rng = random.Random(10)
+    words = [f"x{i}" for i in range(4000)]
+    long = " ".join(rng.choices(words, k=500))
+    docs = [(1, " ".join([*rng.choices(words, k=50), *long.split()[100:150], *rng.choices(words, k=50)])), (2, " ".join(rng.choices(words, k=300)))]
+    rows = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, long)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.first_word, r.last_word) for r in rows] == [(1, 7, 50, 99)]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "And a second line.", "q"), (2, None, "q"), (3, "", "q"), (4, "Plain text here, with words.", "q"), (4, "words.\nAnd a", "q"), (5, "***!!!", "q")], "item_id long, text string, score string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.find(odd_docs, bench).collect()}

@@ -24,6 +24,53 @@ def test_windows_cover_the_text():
     assert sizes[owner == 2].tolist() == [256, 1]
 
 
+def plain_scores(net, window):
+    """The network of one window, filter by filter and place by place."""
+    pooled = []
+    for width, f, b in zip(langid.WIDTHS, net.filters, net.bias, strict=True):
+        for k in range(f.shape[1]):
+            found = [sum(float(net.embedding[window[at + i]] @ f[i * net.embedding.shape[1] : (i + 1) * net.embedding.shape[1], k]) for i in range(width)) for at in range(len(window) - width + 1)]
+            pooled.append(max(0.0, max(found) + float(b[k])))
+    return np.array([sum(p * float(w) for p, w in zip(pooled, net.out[:, c], strict=True)) + float(net.shift[c]) for c in range(len(net.languages))])
+
+
+def test_scores_are_those_of_the_plain_network():
+    rng = np.random.default_rng(1)
+    net = langid.ByteConvNet(["a", "b", "c"], embedding=3, filters=4)
+    for p in (*net.bias, net.shift):
+        p[:] = rng.normal(0, 0.1, p.shape)
+    x = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    assert np.allclose(net.scores(x), [plain_scores(net, w) for w in x], atol=1e-4)
+
+
+def test_a_step_follows_the_numeric_gradient():
+    """The first step of Adam goes against the sign of each weight's slope, measured by differences."""
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(97, 123, (8, langid.WINDOW)).astype(np.uint8), np.array([0, 1] * 4)
+    make = lambda: langid.ByteConvNet(["a", "b"], embedding=3, filters=4)
+
+    def loss(net):
+        z = net.scores(x).astype(np.float64)
+        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(8), y]))
+
+    moved, net = make(), make()
+    moved.train(x, y, epochs=1, rate=1e-3)
+    agree = seen = 0
+    for name in ("out", "shift", "embedding"):
+        flat, after = getattr(net, name).reshape(-1), getattr(moved, name).reshape(-1)
+        for i in rng.permutation(len(flat))[:40].tolist():
+            old = flat[i]
+            flat[i] = old + 1e-2
+            high = loss(net)
+            flat[i] = old - 1e-2
+            slope = (high - loss(net)) / 2e-2
+            flat[i] = old
+            if abs(slope) > 1e-3:
+                seen += 1
+                agree += (after[i] - old) * slope < 0
+    assert seen > 20 and agree >= 0.9 * seen
+
+
 def test_gradient():
     """Training lowers the loss of a small sample, and the scores tell its classes apart."""
     rng = np.random.default_rng(0)

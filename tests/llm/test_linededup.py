@@ -10,22 +10,26 @@ def prepared(text):
     return lines, [x.count(b" ") + 1 if x else 0 for x in lines]
 
 
-def brute(docs, seed_words=linededup.SEED_WORDS, block_words=linededup.BLOCK_WORDS):
-    """Each later document aligned with the first holder of each of its seed lines."""
+def brute(docs, block_words=linededup.BLOCK_WORDS):
+    """Without alignment: every line that some earlier document has is marked, and marked lines go
+    where they come to a block. No seeds, no pairs, no order: all earlier documents count."""
     lines = {d: prepared(t) for d, t in docs}
-    first = {}
+    earlier, out = set(), {}
     for d in sorted(lines):
-        for x, n in zip(*lines[d], strict=True):
-            if n >= seed_words:
-                first.setdefault(x, d)
-    out = {}
-    for d, (own, words) in lines.items():
-        same = set()
-        for e in {first[x] for x, n in zip(own, words, strict=True) if n >= seed_words} - {d}:
-            same |= {j for _, j in linededup.patience(lines[e][0], own)}
-        gone = linededup.block(sorted(same), words, block_words)
+        own, words = lines[d]
+        gone, run = [], []
+        for i, x in enumerate([*own, None]):
+            if x is not None and not words[i]:
+                continue
+            if x in earlier:
+                run.append(i)
+                continue
+            if sum(words[k] for k in run) >= block_words:
+                gone += [k for k in range(run[0], run[-1] + 1)]
+            run = []
         if gone:
-            out[d] = gone
+            out[d] = [i for i in gone if words[i]]
+        earlier |= set(own)
     return out
 
 
@@ -43,7 +47,8 @@ def test_patience_is_an_increasing_match():
 
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    found = {r.doc_id: [int(x) for x in r.gone.split(",")] for r in queries.op10_line_dedup(spark, SF).collect()}
+    words = {d: prepared(t)[1] for d, t in docs}
+    found = {r.doc_id: [i for i in map(int, r.gone.split(",")) if words[r.doc_id][i]] for r in queries.op10_line_dedup(spark, SF).collect()}
     assert found == brute(docs) and found
 
 

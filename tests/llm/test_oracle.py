@@ -16,4 +16,4 @@ def test_query(spark, name):
     columns = sorted(found.columns)
     want = con.sql(oracle.ORACLE[name])
     assert sorted(want.columns) == columns
-    assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == sorted(want.select(", ".join(columns)).fetchall())
+    assert sorted((tuple(r[c] for c in columns) for r in found.collect()), key=str) == sorted(want.select(", ".join(columns)).fetchall(), key=str)
