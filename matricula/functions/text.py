@@ -160,6 +160,8 @@ def document_relevance(text: Column | str, keywords: list[str], patterns=DOCUMEN
     return score + F.when(F.length(x) > 200, 1.0).otherwise(0.0) + F.when(F.length(x) > 500, 1.0).otherwise(0.0)
 
 
-def keep_relevant(segments: DataFrame, score: Column, long: int = 500) -> DataFrame:
-    """Segments with any score, or longer than `long`."""
-    return segments.withColumn("relevance", score).filter((F.col("relevance") > 0) | (F.length("text") > long))
+def keep_relevant(segments: DataFrame, score: Column, long: int | None = 500, least: float = 0.0) -> DataFrame:
+    """Segments that score more than `least`, or are longer than `long` (0 and 500 for pages; 0.5 and
+    none for laid-out documents)."""
+    kept = F.col("relevance") > least
+    return segments.withColumn("relevance", score).filter(kept if long is None else kept | (F.length("text") > long))

@@ -75,6 +75,20 @@ def is_admissions_text(text: Column | str, pattern: str = LINK_TEXT) -> Column:
     return F.lower(_col(text)).rlike(pattern)
 
 
+#: Stems of a field that faculty areas hold, and phrases of a topic.
+FIELD_STEMS = ["social", "interpersonal", "group", "culture", "prejudice", "stereotyp", "attitude", "self", "identity", "emotion"]
+TOPIC_PHRASES = ["suicide", "self-harm", "self-injury", "crisis", "self-destructive", "parasuicide", "suicidal ideation", "suicide prevention", "risk assessment", "crisis intervention"]
+
+
+def in_field(areas: Column | str, stems: list[str] = FIELD_STEMS) -> Column:
+    """Whether the areas (an array) hold one of the stems."""
+    return has_any(F.concat_ws(" ", _col(areas)), stems)
+
+
+def on_topic(text: Column | str, phrases: list[str] = TOPIC_PHRASES) -> Column:
+    return has_any(text, phrases)
+
+
 def has_any(text: Column | str, keywords: list[str]) -> Column:
     return F.exists(literals(keywords), lambda k: F.contains(F.lower(_col(text)), k))
 
@@ -143,19 +157,69 @@ def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return seen.join(rules, wanted, "left_anti").drop("__host", "__path")
 
 
+#: Addresses of pages that lead on, of schools, and of directories below a school;
+#: what the text or address of a directory's links holds, and that of a program; and the endings at
+#: which a program's admissions page may be.
+KEY_PAGES = ["schools", "academics", "colleges", "departments"]
+SCHOOL_PAGES = ["school", "college", "engineering", "business", "medicine", "law", "arts"]
+DIRECTORIES = ["/programs", "/admissions", "/graduate", "/apply", "/departments", "/academics", "/degrees"]
+DIRECTORY_LINKS = ["program", "degree", "master", "phd", "doctoral", "mba", "admission", "apply", "requirements", "department", "school", "msx", "executive"]
+PROGRAM_LINKS = ["program", "degree", "master", "phd", "mba"]
+ADMISSION_ENDINGS = ["/admission", "/admissions", "/apply", "/requirements"]
+
+
+def is_key_page(url: Column | str) -> Column:
+    return has_any(url, KEY_PAGES)
+
+
+def is_school_page(url: Column | str) -> Column:
+    return has_any(url, SCHOOL_PAGES)
+
+
 def hop(pages: DataFrame, links: DataFrame, wanted: Column) -> DataFrame:
     """Addresses one link away from `pages` (url) over links (src, href, text) that are wanted."""
     return links.filter(wanted).join(pages.select(F.col("url").alias("src")).distinct(), "src", "left_semi").select(absolute("href", "src").alias("url")).distinct()
 
 
-#: Endings at which a site's admissions pages usually are.
-COMMON_PATHS = ["/admissions", "/graduate", "/graduate/admissions", "/apply", "/academics", "/departments", "/schools", "/programs", "/graduate/programs", "/masters", "/phd"]
+def two_hops(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Addresses that admissions links of `pages` lead to, and those that directory links of the key
+    and school pages among them, and among `pages`, lead to; on the site of the page each."""
+    local = same_site(absolute("href", "src"), "src")
+    first = hop(pages, links, local & (is_admissions(absolute("href", "src")) | is_admissions_text("text")))
+    start = pages.select("url").union(first).filter(is_key_page("url") | is_school_page("url")).distinct()
+    second = hop(start, links, local & (has_any("text", DIRECTORY_LINKS) | has_any(absolute("href", "src"), DIRECTORY_LINKS)))
+    return first.select("url", F.lit(1).alias("hop")).union(second.join(first, "url", "left_anti").select("url", F.lit(2).alias("hop")))
+
+
+#: Endings at which a site's admissions, school and department pages usually are.
+COMMON_PATHS = [
+    "/graduate", "/graduate-admissions", "/admissions", "/admissions/graduate", "/apply", "/apply/graduate", "/academics/graduate", "/programs/graduate", "/graduate-school", "/grad", "/graduate-programs", "/future-students/graduate",
+    "/schools", "/colleges", "/academics", "/academics/schools", "/academics/colleges", "/schools-colleges", "/school-of-engineering", "/engineering", "/engineering-school", "/college-of-engineering", "/school-of-business", "/business-school",
+    "/business", "/graduate-school-of-business", "/school-of-medicine", "/medical-school", "/medicine", "/law-school", "/school-of-law", "/law", "/arts-sciences", "/liberal-arts", "/school-of-arts-sciences",
+    "/computer-science", "/cs", "/dept/computer-science", "/departments/computer-science", "/csd", "/electrical-engineering", "/ee", "/mechanical-engineering", "/me", "/civil-engineering", "/ce", "/chemical-engineering", "/cheme",
+    "/biomedical-engineering", "/bme", "/mathematics", "/math", "/physics", "/chemistry", "/biology", "/psychology", "/economics", "/econ", "/statistics", "/stats", "/data-science",
+    "/departments", "/academic-departments", "/graduate-degrees", "/masters-programs", "/doctoral-programs", "/phd-programs", "/research", "/faculty", "/programs-of-study",
+]
 
 
 def guessed(sites: DataFrame, captured: DataFrame, paths: list[str] = COMMON_PATHS, first_only: bool = False) -> DataFrame:
-    """Usual addresses of sites (site, base) that were captured; the first of each site if asked."""
+    """Usual addresses of sites (site, base) that were captured; the first of each site if asked.
+    `DIRECTORIES` below schools and `ADMISSION_ENDINGS` below programs are looked for in the same way."""
     every = sites.select("site", F.posexplode(literals(paths)).alias("pos", "path"), "base").select("site", "pos", F.concat(F.rtrim("base", F.lit("/")), "path").alias("url"))
     found = every.join(captured.select("url").distinct(), "url", "left_semi")
     if not first_only:
         return found
     return found.withColumn("__n", F.row_number().over(W.partitionBy("site").orderBy("pos"))).filter("__n = 1").drop("__n")
+
+
+def homepages(authors: DataFrame, domains: DataFrame, captured: DataFrame) -> DataFrame:
+    """author_id and homepage: the known one, else the first captured address of the three usual
+    ones on the institution's domain. authors: author_id, name, institution, homepage; domains:
+    institution (lower case), domain."""
+    joined = authors.withColumn("__institution", F.lower("institution")).join(domains.withColumnRenamed("institution", "__institution"), "__institution", "left")
+    told = lambda folder, blank: F.concat(F.lit("https://"), F.col("domain"), F.lit(folder), F.replace(F.lower("name"), F.lit(" "), F.lit(blank)))
+    usual = F.array(told("/~", ""), told("/faculty/", "_"), told("/people/", "-"))
+    each = joined.select("author_id", F.posexplode(usual).alias("pos", "url")).filter("url is not null").join(captured.select("url").distinct(), "url", "left_semi")
+    first = each.groupBy("author_id").agg(F.min_by("url", "pos").alias("__usual"))
+    known = F.when(F.coalesce("homepage", F.lit("")) != "", F.col("homepage"))
+    return authors.join(first, "author_id", "left").select("author_id", F.coalesce(known, F.col("__usual")).alias("homepage"))

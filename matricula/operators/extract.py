@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.dates import parse_long
 from ..functions.text import _col, literals, normalize, snippet
 from .registry import first_by
 
-#: How pages say each requirement; a dot does not run over a line's end.
+#: How pages say each requirement, the patterns in the order in which they are tried,
+#: and the range of a usable figure. A dot does not run over a line's end.
+ANY = (0.0, float("inf"))
 NUMBER_PATTERNS = {
-    "gpa_min": (r"(?id)(?:GPA|grade point average).*?(\d+\.\d+)", 0.0, 1e9),
-    "toefl_min": (r"(?id)TOEFL.*?(\d{2,3})", 70, 120),
-    "ielts_min": (r"(?id)IELTS.*?(\d+(?:\.\d+)?)", 5.0, 9.0),
-    "letters": (r"(?id)(\d+).*letters?\s+of\s+recommendation", 0, 1e9),
-    "fee": (r"(?id)application fee.*?\$(\d+)", 0, 1e9),
+    "gpa_min": ((r"GPA.*?(\d+\.\d+)", r"minimum GPA.*?(\d+\.\d+)", r"grade point average.*?(\d+\.\d+)"), ANY),
+    "toefl_min": ((r"TOEFL.*?(\d{2,3})", r"TOEFL iBT.*?(\d{2,3})", r"minimum TOEFL.*?(\d{2,3})"), (70, 120)),
+    "ielts_min": ((r"IELTS.*?(\d+(?:\.\d+)?)", r"minimum IELTS.*?(\d+(?:\.\d+)?)"), (5.0, 9.0)),
+    "letters": ((r"(\d+).*letters?\s+of\s+recommendation",), ANY),
+    "fee": ((r"application fee.*?\$(\d+)",), ANY),
 }
-GRE_OFF, GRE_ON = r"(?id)GRE.*(?:not.*required|optional|waived)", r"(?id)GRE.*required|require.*GRE"
-FALL_DEADLINE = r"(?id)(December|January|February)\s+(\d{1,2})"
+GRE_OFF, GRE_ON = r"GRE.*not.*required|GRE.*optional|GRE.*waived", r"GRE.*required|require.*GRE"
+FALL_DEADLINES = (r"(December|January|February)\s+(\d{1,2})", r"deadline.*?(Dec|Jan|Feb).*?(\d{1,2})")
 
 
 def requirements(text: Column | str) -> Column:
-    """What a text says of grades, tests, letters, fee and deadline; null where it says nothing
-    or the first figure is out of range."""
+    """What a text says of grades, tests, letters, fee and deadline: of each the first pattern whose
+    first figure is in range, null where there is none."""
     x = _col(text)
-    number = lambda p: F.regexp_extract(x, p, 1).try_cast("double")
-    in_range = {k: F.when(number(p).between(low, high), number(p)).alias(k) for k, (p, low, high) in NUMBER_PATTERNS.items()}
-    gre = F.when(x.rlike(GRE_OFF), False).when(x.rlike(GRE_ON), True)
-    fall = F.when(x.rlike(FALL_DEADLINE), F.concat_ws(" ", F.regexp_extract(x, FALL_DEADLINE, 1), F.regexp_extract(x, FALL_DEADLINE, 2)))
-    return F.struct(*in_range.values(), gre.alias("gre_required"), fall.alias("deadline_fall"))
+    plain = lambda p: f"(?id){p}"
+
+    def first_usable(patterns: tuple[str, ...], low: float, high: float) -> Column:
+        numbers = [F.regexp_extract(x, plain(p), 1).try_cast("double") for p in patterns]
+        return F.coalesce(*(F.when(n.between(low, high), n) for n in numbers))
+
+    numbers = [first_usable(patterns, *bounds).alias(k) for k, (patterns, bounds) in NUMBER_PATTERNS.items()]
+    gre = F.when(x.rlike(plain(GRE_OFF)), False).when(x.rlike(plain(GRE_ON)), True)
+    fall = F.coalesce(*(F.when(x.rlike(plain(p)), F.concat_ws(" ", F.regexp_extract(x, plain(p), 1), F.regexp_extract(x, plain(p), 2))) for p in FALL_DEADLINES))
+    return F.struct(*numbers, gre.alias("gre_required"), fall.alias("deadline_fall"))
 
 
 #: What announces a deadline, and what its date looks like.
@@ -47,7 +57,7 @@ def deadlines(segments: DataFrame, year: int, key: str = "doc_id") -> DataFrame:
     """
     text = F.lower("text")
     has = lambda *w: text.rlike("|".join(w))
-    kind = F.when(has("priority", "early"), "priority").when(has("final", "last"), "final").otherwise("regular")
+    kind = F.when(has("priority", "early"), "priority").when(has("final", "last", "regular"), "final").otherwise("regular")
     audience = F.when(F.contains(text, F.lit("international")), "international").when(F.contains(text, F.lit("domestic")), "domestic").otherwise("both")
     found = F.concat(
         F.transform(F.regexp_extract_all("text", F.lit(PRIORITY_DEADLINE), F.lit(1)), lambda d: F.struct(d.alias("said"), F.lit("priority").alias("kind"), F.lit("both").alias("audience"))),
@@ -64,8 +74,18 @@ RECRUITING = [
     "join our lab", "we are recruiting", "prospective students", "open positions", "phd applicants", "ra wanted", "graduate students", "postdoc", "research assistant",
     "now hiring", "positions available", "accepting applications", "looking for students",
 ]
-RECRUITING_PATTERNS = [r"phd\s+positions?", r"graduate\s+positions?", r"research\s+opportunit", r"join\s+(?:us|the\s+team)", r"we\s+are\s+hiring", r"apply\s+(?:now|here)"]
-ACTIVITY = ["current students", "lab members", "research group", "our team", "publications", "projects", "alumni"]
+RECRUITING_PATTERNS = [
+    r"\bposition[s]?\s+available\b", r"\bhiring\b", r"\bapplication[s]?\s+welcome\b", r"\bstudent[s]?\s+wanted\b", r"\bopening[s]?\s+for\b", r"\bgraduate\s+student[s]?\s+position[s]?\b",
+    r"\bpostdoc[a-z]*\s+position[s]?\b", r"\bra\s+position[s]?\b", r"\bresearch\s+assistant[s]?\s+position[s]?\b",
+]
+#: Phrases of the other variant, which looks for them anywhere, and signs of a lab.
+LAB_PHRASES = [
+    "seeking graduate students", "graduate student positions", "phd positions available", "graduate openings", "prospective students", "accepting graduate students", "graduate student opportunities", "phd opportunities", "doctoral positions",
+    "join our lab", "join our research group", "lab positions", "research positions", "graduate research assistants", "research opportunities",
+    "applications invited", "now accepting applications", "apply to join", "interested students should contact", "prospective applicants",
+    "funded positions", "graduate fellowships", "research assistantships", "full funding available", "funded phd positions",
+]
+ACTIVITY = ["current projects", "recent publications", "news", "updates", "graduate students", "phd students", "current members"]
 
 
 def recruiting(rows: DataFrame, phrases: list[str] = RECRUITING, patterns: list[str] = RECRUITING_PATTERNS, text: str = "text") -> DataFrame:
@@ -84,13 +104,18 @@ def recruiting(rows: DataFrame, phrases: list[str] = RECRUITING, patterns: list[
     return marked.withColumns({"is_recruiting": F.col("hit").isNotNull(), "snippet": around}).drop("__plain")
 
 
-def recruiting_by_phrases(text: Column | str, phrases: list[str], activity: list[str] = ACTIVITY, least: int = 3) -> Column:
+def recruiting_by_phrases(text: Column | str, phrases: list[str] = LAB_PHRASES, activity: list[str] = ACTIVITY, least: int = 3) -> Column:
     """Any phrase, or at least three signs of an active lab."""
     plain = normalize(text)
     has = lambda values: F.size(F.filter(literals(values), lambda p: F.contains(plain, p)))
     return (has(phrases) > 0) | (has(activity) >= least)
 
 
+def recruiting_first(rows: DataFrame, order: list[str], most: int = 50, **options) -> DataFrame:
+    """The first `most` rows, by `order`, that are recruiting."""
+    return recruiting(rows, **options).filter("is_recruiting").orderBy(*order).limit(most)
+
+
 #: What supports a field.
 SUPPORT = {"toefl_min": r"(?i)toefl.{0,80}?\d{2,3}", "gre_status": r"(?i)\bgre\b", "rec_min": r"(?i)(?:letters?\s+of\s+recommendation|recommendation\s+letters?)"}
 
@@ -119,11 +144,42 @@ def from_response(raw: Column | str, schema: str, default: Column) -> Column:
     """A struct read from JSON text, parts filled from the default, all of it where the text is
     no such JSON."""
     read = F.from_json(_col(raw), schema)
-    names = [part.split()[0] for part in schema.split(",")]
-    empty = read.isNull()
-    for n in names:
-        empty = empty & read[n].isNull() if n != names[0] else read[n].isNull()
-    return F.when(read.isNull() | empty, default).otherwise(F.struct(*(F.coalesce(read[n], default[n]).alias(n) for n in names)))
+    names = StructType.fromDDL(schema).fieldNames()
+    some = reduce(Column.__or__, (read[n].isNotNull() for n in names))
+    return F.when(F.coalesce(read.isNotNull() & some, F.lit(False)), F.struct(*(F.coalesce(read[n], default[n]).alias(n) for n in names))).otherwise(default)
+
+
+#: What a prompt is made of.
+PROMPT_FIELDS = (("Institution", "institution"), ("School", "school"), ("Department", "department"), ("Program", "program_name"), ("Degree", "degree"), ("Track", "track"), ("Website", "website"))
+PROMPT_END = """
+Extract graduate admissions requirements and output valid JSON matching the ExtractedRequirements schema.
+Include citations mapping each field to the source text that supports it.
+Use null for missing or unclear information.
+"""
+
+
+def segment_header(kind: Column | str = "kind") -> Column:
+    """The line that stands before a segment, by its kind. Columns: selector, page, line_start,
+    line_end."""
+    k = _col(kind)
+    return (
+        F.when(k == "html", F.format_string("HTML SECTION (selector: %s):", "selector"))
+        .when(k == "pdf", F.format_string("PDF SECTION (page %s, lines %s-%s):", *(F.col(c).cast("string") for c in ("page", "line_start", "line_end"))))
+        .otherwise("CONTENT SECTION:")
+    )
+
+
+def prompts(programs: DataFrame, segments: DataFrame, key: str = "program_id") -> DataFrame:
+    """key and the prompt of each program: its fields, and its packed segments in order of `rank`,
+    each under its header; a sentence where there is none.
+
+    programs: key and the fields of PROMPT_FIELDS; segments: key, rank, header, text."""
+    part = F.concat(F.col("header"), F.lit("\n"), F.col("text"), F.lit("\n"))
+    listed = segments.select(key, F.struct("rank", part.alias("part")).alias("s")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["part"]), "\n").alias("told"))
+    lines = [F.concat(F.lit(f"{name}: "), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for name, c in PROMPT_FIELDS]
+    content = F.coalesce("told", F.lit("No relevant content found."))
+    text = F.concat(F.lit("\nPROGRAM INFORMATION:\n"), F.concat_ws("\n", *lines), F.lit("\n\nCONTENT TO ANALYZE:\n"), content, F.lit("\n" + PROMPT_END))
+    return programs.join(listed, key, "left").select(key, text.alias("prompt"))
 
 
 #: The first sign that occurs names the school; hosts are taken label by label.

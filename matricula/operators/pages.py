@@ -1,95 +1,159 @@
-"""Captured pages: tokens by an HTML reader, then sections, lists, tables and text as sets.
+"""Captured pages: nodes by an HTML reader, then sections, lists, tables and text as sets.
 
-`tokens` is the one Python step (Spark reads no HTML); all structure is built from its rows.
+`tokens` is the one Python step (Spark reads no HTML). It yields a row for each element and for each
+text node, in document order, with what a reader knows as it passes: the parent, where the element
+ends, the table around it, and the headings that a text stands under. All else is built from these
+rows by groupings and windows, in proportion to the rows of a page.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.scratch import materialize
+
 #: Elements without content of their own, elements that end others, and noise.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-ENDS = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dd", "dt"}, "dd": {"dd", "dt"}, "option": {"option"}}
-BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+ENDS = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dd", "dt"}, "dd": {"dd", "dt"}, "option": {"option"}, "a": {"a"}, **{h: HEADINGS for h in sorted(HEADINGS)}}
+BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", *HEADINGS}
 NOISE_TAGS = {"script", "style", "noscript", "iframe", "nav", "header", "footer", "aside", "svg", "template"}
 NOISE_NAMES = {"nav", "navigation", "menu", "sidebar", "footer", "header", "breadcrumb", "breadcrumbs", "social", "share", "advertisement", "ads", "cookie", "popup", "modal"}
+#: Elements whose whole text is kept beside them, and those at which words end.
+TOLD = {"a", "strong", "p", "li", "td", "th", "caption", "dt", "dd", *HEADINGS}
+BREAKS = BLOCKS | TOLD - {"a", "strong"} | {"br", "tr", "option", "title"}
+#: The tag of text nodes.
+TEXT = "#text"
+
+_FIELDS = ["pos", "parent", "depth", "tag", "names", "href", "selector", "text", "noise", "end", "table", "under"]
+TOKENS = "url string, pos int, parent int, depth int, tag string, names string, href string, selector string, text string, noise boolean, end int, table int, under array<struct<head:int,part:int>>"
+_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.struct([("head", pa.int32()), ("part", pa.int32())]))]
+_SPACE = re.compile(r"\s+")
+
+
+class _Open:
+    """An element that is being read: its children by tag, and the headings among them that are
+    not yet followed by one of their level or above."""
 
-TOKENS = "url string, pos int, parent int, depth int, tag string, names string, href string, selector string, text string, noise boolean"
+    def __init__(self, tag: str, pos: int | None, table: int | None) -> None:
+        self.tag, self.pos, self.table = tag, pos, table
+        self.children: dict[str, int] = {}
+        self.heads: list[tuple[str, int]] = []
 
 
 class _Reader(HTMLParser):
-    """Elements in document order, with their parent, own text and a selector by child places."""
+    """Rows of a page: elements with their whole text where it is kept, and text nodes."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
-        self.open: list[tuple[str, int]] = []
-        self.children: list[dict[str, int]] = [{}]
+        self.rows: list[dict] = []
+        self.open = [_Open("", None, None)]
+        self.told: list[dict] = []
+        self.gap = False
+
+    def _close(self) -> None:
+        last = self.open.pop()
+        self.rows[last.pos]["end"] = len(self.rows)
+        self.gap |= last.tag in BREAKS
+        if self.told and self.told[-1]["pos"] == last.pos:
+            row = self.told.pop()
+            row["text"] = " ".join("".join(row["text"]).split())
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         ends = ENDS.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-        while self.open and self.open[-1][0] in ends:
-            self.open.pop()
-            self.children.pop()
-        place = self.children[-1].get(tag, 0) + 1
-        self.children[-1][tag] = place
-        parent = self.open[-1][1] if self.open else None
-        values = dict(attrs)
+        while self.open[-1].tag in ends:
+            self._close()
+        around, pos, values = self.open[-1], len(self.rows), dict(attrs)
+        place = around.children[tag] = around.children.get(tag, 0) + 1
+        above = self.rows[around.pos] if around.pos is not None else None
         names = f"{values.get('class') or ''} {values.get('id') or ''}".strip().lower()
-        noise = tag in NOISE_TAGS or bool(NOISE_NAMES & set(names.split())) or (parent is not None and self.rows[parent][8])
-        path = f"{self.rows[parent][6] if parent is not None else ''}/{tag}[{place}]"
-        self.rows.append([parent, len(self.open), tag, names, values.get("href"), None, path, [], noise])
+        noise = tag in NOISE_TAGS or bool(NOISE_NAMES & set(names.split())) or bool(above and above["noise"])
+        row = {
+            "pos": pos, "parent": around.pos, "depth": len(self.open) - 1, "tag": tag, "names": names, "href": values.get("href"),
+            "selector": f"{above['selector'] if above else ''}/{tag}[{place}]", "text": None, "noise": noise, "end": pos + 1, "table": around.table, "under": [],
+        }
+        self.rows.append(row)
+        self.gap |= tag in BREAKS
+        if tag in HEADINGS and not noise:
+            around.heads = [h for h in around.heads if h[0] < tag] + [(tag, pos)]
         if tag not in VOID:
-            self.open.append((tag, len(self.rows) - 1))
-            self.children.append({})
+            self.open.append(_Open(tag, pos, pos if tag == "table" else around.table))
+            if tag in TOLD:
+                row["text"] = []
+                self.told.append(row)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.open):
-            while self.open:
-                t, _ = self.open.pop()
-                self.children.pop()
-                if t == tag:
-                    break
+        if any(x.tag == tag for x in self.open[1:]):
+            while self.open[-1].tag != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data: str) -> None:
-        if self.open and data.strip():
-            self.rows[self.open[-1][1]][7].append((len(self.rows), data))
+        text = _SPACE.sub(" ", data)
+        if text in ("", " "):
+            self.gap |= text == " "
+            return
+        if self.gap and text[0] != " ":
+            text = " " + text
+        self.gap = False
+        pos, around = len(self.rows), self.open[-1]
+        noise = around.pos is not None and self.rows[around.pos]["noise"]
+        below = [x.pos for x in self.open[1:]] + [pos]
+        under = [{"head": head, "part": part} for x, part in zip(self.open, below, strict=True) for _, head in x.heads if head != part]
+        self.rows.append({"pos": pos, "parent": around.pos, "depth": len(self.open) - 1, "tag": TEXT, "names": "", "href": None, "selector": None, "text": text, "noise": noise, "end": pos + 1, "table": around.table, "under": under})
+        for row in self.told:
+            if row["noise"] or not noise:
+                row["text"].append(text)
+
+    def close(self) -> None:
+        super().close()
+        while len(self.open) > 1:
+            self._close()
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """One row per element: place, parent, tag, names, link, selector, and its own text."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 500):
-                part, rows = frame.iloc[at : at + 500], []
-                for url, html in zip(part["url"], part["html"], strict=True):
+    """One row per element and text node of each page (url, html).
+
+    pos, parent: places in document order; end: the place after the element's last; text: a text
+    node's own, with a blank where a word starts, or an element's whole text (`TOLD`), without what
+    is noise inside it; table: the nearest one around; under: of a text, each heading that it
+    stands under, with the heading's sibling that it is in."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                urls, rows = [], []
+                for url, html in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                     reader = _Reader()
                     reader.feed(html or "")
                     reader.close()
-                    for k, (parent, depth, tag, names, href, _, path, said, noise) in enumerate(reader.rows):
-                        rows.append((url, k, parent, depth, tag, names, href, path, " ".join(" ".join(t for _, t in said).split()), noise))
-                out = pd.DataFrame(rows, columns=["url", "pos", "parent", "depth", "tag", "names", "href", "selector", "text", "noise"])
-                out["parent"] = out["parent"].astype("Int32")
-                yield out
+                    urls += [url] * len(reader.rows)
+                    rows += reader.rows
+                yield pa.record_batch([pa.array(urls, pa.string()), *(pa.array([r[f] for r in rows], t) for f, t in zip(_FIELDS, _TYPES, strict=True))], ["url", *_FIELDS])
 
-    return pages.select("url", "html").mapInPandas(read, TOKENS)
+    return pages.select("url", "html").mapInArrow(read, TOKENS)
 
 
 def clean(found: DataFrame) -> DataFrame:
     return found.filter(~F.col("noise"))
 
 
+def _tidy(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, " +", " "))
+
+
 def page_text(found: DataFrame) -> DataFrame:
     """The readable text of each page, in order."""
-    told = clean(found).filter("text <> ''")
-    return told.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ").alias("text"))
+    told = clean(found).filter(F.col("tag") == TEXT)
+    return told.groupBy("url").agg(_tidy(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "")).alias("text"))
 
 
 def links(found: DataFrame) -> DataFrame:
@@ -103,50 +167,17 @@ def contacts(found: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("src").alias("url")).agg(F.min_by("mail", F.when(F.col("mail").isNotNull(), F.col("pos"))).alias("email"), F.min_by("web", F.when(F.col("web").isNotNull(), F.col("pos"))).alias("website"))
 
 
-def heading_sections(found: DataFrame, least: int = 10) -> DataFrame:
-    """A section for each heading of `least` signs: the text under the same parent up to the next
-    heading of its level or above; sections hold their sub-sections."""
-    level = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
-    rows = clean(found).withColumn("level", level)
-    heads = rows.filter("level is not null").select("url", "pos", "parent", "level", "text", "selector")
-    a, b = heads.alias("a"), heads.select("url", "pos", "parent", "level").alias("b")
-    later = (F.col("a.url") == F.col("b.url")) & F.col("a.parent").eqNullSafe(F.col("b.parent")) & (F.col("b.pos") > F.col("a.pos")) & (F.col("b.level") <= F.col("a.level"))
-    ends = a.join(b, later, "left").groupBy("a.url", "a.pos").agg(F.min("b.pos").alias("end"))
-    # a heading's siblings and all below them lie between it and the end of its parent
-    last = rows.groupBy("url").agg(F.max("pos").alias("last"))
-    first_above = rows.select("url", F.col("pos").alias("p2"), F.col("depth").alias("d2"))
-    closing = heads.alias("h").join(rows.select("url", F.col("pos").alias("hp"), F.col("depth").alias("hd")).alias("own"), (F.col("h.url") == F.col("own.url")) & (F.col("h.pos") == F.col("own.hp"))).join(
-        first_above.alias("n"), (F.col("h.url") == F.col("n.url")) & (F.col("n.p2") > F.col("h.pos")) & (F.col("n.d2") < F.col("own.hd")), "left"
-    ).groupBy("h.url", "h.pos").agg(F.min("n.p2").alias("closed"))
-    spans = heads.filter(F.length("text") >= least).join(ends, ["url", "pos"]).join(closing, ["url", "pos"]).join(last, "url")
-    spans = spans.withColumn("stop", F.least(F.coalesce("end", F.col("last") + 1), F.coalesce("closed", F.col("last") + 1)))
-    body = rows.filter("text <> ''").select(F.col("url").alias("u"), F.col("pos").alias("p"), F.col("text").alias("t"))
-    inside = spans.join(body, (F.col("url") == F.col("u")) & (F.col("p") > F.col("pos")) & (F.col("p") < F.col("stop")), "left")
-    return inside.groupBy("url", "pos", "level", F.col("text").alias("heading"), "selector").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda s: s["t"]), "\n").alias("text")
-    )
-
-
-def subtree_text(found: DataFrame, tags: list[str]) -> DataFrame:
-    """Elements of some tags with all text in them: an element's subtree ends at the next element
-    that is not deeper."""
-    rows = clean(found)
-    tops = rows.filter(F.col("tag").isin(*tags)).select("url", F.col("pos").alias("top"), F.col("depth").alias("top_depth"), F.col("parent").alias("top_parent"), F.col("tag").alias("top_tag"), F.col("selector").alias("top_selector"))
-    marks = rows.select("url", "pos", "depth")
-    ends = tops.join(marks, "url").filter((F.col("pos") > F.col("top")) & (F.col("depth") <= F.col("top_depth"))).groupBy("url", "top").agg(F.min("pos").alias("end"))
-    spans = tops.join(ends, ["url", "top"], "left")
-    body = rows.filter("text <> ''").select("url", "pos", "text", "tag")
-    inside = spans.join(body, "url").filter((F.col("pos") >= F.col("top")) & (F.col("end").isNull() | (F.col("pos") < F.col("end"))))
-    return inside.groupBy("url", "top", "top_parent", "top_tag", "top_selector").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "tag"))).alias("parts"))
-
-
-def list_segments(found: DataFrame) -> DataFrame:
-    """Lists as bulleted lines, with the heading or short paragraph before them."""
-    items = subtree_text(found, ["li"])
-    lines = items.select("url", F.col("top_parent").alias("list"), "top", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("line"))
-    text = lines.groupBy("url", "list").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "line"))), lambda s: F.concat(F.lit("• "), s["line"])), "\n").alias("items"))
-    told = context(found, ["ul", "ol"], 300)
-    return text.join(told, (text["url"] == told["page"]) & (text["list"] == told["pos"]), "left").select("url", F.col("list").alias("pos"), F.concat_ws("\n\n", "context", "items").alias("text"))
+def heading_sections(found: DataFrame, least: int = 10, least_text: int = 50) -> DataFrame:
+    """A section for each heading of `least` signs: what follows it under the same parent up to the
+    next heading of its level or above, sub-sections included, if that has `least_text` signs. Parts
+    (the heading's siblings) are set apart by an empty line."""
+    heads = clean(found).filter(F.col("tag").rlike("^h[1-6]$") & (F.length("text") >= least))
+    heads = heads.select("url", "pos", F.substring("tag", 2, 1).cast("int").alias("level"), F.col("text").alias("heading"), "selector")
+    told = clean(found).filter(F.col("tag") == TEXT).select("url", F.col("pos").alias("at"), "text", F.explode("under").alias("under"))
+    pieces = told.groupBy("url", F.col("under.head").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("under.part").alias("part"), "text"))).alias("pieces"))
+    apart = lambda s, i: F.when((i > 0) & (F.get(F.col("pieces"), i - 1)["part"] != s["part"]), F.concat(F.lit("\n\n"), F.ltrim(s["text"]))).otherwise(s["text"])
+    text = F.regexp_replace(_tidy(F.array_join(F.transform("pieces", apart), "")), " ?\n\n ?", "\n\n")
+    return heads.join(pieces.select("url", "pos", text.alias("text")), ["url", "pos"]).filter(F.length("text") >= least_text)
 
 
 def context(found: DataFrame, tags: list[str], short: int) -> DataFrame:
@@ -154,39 +185,95 @@ def context(found: DataFrame, tags: list[str], short: int) -> DataFrame:
     same parent."""
     fits = F.col("tag").rlike("^h[1-6]$") | ((F.col("tag") == "p") & (F.length("text") < short))
     before = W.partitionBy("url", "parent").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    marked = clean(found).withColumn("context", F.last(F.when(fits & (F.col("text") != ""), F.col("text")), ignorenulls=True).over(before))
-    return marked.filter(F.col("tag").isin(*tags)).select(F.col("url").alias("page"), "pos", "context")
+    marked = clean(found).filter(F.col("tag").isin(*tags) | fits)
+    marked = marked.withColumn("context", F.last(F.when(fits & (F.col("text") != ""), F.col("text")), ignorenulls=True).over(before))
+    return marked.filter(F.col("tag").isin(*tags)).select("url", "pos", "context", "table")
+
+
+def list_segments(found: DataFrame, least: int = 50) -> DataFrame:
+    """Lists of `least` signs as bulleted lines, with the heading or short paragraph before them;
+    lists in tables belong to those."""
+    items = clean(found).filter((F.col("tag") == "li") & (F.col("text") != "")).select("url", F.col("parent").alias("pos"), F.col("pos").alias("at"), F.concat(F.lit("• "), "text").alias("line"))
+    text = items.groupBy("url", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n").alias("items"))
+    lists = context(found, ["ul", "ol"], 300).filter("table is null")
+    return text.filter(F.length("items") >= least).join(lists, ["url", "pos"]).select("url", "pos", F.concat_ws("\n\n", "context", "items").alias("text"))
 
 
 def table_segments(found: DataFrame, most: int = 10, least: int = 50) -> DataFrame:
-    """Tables as lines of `head: value` pairs, `most` rows of them, with what introduces them."""
-    cells = subtree_text(found, ["td", "th"]).select("url", F.col("top_parent").alias("row"), "top", "top_tag", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("cell"))
-    rows = cells.groupBy("url", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("top", "cell"))), lambda s: s["cell"]).alias("cells"))
-    own = clean(found).filter("tag = 'tr'").select("url", F.col("pos").alias("row"))
-    tables = clean(found).filter("tag = 'table'").select("url", F.col("pos").alias("table"))
-    above = own.join(tables, "url").filter(F.col("table") < F.col("row")).groupBy("url", "row").agg(F.max("table").alias("table"))
-    grid = rows.join(above, ["url", "row"]).groupBy("url", "table").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda s: s["cells"]).alias("grid"))
+    """Tables as lines of `head: value` pairs, `most` rows of them, after their caption, heading or
+    short paragraph. Rows with another number of cells than the first are given plainly. A nested
+    table's rows are its own."""
+    rows = clean(found)
+    cells = rows.filter(F.col("tag").isin("td", "th")).select("url", F.col("parent").alias("row"), "pos", "text")
+    cells = cells.groupBy("url", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("cells"))
+    own = rows.filter("tag = 'tr' and table is not null").select("url", F.col("pos").alias("row"), F.col("table").alias("pos"))
+    grid = cells.join(own, ["url", "row"]).groupBy("url", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda s: s["cells"]).alias("grid"))
+    captions = rows.filter("tag = 'caption'").groupBy("url", F.col("table").alias("pos")).agg(F.min_by("text", "pos").alias("caption"))
+    told = context(found, ["table"], 200).select("url", "pos", "context")
+    joined = grid.filter(F.size("grid") > 1).join(told, ["url", "pos"], "left").join(captions, ["url", "pos"], "left")
     heads = F.get("grid", F.lit(0))
-    line = lambda r: F.array_join(F.transform(F.arrays_zip(heads.alias("h"), r.alias("c")), lambda z: F.concat_ws(": ", z["h"], z["c"])), " | ")
-    data = F.slice("grid", 2, most)
+    pairs = lambda r: F.transform(F.filter(F.arrays_zip(heads.alias("h"), r.alias("c")), lambda z: z["c"] != ""), lambda z: F.concat_ws(": ", z["h"], z["c"]))
+    line = lambda r: F.array_join(F.when(F.size(r) == F.size(heads), pairs(r)).otherwise(r), " | ")
     more = F.when(F.size("grid") - 1 > most, F.format_string("... and %d more rows", F.size("grid") - 1 - most))
-    told = context(found, ["table"], 200)
-    joined = grid.join(told, (grid["url"] == told["page"]) & (grid["table"] == told["pos"]), "left")
-    text = F.concat_ws("\n", F.concat(F.lit("TABLE: "), "context"), F.concat(F.lit("HEADERS: "), F.array_join(heads, " | ")), F.array_join(F.transform(data, line), "\n"), more)
-    return joined.select("url", F.col("table").alias("pos"), text.alias("text")).filter(F.length("text") >= least)
+    intro = F.coalesce("caption", "context")
+    title = F.when(intro != "", F.concat(F.lit("TABLE: "), intro, F.lit("\n")))
+    text = F.concat_ws("\n", title, F.concat(F.lit("HEADERS: "), F.array_join(heads, " | ")), F.lit("-" * 50), F.array_join(F.transform(F.slice("grid", 2, most), line), "\n"), more)
+    signs = F.aggregate(F.flatten("grid"), F.lit(0), lambda n, c: n + F.length(c))
+    return joined.filter(signs >= least).select("url", "pos", text.alias("text"))
+
+
+def paragraphs(found: DataFrame, least: int = 50) -> DataFrame:
+    return clean(found).filter((F.col("tag") == "p") & F.col("table").isNull() & (F.length("text") >= least)).select("url", "pos", "text")
 
 
 def segments(found: DataFrame) -> DataFrame:
     """Sections, lists, tables and paragraphs of every page (they overlap), by place and kind.
 
-    Pages are read once: the elements are kept, and may be let go when the result has been used.
+    Pages are read once: their nodes are written, as all kinds are built from them.
     """
-    found = found.persist()
+    found = materialize(found)
     kind = lambda df, name: df.select("url", "pos", F.lit(name).alias("kind"), "text")
-    paragraphs = clean(found).filter("tag = 'p' and length(text) >= 50")
-    sections = heading_sections(found).withColumn("text", F.concat_ws("\n", "heading", "text"))
-    parts = [kind(sections, "section"), kind(list_segments(found), "list"), kind(table_segments(found), "table"), kind(paragraphs, "paragraph")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    sections = heading_sections(found).withColumn("text", F.concat_ws("\n\n", "heading", "text"))
+    out = kind(sections, "section")
+    for name, part in (("list", list_segments(found)), ("table", table_segments(found)), ("paragraph", paragraphs(found))):
+        out = out.unionByName(kind(part, name))
+    return out
+
+
+#: How cards of faculty members are named, where their names stand, their titles (the
+#: first that the text holds, the longer ones first), and the research areas that are looked for.
+CARD_NAMES = r"faculty|person|profile|member|staff|people"
+CARD_NAME_TAGS = ["h2", "h3", "h4", "strong", "a"]
+TITLES = ["Associate Professor", "Assistant Professor", "Professor"]
+AREAS = [
+    "social psychology", "social cognition", "attitudes", "prejudice", "stereotyping", "group dynamics", "intergroup", "social influence", "interpersonal", "relationships",
+    "social identity", "self", "emotion", "motivation", "culture", "social neuroscience", "prosocial", "aggression", "cooperation", "social judgment",
+]
+
+
+def cards(found: DataFrame, areas: list[str] = AREAS, names: str = CARD_NAMES, most: int = 5) -> DataFrame:
+    """Name, title, areas, mail and web address of each card of a faculty page that names an area.
+
+    A card is an element named so; one inside another is part of it. The name is that of the first
+    heading, strong text or link; areas are the first `most` of the list."""
+    rows = clean(found)
+    before = W.partitionBy("url").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy("url").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    named = rows.withColumn("card_end", F.when((F.col("tag") != TEXT) & F.col("names").rlike(names), F.col("end")))
+    top = F.col("card_end").isNotNull() & (F.coalesce(F.max("card_end").over(before), F.lit(0)) <= F.col("pos"))
+    named = named.withColumn("top", top).withColumn("card", F.last(F.when(F.col("top"), F.struct("pos", "end")), ignorenulls=True).over(upto))
+    inside = named.filter((F.col("pos") > F.col("card.pos")) & (F.col("pos") < F.col("card.end")))
+    first = lambda value, when: F.min_by(value, F.when(when, F.col("pos")))
+    out = inside.groupBy("url", F.col("card.pos").alias("pos_")).agg(
+        first("text", F.col("tag").isin(*CARD_NAME_TAGS)).alias("name"),
+        first("href", F.col("href").startswith("mailto:")).alias("mail"),
+        first("href", F.col("href").contains("http")).alias("website"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == TEXT, F.struct("pos", "text")))), lambda s: s["text"]), "").alias("said"),
+    )
+    title = F.coalesce(F.get(F.filter(F.array(*map(F.lit, TITLES)), lambda t: F.contains(F.col("said"), t)), F.lit(0)), F.lit("Professor"))
+    known = F.slice(F.transform(F.filter(F.array(*map(F.lit, areas)), lambda x: F.contains(F.lower("said"), x)), lambda x: F.initcap(x)), 1, most)
+    told = out.withColumns({"title": title, "areas": known}).filter((F.length("name") >= 3) & (F.size("areas") > 0))
+    return told.select("url", F.col("pos_").alias("pos"), "name", "title", "areas", F.regexp_replace("mail", "^mailto:", "").alias("email"), "website")
 
 
 def text_blocks(chars: DataFrame, line_step: float = 2.0, block_step: float = 10.0, least: int = 30) -> DataFrame:
@@ -224,3 +311,14 @@ def is_heading(text: Column, size: Column | None = None) -> Column:
     large = size > 14 if size is not None else F.lit(False)
     named = F.exists(F.array(*map(F.lit, HEADING_WORDS)), lambda w: F.contains(F.lower(text), w))
     return F.length(text).between(5, 100) & (text.rlike(HEADING_PATTERNS) | large | named)
+
+
+def extracted(chars: DataFrame, other_blocks: DataFrame, tables: DataFrame, least: int = 30) -> DataFrame:
+    """Blocks and tables of one document by two extractors: `chars` are grouped into blocks here,
+    `other_blocks` (page, text) came as blocks, `tables` (page, rows: array of arrays of cells) need
+    two rows; all need `least` signs. page, kind, text; copies are left to `sets.by_prefix`."""
+    own = text_blocks(chars, least=least).select("page", F.lit("block").alias("kind"), "text")
+    theirs = other_blocks.filter(F.length(F.trim("text")) >= least).select("page", F.lit("block").alias("kind"), F.trim("text").alias("text"))
+    line = lambda r: F.array_join(F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))), " | ")
+    as_text = tables.filter(F.size("rows") >= 2).select("page", F.lit("table").alias("kind"), F.array_join(F.transform("rows", line), "\n").alias("text"))
+    return own.unionByName(theirs).unionByName(as_text.filter(F.length("text") >= least))

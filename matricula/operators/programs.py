@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..sources.scratch import materialize
 
 #: Fixed value: the rank of what has none.
 NO_RANK = 999
@@ -86,3 +89,14 @@ def faculty_of(programs: DataFrame, faculty: DataFrame, keys: list[str], most: i
     cut = F.slice("faculty", 1, most) if most else F.col("faculty")
     none = F.array().cast("array<struct<order:int,name:string,areas:array<string>>>")
     return programs.join(people.withColumn("faculty", cut), keys, "left").withColumn("faculty", F.coalesce("faculty", none))
+
+
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """`rows` with their place in an order that no two share, from 1: ranges of the order are numbered
+    each by itself, and moved by the rows before them."""
+    part = F.spark_partition_id().alias("__part")
+    ranged = materialize(rows.repartitionByRange(*order).select("*", part))
+    within = ranged.withColumn("place", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("before"))  # one row a range
+    return within.join(F.broadcast(before), "__part").withColumn("place", F.col("place") + F.col("before")).drop("__part", "before")

@@ -138,23 +138,42 @@ def approved_programs_only(sets: DataFrame) -> DataFrame:
     return sets.join(known, reduce(Column.__and__, same), "left_semi")
 
 
-#: The tests of a set, their status column and what gives the least score.
-TESTS = ("TOEFL", "IELTS", "GRE", "GMAT", "LSAT")
+#: The tests of a set in their order: those with a status of their own, and English
+#: tests, which are required where they have a minimum.
+STATUS_TESTS, ENGLISH_TESTS = ("GRE", "GMAT", "LSAT", "MCAT"), ("TOEFL", "IELTS", "DET")
+_TEST = "test_name string, status string, min_score int, section_minima map<string,int>, code string, validity_months int"
 
 
 def unpivot_tests(sets: DataFrame) -> DataFrame:
     """One row per test of a set; English tests are required where they have a minimum, others
-    carry their status, and unknown ones are left out. An IELTS minimum loses its half points."""
-    given = lambda c: F.coalesce(F.col(c), F.lit(0)) != 0
-    english = lambda c: F.when(given(c), F.lit("required")).otherwise(F.lit("unknown"))
-    row = lambda name, status, least, code: F.struct(F.lit(name).alias("test_name"), status.alias("status"), least.cast("int").alias("min_score"), code.cast("string").alias("code"))
+    carry their status, and unknown ones are left out. A minimum loses its half points. Columns
+    that `sets` lacks count as null (toefl_section_min: a map or JSON text of one)."""
+    own = lambda c, kind: F.col(c).cast(kind) if c in sets.columns else F.lit(None).cast(kind)
+    sections = F.lit(None).cast("map<string,int>")
+    if "toefl_section_min" in sets.columns:
+        text = sets.schema["toefl_section_min"].dataType.simpleString() == "string"
+        sections = F.from_json("toefl_section_min", "map<string,int>") if text else F.col("toefl_section_min").cast("map<string,int>")
+
+    def row(name: str, status: Column, least: Column, minima: Column) -> Column:
+        values = (F.lit(name), status, least, minima, own(f"code_{name.lower()}", "string"), own("score_validity_months", "int"))
+        return F.struct(*values).cast(f"struct<{_TEST.replace(', ', ',').replace(' ', ':')}>")
+
+    def english(name: str) -> Column:
+        least = own(f"{name.lower()}_min", "double")
+        given = F.coalesce(least, F.lit(0.0)) != 0
+        status = F.when(given, F.lit("required")).otherwise(F.lit("unknown"))
+        return row(name, status, F.when(given, least.cast("int")), sections if name == "TOEFL" else F.lit(None).cast("map<string,int>"))
+
+    status = lambda t: F.coalesce(own(f"{t.lower()}_status", "string"), F.lit("unknown"))
     none = F.lit(None)
-    rows = F.array(
-        row("TOEFL", english("toefl_min"), F.col("toefl_min"), F.col("code_toefl")),
-        row("IELTS", english("ielts_min"), F.col("ielts_min"), none),
-        *(row(t, F.coalesce(f"{t.lower()}_status", F.lit("unknown")), none, none) for t in TESTS[2:]),
-    )
-    return sets.select("id", F.explode(rows).alias("t")).select("id", "t.*").filter("status <> 'unknown'")
+    rows = [*(row(t, status(t), none.cast("int"), none.cast("map<string,int>")) for t in STATUS_TESTS), *(english(t) for t in ENGLISH_TESTS)]
+    return sets.select("id", F.explode(F.array(*rows)).alias("t")).select("id", "t.*").filter("status <> 'unknown'")
+
+
+def same_text_id(left: DataFrame, right: DataFrame, left_id: str, right_id: str, how: str = "inner") -> DataFrame:
+    """Rows whose ids are the same when written as text; the right one's id column goes."""
+    cast = right.withColumn("__id", F.col(right_id).cast("string")).drop(right_id)
+    return left.withColumn("__id", F.col(left_id).cast("string")).join(cast, "__id", how).drop("__id")
 
 
 def program_detail(programs: DataFrame, sets: DataFrame, fields: DataFrame) -> DataFrame:

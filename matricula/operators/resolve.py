@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window as W
+
 from ..functions.text import jaccard, normalize
+from ..sources.scratch import materialize
 from .registry import first_by
 
 #: Points for a name, an alias and an acronym, from equal to similar.
 NAME, ALIAS, ACRONYM = (100, 80, 60, 40), (90, 50, 30), (95, 70)
 ACTIVE, EDUCATION, SIMILAR = 10, 5, 0.7
+#: Queries that the loose mode takes; they are broadcast to the registry.
+MOST_LOOSE = 1000
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -35,21 +40,38 @@ def match_score(query: Column, strict: bool = True) -> Column:
 
 
 def candidates(queries: DataFrame, registry: DataFrame) -> DataFrame:
-    """Pairs that can score: queries and registry rows meet in a word of a name, alias or acronym.
+    """Pairs (query, id) that can score, found without losing one by three equi-joins.
 
-    Substring hits inside words are found through three-letter pieces, so no pair is lost, and
-    pairs are formed by an equi-join; pieces shared by very many rows are split by the optimizer.
+    Where one string holds the other, all three-letter pieces of the shorter one are in the longer:
+    it is enough that they meet in the shorter one's rarest piece. Strings that share enough of
+    their words meet in one of the query's rarest words, as many as may be missing and one more.
+    Strings of one or two letters are pieces of themselves. Rarity is counted over the registry.
     """
-    pieces = lambda text: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
-    q = queries.select("query", normalize("query").alias("plain")).distinct()
-    named = registry.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("acronyms", F.array().cast("array<string>")))).alias("n")).select("id", normalize("n").alias("n"))
-    left = q.select("query", F.explode(pieces(F.col("plain"))).alias("piece"))
-    right = named.select("id", F.explode(pieces(F.col("n"))).alias("piece")).distinct()
-    short = named.filter(F.length("n") < 3).select("id", F.col("n").alias("short"))
-    found = left.join(right, "piece").select("query", "id")
-    inside = q.join(short, F.contains(q["plain"], short["short"])).select("query", "id")
-    brief = q.filter(F.length("plain") < 3).join(named, F.contains(F.col("n"), F.col("plain"))).select("query", "id")
-    return found.unionByName(inside).unionByName(brief).distinct()
+    sizes = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(n) - 2, F.lit(1))), lambda i: F.substring(n, i, F.lit(3)))
+    brief = lambda n: F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.when(F.length(n) >= k, F.transform(F.sequence(F.lit(1), F.length(n) - k + 1), lambda i: F.substring(n, i, k))).otherwise(F.array().cast("array<string>"))))
+    pieces = lambda n: F.array_distinct(F.when(F.length(n) < 3, F.array(n)).otherwise(sizes(n)))
+    all_pieces = lambda n: F.array_distinct(F.concat(sizes(n), brief(n)))
+    words = lambda n: F.array_distinct(F.split(n, " "))
+    q = queries.select("query", normalize("query").alias("n")).distinct().filter("n <> ''")
+    every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("acronyms", F.array().cast("array<string>")))
+    named = materialize(registry.select("id", F.explode(every).alias("n")).select("id", normalize("n").alias("n")).filter("n <> ''").distinct())
+    held = materialize(named.select("id", F.explode(all_pieces(F.col("n"))).alias("piece")).distinct())
+    often = materialize(held.groupBy("piece").agg(F.count(F.lit(1)).alias("often")))
+
+    def rarest(rows: DataFrame, key: str) -> DataFrame:
+        each = rows.select(key, "n", F.explode(pieces(F.col("n"))).alias("piece")).join(often, "piece", "left")
+        return each.groupBy(key, "n").agg(F.min_by("piece", F.struct(F.coalesce("often", F.lit(0)), "piece")).alias("piece")).select(key, "piece").distinct()
+
+    inside = rarest(q, "query").join(held, "piece").select("query", "id")
+    asked = q.select("query", F.explode(all_pieces(F.col("n"))).alias("piece"))
+    around = rarest(named, "id").join(asked, "piece").select("query", "id")
+    said = named.select("id", F.explode(words(F.col("n"))).alias("word")).distinct()
+    common = said.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    ranked = q.select("query", F.size(words(F.col("n"))).alias("size"), F.explode(words(F.col("n"))).alias("word")).join(common, "word", "left")
+    ranked = ranked.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.coalesce("often", F.lit(0)), "word")))
+    telling = ranked.filter(F.col("place") <= F.col("size") - F.ceil(SIMILAR * F.col("size")) + 1)
+    alike = telling.join(said, "word").select("query", "id")
+    return inside.unionByName(around).unionByName(alike).distinct()
 
 
 def resolve(queries: DataFrame, registry: DataFrame, strict: bool = True) -> DataFrame:
@@ -57,7 +79,13 @@ def resolve(queries: DataFrame, registry: DataFrame, strict: bool = True) -> Dat
 
     registry: id, pos, name, aliases, acronyms, status, types.
     """
-    pairs = candidates(queries, registry) if strict else queries.select("query").distinct().crossJoin(F.broadcast(registry.select("id")))
+    asked = queries.select("query").distinct()
+    if strict:
+        pairs = candidates(asked, registry)
+    else:
+        if asked.count() > MOST_LOOSE:
+            raise ValueError(f"the loose mode scores every row for every query, {MOST_LOOSE} queries at most")
+        pairs = registry.select("id").join(F.broadcast(asked), F.lit(True))
     scored = pairs.join(registry, "id").withColumn("score", match_score(normalize("query"), strict)).filter("score > 0")
     return first_by(scored, ["query"], F.desc("score"), F.asc("pos"), F.asc("id"))
 

@@ -92,3 +92,24 @@ def set_details(sets: DataFrame, issues: DataFrame) -> DataFrame:
     listed = open_issues(issues).groupBy(F.col("requirement_set_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(severity_rank().alias("rank"), "field_no", "severity"))).alias("issues"))
     text = F.array_join(F.transform(F.col("issues"), lambda x: F.concat_ws(":", x["severity"], x["field_no"])), ",")
     return sets.join(listed, "id", "left").select("id", "status", "confidence", F.coalesce(text, F.lit("")).alias("open_issues"))
+
+
+def detail_bundle(sets: DataFrame, issues: DataFrame, citations: DataFrame, tests: DataFrame, deadlines: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Each set with arrays of what belongs to it, in order: open issues (grave ones first), citations
+    (by field, then the time they were made), tests, deadlines (earliest first) and contacts.
+
+    All have requirement_set_id; issues: severity, field_name, message; citations: field_name,
+    created_at, kind, snippet; tests: test_name, status, min_score; deadlines: deadline_ts,
+    deadline_type, audience; contacts: contact_type, email."""
+    out = sets
+    parts = (
+        ("issues", open_issues(issues).withColumn("rank", severity_rank()), ("rank", "field_name", "severity", "message")),
+        ("citations", citations, ("field_name", "created_at", "kind", "snippet")),
+        ("tests", tests, ("test_name", "status", "min_score")),
+        ("deadlines", deadlines, ("deadline_ts", "deadline_type", "audience")),
+        ("contacts", contacts, ("contact_type", "email")),
+    )
+    for name, rows, columns in parts:
+        listed = rows.groupBy(F.col("requirement_set_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(listed, "id", "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+    return out

@@ -109,10 +109,18 @@ def report(found: DataFrame, key: str = "id") -> DataFrame:
     return found.groupBy(key).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
 
+def failing(rules: list[Rule], severity: str) -> Column:
+    """How many checks of a severity a row fails."""
+    return reduce(Column.__add__, (F.when(F.coalesce(r.fails, F.lit(False)), 1).otherwise(0) for r in rules if r.severity == severity), F.lit(0).cast("long"))
+
+
 def verdict(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """id, errors, warnings, confidence and the status that they recommend."""
+    """id, errors, warnings, confidence and the status that they recommend, by issues of `found`."""
     joined = sets.join(report(found), "id", "left")
-    errors, warnings = (F.coalesce(c, F.lit(0)) for c in ("errors", "warnings"))
+    return _verdict(joined, *(F.coalesce(c, F.lit(0)) for c in ("errors", "warnings")))
+
+
+def _verdict(joined: DataFrame, errors: Column, warnings: Column) -> DataFrame:
     fields = reduce(Column.__add__, [given(c).cast("int") for c in ("toefl_min", "code_toefl", "fee_amount", "rec_min")] + [(F.col("gre_status") != "unknown").cast("int")])
     cites = F.size("cited_fields") / F.greatest(fields, F.lit(1))
     raw = 0.7 - errors * 0.2 - warnings * 0.05 + F.least(F.lit(0.2), cites * 0.2) + F.when(F.col("deadline_ts").isNotNull(), 0.1).otherwise(0.0)
@@ -122,9 +130,11 @@ def verdict(sets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def validate(sets: DataFrame, known_codes: list[str], as_of: str, more: tuple[Rule, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """All issues of all sets, and a verdict on each set."""
-    found = issues(sets, all_rules(sets.columns, known_codes, as_of, more))
-    return found, verdict(sets, found)
+    """All issues of all sets, and a verdict on each set; verdicts count a row's failing checks where
+    it lies, without going over the issues."""
+    rules = all_rules(sets.columns, known_codes, as_of, more)
+    counted = sets.withColumns({"errors": failing(rules, "error"), "warnings": failing(rules, "warning")})
+    return issues(sets, rules), _verdict(counted, F.col("errors"), F.col("warnings"))
 
 
 def not_in(field: str, values: list[str], severity: str = "error") -> Rule:

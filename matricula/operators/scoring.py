@@ -121,6 +121,34 @@ def evidence_urls(*columns: str) -> Column:
     return F.array_distinct(F.filter(F.array(*columns), lambda u: F.coalesce(u, F.lit("")) != ""))
 
 
+def sources_used(orcid: str = "orcid", funders: str = "funders", recruiting: str = "is_recruiting") -> Column:
+    """The sources that an author's row draws on, in a fixed order."""
+    funded = lambda name: F.coalesce(F.array_contains(F.col(funders), name), F.lit(False))
+    return F.array_compact(F.array(
+        F.lit("OpenAlex"),
+        F.when(F.coalesce(F.col(orcid), F.lit("")) != "", "ORCID"),
+        F.when(funded("NIH"), "NIH"),
+        F.when(funded("NSF"), "NSF"),
+        F.when(F.coalesce(F.col(recruiting), F.lit(False)), "Homepage"),
+    ))
+
+
+def display(results: DataFrame, scores: tuple[str, ...] = ("concept_score", "recent_works_score", "grant_score", "final_score")) -> DataFrame:
+    """`results` with scores as text of three places, and `links`: website, ORCID and profile as
+    Markdown, without the signs that would break it. Columns: homepage, orcid, openalex_id."""
+    safe = lambda c: F.trim(F.translate(F.coalesce(F.col(c), F.lit("")), "\"'<>", ""))
+    orcid = F.replace(safe("orcid"), F.lit("https://orcid.org/"), F.lit(""))
+    link = lambda label, start, value: F.concat(F.lit(f"[{label}]({start}"), value, F.lit(")"))
+    links = F.array_compact(F.array(
+        F.when(safe("homepage") != "", link("Website", "", safe("homepage"))),
+        F.when(F.length(orcid) > 10, link("ORCID", "https://orcid.org/", orcid)),
+        F.when(safe("openalex_id") != "", link("OpenAlex", "https://openalex.org/", safe("openalex_id"))),
+    ))
+    text = F.when(F.size(links) > 0, F.array_join(links, " • ")).otherwise("No links available")
+    shown = {c: F.format_string("%.3f", F.col(c).cast("double")) for c in scores if c in results.columns}
+    return results.withColumns({**shown, "links": text})
+
+
 def rationale(top: int = 3) -> Column:
     """Why an author ranks: areas, latest match, activity, funding, position, recruiting.
 

@@ -22,6 +22,14 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.union(b).distinct()
 
 
+def listed(*sources: DataFrame, repeats: bool = True) -> DataFrame:
+    """The rows of several lists, one after the other, with repeats or without."""
+    every = sources[0]
+    for more in sources[1:]:
+        every = every.unionByName(more)
+    return every if repeats else every.distinct()
+
+
 def common(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of `a` whose key `b` has."""
     return a.join(b.select(key).distinct(), key, "left_semi")

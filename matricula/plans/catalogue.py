@@ -196,7 +196,7 @@ def set_details(s, d):
       UNION ALL SELECT id, 'IELTS', CASE WHEN ielts_min <> 0 THEN 'required' ELSE 'unknown' END, CAST(trunc(ielts_min) AS INT), NULL FROM requirements
       UNION ALL SELECT id, 'GRE', gre_status, NULL, NULL FROM requirements UNION ALL SELECT id, 'GMAT', gmat_status, NULL, NULL FROM requirements UNION ALL SELECT id, 'LSAT', lsat_status, NULL, NULL FROM requirements) WHERE status <> 'unknown'""", "requirements"))
 def test_unpivot(s, d):
-    return registry.unpivot_tests(A.requirements(s, d))
+    return registry.unpivot_tests(A.requirements(s, d)).select("id", "test_name", "status", "min_score", "code")
 
 
 @query("program_detail", sql("""SELECT program_id, CASE WHEN c.id IS NULL THEN 'incomplete' ELSE 'complete' END AS status, c.id, q.gpa_min, q.toefl_min FROM program LEFT JOIN (
@@ -270,19 +270,19 @@ def top_k_per_author(s, d):
     return scoring.cap_per_group(A.grant(s, d), "author_id", 5, F.desc("start_date"), F.asc("grant_id")).select("author_id", "grant_id", "start_date")
 
 
-@query("grant_name_join", """SELECT DISTINCT s_suppkey AS author_id, p_partkey AS grant_id FROM supplier JOIN part ON p_partkey % 50 = s_suppkey % 50""")
+@query("grant_name_join", """SELECT DISTINCT s_suppkey AS author_id, p_partkey AS grant_id FROM supplier JOIN part ON (p_partkey + 19) // 20 = s_suppkey""")
 def grant_name_join(s, d):
-    authors = A.read(s, d, "supplier").selectExpr("s_suppkey AS author_id", "concat('Ann M ', 'Lee', s_suppkey % 50) AS name", "'Uni' AS institution")
-    awards = A.read(s, d, "part").selectExpr("p_partkey AS grant_id", "CASE WHEN p_partkey % 2 = 0 THEN array(concat('LEE', p_partkey % 50, ',  ann m'), 'Bob') ELSE array(concat('Ann Lee', p_partkey % 50)) END AS pi_names")
+    authors = A.read(s, d, "supplier").selectExpr("s_suppkey AS author_id", "concat('Ann M ', 'Lee', s_suppkey) AS name", "'Uni' AS institution")
+    awards = A.read(s, d, "part").selectExpr("p_partkey AS grant_id", "(p_partkey + 19) div 20 AS k", "p_partkey").selectExpr("grant_id", "CASE WHEN p_partkey % 2 = 0 THEN array(concat('LEE', k, ',  ann m'), 'Bob') ELSE array(concat('Ann Lee', k)) END AS pi_names")
     return grants.by_name(authors, awards)
 
 
-@query("grant_last_name_join", """WITH a AS (SELECT s_suppkey AS author_id, s_suppkey % 50 AS k, s_nationkey AS place FROM supplier), g AS (SELECT p_partkey AS grant_id, p_partkey % 50 AS k, p_partkey % 25 AS place FROM part),
+@query("grant_last_name_join", """WITH a AS (SELECT s_suppkey AS author_id, s_suppkey // 2 AS k, s_suppkey // 4 AS place FROM supplier), g AS (SELECT p_partkey AS grant_id, p_partkey // 37 AS k, p_partkey // 80 AS place FROM part),
     one AS (SELECT author_id, grant_id, 1 AS step FROM a JOIN g USING (k, place)), few AS (SELECT author_id FROM one GROUP BY 1 HAVING count(*) >= 10)
     SELECT * FROM one UNION ALL SELECT author_id, grant_id, 2 FROM a JOIN g USING (place) WHERE author_id NOT IN (SELECT author_id FROM few)""")
 def grant_last_name_join(s, d):
-    authors = A.read(s, d, "supplier").selectExpr("s_suppkey AS author_id", "concat('Ann ', 'Lee', s_suppkey % 50) AS name", "concat('Uni ', s_nationkey) AS institution")
-    awards = A.read(s, d, "part").selectExpr("p_partkey AS grant_id", "concat('uni  ', p_partkey % 25) AS institution", "array(concat('Ann Lee', p_partkey % 50)) AS pi_names")
+    authors = A.read(s, d, "supplier").selectExpr("s_suppkey AS author_id", "concat('Ann ', 'Lee', s_suppkey div 2) AS name", "concat('Uni ', s_suppkey div 4) AS institution")
+    awards = A.read(s, d, "part").selectExpr("p_partkey AS grant_id", "concat('uni  ', p_partkey div 80) AS institution", "array(concat('Ann Lee', p_partkey div 37)) AS pi_names")
     return grants.by_last_name(authors, awards)
 
 
@@ -371,9 +371,17 @@ def context_packing(s, d):
     return extract.pack_context(turns, score, 10, 900, "conv_id").select("conv_id", "turn")
 
 
-@query("recruit_signal", "SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])(worthless|license)($|[^a-z0-9_])') OR regexp_matches(lower(text), 'apache\\s+license') AS is_recruiting FROM documents")
+_RECRUITS = "text || CASE doc_id % 5 WHEN 0 THEN ' Prospective  Students' WHEN 1 THEN ' two student wanted' WHEN 2 THEN ' openings for you' WHEN 3 THEN ' unhiring postdocs' ELSE '' END"
+
+
+def _recruit_oracle() -> str:
+    signs = "|".join([rf"\b{p}\b" for p in extract.RECRUITING] + extract.RECRUITING_PATTERNS)
+    return f"SELECT doc_id, regexp_matches(trim(regexp_replace(lower({_RECRUITS}), '\\s+', ' ', 'g')), '{signs}') AS is_recruiting FROM documents"
+
+
+@query("recruit_signal", _recruit_oracle())
 def recruit_signal(s, d):
-    return extract.recruiting(A.read(s, d, "documents"), ["worthless", "license"], [r"apache\s+license"]).select("doc_id", "is_recruiting")
+    return extract.recruiting(A.read(s, d, "documents").selectExpr("doc_id", f"{_RECRUITS} AS text")).select("doc_id", "is_recruiting")
 
 
 @query("inverted_index", "SELECT doc_id, text AS rebuilt FROM documents")
@@ -431,28 +439,29 @@ def validate_sets(s, d):
 
 
 def _applicants(s, d) -> DataFrame:
-    return A.read(s, d, "supplier").filter("s_suppkey <= 20").selectExpr(
-        "s_suppkey AS applicant_id", "CASE WHEN s_suppkey % 2 = 0 THEN 'MS' END AS degree", "2 + (s_suppkey % 20) / 10D AS gpa", "CAST(300 + s_suppkey AS INT) AS gre_total", "CAST(90 + s_suppkey AS INT) AS toefl_total",
-        "6.5D AS ielts_total", "CAST(600 AS INT) AS gmat_total", "CAST(s_suppkey % 5 AS INT) AS work_experience_years", "CAST(s_suppkey % 2 AS INT) AS publications", "array('ASIA') AS preferred_countries", "array('online') AS preferred_modalities", "100D AS max_application_fee")
+    """The query set: customers whose key is divisible by 50, each against all programs."""
+    return A.read(s, d, "customer").filter("c_custkey % 50 = 0").selectExpr("*", "c_custkey div 50 AS a").selectExpr(
+        "c_custkey AS applicant_id", "CASE WHEN a % 2 = 0 THEN 'MS' END AS degree", "2 + (a % 20) / 10D AS gpa", "CAST(300 + a % 40 AS INT) AS gre_total", "CAST(90 + a % 30 AS INT) AS toefl_total",
+        "6.5D AS ielts_total", "CAST(600 AS INT) AS gmat_total", "CAST(a % 5 AS INT) AS work_experience_years", "CAST(a % 2 AS INT) AS publications", "array('ASIA') AS preferred_countries", "array('online') AS preferred_modalities", "100D AS max_application_fee")
 
 
 @query("fit_check", """WITH p AS (SELECT p_partkey AS program_id, CASE WHEN p_partkey % 3 = 0 THEN 'MS' ELSE 'PhD' END AS degree, CASE WHEN p_partkey % 2 = 0 THEN 'ASIA' ELSE 'EUROPE' END AS country, p_partkey % 4 / 2e0 + 2 AS gpa_min, CAST(p_partkey % 3 AS INT) AS years, CAST(p_size * 5 AS DOUBLE) AS fee,
-      p_partkey % 5 AS k FROM part WHERE p_partkey <= 500),
-    a AS (SELECT s_suppkey AS applicant_id, CASE WHEN s_suppkey % 2 = 0 THEN 'MS' END AS wished, 2 + (s_suppkey % 20) / 10e0 AS gpa, 300 + s_suppkey AS gre, 90 + s_suppkey AS toefl, s_suppkey % 5 AS exp FROM supplier WHERE s_suppkey <= 20),
+      p_partkey % 5 AS k FROM part),
+    a AS (SELECT c_custkey AS applicant_id, CASE WHEN a % 2 = 0 THEN 'MS' END AS wished, 2 + (a % 20) / 10e0 AS gpa, 300 + a % 40 AS gre, 90 + a % 30 AS toefl, a % 5 AS exp FROM (SELECT c_custkey, c_custkey // 50 AS a FROM customer WHERE c_custkey % 50 = 0)),
     m AS (SELECT *, CASE k WHEN 0 THEN 85e0 WHEN 1 THEN least(100e0, gre / 320e0 * 100) WHEN 2 THEN least(100e0, toefl / 100e0 * 100) WHEN 3 THEN 85e0 ELSE (least(100e0, gre / 320e0 * 100) + least(100e0, toefl / 100e0 * 100)) / 2 END AS t,
       CASE WHEN gpa >= gpa_min THEN least(100e0, 80 + (gpa - gpa_min) * 50) ELSE greatest(0e0, 80 + (gpa - gpa_min) * 100) END AS g,
       CASE WHEN years = 0 THEN 80e0 WHEN exp = 0 THEN 30e0 WHEN exp >= years THEN 100e0 ELSE greatest(0e0, 70 - (years - exp) * 20e0) END AS e,
       least(100e0, greatest(0e0, 70e0 + CASE WHEN country = 'ASIA' THEN 20 ELSE -10 END + 10 + CASE WHEN fee <= 100 THEN 5 ELSE -5 END)) AS w FROM p JOIN a ON wished IS NULL OR wished = degree)
-    SELECT applicant_id, program_id, round(t, 6) AS test_match, round(g, 6) AS gpa_match, round(e, 6) AS experience_match, round(w, 6) AS preference_match, round((t + g + e + w) / 4, 6) AS overall FROM m""")
+    SELECT applicant_id, program_id, round(t, 6) AS test_match, round(g, 6) AS gpa_match, round(e, 6) AS experience_match, round(w, 6) AS preference_match, round((t + g + e + w) / 4, 6) AS overall, CASE WHEN (t + g + e + w) / 4 >= 90 THEN 0.8e0 WHEN (t + g + e + w) / 4 >= 80 THEN 0.65e0 WHEN (t + g + e + w) / 4 >= 70 THEN 0.45e0 WHEN (t + g + e + w) / 4 >= 60 THEN 0.25e0 ELSE 0.1e0 END AS admission_chance FROM m""")
 def fit_check(s, d):
     test = lambda name, least: f"named_struct('test_name', '{name}', 'status', 'required', 'min_score', {least}, 'code', CAST(NULL AS STRING))"
     gre, toefl = test("GRE", "CAST(NULL AS INT)"), test("TOEFL", "100")
-    offered = A.read(s, d, "part").filter("p_partkey <= 500").selectExpr(
+    offered = A.read(s, d, "part").selectExpr(
         "p_partkey AS program_id", "CASE WHEN p_partkey % 3 = 0 THEN 'MS' ELSE 'PhD' END AS degree", "CASE WHEN p_partkey % 2 = 0 THEN 'ASIA' ELSE 'EUROPE' END AS country", "array('online', 'hybrid') AS modalities",
         "(p_partkey % 4) / 2D + 2 AS gpa_min", "CAST(p_partkey % 3 AS INT) AS min_experience_years", "CAST(p_size * 5 AS DOUBLE) AS application_fee",
         f"CASE p_partkey % 5 WHEN 1 THEN array({gre}) WHEN 2 THEN array({toefl}) WHEN 4 THEN array({gre}, {toefl}) ELSE filter(array({gre}), x -> false) END AS tests")
     out = fit.fit(_applicants(s, d), offered)
-    return out.select("applicant_id", "program_id", *(r6(c).alias(c) for c in ("test_match", "gpa_match", "experience_match", "preference_match", "overall")))
+    return out.select("applicant_id", "program_id", *(r6(c).alias(c) for c in ("test_match", "gpa_match", "experience_match", "preference_match", "overall")), "admission_chance")
 
 
 @query("rank_overlay", """SELECT p_partkey AS program_id, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 99 ELSE p_size END AS toefl_min, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_partkey % 50 AS INT) ELSE 999 END AS rank FROM part""")
@@ -474,12 +483,21 @@ def stale_programs(s, d):
     return programs.stale(A.read(s, d, "orders").withColumn("last_updated", F.col("o_orderdate").cast("timestamp")), AS_OF_GRANTS).select("o_orderkey")
 
 
-@query("institution_match", "SELECT s_suppkey AS query_id, s_nationkey AS id, 115 AS score FROM supplier")
+@query("institution_match", """WITH names AS (SELECT n_nationkey AS id, lower(n_name) AS name, 'university of ' || lower(n_name) AS alias, 'u' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS acronym, n_nationkey % 2 = 0 AS active FROM nation),
+    asked AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 5 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'university of ' || lower(n_name) WHEN 2 THEN 'u' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') WHEN 3 THEN 'the college of ' || lower(n_name) ELSE 'zqx ' || s_suppkey END AS q
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    scored AS (SELECT query_id, id, CASE WHEN q = name THEN 100 WHEN contains(name, q) THEN 80 WHEN contains(q, name) THEN 60 ELSE 0 END
+      + CASE WHEN q = alias THEN 90 WHEN contains(alias, q) OR contains(q, alias) THEN 50 WHEN len(list_intersect(string_split(q, ' '), string_split(alias, ' '))) >= 0.7e0 * len(list_distinct(list_concat(string_split(q, ' '), string_split(alias, ' ')))) THEN 30 ELSE 0 END
+      + CASE WHEN q = acronym THEN 95 WHEN contains(acronym, q) OR contains(q, acronym) THEN 70 ELSE 0 END AS points, CASE WHEN active THEN 10 ELSE 0 END + 5 AS more FROM asked, names)
+    SELECT query_id, id, CAST(points + more AS INT) AS score FROM scored WHERE points > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY points + more DESC, id) = 1""")
 def institution_match(s, d):
-    """Every supplier's nation, spelled otherwise, against the registry of nations."""
-    names = A.read(s, d, "nation").selectExpr("n_nationkey AS id", "n_nationkey AS pos", "n_name AS name", "CAST(array() AS ARRAY<STRING>) AS aliases", "CAST(array() AS ARRAY<STRING>) AS acronyms", "'active' AS status", "array('Education') AS types")
-    asked = A.read(s, d, "supplier").join(A.read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("  "), F.lower("n_name")).alias("query"))
-    best = resolve.resolve(asked.select("query").distinct(), names).select("query", "id", "score")
+    """Every supplier's nation as a name, alias, acronym or part of a longer name, against the registry."""
+    nation = A.read(s, d, "nation")
+    acronym = "concat('u', lpad(CAST(n_nationkey AS STRING), 3, '0'))"
+    names = nation.selectExpr("n_nationkey AS id", "n_nationkey AS pos", "n_name AS name", "array(concat('University of ', n_name)) AS aliases", f"array({acronym}) AS acronyms", "CASE WHEN n_nationkey % 2 = 0 THEN 'active' ELSE 'closed' END AS status", "array('Education') AS types")
+    spelled = f"CASE s_suppkey % 5 WHEN 0 THEN concat('  ', lower(n_name)) WHEN 1 THEN concat('UNIVERSITY  of ', n_name) WHEN 2 THEN {acronym} WHEN 3 THEN concat('The College of ', n_name) ELSE concat('zqx ', s_suppkey) END"
+    asked = A.read(s, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.expr(spelled).alias("query"))
+    best = resolve.resolve(asked, names).select("query", "id", "score")
     return asked.join(best, "query").select(F.col("s_suppkey").alias("query_id"), "id", "score")
 
 
@@ -537,7 +555,19 @@ def url_priority(s, d):
     return A.read(s, d, "pages").select("page_id", U.priority("url").alias("priority"), U.url_class("url").alias("class"))
 
 
-@query("page_text")
+def _page_text_oracle() -> str:
+    text = "html"
+    for noise in ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"):
+        text = f"regexp_replace({text}, '(?is)<{noise}[^>]*>.*?</{noise}>', ' ', 'g')"
+    text = f"regexp_replace({text}, '(?s)<!--.*?-->', '', 'g')"
+    text = f"regexp_replace({text}, '(?i)</?(?:article|body|br|div|h[1-6]|li|main|p|section|table|td|th|title|tr|ul|ol)(?:\\s[^>]*)?>', ' ', 'g')"
+    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for entity, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+        text = f"replace({text}, '&{entity};', '{sign}')"
+    return f"SELECT url, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS text FROM pages"
+
+
+@query("page_text", _page_text_oracle())
 def page_text(s, d):
     return pages.page_text(pages.tokens(A.read(s, d, "pages")))
 
@@ -547,10 +577,27 @@ def page_segments(s, d):
     return pages.segments(pages.tokens(A.read(s, d, "pages")))
 
 
-@query("requirement_extract", "SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '(?i)toefl[^\\n]*?(\\d{2,3})', 1), '') AS DOUBLE) AS toefl_min FROM (SELECT doc_id, text || ' TOEFL score ' || (70 + doc_id % 51) AS text FROM documents)")
+_SAID = "text || ' TOEFL ' || (50 + doc_id % 90) || ' or minimum TOEFL ' || (60 + doc_id % 70) || '; IELTS ' || (doc_id % 12) || ', minimum IELTS ' || (4 + doc_id % 7) || '.5. Minimum GPA of ' || (doc_id % 4) || '.5. GRE is ' || CASE doc_id % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'not strictly required' ELSE 'scored' END || '. ' || (doc_id % 5) || ' letters of recommendation, application fee of $' || (doc_id % 100) || '. The ' || CASE WHEN doc_id % 2 = 0 THEN 'deadline is Dec ' ELSE 'last day is January ' END || (1 + doc_id % 28)"
+
+
+def _requirement_oracle() -> str:
+    found = lambda p, k=1: f"regexp_extract(text, '(?i){p}', {k})"
+    number = lambda p: f"TRY_CAST(nullif({found(p)}, '') AS DOUBLE)"
+    out = []
+    for name, (patterns, (low, high)) in extract.NUMBER_PATTERNS.items():
+        tries = ", ".join(f"CASE WHEN {number(p)} BETWEEN {low} AND {min(high, 1e300)} THEN {number(p)} END" for p in patterns)
+        out.append(f"coalesce({tries}) AS {name}")
+    has = lambda p: f"regexp_matches(text, '(?i){p}')"
+    out.append(f"CASE WHEN {has(extract.GRE_OFF)} THEN FALSE WHEN {has(extract.GRE_ON)} THEN TRUE END AS gre_required")
+    out.append("coalesce(" + ", ".join(f"CASE WHEN {has(p)} THEN {found(p)} || ' ' || {found(p, 2)} END" for p in extract.FALL_DEADLINES) + ") AS deadline_fall")
+    return f"SELECT doc_id, {', '.join(out)} FROM (SELECT doc_id, {_SAID} AS text FROM documents)"
+
+
+@query("requirement_extract", _requirement_oracle())
 def requirement_extract(s, d):
-    said = A.read(s, d, "documents").select("doc_id", F.concat("text", F.lit(" TOEFL score "), (70 + F.col("doc_id") % 51).cast("string")).alias("text"))
-    return said.select("doc_id", extract.requirements("text")["toefl_min"].alias("toefl_min"))
+    """Every text with a sentence on requirements at its end, whose first figures are out of range at times."""
+    said = A.read(s, d, "documents").selectExpr("doc_id", f"{_SAID} AS text")
+    return said.select("doc_id", extract.requirements("text").alias("r")).select("doc_id", "r.*")
 
 
 @query("deadline_extract", "SELECT doc_id, make_date(2025 + doc_id % 2, 12, 1 + doc_id % 28) AS deadline, 'priority' AS kind, 'both' AS audience FROM documents")
@@ -579,11 +626,10 @@ def extraction_confidence(s, d):
     return rules.extraction_confidence(rows).withColumn("extraction_confidence", r6("extraction_confidence"))
 
 
-@query("program_order", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY CASE WHEN p_size % 10 = 0 THEN 999 ELSE p_size END, p_name, p_partkey) AS INT) AS place FROM part QUALIFY place <= 100")
+@query("program_order", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY CASE WHEN p_size % 10 = 0 THEN 999 ELSE p_size END, p_name, p_partkey) AS BIGINT) AS place FROM part")
 def program_order(s, d):
-    rows = A.read(s, d, "part").selectExpr("p_partkey", "CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size END AS rank", "struct(p_name, p_partkey) AS university")
-    top = programs.ordered(rows, "rank").limit(100)
-    return top.select("p_partkey", F.row_number().over(W.orderBy(F.coalesce(F.nullif("rank", F.lit(0)), F.lit(999)), "university")).alias("place"))
+    rows = A.read(s, d, "part").selectExpr("p_partkey", "p_name", "CASE WHEN p_size % 10 = 0 THEN 999 ELSE p_size END AS rank")
+    return programs.placed(rows, "rank", "p_name", "p_partkey").select("p_partkey", "place")
 
 
 @query("shared_words", "SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'))) AS INT) AS n_words FROM documents")
@@ -597,7 +643,8 @@ def url_normalize(s, d):
     return spelled.select(U.normal("url").alias("url")).filter("url is not null").distinct()
 
 
-@query("link_hop")
+@query("link_hop", """SELECT DISTINCT CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') || h ELSE h END AS url FROM (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS h FROM pages)
+    WHERE h LIKE '/%' OR regexp_extract(h, '^[a-zA-Z]+://([^/?#]+)', 1) = regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)""")
 def link_hop(s, d):
     """Addresses one link away from the captured pages, on the page's own site."""
     found = pages.links(pages.tokens(A.read(s, d, "pages")))
@@ -615,3 +662,75 @@ def export_rows(s, d):
 
     ready = _scored(s, d).withColumnsRenamed({"topic_score": "concept_score", "works_score": "recent_works_score"}).withColumns({"name": F.col("author_id"), "openalex_id": F.col("author_id"), "active_grants": F.col("active")})
     return researchers(ready)
+
+
+@query("ttl_dedupe", """WITH RECURSIVE kept AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1
+    UNION ALL SELECT e.user_id, min(e.ts) FROM kept k JOIN events e ON e.user_id = k.user_id AND e.ts > k.ts + INTERVAL 24 HOURS GROUP BY 1)
+    SELECT user_id, ts AS at FROM kept""")
+def ttl_dedupe(s, d):
+    events = A.read(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    return jobs.without_repeats(events, "user_id", "at")
+
+
+@query("recruit_lab", """SELECT doc_id, regexp_matches(lower(text), 'research positions|join our lab') OR (CAST(contains(lower(text), 'news') AS INT) + CAST(contains(lower(text), 'updates') AS INT) + CAST(contains(lower(text), 'phd students') AS INT)) >= 3 AS is_recruiting
+    FROM (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' Join our Lab' WHEN 1 THEN ' News, updates, PhD  students' WHEN 2 THEN ' news and updates' ELSE '' END AS text FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents))""".replace("PhD  students", "PhD students"))
+def recruit_lab(s, d):
+    ending = "CASE doc_id % 4 WHEN 0 THEN ' Join our Lab' WHEN 1 THEN ' News, updates, PhD  students' WHEN 2 THEN ' news and updates' ELSE '' END"
+    return A.read(s, d, "documents").selectExpr("doc_id", f"concat(text, {ending}) AS text").select("doc_id", extract.recruiting_by_phrases("text").alias("is_recruiting"))
+
+
+@query("set_bundle", sql("""SELECT id, coalesce(i, 0) AS n_issues, coalesce(t, 0) AS n_tests, first_test FROM requirement_set LEFT JOIN (SELECT requirement_set_id AS id, count(*) AS i FROM validation_issue WHERE resolved_at IS NULL GROUP BY 1) USING (id)
+    LEFT JOIN (SELECT id, count(*) AS t, min(test_name) AS first_test FROM (
+      SELECT id, 'TOEFL' AS test_name FROM requirements WHERE toefl_min <> 0 UNION ALL SELECT id, 'IELTS' FROM requirements WHERE ielts_min <> 0 UNION ALL SELECT id, 'GRE' FROM requirements WHERE gre_status <> 'unknown'
+      UNION ALL SELECT id, 'GMAT' FROM requirements WHERE gmat_status <> 'unknown' UNION ALL SELECT id, 'LSAT' FROM requirements WHERE lsat_status <> 'unknown') GROUP BY 1) USING (id)""", "requirement_set", "validation_issue", "requirements"))
+def set_bundle(s, d):
+    fields = A.requirements(s, d)
+    issues = A.validation_issue(s, d).withColumns({"field_name": F.col("field_no").cast("string"), "message": F.lit("")})
+    tests = registry.unpivot_tests(fields).withColumnRenamed("id", "requirement_set_id")
+    cited = fields.select(F.col("id").alias("requirement_set_id"), F.explode("cited_fields").alias("field_name"), F.col("deadline_ts").alias("created_at"), F.lit("html").alias("kind"), F.lit("").alias("snippet"))
+    due = fields.select(F.col("id").alias("requirement_set_id"), "deadline_ts", F.lit("final").alias("deadline_type"), F.lit("both").alias("audience"))
+    contacts = fields.limit(0).select(F.col("id").alias("requirement_set_id"), F.lit("").alias("contact_type"), F.lit("").alias("email"))
+    out = review.detail_bundle(A.requirement_set(s, d), issues, cited, tests, due, contacts)
+    size = lambda c: F.size(c).cast("long")
+    return out.select("id", size("issues").alias("n_issues"), size("tests").alias("n_tests"), F.get("tests", F.lit(0))["test_name"].alias("first_test"))
+
+
+@query("result_display", "SELECT s_suppkey, printf('%.3f', s_acctbal) AS final_score, '[ORCID](https://orcid.org/0000-' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || ') • [OpenAlex](https://openalex.org/A' || s_suppkey || ')' AS links FROM supplier")
+def result_display(s, d):
+    rows = A.read(s, d, "supplier").selectExpr("s_suppkey", "s_acctbal AS final_score", "CAST(NULL AS STRING) AS homepage", "concat('https://orcid.org/0000-', lpad(CAST(s_suppkey AS STRING), 8, '0')) AS orcid", "concat('<A', s_suppkey, '>') AS openalex_id")
+    return scoring.display(rows).select("s_suppkey", "final_score", "links")
+
+
+@query("sources_list", "SELECT s_suppkey, 'OpenAlex' || CASE WHEN s_suppkey % 2 = 0 THEN ',ORCID' ELSE '' END || CASE WHEN list_contains(f, 'NIH') THEN ',NIH' ELSE '' END || CASE WHEN list_contains(f, 'NSF') THEN ',NSF' ELSE '' END AS sources FROM supplier JOIN (SELECT l_suppkey AS s_suppkey, list(DISTINCT CASE l_returnflag WHEN 'A' THEN 'NIH' WHEN 'N' THEN 'NSF' ELSE 'Private' END) AS f FROM lineitem GROUP BY 1) USING (s_suppkey)")
+def sources_list(s, d):
+    funded = A.grant(s, d).groupBy(F.col("author_id").alias("s_suppkey")).agg(F.collect_set("funder").alias("funders"))
+    rows = A.read(s, d, "supplier").join(funded, "s_suppkey").withColumns({"orcid": F.expr("CASE WHEN s_suppkey % 2 = 0 THEN 'x' END"), "is_recruiting": F.lit(False)})
+    return rows.select("s_suppkey", F.array_join(scoring.sources_used(), ",").alias("sources"))
+
+
+@query("prompt_text")
+def prompt_text(s, d):
+    """A prompt for each captured page of its own packed segments."""
+    captured = A.read(s, d, "pages")
+    parts = pages.segments(pages.tokens(captured)).withColumn("doc_id", F.col("url"))
+    packed = extract.pack_context(parts, F.lit(0.0)).select("url", F.struct(F.col("pos"), F.col("kind")).alias("rank"), F.lit("CONTENT SECTION:").alias("header"), "text")
+    fields = {"institution": F.lit("I"), "school": F.lit("S"), "department": F.lit("D"), "program_name": F.lit("P"), "degree": F.lit("MS"), "track": F.lit(None), "website": F.col("url")}
+    return extract.prompts(captured.select("url").distinct().withColumns(fields), packed, "url")
+
+
+@query("id_text_join", "SELECT s_suppkey, l_orderkey, l_linenumber FROM supplier JOIN lineitem ON CAST(s_suppkey AS VARCHAR) = CAST(l_suppkey AS VARCHAR)")
+def id_text_join(s, d):
+    left, right = A.read(s, d, "supplier").select("s_suppkey"), A.read(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    return registry.same_text_id(left, right, "s_suppkey", "l_suppkey")
+
+
+_FOLDER = "^[a-zA-Z]+://[^/]+/[a-z]+"
+
+
+@query("guessed_pages", f"""WITH captured AS (SELECT DISTINCT regexp_extract(url, '{_FOLDER}') AS url FROM pages WHERE regexp_matches(url, '{_FOLDER}'))
+    SELECT url, regexp_extract(url, '^[a-zA-Z]+://[^/]+') AS site FROM captured WHERE regexp_matches(url, '/(?:en|fr)$') QUALIFY row_number() OVER (PARTITION BY site ORDER BY url) = 1""")
+def guessed_pages(s, d):
+    """The first of two usual folders of each site that was captured."""
+    captured = A.read(s, d, "pages").select(F.regexp_extract("url", _FOLDER, 0).alias("url")).filter("url <> ''")
+    sites = captured.select(F.regexp_extract("url", "^[a-zA-Z]+://[^/]+", 0).alias("base")).distinct().withColumn("site", F.col("base"))
+    return U.guessed(sites, captured, ["/en", "/fr"], first_only=True).select("url", "site")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.dates import parse
 from ..operators.registry import first_by
@@ -109,9 +108,10 @@ def homepage(dump: DataFrame) -> DataFrame:
 
 
 def organisations(dump: DataFrame) -> DataFrame:
+    """Registry rows; `pos` is the order that settles ties: that of the ids, over all countries."""
     none = F.array().cast("array<string>")
     rows = dump.withColumn("id", bare_id("id")).withColumns({c: F.coalesce(c, none) for c in ("aliases", "acronyms", "types")})
-    return rows.withColumn("pos", F.row_number().over(W.partitionBy("country").orderBy("id")))
+    return rows.withColumn("pos", F.col("id"))
 
 
 def mesh_terms(records: DataFrame) -> DataFrame:
@@ -125,7 +125,10 @@ KINDS = (("html", "html"), ("pdf", "pdf"), ("json", "json"), ("xml", "xml"))
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Captures with content hash, length and kind (url, html, mime)."""
+    """Captures with content hash, length and kind (url, html, mime); status, etag and fetched_at
+    are kept, null where the capture lacks them."""
+    kept = {"status": "int", "etag": "string", "fetched_at": "timestamp"}
+    pages = pages.withColumns({c: F.col(c).cast(t) if c in pages.columns else F.lit(None).cast(t) for c, t in kept.items()})
     kind = F.lit("other")
     for name, sign in reversed(KINDS):
         kind = F.when(F.contains(F.lower("mime"), F.lit(sign)), name).otherwise(kind)
@@ -141,6 +144,7 @@ def query(spark: SparkSession, text: str, **values) -> DataFrame:
     return spark.sql(text, args=values)
 
 
-def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table that is kept in code or a CSV file's rows."""
-    return spark.createDataFrame(rows, schema)
+def dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A dimension from CSV (with a header) or, by its ending, JSON lines, with a given schema."""
+    reader = spark.read.schema(schema)
+    return reader.json(path) if path.endswith((".json", ".jsonl")) else reader.option("header", True).csv(path)

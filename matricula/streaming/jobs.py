@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,9 +40,35 @@ def page_changes(captures: DataFrame) -> DataFrame:
     return hashed.withColumn("last", last).filter("last is null or last <> content_hash").drop("last")
 
 
+def _micros(span: str) -> int:
+    """Microseconds of a time span such as `24 hours`."""
+    number, unit = span.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")] * 1_000_000
+
+
 def without_repeats(requests: DataFrame, key: str, at: str = "ts", ttl: str = "24 hours") -> DataFrame:
-    """Each key once within the time to live; what comes later than that is dropped."""
-    return requests.withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
+    """Each key once within the time to live: a row goes if one of its key that stayed is no older.
+
+    A stream also drops what comes later than that. In a batch the rows of a key pass in order of
+    time, and only the last one that stayed is kept in mind."""
+    if requests.isStreaming:
+        return requests.withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
+    columns = requests.columns
+    ordered = requests.select(F.xxhash64(key).alias("__k"), F.unix_micros(at).alias("__at"), F.lit(_micros(ttl)).alias("__ttl"), *columns)
+    ordered = ordered.repartition("__k").sortWithinPartitions("__k", "__at")
+
+    def first_of_each(batches):
+        known, until = None, None
+        for batch in batches:
+            keep = []
+            for k, t, live in zip(*(batch.column(c).to_pylist() for c in ("__k", "__at", "__ttl")), strict=True):
+                fresh = k != known or until is None or t is None or t > until
+                keep.append(fresh)
+                if fresh:
+                    known, until = k, None if t is None else t + live
+            yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
+
+    return ordered.mapInArrow(first_of_each, requests.schema)
 
 
 def request_rates(requests: DataFrame, client: str, at: str = "ts", size: str = "60 seconds", slide: str | None = "10 seconds", most: int = 100, late: str = "10 minutes") -> DataFrame:

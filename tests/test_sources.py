@@ -105,3 +105,32 @@ def test_rationale(spark):
     row = spark.createDataFrame([(["a", "b", "c", "d"], "Title", 2024, 2023, 2, ["k"], 1, 2, ["NSF", "NIH", "NSF"], "Professor", None, True)], "topics array<string>, latest_title string, latest_year int, first_year int, matching int, matched array<string>, active int, grants int, funders array<string>, title string, department string, is_recruiting boolean")
     said = row.select(scoring.rationale().alias("r")).first().r
     assert said == "Research areas: a, b, c | Recent match: 'Title...' (2024) - keywords: k | 2 relevant publications (2023-2024) | Active funding from NIH, NSF (1) | Professor | Currently recruiting students"
+
+
+def test_scratch_tables_go_at_the_end(spark):
+    from matricula.sources.scratch import materialize, scratch, shared_dir
+
+    with scratch(spark):
+        inner = materialize(spark.range(3))
+        kept = materialize(inner, f"{shared_dir(spark)}/matricula/kept")
+        folder = inner.inputFiles()[0].rsplit("/", 2)[0]
+    assert kept.count() == 3
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_dimensions_from_files(spark, tmp_path):
+    from matricula.sources import landed
+
+    (tmp_path / "ranks.csv").write_text("name,rank\nA,1\nB,\n")
+    (tmp_path / "ranks.json").write_text('{"name": "A", "rank": 1}\n')
+    rows = landed.dimension(spark, f"file://{tmp_path}/ranks.csv", "name string, rank int").collect()
+    assert sorted(tuple(r) for r in rows) == [("A", 1), ("B", None)]
+    assert landed.dimension(spark, f"file://{tmp_path}/ranks.json", "name string, rank int").first().rank == 1
+
+
+def test_captures_keep_what_was_answered(spark):
+    from matricula.sources import landed
+
+    rows = landed.captures(spark.createDataFrame([("u", "x", "text/html", 200, "e")], "url string, html string, mime string, status int, etag string")).first()
+    assert (rows.status, rows.etag, rows.fetched_at, rows.kind, rows.n_bytes) == (200, "e", None, "html", 1)

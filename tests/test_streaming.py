@@ -49,3 +49,10 @@ def test_validation_of_what_arrives(spark, tmp_path):
     q.awaitTermination(120)
     assert "toefl_min" in {r.field_name for r in spark.read.parquet(f"{tmp_path}/issues").collect()}
     assert spark.read.parquet(f"{tmp_path}/verdicts").first().status == "needs_review"
+
+
+def test_repeats_in_a_batch_go_for_the_time_to_live(spark):
+    hours = [("a", 0), ("a", 5), ("a", 24), ("a", 25), ("a", 40), ("a", 50), ("b", 3), (None, 1), (None, 2)]
+    rows = spark.createDataFrame(hours, "k string, h int").selectExpr("k", "h", "timestamp_seconds(h * 3600) AS ts")
+    found = sorted((r.k or "", r.h) for r in jobs.without_repeats(rows, "k").collect())
+    assert found == [("", 1), ("a", 0), ("a", 25), ("a", 50), ("b", 3)]
