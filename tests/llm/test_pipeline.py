@@ -2,6 +2,7 @@ import numpy as np
 
 import corpus_pipeline
 from matricula.llm import decontaminate, langid
+from matricula.llm.common import materialize
 from tests.conftest import SF
 from tests.llm import test_decontaminate, test_linededup, test_packing, test_simhash
 
@@ -32,7 +33,8 @@ def test_stages_against_brute_force(spark, tmp_path):
         elif name == "line_dedup":
             gone = test_linededup.brute([(d, r.text) for d, r in rows.items()])
             want = {d: "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in set(gone.get(d, ()))) for d, r in rows.items()}
-            assert {r.doc_id: r.text for r in found} == {d: t for d, t in want.items() if d not in gone or t.strip()}
+            full = lambda t: [x for x in t.split("\n") if x.strip()]  # noqa: E731  blank lines between gone ones may go with them
+            assert {r.doc_id: full(r.text) for r in found} == {d: full(t) for d, t in want.items() if d not in gone or t.strip()}
             assert all(r.n_chars == len(r.text) for r in found)
         elif name == "simhash_near_dedup":
             ids = sorted(rows)
@@ -46,3 +48,30 @@ def test_stages_against_brute_force(spark, tmp_path):
             test_packing.verify(found, [(d, r.text) for d, r in rows.items()])
         if k < 4:
             rows = {r.doc_id: r for r in found}
+
+
+def test_run_packs_what_the_stages_keep(spark):
+    """`run` on the smallest tables: its pieces are those of the texts that the four stages keep."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF))
+    kept = [(r.doc_id, r.text) for r in docs.collect()]
+    test_packing.verify(corpus_pipeline.run(spark, SF).collect(), kept)
+    assert 0 < len(kept) < spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_odd_rows_pass_all_stages(spark, odd_docs, no_docs, tmp_path):
+    clashing = odd_docs.withColumns({c: odd_docs["source"] for c in ("__id", "__gone", "__language", "__probability", "score", "fp", "row", "item")})
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    mixed = base.unionByName(clashing, allowMissingColumns=True)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench.write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    bench.limit(0).write.parquet(f"file://{tmp_path}/none/benchmark.parquet")
+    for folder in (f"file://{tmp_path}", f"file://{tmp_path}/none"):
+        for docs in (mixed, no_docs):
+            for _, stage in corpus_pipeline.STAGES[:-1]:
+                columns = docs.columns
+                docs = materialize(stage(spark, docs, folder))
+                assert docs.columns == columns
+            rows = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+            assert (len(rows) > 0) == (len(docs.columns) > 5)
