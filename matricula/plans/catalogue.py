@@ -734,3 +734,6 @@ def guessed_pages(s, d):
     captured = A.read(s, d, "pages").select(F.regexp_extract("url", _FOLDER, 0).alias("url")).filter("url <> ''")
     sites = captured.select(F.regexp_extract("url", "^[a-zA-Z]+://[^/]+", 0).alias("base")).distinct().withColumn("site", F.col("base"))
     return U.guessed(sites, captured, ["/en", "/fr"], first_only=True).select("url", "site")
+
+
+from . import dumps  # noqa: E402, F401  registers its queries

@@ -27,9 +27,9 @@ def researchers(found: DataFrame, first: int = 3) -> DataFrame:
         if c not in have:
             return F.lit("")
         if c == "openalex_id":
-            return hyperlink(F.concat(F.lit("https://openalex.org/"), c), c)
+            return hyperlink(F.concat(F.lit("https://openalex.org/"), F.nullif(F.col(c), F.lit(""))), c)
         if c == "orcid_id":
-            return hyperlink(F.concat(F.lit("https://orcid.org/"), c), c)
+            return hyperlink(F.concat(F.lit("https://orcid.org/"), F.nullif(F.col(c), F.lit(""))), c)
         if c == "recent_publications":
             return F.array_join(F.slice(c, 1, first), "; ")
         if c in LISTS:

@@ -108,11 +108,12 @@ def test_rationale(spark):
 
 
 def test_scratch_tables_go_at_the_end(spark):
-    from matricula.sources.scratch import materialize, scratch, shared_dir
+    from matricula.sources.scratch import materialize, new_path, scratch
 
+    outside = new_path(spark, "kept-")
     with scratch(spark):
         inner = materialize(spark.range(3))
-        kept = materialize(inner, f"{shared_dir(spark)}/matricula/kept")
+        kept = materialize(inner, outside)
         folder = inner.inputFiles()[0].rsplit("/", 2)[0]
     assert kept.count() == 3
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
