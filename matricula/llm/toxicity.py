@@ -26,6 +26,7 @@ scored row by row; doc_id, lang, source and labels are no inputs. Extra columns
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -57,6 +58,7 @@ _SENTENCE = re.compile(r"[.!?\n]+\s")
 _PATTERNS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN)]
 #: Numbers of a to z are exact; subsequences with other letters share the numbers after those.
 _LATIN, _NUMBERS = 26, 1 << 16
+_WEIGHTS = np.array([DECAY ** (b + 1) if 2 <= b < SPAN else 0.0 for b in range(8)], dtype=np.float32)
 _PLAIN = (_LATIN * 32 + _LATIN) * 32 + _LATIN + 1
 #: Odd multipliers that mix hashes.
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -68,31 +70,39 @@ def _sign(c: str) -> int:
     return ord(bare) - 96 if "a" <= bare <= "z" else _LATIN + 1 + ord(c) % 9973
 
 
-class _Alphabet(dict):
-    def __missing__(self, c: str) -> int:
-        self[c] = out = _sign(c) if c.isalpha() else 0
-        return out
-
-
-_ALPHABET = _Alphabet()
+@functools.cache
+def _alphabet() -> np.ndarray:
+    """The number of each character of the basic plane, 0 for what is no letter."""
+    return np.array([_sign(c) if (c := chr(k)).isalpha() else 0 for k in range(1 << 16)], dtype=np.int32)
 
 
 def coded(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter numbers (rows of LENGTH, 0 after the end) of all pieces, and each piece's unit."""
-    rows, owner = [], []
-    step = LENGTH // 2
-    for k, unit in enumerate(units):
-        signs = [s for s in map(_ALPHABET.__getitem__, unit) if s]
-        for at in range(0, max(1, len(signs) - step), step):
-            piece = signs[at : at + LENGTH]
-            rows.append(piece + [0] * (LENGTH - len(piece)))
-            owner.append(k)
-    return np.array(rows, dtype=np.int32).reshape(-1, LENGTH), np.array(owner, dtype=np.int64)
+    """Letter numbers (rows of LENGTH, 0 after the end) of all pieces, and each piece's unit, in
+    order."""
+    characters = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    signs = _alphabet()[np.minimum(characters, 0xFFFF)]
+    for i in np.flatnonzero(characters > 0xFFFF).tolist():
+        signs[i] = _sign(c) if (c := chr(characters[i])).isalpha() else 0
+    letters = signs > 0
+    owner = np.repeat(np.arange(len(units)), [len(u) for u in units])[letters]
+    signs = signs[letters]
+    size = np.bincount(owner, minlength=len(units))
+    place = np.arange(len(signs)) - (np.cumsum(size) - size)[owner]
+    step = LENGTH // 2  # a piece starts at every half length, but for the last one that another covers
+    pieces = np.maximum(1, -(-(size - step) // step))
+    first = np.cumsum(pieces) - pieces
+    rows = np.zeros((int(pieces.sum()), LENGTH), dtype=np.int32)
+    for back in (0, 1):  # a letter is in the piece that starts before it and in the one before that
+        piece = place // step - back
+        mine = (piece >= 0) & (piece < pieces[owner])
+        rows[first[owner[mine]] + piece[mine], place[mine] - piece[mine] * step] = signs[mine]
+    return rows, np.repeat(np.arange(len(units)), pieces)
 
 
 def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and weights of every subsequence of three letters, one row per piece."""
-    found, weights = [], []
+    """Numbers and spans less one of every subsequence of three letters, one row per piece; 0 is
+    none."""
+    found, spans = [], []
     other = np.flatnonzero(rows.max(axis=1, initial=0) > _LATIN)
     for a, b in _PATTERNS:
         first, second, third = rows[:, : LENGTH - b], rows[:, a : LENGTH - b + a], rows[:, b:]
@@ -102,27 +112,25 @@ def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             mixed = _PLAIN + ((x * 7919 + y) % 65521 * 7919 + z) % (_NUMBERS - _PLAIN)
             number[other] = np.where((x > _LATIN) | (y > _LATIN) | (z > _LATIN), mixed, number[other])
         found.append(np.where(third > 0, number, 0).astype(np.uint16))
-        weights.append(np.where(third > 0, DECAY ** (b + 1), 0.0).astype(np.float32))
-    return np.concatenate(found, axis=1), np.concatenate(weights, axis=1)
+        spans.append(np.full(number.shape[1], b, dtype=np.uint8))
+    return np.concatenate(found, axis=1), np.concatenate(spans)
 
 
-def own_kernel(numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def own_kernel(numbers: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """The kernel of each piece with itself: the squared sums of equal subsequences' weights.
 
-    Without equal ones that is the sum of squares, so only pieces that have some are put in order.
-    """
-    out = np.einsum("ij,ij->i", weights, weights).astype(np.float64)
-    ordered = np.sort(numbers, axis=1)
-    rows = np.flatnonzero(((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0)).any(axis=1))
-    numbers, weights = numbers[rows], weights[rows]
-    order = np.argsort(numbers, axis=1, kind="stable")
-    n, w = np.take_along_axis(numbers, order, 1), np.take_along_axis(weights, order, 1)
-    sums = np.cumsum(w, axis=1, dtype=np.float64)
-    last = np.concatenate([n[:, 1:] != n[:, :-1], np.ones((len(n), 1), bool)], axis=1)
+    Subsequences are put in order with their spans; sums of equal ones are differences of running
+    sums."""
+    ordered = np.sort(numbers.astype(np.uint32) << 3 | spans, axis=1)
+    n, w = ordered >> 3, _WEIGHTS[ordered & 7]
+    w[n == 0] = 0
+    sums = np.cumsum(w, axis=1)
+    last = np.ones(n.shape, dtype=bool)
+    np.not_equal(n[:, 1:], n[:, :-1], out=last[:, :-1])
     before = np.maximum.accumulate(np.where(last, sums, 0), axis=1)
-    before = np.concatenate([np.zeros((len(n), 1)), before[:, :-1]], axis=1)
-    out[rows] = (np.where(last, sums - before, 0) ** 2).sum(axis=1)
-    return out
+    total = np.where(last, sums, 0)
+    total[:, 1:] -= np.where(last[:, 1:], before[:, :-1], 0)
+    return np.einsum("ij,ij->i", total, total)
 
 
 class Kernel:
@@ -130,9 +138,9 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]) -> None:
         rows, owner = coded([x[:LENGTH] for x in landmarks])
-        numbers, weights = subsequences(rows)
+        numbers, spans = subsequences(rows)
         table = np.zeros((_NUMBERS, len(landmarks)), dtype=np.float32)
-        np.add.at(table, (numbers, owner[:, None]), weights)
+        np.add.at(table, (numbers, owner[:, None]), _WEIGHTS[spans])
         table[0] = 0
         self.table = table / np.maximum(np.sqrt((table**2).sum(axis=0)), 1e-9)
         self.known = (table > 0).any(axis=1)
@@ -142,16 +150,18 @@ class Kernel:
         out = np.zeros((len(units), self.table.shape[1]), dtype=np.float32)
         for at in range(0, len(units), 2000):
             rows, owner = coded(units[at : at + 2000])
-            numbers, weights = subsequences(rows)
+            numbers, spans = subsequences(rows)
             part = np.zeros((len(rows), out.shape[1]), dtype=np.float32)
             piece, place = np.nonzero(self.known[numbers])  # most subsequences are in no landmark
             if not len(piece):
                 continue
-            terms = self.table[numbers[piece, place]] * weights[piece, place][:, None]
+            terms = self.table[numbers[piece, place]] * _WEIGHTS[spans[place]][:, None]
             starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-            part[piece[starts]] = np.add.reduceat(terms, starts, axis=0)
-            part /= np.sqrt(np.maximum(own_kernel(numbers, weights), 1e-9))[:, None].astype(np.float32)
-            np.maximum.at(out, owner + at, part)
+            told = piece[starts]
+            part[told] = np.add.reduceat(terms, starts, axis=0)
+            part[told] /= np.sqrt(np.maximum(own_kernel(numbers[told], spans), 1e-9))[:, None].astype(np.float32)
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            out[at : at + len(starts)] = part if len(starts) == len(part) else np.maximum.reduceat(part, starts, axis=0)
         return out**POWER
 
 
@@ -180,34 +190,37 @@ def sentences(text: str | None) -> list[str]:
 
 
 class Features:
-    """Sentences by landmarks: the best kernel value of a sentence's units with each landmark."""
+    """Sentences by landmarks: the best kernel value of a sentence's units with each landmark, in
+    steps of 1/255. Values of units are kept in a memo of `most` of them, which changes nothing."""
 
-    def __init__(self, kernel: Kernel, most: int = 100_000) -> None:
+    def __init__(self, kernel: Kernel, most: int = 150_000) -> None:
         self.kernel, self.most = kernel, most
         self.number: dict[str, int] = {}
-        self.table = np.zeros((1 << 14, kernel.table.shape[1]), dtype=np.float32)
+        self.table = np.zeros((1 << 14, kernel.table.shape[1]), dtype=np.uint8)
 
     def of(self, sentences: list[list[str]]) -> np.ndarray:
-        if len(self.number) > self.most:  # what the memo holds never changes values
-            self.number = {}
-            self.table = np.zeros((1 << 14, self.table.shape[1]), dtype=np.float32)
         units = [u for s in sentences for u in s]
-        new = list({u for u in units if u not in self.number})
+        known, kept = self.number, len(self.number)
+        new = list(set(units).difference(known))
         if new:
-            start, end = len(self.number), len(self.number) + len(new)
+            end = kept + len(new)
             if end > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
-            self.table[start:end] = self.kernel.values(new)
-            self.number.update(zip(new, range(start, end), strict=True))
-        out = np.zeros((len(sentences), self.table.shape[1]), dtype=np.float32)
-        at = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+                self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.uint8)])
+            self.table[kept:end] = np.rint(self.kernel.values(new) * 255)
+            known.update(zip(new, range(kept, end), strict=True))
+        out = np.zeros((len(sentences), self.table.shape[1]), dtype=np.uint8)
+        at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
         owner = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
         for k in range(0, len(at), 1 << 15):
             part = owner[k : k + (1 << 15)]
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             who = part[starts]
             out[who] = np.maximum(out[who], np.maximum.reduceat(self.table[at[k : k + (1 << 15)]], starts, axis=0))
-        return out
+        for unit in new[max(0, self.most - kept) :]:  # what the memo has no room for
+            del known[unit]
+        if len(self.table) > 2 * self.most:
+            self.table = self.table[: self.most].copy()
+        return out.astype(np.float32) / 255
 
 
 class Model:

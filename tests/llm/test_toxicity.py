@@ -34,7 +34,22 @@ def test_a_sentence_counts_by_its_best_unit():
     kernel = toxicity.Kernel(["idiot", "banana"])
     found = toxicity.Features(kernel).of([["a", "idiott", "banana"], [], ["ananas"] * 40_000, ["idiott"]])
     each = kernel.values(["idiott", "banana", "ananas"])
-    assert np.allclose(found, [np.maximum(each[0], each[1]), [0, 0], each[2], each[0]])
+    want = [np.maximum(each[0], each[1]), [0, 0], each[2], each[0]]
+    assert np.allclose(found, want, atol=0.5 / 255 + 1e-6)
+    small = toxicity.Features(kernel, most=2)  # a memo that is always full
+    for _ in range(3):
+        assert np.allclose(small.of([["a", "idiott", "banana"], ["xyz", "ananas"]]), [want[0], np.maximum(each[2], kernel.values(["xyz"])[0])], atol=0.5 / 255 + 1e-6)
+        assert len(small.number) == 2
+
+
+def test_pieces_of_long_units():
+    def plain(unit):
+        signs = [toxicity._sign(c) for c in unit if c.isalpha()]
+        return [(signs[at : at + 16] + [0] * 16)[:16] for at in range(0, max(1, len(signs) - 8), 8)]
+
+    units = ["", "a1b!", "x" * 15, "abcdefghijklmnop", "abcdefghijklmnopq", "ab" * 12, "cd" * 12 + "e", "\u0434" * 40, "\U0001d41a b", "..."]
+    rows, owner = toxicity.coded(units)
+    assert [(int(o), r.tolist()) for o, r in zip(owner, rows, strict=True)] == [(k, r) for k, u in enumerate(units) for r in plain(u)]
 
 
 def test_exact_svm_finds_the_telling_unit():
