@@ -212,7 +212,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of rows that repeat a doc_id with the same text one stays. Rows without a doc_id stay.
     """
     found = materialize(near_duplicates(docs))
-    gone = found.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    # written, so that its size is known before the join: where it is small no text is shuffled
+    gone = materialize(found.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
     twice = materialize(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left_anti")
     if twice.isEmpty():
