@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ def slices(batch: pa.RecordBatch, text_column: str, limit: int = SLICE_BYTES) ->
 
 def release() -> None:
     """Give memory that a batch has used back to the system, as executors are sized tightly."""
+    gc.collect(1)
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -55,6 +57,8 @@ def per_batch(df: DataFrame, text_column: str, make: Callable[[], Callable[[pa.R
                 if part.num_rows and (out := work(part)) is not None and out.num_rows:
                     yield out
             release()
+        work = None  # what the task has held goes before the worker's next one
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -35,6 +35,8 @@ MIN_SCORE, EXCERPT = 0.4, 30
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the bitmap over n-grams, and parts into which rows of one seed or item are dealt.
 BITMAP_BITS, SALTS = 1 << 25, 8
+#: Words whose hashes a task keeps in mind; that changes no result.
+MEMO = 120_000
 
 _STRIP = b".,;:!?\"'()[]{}<>*#$%&|-"
 _ITEM = "item long, item_id long, words string, n int, grams array<long>"
@@ -55,7 +57,7 @@ class _Hashes(dict):
         from xxhash import xxh64_intdigest
 
         bare = word.strip(_STRIP)
-        if len(self) > 500_000:
+        if len(self) >= MEMO:
             self.clear()
         self[word] = out = (xxh64_intdigest(bare) or 1) if bare else 0
         return out

@@ -31,7 +31,7 @@ class PieceTokenizer:
     tokens, are encoded whole. What the memo holds never changes ids.
     """
 
-    def __init__(self, path: str, max_entries: int = 250_000, longest: int = 40) -> None:
+    def __init__(self, path: str, max_entries: int = 150_000, longest: int = 40) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
