@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize, new_path, scratch, shared_dir
 
-__all__ = ["WORD", "WORD_BREAK", "bitmap", "crc_rest", "in_bitmap", "materialize", "new_path", "per_batch", "release", "scratch", "shared_dir", "slices", "table"]
+__all__ = ["WORD", "WORD_BREAK", "bitmap", "crc_rest", "fresh", "in_bitmap", "materialize", "new_path", "per_batch", "release", "scratch", "shared_dir", "slices", "table"]
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]"
@@ -63,6 +63,17 @@ def per_batch(df: DataFrame, text_column: str, make: Callable[[], Callable[[pa.R
     return df.mapInArrow(run, schema)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as tell it from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def crc_rest(column: str, modulus: int):
     """crc32 of an id written as text, modulo `modulus`: the fixed split of labelled rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, per_batch
+from .common import crc_rest, fresh, per_batch
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -268,8 +268,9 @@ def familiar(labelled: DataFrame, bits: np.ndarray, name: str) -> DataFrame:
 def keep_known(docs: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST) -> DataFrame:
     """Rows of `docs` in a known language: not `und`, and with a share of usual letter trigrams that
     held-out texts of that language have. Without held-out texts only `und` goes."""
-    columns, share = docs.columns, "__familiar"
-    names = ("__language", "__probability", share)
+    columns = docs.columns
+    names = tuple(fresh(columns, "__language", "__probability", "__familiar"))
+    share = names[2]
     trained = docs.filter(crc_rest("doc_id", 3) != 1).select("text", "lang")
     net, bits = train(trained), usual_grams(trained)
     held = docs.filter((crc_rest("doc_id", 3) == 1) & F.col("lang").isNotNull() & F.col("text").rlike(_LETTER)).select("lang", "text")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, per_batch
+from .common import fresh, materialize, per_batch
 
 SEED_WORDS = 8
 BLOCK_WORDS = 40
@@ -245,13 +245,15 @@ def block(same: list[int], words: list[int], block_words: int) -> list[int]:
 def dedup(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` without the repeated blocks; n_chars follows the text where there is such a column.
     A document of which no word is left goes."""
-    gone = materialize(repeated_lines(docs, seed_words, block_words)).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    joined = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    id_, lost = fresh(docs.columns, "__id", "__gone")
+    gone = materialize(repeated_lines(docs, seed_words, block_words)).select(F.col("doc_id").alias(id_), F.col("gone").alias(lost))
+    joined = docs.join(gone, docs["doc_id"].cast("long") == gone[id_], "left")
+    whole = F.col(lost).isNull()
+    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(lost), i))
+    joined = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(lines, "\n")))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    emptied = F.col("__gone").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+        joined = joined.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    emptied = ~whole & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return joined.filter(~emptied).select(*docs.columns)
 
 
