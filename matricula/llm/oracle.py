@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+
+from .hard_negatives import EVERY, LOW, NEGATIVES, POSITIVES, WHOLE
 from .pii import BASE, CONTEXT, KINDS, NEAR, near_pattern
 from .quality_rules import LEAST, LEVEL, MAX_REJECTION, PATH, RULES
 
@@ -81,4 +84,41 @@ def quality_rules() -> str:
     FROM rated LEFT JOIN certified USING (stratum)"""
 
 
-ORACLE = {"op3_quality_rules": quality_rules(), "op5_pii": pii()}
+def hard_negatives() -> str:
+    """Anchors, positives and negatives by plain ranks over all scores."""
+    return f"""WITH usable AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_dot_product(a.e, r.e) AS BIGINT) AS score FROM usable a JOIN usable r ON a.vec_id % {EVERY} = 0 AND a.vec_id <> r.vec_id),
+    positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES})
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND {LOW} * positive_score <= {WHOLE} * score AND {WHOLE} * score <= {WHOLE} * positive_score QUALIFY rank <= {NEGATIVES}"""
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a short ASCII string, by its table of 256 entries worked out on the spot."""
+    table = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, ({table})[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def merkle() -> str:
+    """Trees as lists of a level's digests, reduced level by level; doc_id must be a key."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    up = "list_transform(range((len(h) + 7) // 8), lambda i: sha256(array_to_string(h[i * 8 + 1 : i * 8 + 8], '')))"
+    step = "array_to_string(h[r - r % 8 + 1 : r], '') || '/' || array_to_string(h[r + 2 : r - r % 8 + 8], '')"
+    return f"""WITH RECURSIVE leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({head} || {field("text")}) AS leaf, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 AND text IS NOT NULL THEN sha256({head} || {field(low)}) END AS told FROM documents),
+    placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS BIGINT) AS r FROM leaves),
+    up AS (SELECT tree, 0 AS level, list(leaf ORDER BY r) AS h FROM placed GROUP BY tree UNION ALL SELECT tree, level + 1, {up} FROM up WHERE len(h) > 1),
+    subroots AS (SELECT tree, h[1] AS subroot, CAST(row_number() OVER (ORDER BY encode(tree)) - 1 AS BIGINT) AS r FROM up WHERE len(h) = 1),
+    top AS (SELECT 0 AS level, list(subroot ORDER BY r) AS h FROM subroots UNION ALL SELECT level + 1, {up} FROM top WHERE len(h) > 1),
+    ways AS (SELECT doc_id, level, {step.replace("r ", "(r // CAST(8 ** level AS BIGINT)) ").replace(": r]", ": (r // CAST(8 ** level AS BIGINT))]")} AS step FROM placed JOIN up USING (tree) WHERE len(h) > 1
+      UNION ALL SELECT doc_id, 1000 + level, {step.replace("r ", "(s.r // CAST(8 ** level AS BIGINT)) ").replace(": r]", ": (s.r // CAST(8 ** level AS BIGINT))]")} FROM placed JOIN subroots s USING (tree), top WHERE len(h) > 1),
+    steps AS (SELECT doc_id, list(step ORDER BY level) AS steps FROM ways GROUP BY doc_id),
+    folded AS (SELECT doc_id, leaf, subroot, (SELECT h[1] FROM top WHERE len(h) = 1) AS root, sha256(replace(array_to_string(coalesce(steps, []), ''), '/', '')) AS proof_sha256,
+      list_reduce(coalesce(steps, []), lambda h, s: sha256(replace(s, '/', h)), coalesce(told, leaf)) AS folded_root FROM placed JOIN subroots USING (tree) LEFT JOIN steps USING (doc_id))
+    SELECT *, folded_root = root AS verified FROM folded"""
+
+
+ORACLE = {"op3_quality_rules": quality_rules(), "op5_pii": pii(), "op11_hard_negatives": hard_negatives(), "op12_merkle_manifest": merkle()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linededup, oracle, packing, perplexity, pii, quality_rules, simhash, simple8b, toxicity
+from . import decontaminate, hard_negatives, langid, linededup, merkle, oracle, packing, perplexity, pii, quality_rules, simhash, simple8b, token_counts, toxicity
 from .common import new_path, table
 
 
@@ -50,6 +50,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_best_fit_packing, op2_toxicity, op3_quality_rules, op4_perplexity, op5_pii, op6_simple8b_ids, op7_decontamination, op8_language_id, op9_simhash, op10_line_dedup)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_best_fit_packing, op2_toxicity, op3_quality_rules, op4_perplexity, op5_pii, op6_simple8b_ids, op7_decontamination, op8_language_id, op9_simhash, op10_line_dedup, op11_hard_negatives, op12_merkle_manifest, op13_token_counts)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = oracle.ORACLE

@@ -10,7 +10,7 @@ from tests.conftest import SF
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = queries.QUERIES[name](spark, SF)
     columns = sorted(found.columns)
