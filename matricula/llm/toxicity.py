@@ -3,21 +3,27 @@ trained on labelled sentences.
 
 The kernel compares two strings by the subsequences of three letters that they share; a subsequence
 may have gaps, each letter that it spans weighs `DECAY`, and it spans `SPAN` letters at most.
-Inserted, doubled or lost letters thus lower the kernel only a little. A sentence is compared with a
-landmark string by its best unit (a word, or letters spelled out one by one), so that its length
-does not drown an insult. Kernel values with the landmarks are mapped by Nystroem to the space where
-a linear SVM learns; a sentence's margin is then a weighted sum of kernel values.
+Inserted, doubled or lost letters thus lower the kernel only a little. A unit's start counts as a
+letter, and long units are also compared by their first `HEAD` letters, as insults take endings. A
+sentence (or `PART` units of a longer one) is compared with a landmark string by its best unit (a
+word, or letters spelled out one by one), so that its length does not drown an insult. Kernel values
+with the landmarks are mapped by Nystroem to the space where a linear SVM learns; a sentence's margin
+is then a weighted sum of kernel values.
 
 The SVM's rows are sentences. Those of clean texts are negative; of a toxic text, which need not be
 toxic throughout, the sentence with the best margin is positive, and is chosen anew in each round
 (multiple-instance learning). The first choice, and the landmarks, come from the same SVM over exact
-units, trained on all sentences with the label of their text: landmarks are the units that carry its
-weight, and common units of the other side. Sentences with a letter put into their longer units are
-trained on as well, with the same label, as insults are disguised so. A text's best margins
-(`MARGINS` of them) go through a logistic curve to its score.
+units and their beginnings, trained on all sentences with the label of their text: landmarks are
+those that carry its weight, and common ones of the other side. Sentences with a letter put into their
+longer units are trained on as well, with the same label, as insults are disguised so.
 
-It learns from `sample` labelled texts at most, and from `most` of their sentences, those with the
-least hash.
+A text's best margins (`MARGINS` of them) and how many of its units are telling by themselves, for all
+its units, go through a logistic curve to its score: a syllable that is telling when it comes
+back again and again is none when it comes by chance. The curve is fitted on margins of texts that
+their machine was not trained on (`FOLDS` machines, each without its part of the sample).
+
+It learns from `sample` labelled texts at most, and from about `most` of their sentences: whole texts,
+those with the least hash.
 
 Defined results: null, empty or blank texts score as sentences without any unit. With labels of
 only one kind every text scores that kind's share (0 without labels). Repeated rows and null ids are
@@ -41,25 +47,35 @@ from .common import crc_rest, materialize, per_batch
 
 #: Labelled texts and sentences that are learned from, at most.
 SAMPLE, SENTENCES = 4000, 100_000
-LANDMARKS = 64
+LANDMARKS = 96
 DECAY, SPAN = 0.7, 6
 #: Power of the normalised kernel: higher tells near units from middling ones.
 POWER = 2
 #: Letters of a unit that are looked at together; longer units are covered by overlapping pieces.
 LENGTH = 16
-ROUNDS = 4
+#: Units of a sentence that are looked at together, first letters that long units are also compared
+#: by, and lengths of beginnings that may become landmarks.
+PART, HEAD, BEGINNINGS = 16, 8, (4, 5, 7)
+ROUNDS, FOLDS = 4, 3
 #: Sentences of a text that its score looks at, the best ones, and the ridge of the SVM.
-MARGINS, RIDGE = 4, 0.1
-#: Sentences that a unit must be in to be a landmark, and the ridge of the SVM over exact units.
-MIN_SENTENCES, UNIT_RIDGE = 3, 20.0
+MARGINS, RIDGE = 4, 0.3
+#: Margins of a unit by itself from which it counts as telling.
+TOLD = (0.5, 1.0)
+#: Texts that a unit must be in to be a landmark, the share of the best one's standing that it needs,
+#: and the ridge of the SVM over exact units.
+MIN_TEXTS, STANDING, UNIT_RIDGE = 3, 0.04, 50.0
+
+#: Numbers that a text's score looks at.
+SEEN = MARGINS + 2 * len(TOLD)
 
 _MARKS = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+\s")
 _PATTERNS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN)]
-#: Numbers of a to z are exact; subsequences with other letters share the numbers after those.
-_LATIN, _NUMBERS = 26, 1 << 16
+#: Numbers of a to z and of a unit's start are exact; subsequences with other letters share the
+#: numbers after those.
+_START, _LATIN, _NUMBERS = 31, 31, 1 << 16
 _WEIGHTS = np.array([DECAY ** (b + 1) if 2 <= b < SPAN else 0.0 for b in range(8)], dtype=np.float32)
-_PLAIN = (_LATIN * 32 + _LATIN) * 32 + _LATIN + 1
+_PLAIN = 1 << 15
 #: Odd multipliers that mix hashes.
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -77,10 +93,12 @@ def _alphabet() -> np.ndarray:
 
 
 def coded(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter numbers (rows of LENGTH, 0 after the end) of all pieces, and each piece's unit, in
-    order."""
+    """Letter numbers (rows of LENGTH, 0 after the end) of all pieces, the unit's start before its
+    first letter, and each piece's unit, in order."""
+    units = ["\x00" + u.replace("\x00", "") for u in units]
     characters = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     signs = _alphabet()[np.minimum(characters, 0xFFFF)]
+    signs[characters == 0] = _START
     for i in np.flatnonzero(characters > 0xFFFF).tolist():
         signs[i] = _sign(c) if (c := chr(characters[i])).isalpha() else 0
     letters = signs > 0
@@ -137,7 +155,9 @@ class Kernel:
     """Normalised kernel values of units with fixed landmarks."""
 
     def __init__(self, landmarks: list[str]) -> None:
-        rows, owner = coded([x[:LENGTH] for x in landmarks])
+        rows, owner = coded(landmarks)
+        if len(rows) > len(landmarks):
+            raise ValueError(f"a landmark has {LENGTH - 1} letters at most")
         numbers, spans = subsequences(rows)
         table = np.zeros((_NUMBERS, len(landmarks)), dtype=np.float32)
         np.add.at(table, (numbers, owner[:, None]), _WEIGHTS[spans])
@@ -146,7 +166,17 @@ class Kernel:
         self.known = (table > 0).any(axis=1)
 
     def values(self, units: list[str]) -> np.ndarray:
-        """One row per unit; of a long unit, the largest value over its pieces."""
+        """One row per unit: the largest value over its pieces, and its head if it is long."""
+        out = self._values(units)
+        long = [i for i, u in enumerate(units) if len(u) > HEAD + 1]
+        heads = [(i, b[:HEAD]) for i in long if len(b := bare(units[i])) > HEAD + 1]
+        if heads:
+            at = np.array([i for i, _ in heads])
+            known = {h: k for k, h in enumerate(dict.fromkeys(h for _, h in heads))}
+            out[at] = np.maximum(out[at], self._values(list(known))[[known[h] for _, h in heads]])
+        return out**POWER
+
+    def _values(self, units: list[str]) -> np.ndarray:
         out = np.zeros((len(units), self.table.shape[1]), dtype=np.float32)
         for at in range(0, len(units), 2000):
             rows, owner = coded(units[at : at + 2000])
@@ -162,7 +192,7 @@ class Kernel:
             part[told] /= np.sqrt(np.maximum(own_kernel(numbers[told], spans), 1e-9))[:, None].astype(np.float32)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             out[at : at + len(starts)] = part if len(starts) == len(part) else np.maximum.reduceat(part, starts, axis=0)
-        return out**POWER
+        return out
 
 
 def bare(unit: str) -> str:
@@ -185,8 +215,10 @@ def units_of(text: str | None) -> list[str]:
     return words
 
 
-def sentences(text: str | None) -> list[str]:
-    return [x for x in _SENTENCE.split(text or "") if x.strip()]
+def sentences(text: str | None) -> list[list[str]]:
+    """The units of each sentence, PART at most in a row."""
+    every = (units_of(x) for x in _SENTENCE.split(text or ""))
+    return [x[at : at + PART] for x in every for at in range(0, len(x), PART)]
 
 
 class Features:
@@ -199,6 +231,12 @@ class Features:
         self.table = np.zeros((1 << 14, kernel.table.shape[1]), dtype=np.uint8)
 
     def of(self, sentences: list[list[str]]) -> np.ndarray:
+        return self.with_hits(sentences, None)[0]
+
+    def with_hits(self, sentences: list[list[str]], model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+        """The values, and how many units of each sentence have a margin of their own above each of
+        TOLD."""
+        hits = np.zeros((len(sentences), len(TOLD)), dtype=np.int64)
         units = [u for s in sentences for u in s]
         known, kept = self.number, len(self.number)
         new = list(set(units).difference(known))
@@ -215,12 +253,16 @@ class Features:
             part = owner[k : k + (1 << 15)]
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             who = part[starts]
-            out[who] = np.maximum(out[who], np.maximum.reduceat(self.table[at[k : k + (1 << 15)]], starts, axis=0))
+            rows = self.table[at[k : k + (1 << 15)]]
+            out[who] = np.maximum(out[who], np.maximum.reduceat(rows, starts, axis=0))
+            if model:
+                own = rows @ (model.alpha / 255).astype(np.float32) - model.shift
+                hits[who] += np.add.reduceat((own[:, None] > TOLD).astype(np.int64), starts, axis=0)
         for unit in new[max(0, self.most - kept) :]:  # what the memo has no room for
             del known[unit]
         if len(self.table) > 2 * self.most:
             self.table = self.table[: self.most].copy()
-        return out.astype(np.float32) / 255
+        return out.astype(np.float32) / 255, hits
 
 
 class Model:
@@ -235,7 +277,7 @@ class Model:
 
 def nystroem(kernel: Kernel, landmarks: list[str]) -> np.ndarray:
     """The inverse root of the landmarks' own kernel matrix."""
-    own = kernel.values([x[:LENGTH] for x in landmarks]).astype(np.float64)
+    own = kernel.values(landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-6 * np.eye(len(own)))
     return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
 
@@ -355,27 +397,31 @@ def balanced(y: np.ndarray) -> np.ndarray:
 
 
 def labelled_sentences(picked: DataFrame, most: int) -> DataFrame:
-    """doc_id, nth, toxic and units of the sentences of the sample, `most` at most, written."""
+    """doc_id, nth, toxic, units and their number, of the sentences of the sample, about `most` of
+    them, written; whole texts, of the toxic ones half of `most` or more if there are so many."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, places, kinds, units, hashes = [], [], [], [], []
+            ids, places, kinds, units, sizes = [], [], [], [], []
             for doc_id, text, kind in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
-                found = [sorted({b for u in units_of(s) if (b := bare(u))}) for s in sentences(text)]
-                found = [x for x in found if x]
+                found = [(sorted({b for u in s if (b := bare(u))}), len(s)) for s in sentences(text)]
+                found = [x for x in found if x[0]]
                 ids += [doc_id] * len(found)
                 places += range(len(found))
                 kinds += [kind] * len(found)
-                units += found
-                hashes += [zlib.crc32(f"{doc_id} {k}".encode()) for k in range(len(found))]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64()]
-            return pa.record_batch([pa.array(x, t) for x, t in zip((ids, places, kinds, units, hashes), types, strict=True)], ["doc_id", "nth", "toxic", "units", "h"])
+                units += [x for x, _ in found]
+                sizes += [n for _, n in found]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32()]
+            return pa.record_batch([pa.array(x, t) for x, t in zip((ids, places, kinds, units, sizes), types, strict=True)], ["doc_id", "nth", "toxic", "units", "n"])
 
         return work
 
-    found = materialize(per_batch(picked.select("doc_id", "text", "toxic"), "text", make, "doc_id long, nth int, toxic int, units array<string>, h long"))
-    share = most / max(most, found.count())
-    return materialize(found.filter(F.col("h") < int(share * 2**32)).drop("h"))
+    found = materialize(per_batch(picked.select("doc_id", "text", "toxic"), "text", make, "doc_id long, nth int, toxic int, units array<string>, n int"))
+    sizes = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic = min(sizes.get(1, 0), max(most // 2, most - sizes.get(0, 0)))
+    clean = min(sizes.get(0, 0), most - toxic)
+    share = F.when(F.col("toxic") == 1, toxic / max(1, sizes.get(1, 0))).otherwise(clean / max(1, sizes.get(0, 0)))
+    return materialize(found.filter(F.crc32(F.concat(F.lit("part "), "doc_id").cast("binary")) < share * 2.0**32))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SENTENCES) -> Model | float:
@@ -391,7 +437,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     if len(np.unique(y)) < 2:
         return share
     units = rows.column("units").combine_chunks()
-    landmarks, margin = _landmarks(units, y)
+    landmarks, margin = _landmarks(units, y, texts)
     if not landmarks:
         return share
     kernel = Kernel(landmarks)
@@ -399,8 +445,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     features = _mapped(table, kernel)
     starts = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]])
     ends = np.r_[starts[1:], len(texts)]
-    toxic = [(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if y[a] > 0]
-    clean = np.flatnonzero(y < 0)
     bent: dict[int, np.ndarray] = {}
 
     def disguised(found: np.ndarray) -> np.ndarray:
@@ -409,29 +453,58 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
         bent.update(zip(new, values, strict=True))
         return np.array([bent[i] for i in found.tolist()], dtype=np.float32).reshape(len(found), len(landmarks))
 
-    quiet = clean[:: max(1, len(clean) // len(toxic))]
-    model = None
-    for _ in range(ROUNDS):
-        telling = np.array([a + int(margin[a:b].argmax()) for a, b in toxic])
-        x = np.concatenate([features[telling], disguised(telling), features[clean], disguised(quiet)]) @ root
-        kind = np.repeat(np.array([1.0, -1.0], np.float32), [2 * len(telling), len(clean) + len(quiet)])
-        w = svm(x, kind, balanced(kind), RIDGE)
-        model = Model(kernel, root @ w[:-1], -float(w[-1]), np.zeros(MARGINS + 1))
-        margin = features @ model.alpha - model.shift
-    best = np.array([best_margins(margin[a:b], -model.shift) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-    model.curve = logistic(best, (y[starts] > 0).astype(float))
+    def fit(mine: np.ndarray, margin: np.ndarray) -> Model | None:
+        """The machine trained on some of the texts, from a first margin of all sentences."""
+        toxic = [(a, b) for a, b in zip(starts[mine].tolist(), ends[mine].tolist(), strict=True) if y[a] > 0]
+        clean = np.flatnonzero((y < 0) & np.repeat(mine, ends - starts))
+        if not toxic or not len(clean):
+            return None
+        quiet = clean[:: max(1, len(clean) // len(toxic))]
+        for _ in range(ROUNDS):
+            telling = np.array([a + int(margin[a:b].argmax()) for a, b in toxic])
+            x = np.concatenate([features[telling], disguised(telling), features[clean], disguised(quiet)]) @ root
+            kind = np.repeat(np.array([1.0, -1.0], np.float32), [2 * len(telling), len(clean) + len(quiet)])
+            w = svm(x, kind, balanced(kind), RIDGE)
+            model = Model(kernel, root @ w[:-1], -float(w[-1]), np.zeros(SEEN + 1))
+            margin = features @ model.alpha - model.shift
+        return model
+
+    every = np.ones(len(starts), dtype=bool)
+    model = fit(every, margin)
+    part = np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in texts[starts].tolist()])
+    others = [fit(part != k, margin) or model for k in range(FOLDS)]
+    seen = _out_of_fold(table, others, dict(zip(texts[starts].tolist(), part.tolist(), strict=True)))
+    seen = np.array([seen[i] for i in texts[starts].tolist()])
+    model.curve = logistic(seen, (y[starts] > 0).astype(float))
     return model
 
 
-def _landmarks(units: pa.ListArray, y: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Landmarks by the SVM over exact units, and its margin of each sentence."""
+def _landmarks(units: pa.ListArray, y: np.ndarray, texts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Landmarks by the SVM over exact units and their beginnings, and its margin of each sentence.
+
+    A unit stands for the weight that it has, times the toxic texts that it is in, times how much
+    more of those hold it than of the clean ones: rare chance words have weight, but in few texts."""
     sentence, numbered = pc.list_parent_indices(units).to_numpy(), units.flatten().dictionary_encode()
-    names, unit = np.array(numbered.dictionary.to_pylist(), dtype=object), numbered.indices.to_numpy()
-    often = np.bincount(unit, minlength=len(names))
-    usable = (often >= MIN_SENTENCES) & np.array([len(x) > 2 for x in names])
+    words, unit = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+    number = {w: i for i, w in enumerate(words)}
+    kinds = [unit]
+    for k in BEGINNINGS:  # a beginning has the number of the unit that it is, or a new one
+        own = np.array([number.setdefault(w[:k], len(number)) if len(w) > k else -1 for w in words], dtype=np.int64)
+        kinds.append(own[unit])
+    pair = np.concatenate([sentence[x >= 0] * len(number) + x[x >= 0] for x in kinds])
+    sentence, unit = np.divmod(np.unique(pair), len(number))
+    names = np.array(list(number), dtype=object)
+    _, text = np.unique(texts, return_inverse=True)
+    toxic = np.zeros(text.max() + 1, dtype=bool)
+    toxic[text[y > 0]] = True
+    owner, what = np.divmod(np.unique(text[sentence] * len(names) + unit), len(names))
+    among = [np.bincount(what[toxic[owner] == kind], minlength=len(names)) for kind in (True, False)]
+    usable = (among[0] + among[1] >= MIN_TEXTS) & np.array([2 < len(x) < LENGTH for x in names])
     keep = usable[unit]
     value, margin = exact_svm(sentence[keep], unit[keep], y, balanced(y), len(names), UNIT_RIDGE)
-    return choose_landmarks(names, np.where(usable, value, 0.0), often), margin
+    shares = [n / max(1, (toxic == kind).sum()) for n, kind in zip(among, (True, False), strict=True)]
+    value = np.where(usable, value * among[0] * np.maximum(shares[0] - shares[1], 0) / np.maximum(shares[0] + shares[1], 1e-9), 0.0) + np.where(usable & (value < 0), value, 0.0)
+    return choose_landmarks(names, value, among[1]), margin
 
 
 def _mapped(table: DataFrame, kernel: Kernel) -> np.ndarray:
@@ -453,12 +526,36 @@ def _mapped(table: DataFrame, kernel: Kernel) -> np.ndarray:
     return out
 
 
+def _out_of_fold(table: DataFrame, models: list[Model], part: dict[int, int]) -> dict[int, list[float]]:
+    """What a score looks at, for each text of the bounded sample, by the machine of its part."""
+    shared = table.sparkSession.sparkContext.broadcast((models, part))
+
+    def run(batches):
+        models, part = shared.value
+        features = [Features(m.kernel) for m in models]
+        for batch in batches:
+            fold = np.array([part[i] for i in batch.column("doc_id").to_pylist()])
+            margins, hits = np.zeros(len(fold)), np.zeros((len(fold), len(TOLD)), dtype=np.int64)
+            units = batch.column("units").to_pylist()
+            for k, model in enumerate(models):
+                for mine in np.array_split(np.flatnonzero(fold == k), 1 + (fold == k).sum() // 2000):
+                    values, hits[mine] = features[k].with_hits([units[i] for i in mine.tolist()], model)
+                    margins[mine] = values @ model.alpha - model.shift
+            yield pa.record_batch([batch.column("doc_id"), pa.array(margins), pa.array(hits.tolist(), pa.list_(pa.int64())), batch.column("n")], ["doc_id", "margin", "hits", "n"])
+
+    found = table.select("doc_id", "units", "n").mapInArrow(run, "doc_id long, margin double, hits array<long>, n int").toPandas()
+    out = {}
+    for i, own in found.groupby("doc_id"):
+        out[i] = evidence(own["margin"].to_numpy(), np.sum(own["hits"].tolist(), axis=0), int(own["n"].sum()), -models[part[i]].shift)
+    return out
+
+
 def choose_landmarks(names: np.ndarray, value: np.ndarray, often: np.ndarray, n: int = LANDMARKS) -> list[str]:
-    """Three quarters of the landmarks stand for the units that the SVM holds toxic (a quarter of
-    the greatest weight or more), the rest are common units that it holds clean."""
+    """Three quarters of the landmarks stand for the units that are toxic (`value`, STANDING of the
+    greatest one or more), the rest are the commonest units that the SVM holds clean (below 0)."""
     order = np.argsort(-value, kind="stable")
     order = order[: 8 * n]
-    telling = {names[i]: float(value[i]) for i in order.tolist() if value[i] > 0 and value[i] >= value[order[0]] / 4}
+    telling = {names[i]: float(value[i]) for i in order.tolist() if value[i] > 0 and value[i] >= value[order[0]] * STANDING}
     if not telling:
         return []
     out = spread(telling, n * 3 // 4)
@@ -476,10 +573,13 @@ def altered(units: list[str], seed: int) -> list[str]:
     return out
 
 
-def best_margins(margins: np.ndarray, floor: float) -> list[float]:
-    """The best margins of a text's sentences, MARGINS of them; `floor` where it has fewer."""
+def evidence(margins: np.ndarray, hits: np.ndarray, n_units: int, floor: float) -> list[float]:
+    """What a text's score looks at: its sentences' best margins, MARGINS of them (`floor` where it
+    has fewer), and its telling units (`hits`, by each of TOLD) for each ten units, and the logarithm
+    of that."""
     best = np.partition(margins, len(margins) - MARGINS)[-MARGINS:] if len(margins) > MARGINS else margins
-    return sorted([*(max(m, floor) for m in best.tolist()), *[floor] * (MARGINS - len(best))], reverse=True)
+    best = sorted([*(max(m, floor) for m in best.tolist()), *[floor] * (MARGINS - len(best))], reverse=True)
+    return [*best, *(10 * hits / (n_units + 20)).tolist(), *np.log((hits + 0.5) / (n_units + 50)).tolist()]
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
@@ -494,15 +594,17 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
         features = Features(model.kernel)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, sizes = [], []
+            found, sizes, units = [], [], []
             for text in batch.column("text").to_pylist():
-                own = [units_of(s) for s in sentences(text)]
+                own = sentences(text)
                 found += own
                 sizes.append(len(own))
-            margins = features.of(found) @ model.alpha - model.shift
+                units.append(sum(map(len, own)))
+            values, hits = features.with_hits(found, model)
+            margins = values @ model.alpha - model.shift
             ends = np.cumsum(sizes)
-            best = np.array([best_margins(margins[b - n : b], -model.shift) for b, n in zip(ends.tolist(), sizes, strict=True)]).reshape(-1, MARGINS)
-            z = best @ model.curve[:-1] + model.curve[-1]
+            seen = np.array([evidence(margins[b - n : b], hits[b - n : b].sum(axis=0), k, -model.shift) for b, n, k in zip(ends.tolist(), sizes, units, strict=True)]).reshape(-1, SEEN)
+            z = seen @ model.curve[:-1] + model.curve[-1]
             return pa.record_batch([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
 
         return work
@@ -510,7 +612,6 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     return per_batch(source, "text", make, "doc_id long, score double")
 
 
-
 def spread(units: dict[str, float], n: int) -> list[str]:
     """`n` units that stand for all of them: each is the one that raises the weighted kernel value
     between the units and their nearest landmark the most."""
