@@ -6,7 +6,7 @@ document that has it is paired with the first that has it (the smallest doc_id),
 stay in proportion to the lines, whatever the size of a group; a line needs not be rare for that, and
 common passages are not lost. Each pair is aligned by patience
 diff: lines unique in both and in the same order anchor the alignment, gaps are aligned in the same
-way, and those without a unique line by their longest common runs. Stretches that stay unaligned
+way, and those without a unique line by a longest common subsequence. Stretches that stay unaligned
 are aligned once more, so that repeated and moved blocks are found. Aligned lines of the later
 document go where they form a run of at least `block_words` words, counted over all its pairs.
 
@@ -15,14 +15,16 @@ that an earlier document has go, so no passage is lost altogether.
 
 Defined results: null text stays null and has no lines. Documents without a doc_id take no part
 and stay as they are. Rows that repeat a doc_id are one document if their texts are equal; a text
-that differs under the same id takes no part. Extra columns are kept.
+that differs under the same id takes no part. Extra columns are kept. Very long texts, and such with
+few lines that come again and again, are aligned as all others; 20,000 lines of three values take
+less than a second.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ SEED_WORDS = 8
 BLOCK_WORDS = 40
 #: A line, or a first holder, is heavy with more than one in HEAVY of all rows; SALTS parts of it.
 HEAVY, SALTS = 1000, 32
+#: Bits of a table of common subsequences that are held at once.
+TABLE_BITS = 1 << 29
 
 _LINES = "doc_id long, hashes array<long>, words array<int>, runs array<long>"
 
@@ -104,19 +108,64 @@ def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return chain
 
 
-def _longest_runs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Plain diff: the longest common run, then the same before and after it."""
+def _zeros(row: int, width: int) -> int:
+    return (~row & ((1 << width) - 1)).bit_count()
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Rows of the table of longest common subsequences, a bit for each place of `b`, 0 where the
+    length grows: whole rows are added and masked at once, so that repeated values cost no more."""
+    places: dict[int, int] = {}
+    for j, v in enumerate(b):
+        places[v] = places.get(v, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    yield row
+    for v in a:
+        same = row & places.get(v, 0)
+        row = (row + same | row - same) & full
+        yield row
+
+
+def _lengths(row: int, width: int) -> np.ndarray:
+    """The lengths that a row of bits stands for, at each of 0 to `width` places."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-width // 8), "little"), dtype=np.uint8), count=width, bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Plain diff: places (i, j) of a longest common subsequence, in order. Tables of more than
+    TABLE_BITS are cut in halves of `a` at the place of `b` where both meet."""
     common = set(a) & set(b)
+    in_a, in_b = ([i for i, v in enumerate(x) if v in common] for x in (a, b))
     if len(common) <= 1:
-        in_a, in_b = ([i for i, v in enumerate(x) if v in common] for x in (a, b))
         return list(zip(in_a, in_b, strict=False))
-    blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-    return [(m.a + k, m.b + k) for m in blocks for k in range(m.size)]
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(in_a), 0, len(in_b))]
+    while todo:
+        x, x_end, y, y_end = todo.pop()
+        one, two = [a[i] for i in in_a[x:x_end]], [b[j] for j in in_b[y:y_end]]
+        if len(one) > 1 and len(one) * len(two) > TABLE_BITS:
+            half = len(one) // 2
+            *_, low = _rows(one[:half], two)
+            *_, high = _rows(one[half:][::-1], two[::-1])
+            cut = int((_lengths(low, len(two)) + _lengths(high, len(two))[::-1]).argmax())
+            todo += [(x, x + half, y, y + cut), (x + half, x_end, y + cut, y_end)]
+            continue
+        rows = list(_rows(one, two))
+        i, j = len(one), len(two)
+        left = _zeros(rows[i], j)
+        while left:
+            if _zeros(rows[i - 1], j) < left:
+                j = (~rows[i] & ((1 << j) - 1)).bit_length() - 1
+                out.append((in_a[x + i - 1], in_b[y + j]))
+                left -= 1
+            i -= 1
+    return sorted(out)
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places (i, j) of two sequences, in order: patience diff, its gaps aligned again,
-    those without a unique value by their longest common runs."""
+    those without a unique value by a longest common subsequence."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -131,7 +180,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             continue
         chain = _anchors(a[x:x_end], b[y:y_end])
         if not chain:
-            out += [(x + i, y + j) for i, j in _longest_runs(a[x:x_end], b[y:y_end])]
+            out += [(x + i, y + j) for i, j in longest_common(a[x:x_end], b[y:y_end])]
             continue
         low = (x, y)
         for i, j in chain:

@@ -96,3 +96,37 @@ def test_odd_rows(spark, odd_docs, no_docs):
     both = spark.createDataFrame([(1, long), (2, long), (2, "else"), (3, long), (None, long)], "doc_id long, text string")
     assert {r.doc_id for r in linededup.report(both).collect()} == {3}
     assert sorted((r.doc_id or 0, r.text) for r in linededup.dedup(both).collect()) == sorted([(1, long), (2, long), (2, "else"), (0, long)])
+
+
+def test_longest_common_subsequences(monkeypatch):
+    import random
+
+    rng = random.Random(7)
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for bits in (1 << 29, 50):
+        monkeypatch.setattr(linededup, "TABLE_BITS", bits)
+        for _ in range(60):
+            a, b = ([rng.randrange(rng.choice([2, 3, 9])) for _ in range(rng.randrange(40))] for _ in range(2))
+            found = linededup.longest_common(a, b)
+            assert all(a[i] == b[j] for i, j in found) and len(found) == length(a, b)
+            assert all(p < q and r < s for (p, r), (q, s) in zip(found, found[1:], strict=False))
+
+
+def test_few_lines_many_times():
+    import time
+
+    start = time.time()
+    early = [(1, 2, 3)[i % 3] for i in range(20_000)]
+    late = [(1, 3, 2, 2)[i % 4] for i in range(20_000)]
+    found = linededup.patience(early, late)
+    assert len(found) > 10_000 and time.time() - start < 5
+    assert len(linededup.patience(early, early[1:])) == 19_999
