@@ -7,7 +7,7 @@ leftmost matches in linear time and without deep recursion; places are added up
 matches, so that a text of a million matches is no trouble.
 
 Kinds: email; ip (each part at most 255); card (13 to 19 digits, Luhn); phone (9 to 15 digits);
-iban (mod 97). A failing match is dropped, and not tried again further on. Whole words near a span
+iban (the length of its country, mod 97). A failing match is dropped, and not tried again further on. Whole words near a span
 raise its score. The report drops no span for its score; `redact` takes those that reach a score.
 
 Defined results: null text is empty; null ids, repeated rows and extra columns do no harm.
@@ -20,6 +20,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
+#: The signs of an IBAN by country, from the public registry.
+IBAN_SIGNS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Two letters of a country, two digits, and as many signs more as its numbers have; so what follows
+#: an IBAN, a word in capitals or another IBAN, is not taken for a part of it.
+IBAN = "(?:" + "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_SIGNS.items()) + ")"
+
 #: What each kind looks like, a cheap test that a text may hold it, its score when
 #: confirmed, and words that make it likelier.
 _LOCAL = r"A-Za-z0-9._%+-"
@@ -28,7 +40,7 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, "ip|hosts?|servers?|address|login|clients?"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){12}", 0.8, "cards?|visa|credit|debit|pay|payment|cvv|expir(?:y|es|ed|ation)"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, "(?:tele)?phone|tel|call|fax|mobile|sms"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", 0.8, "iban|bank|account|transfer|konto|cuenta|compte"),
+    "iban": (rf"(?<![A-Za-z0-9]){IBAN}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", 0.8, "iban|bank|account|transfer|konto|cuenta|compte"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: Code points on either side of a span, up to the next match of its kind, that are searched for
@@ -172,8 +184,9 @@ def redact(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     chosen = [k for k in KINDS if KINDS[k][2] + CONTEXT >= min_score]
     text = F.coalesce("text", F.lit(""))
     sure = lambda k: F.filter(matches(text, k), lambda s: F.round(_score(k, s), 6) >= min_score)
-    spans = docs.select("*", *(sure(k).alias(f"__{k}") for k in chosen))
-    named = lambda kind: F.transform(f"__{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+    names = dict(zip(chosen, fresh(docs.columns, *(f"__{k}" for k in chosen)), strict=True))
+    spans = docs.select("*", *(sure(k).alias(names[k]) for k in chosen))
+    named = lambda kind: F.transform(names[kind], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     every = F.concat(*(named(k) for k in chosen)) if chosen else F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def cut(state: Column, s: Column) -> Column:

@@ -88,3 +88,14 @@ def test_whole_words_nearby_decide(spark):
     out = [r.text for r in pii.redact(docs, 0.7).orderBy("doc_id").collect()]
     assert out == ["the login host is <ip> here", texts[1], "call <phone>", "total <phone>"]
     assert [r.text for r in pii.redact(docs, 2.0).orderBy("doc_id").collect()] == texts
+
+
+def test_ibans_among_capitals(spark):
+    texts = ["iban GB82WEST12345698765432 OK", "GB82 WEST 1234 5698 7654 32 AND MORE", "GB82WEST12345698765432 DE89370400440532013000 X", "GB82WEST123456987654321", "GB00WEST12345698765432", "XX82WEST12345698765432"]
+    rows = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i] for i in range(6)] == ["iban:5:27", "iban:0:27", "iban:0:22,iban:23:45", "", "", ""]
+
+
+def test_redaction_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail x@y.zz", "kept", 3)], "doc_id long, text string, __email string, __IBAN int")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "mail <email>", "kept", 3)]
