@@ -27,11 +27,10 @@ from .common import crc_rest, fresh, per_batch
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
-#: Documents that the network is trained on, at most, and the windows taken from each.
+#: Documents that the network is trained on, at most (so many languages, at most, those with the most
+#: texts; each has one text or more), and the windows taken from each.
 SAMPLE, WINDOWS_EACH = 3000, 3
 _LETTER = r"\pL"
-#: Languages that are learned, at most: those with the most texts.
-LANGUAGES = 1000
 #: The share of a language's letter trigrams, the commonest first, that are usual in it; signs of a
 #: text that count as usual before any is seen; the low quantile of held-out texts that, times the
 #: margin, is the limit; and the held-out texts that a language needs for a limit of its own.
@@ -158,14 +157,14 @@ def _sampled(labelled: DataFrame, sample: int) -> tuple[list[str], DataFrame | N
 
     usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
     keys = usable.select("lang", F.xxhash64("text").alias("h")).distinct()
-    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], None
     each = max(1, sample // len(languages))
     # hashes are spread evenly, so twice the wanted share of them leaves few rows to rank
-    below = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, 2 * each / sizes[lang] + 1e-3))))[F.col("lang")]
-    few = keys.filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= below)
+    below = labelled.sparkSession.createDataFrame([(x, min(1.0, 2 * each / sizes[x] + 1e-3)) for x in languages], "lang string, below double")
+    few = keys.join(F.broadcast(below), "lang").filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("below"))  # `sample` rows at most
     chosen = few.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("nth") <= each)
     chosen = F.broadcast(chosen.select("lang", "h"))  # `sample` rows at most
 
@@ -269,16 +268,15 @@ def keep_known(docs: DataFrame, quantile: float = QUANTILE, margin: float = MARG
     """Rows of `docs` in a known language: not `und`, and with a share of usual letter trigrams that
     held-out texts of that language have. Without held-out texts only `und` goes."""
     columns = docs.columns
-    names = tuple(fresh(columns, "__language", "__probability", "__familiar"))
+    names = tuple(fresh(columns, "__language", "__probability", "__familiar", "__limit"))
     share = names[2]
     trained = docs.filter(crc_rest("doc_id", 3) != 1).select("text", "lang")
     net, bits = train(trained), usual_grams(trained)
     held = docs.filter((crc_rest("doc_id", 3) == 1) & F.col("lang").isNotNull() & F.col("text").rlike(_LETTER)).select("lang", "text")
     found = familiar(held, bits, share)
     low = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(share, quantile, 10000).alias("low"))
-    by_lang = {r["lang"]: (r["n"], r["low"]) for r in low(found.groupBy("lang")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    limit_of = F.lit(low(found).first()["low"] or 0.0)
-    own = [F.lit(x) for lang, (n, q) in by_lang.items() if n >= least for x in (lang, q)]
-    if own:
-        limit_of = F.coalesce(F.create_map(*own)[F.col(names[0])], limit_of)
-    return predict(docs, net, tuple(columns), names, bits).filter((F.col(names[0]) != UNKNOWN) & (F.col(share) >= limit_of * margin)).select(*columns)
+    known = docs.sparkSession.createDataFrame([(x,) for x in (net.languages if net else [])], "lang string")
+    own = low(found.join(F.broadcast(known), "lang").groupBy("lang")).filter(F.col("n") >= least).select(F.col("lang").alias(names[0]), F.col("low").alias(names[3]))  # as many as were learned
+    limit_of = F.coalesce(F.col(names[3]), F.lit(low(found).first()["low"] or 0.0))
+    judged = predict(docs, net, tuple(columns), names[:3], bits).join(F.broadcast(own), names[0], "left")
+    return judged.filter((F.col(names[0]) != UNKNOWN) & (F.col(share) >= limit_of * margin)).select(*columns)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import string
 
 from .hard_negatives import EVERY, LOW, NEGATIVES, POSITIVES, WHOLE
-from .pii import BASE, CONTEXT, KINDS, NEAR, near_pattern
-from .quality_rules import LEAST, LEVEL, MAX_REJECTION, PATH, RULES
+from .pii import BASE, CONTEXT, IBAN, KINDS, NEAR, near_pattern
+from .quality_rules import LEVEL, MAX_REJECTION, PATH, RULES, least_tested
 
 #: The patterns of personal data as that engine spells them.
 PATTERNS = {
@@ -14,7 +14,7 @@ PATTERNS = {
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "iban": rf"\b{IBAN}\b",
 }
 
 
@@ -76,10 +76,10 @@ def quality_rules() -> str:
     numbers AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {numbers} FROM counts),
     rated AS (SELECT *, least({first}) AS fails_at FROM numbers),
     held AS (SELECT * FROM rated WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-    strata AS (SELECT stratum, CASE WHEN count(*) >= {LEAST} THEN stratum END AS test FROM held GROUP BY stratum),
-    tested AS (SELECT test, step, count(*) AS n, count(*) FILTER (fails_at <= step) AS k FROM held JOIN strata USING (stratum), range(1, {len(PATH) + 1}) AS steps(step) GROUP BY test, step),
-    failing AS (SELECT test, min(step) AS step FROM tested WHERE NOT {cdf} <= {LEVEL}e0 / (SELECT count(*) FROM (SELECT DISTINCT test FROM strata)) GROUP BY test),
-    certified AS (SELECT stratum, CAST(coalesce(step - 1, {len(PATH)}) AS INT) AS certified FROM strata LEFT JOIN failing ON strata.test IS NOT DISTINCT FROM failing.test)
+    strata AS (SELECT stratum FROM held GROUP BY stratum HAVING count(*) >= {least_tested()}),
+    tested AS (SELECT stratum, step, count(*) AS n, count(*) FILTER (fails_at <= step) AS k FROM held JOIN strata USING (stratum), range(1, {len(PATH) + 1}) AS steps(step) GROUP BY stratum, step),
+    failing AS (SELECT stratum, min(step) AS step FROM tested WHERE NOT {cdf} <= {LEVEL}e0 / (SELECT count(*) FROM strata) GROUP BY stratum),
+    certified AS (SELECT stratum, CAST(coalesce(step - 1, {len(PATH)}) AS INT) AS certified FROM strata LEFT JOIN failing USING (stratum))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(fails_at <= certified, FALSE) AS kept, fails_at, coalesce(certified, 0) AS certified
     FROM rated LEFT JOIN certified USING (stratum)"""
 

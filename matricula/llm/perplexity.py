@@ -16,8 +16,9 @@ other gram of a document goes through the join.
 
 A document is kept if its smoothed mean negative log-likelihood is within the quantile of held-out
 trusted documents of its language (widened by `margin`); smoothing towards the language's median
-keeps short texts from failing by chance. Languages without `least` such documents use the
-quantile of all.
+keeps short texts from failing by chance. A language's median, and how far its quantile lies above
+it, are drawn towards those of all documents by `few` of them, so that each language has limits of
+its own, and the fewer documents it has the nearer they lie to the common ones.
 
 Grams are told apart by 64-bit hashes. Defined results: null or empty text has perplexity null and
 is not kept; a null language is `und`. Repeated rows and null ids are scored row by row. Without
@@ -40,7 +41,7 @@ from .common import bitmap, in_bitmap, materialize, release, slices
 ORDER = 5
 #: Grams that are looked up without a join, at most; bits of the bitmaps over ids and over grams.
 TOP, BITMAP_BITS = 1 << 18, 1 << 23
-QUANTILE, MARGIN, LEAST, PRIOR = 0.995, 1.05, 50, 100
+QUANTILE, MARGIN, FEW, PRIOR = 0.995, 1.05, 20, 100
 #: Of FOLDS parts of the trusted documents, the one that is held out.
 HELD, FOLDS = 0, 5
 #: Text bytes and places that are worked on at a time.
@@ -275,7 +276,7 @@ def likelihoods(docs: DataFrame, counts: DataFrame, top: int = TOP) -> DataFrame
     return joined.select("doc_id", "lang", "n_signs", F.when(F.col("n_signs") > 0, nll).alias("nll"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST, prior: int = PRIOR) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, few: int = FEW, prior: int = PRIOR) -> DataFrame:
     """doc_id, lang, n_signs, perplexity, kept for every row of `docs`.
 
     `labels`: doc_id and quality; quality 1 marks trusted text.
@@ -284,18 +285,20 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
     scored = materialize(likelihoods(docs, counts))
     trusted = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().filter(held_out())
     good = materialize(scored.join(trusted, "doc_id", "left_semi").filter("nll is not null"))
-    by_lang = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("nll", 0.5, 10000).alias("median"))
+    by_lang = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("nll", 0.5, 10000).alias("own"))
     all_ = good.agg(F.percentile_approx("nll", 0.5, 10000).alias("all_median"))
-    known = materialize(by_lang.filter(F.col("n") >= least))
-    middle = F.coalesce("median", "all_median")
-    smooth = (F.col("nll") * F.col("n_signs") + middle * prior) / (F.col("n_signs") + prior)
-    shrunk = lambda df: _small_join(df, known.select("lang", "median")).crossJoin(F.broadcast(all_)).withColumn("smooth", smooth)  # noqa: E731  one row
-    near = shrunk(good)
-    limits = materialize(near.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("smooth", quantile, 10000).alias("limit")).filter(F.col("n") >= least).select("lang", "limit"))
-    all_limit = near.agg(F.percentile_approx("smooth", quantile, 10000).alias("all_limit"))
-    judged = _small_join(shrunk(scored), limits).crossJoin(F.broadcast(all_limit))  # one row
-    limit = F.coalesce("limit", "all_limit")
-    kept = F.col("nll").isNotNull() & F.coalesce(F.col("smooth") <= limit * margin, F.lit(True))
+    drawn = lambda own, common: (F.col("n") * F.col(own) + few * F.col(common)) / (F.col("n") + few)
+    known = materialize(by_lang.crossJoin(F.broadcast(all_)).select("lang", "n", drawn("own", "all_median").alias("median")))  # one row
+    smooth = (F.col("nll") * F.col("n_signs") + F.coalesce("median", "all_median") * prior) / (F.col("n_signs") + prior)
+    above = lambda df: _small_join(df, known).crossJoin(F.broadcast(all_)).withColumn("above", smooth - F.coalesce("median", "all_median"))  # noqa: E731  one row
+    near = above(good)
+    all_above = near.agg(F.percentile_approx("above", quantile, 10000).alias("all_above"))
+    own = near.groupBy("lang", "n").agg(F.percentile_approx("above", quantile, 10000).alias("own"))
+    limits = materialize(own.crossJoin(F.broadcast(all_above)).select("lang", drawn("own", "all_above").alias("most")))  # one row
+    judged = _small_join(above(scored), limits).crossJoin(F.broadcast(all_above))  # one row
+    smooth = F.coalesce("median", "all_median") + F.col("above")
+    limit = F.coalesce("median", "all_median") + F.coalesce("most", "all_above")
+    kept = F.col("nll").isNotNull() & F.coalesce(smooth <= limit * margin, F.lit(True))
     return judged.select("doc_id", "lang", "n_signs", F.exp("nll").alias("perplexity"), kept.alias("kept"))
 
 

@@ -10,8 +10,9 @@ first failure needs no further correction within a stratum, and the level is div
 of strata (Bonferroni). So, at the level, no stratum loses more than `max_rejection` of its good
 documents by all rules together.
 
-Strata with fewer than `LEAST` good documents are tested together as one, for which the guarantee
-then holds as a whole; a stratum without any, or one that certifies nothing, rejects nothing.
+Each stratum is tested by itself. One with too few good documents for the bound to be met even if
+none of them were rejected (`least_tested`) is not tested, takes no share of the level, and, like one
+that certifies nothing, rejects nothing; so the guarantee holds for every stratum.
 
 All of it is built-in expressions; the features are computed once and written, and only they
 (a few numbers for each document) are joined. Equal windows and lines are found by 64-bit hashes
@@ -44,9 +45,8 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 }
 #: The path: (rule, cutoff) by how far a cutoff is along its rule's list.
 PATH = [(rule, float(cut)) for _, _, rule, cut in sorted(((i + 1) / len(cuts), k, rule, cut) for k, (rule, (_, cuts)) in enumerate(RULES.items()) for i, cut in enumerate(cuts))]
-#: Allowed false rejection of good documents over all rules together, the level of the test, and
-#: the good documents that a stratum needs to be tested by itself.
-MAX_REJECTION, LEVEL, LEAST = 0.03, 0.05, 200
+#: Allowed false rejection of good documents over all rules together, and the level of the test.
+MAX_REJECTION, LEVEL = 0.03, 0.05
 #: Strata up to which the cutoffs are broadcast; beyond, they are joined by shuffle.
 BROADCAST_STRATA = 10_000
 
@@ -118,23 +118,27 @@ def fails_at() -> Column:
     return F.least(*first.values())
 
 
-def certify(measured: DataFrame, good: DataFrame, max_rejection: float = MAX_REJECTION, level: float = LEVEL, least: int = LEAST) -> DataFrame:
-    """stratum, n (good documents of its test), certified (steps of the path), and the cutoff of
-    each rule at that step, infinite where there is none.
+def least_tested(max_rejection: float = MAX_REJECTION, level: float = LEVEL) -> int:
+    """Good documents below which no test can succeed at the level, even undivided."""
+    return math.ceil(math.log(level) / math.log1p(-max_rejection))
+
+
+def certify(measured: DataFrame, good: DataFrame, max_rejection: float = MAX_REJECTION, level: float = LEVEL) -> DataFrame:
+    """stratum, n (its good documents), certified (steps of the path), and the cutoff of each rule at
+    that step, infinite where there is none; of the strata that are tested.
 
     Documents that already fail the base rules are no evidence for the cutoffs.
     """
     held = measured.join(good.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("not base_failed")
     by_stratum = materialize(held.groupBy("stratum", "fails_at").agg(F.count(F.lit(1)).alias("n")))
-    size = materialize(by_stratum.groupBy("stratum").agg(F.sum("n").alias("n")).withColumn("test", F.when(F.col("n") >= least, F.col("stratum"))))
-    tests = size.groupBy("test").agg(F.sum("n").alias("n"))
+    tests = materialize(by_stratum.groupBy("stratum").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_tested(max_rejection, level)))
     small = level / max(1, tests.count())
     step = F.explode(F.sequence(F.lit(1), F.lit(len(PATH)))).alias("step")
-    rejected = by_stratum.filter("fails_at is not null").join(size.select("stratum", "test"), "stratum").select("test", "n", F.explode(F.sequence("fails_at", F.lit(len(PATH)))).alias("step"))
-    rejected = rejected.groupBy(F.col("test").alias("of"), F.col("step").alias("at")).agg(F.sum("n").alias("k"))
-    tested = tests.select("test", "n", step).join(rejected, F.col("test").eqNullSafe(F.col("of")) & (F.col("step") == F.col("at")), "left")
+    rejected = by_stratum.filter("fails_at is not null").select("stratum", "n", F.explode(F.sequence("fails_at", F.lit(len(PATH)))).alias("step"))
+    rejected = rejected.groupBy("stratum", "step").agg(F.sum("n").alias("k"))
+    tested = tests.select("stratum", "n", step).join(rejected, ["stratum", "step"], "left")
     unsure = F.when(binomial_cdf(F.coalesce("k", F.lit(0)), F.col("n"), max_rejection) > small, F.col("step") - 1)
-    found = tested.groupBy(F.col("test").alias("of"), "n").agg(F.coalesce(F.min(unsure), F.lit(len(PATH))).alias("certified"))
+    found = tested.groupBy("stratum", "n").agg(F.coalesce(F.min(unsure), F.lit(len(PATH))).alias("certified"))
     cutoffs = []
     for rule in RULES:
         reached = F.lit(float("inf"))
@@ -142,17 +146,16 @@ def certify(measured: DataFrame, good: DataFrame, max_rejection: float = MAX_REJ
             if name == rule:
                 reached = F.when(F.col("certified") >= step, cut).otherwise(reached)
         cutoffs.append(reached.alias(f"max_{rule}"))
-    joined = size.select("stratum", "test").join(found, F.col("test").eqNullSafe(F.col("of")))
-    return joined.select("stratum", "n", "certified", *cutoffs)
+    return found.select("stratum", "n", "certified", *cutoffs)
 
 
-def judge(docs: DataFrame, labels: DataFrame, max_rejection: float = MAX_REJECTION, level: float = LEVEL, least: int = LEAST) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, max_rejection: float = MAX_REJECTION, level: float = LEVEL) -> DataFrame:
     """One row per document: the counts, base_failed and kept; then the first step of the path that
     rejects it (null: none) and the steps certified in its stratum. `labels`: doc_id, quality (1:
     good)."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     measured = materialize(features(docs).withColumn("base_failed", failed).withColumn("fails_at", fails_at()))
-    steps = materialize(certify(measured, labels.filter("quality = 1"), max_rejection, level, least)).select("stratum", "certified")
+    steps = materialize(certify(measured, labels.filter("quality = 1"), max_rejection, level)).select("stratum", "certified")
     small = F.broadcast(steps) if steps.count() <= BROADCAST_STRATA else steps
     joined = measured.join(small, "stratum", "left").withColumn("certified", F.coalesce("certified", F.lit(0)))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("fails_at") <= F.col("certified"), F.lit(False))

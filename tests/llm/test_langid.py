@@ -99,3 +99,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.identify(odd_docs.withColumn("lang", odd_docs["lang"].substr(9, 1)).replace("", None, "lang")).collect()} == {"und"}
     kept = langid.keep_known(odd_docs.withColumnRenamed("sequence_id", "score"))
     assert kept.columns[-1] == "score" and {r.doc_id for r in kept.collect()} <= {1, 4, 5, 6, 7}
+
+
+def test_many_languages(spark):
+    """1,500 languages of two texts each: all are learned, and have a place in the network."""
+    rows = [(f"word{i} text{i} {'abcdefgh'[i % 8] * 9}", f"l{i}") for i in range(1500)]
+    languages, picked = langid._sampled(spark.createDataFrame(rows, "text string, lang string"), 3000)
+    assert len(languages) == 1500 and picked.count() == 1500
+    assert len(langid._sampled(spark.createDataFrame(rows, "text string, lang string"), 100)[0]) == 100

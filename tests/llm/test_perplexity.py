@@ -89,3 +89,33 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert set(rows) == set(range(1, 9)) and rows[2].perplexity is None and not rows[3].kept and rows[1].kept
     assert perplexity.judge(no_docs, labels).collect() == []
     assert all(r.kept == (r.perplexity is not None) for r in perplexity.judge(odd_docs, labels.limit(0)).collect())
+
+
+def test_limits_of_each_language(spark):
+    """Verdicts from the documents' own perplexities: medians and quantiles, drawn to the common ones."""
+    folder = "/root/testdata/sf0.01"
+    good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").collect()}
+    rows = queries.op4_perplexity(spark, folder).collect()
+    held = {r.doc_id for r in spark.createDataFrame([(i,) for i in good], "doc_id long").filter(perplexity.held_out()).collect()}
+    nll = {r.doc_id: math.log(r.perplexity) for r in rows if r.perplexity}
+    low = lambda values, q: sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+    mine = [r for r in rows if r.doc_id in held and r.doc_id in nll]
+    common, few = low([nll[r.doc_id] for r in mine], 0.5), perplexity.FEW
+    median, above = {}, {}
+    for lang in {r.lang for r in mine}:
+        own = [nll[r.doc_id] for r in mine if r.lang == lang]
+        median[lang] = (len(own) * low(own, 0.5) + few * common) / (len(own) + few)
+
+    def over(r):
+        m = median.get(r.lang, common)
+        return (nll[r.doc_id] * r.n_signs + m * perplexity.PRIOR) / (r.n_signs + perplexity.PRIOR) - m
+
+    every = low([over(r) for r in mine], perplexity.QUANTILE)
+    for lang in median:
+        own = [over(r) for r in mine if r.lang == lang]
+        above[lang] = (len(own) * low(own, perplexity.QUANTILE) + few * every) / (len(own) + few)
+    assert len(set(median.values())) == len(median) > 2
+    for r in rows:
+        m = median.get(r.lang, common)
+        gap = (m + above.get(r.lang, every)) * perplexity.MARGIN - (m + over(r)) if r.doc_id in nll else -1
+        assert r.kept == (gap >= 0) or abs(gap) < 1e-6

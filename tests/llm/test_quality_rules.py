@@ -37,17 +37,16 @@ def verdicts(docs, good):
     first = lambda c: min((i for i, (r, cut) in enumerate(quality_rules.PATH, 1) if rules[r](c) > cut), default=None)
     held = [(s, first(c)) for d, s, c in rows if d in good and not c[5]]
     size = Counter(s for s, _ in held)
-    test = {s: s if n >= quality_rules.LEAST else None for s, n in size.items()}
-    certified = {}
-    for t in set(test.values()):
-        mine = [f for s, f in held if test[s] == t]
-        certified[t] = 0
+    tested = [s for s, n in size.items() if (1 - quality_rules.MAX_REJECTION) ** n <= quality_rules.LEVEL]
+    steps = {}
+    for t in tested:
+        mine = [f for s, f in held if s == t]
+        steps[t] = 0
         for step in range(1, len(quality_rules.PATH) + 1):
             k = sum(f is not None and f <= step for f in mine)
-            if cdf(k, len(mine), quality_rules.MAX_REJECTION) > quality_rules.LEVEL / len(set(test.values())):
+            if cdf(k, len(mine), quality_rules.MAX_REJECTION) > quality_rules.LEVEL / len(tested):
                 break
-            certified[t] = step
-    steps = {s: certified[test[s]] for s in test}
+            steps[t] = step
     return sorted(((d, *c[:6], not c[5] and not (first(c) and first(c) <= steps.get(s, 0)), first(c), steps.get(s, 0)) for d, s, c in rows), key=str)
 
 
@@ -77,16 +76,16 @@ def test_cutoffs_need_evidence(spark):
     assert not kept[2000] and kept[2001] and kept[2002] and kept[2003] and kept[5]
 
 
-def test_small_strata_are_tested_together(spark):
-    """Three languages of 90 good documents each certify as one what none of them could alone."""
+def test_each_stratum_is_tested_by_itself(spark):
+    """Two languages of 150 good documents certify, each by itself; one of 90 cannot, and costs the
+    others no level."""
     text, junk = (" ".join(f"w{i}{x}" for i in range(30)) for x in ("", "***"))
-    docs = [(i, text, f"l{i % 3}") for i in range(270)] + [(300 + k, junk, f"l{k}") for k in range(4)]
+    docs = [(i, text, "a" if i < 150 else "b" if i < 300 else "c") for i in range(390)] + [(400 + k, junk, x) for k, x in enumerate("abcd")]
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i in range(270)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, 1) for i in range(390)], "doc_id long, quality int")
     kept = {r.doc_id: r.kept for r in quality_rules.judge(frame, labels).collect()}
-    assert [kept[300 + k] for k in range(4)] == [False, False, False, True] and all(kept[i] for i in range(270))
-    few = {r.doc_id: r.kept for r in quality_rules.judge(frame, labels.filter("doc_id < 60")).collect()}
-    assert all(few.values())
+    assert [kept[400 + k] for k in range(4)] == [False, False, True, True] and all(kept[i] for i in range(390))
+    assert quality_rules.least_tested() == 99
 
 
 def test_binomial(spark):
