@@ -4,15 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .rules import given
 
 #: Scores that tests without a minimum are held against.
 TARGETS = {"GRE": 320, "GMAT": 650}
-#: Rows of applicants that are broadcast to all programs; more are joined in blocks by degree.
+#: The tests that are known, each with the applicant's column.
+SCORES = {"GRE": "gre_total", "GMAT": "gmat_total", "TOEFL": "toefl_total", "IELTS": "ielts_total"}
+#: Rows of applicants that are broadcast to all programs; more are dealt over so many times as many parts.
 BROADCAST_APPLICANTS = 10_000
 
 
+def with_needs(programs: DataFrame) -> DataFrame:
+    """Programs with what each known test asks for, worked out once a program: `need_gre`, ..., and
+    `plain_tests`, whether no test is named twice."""
+    wanted = F.filter("tests", lambda t: t["status"].isin("required", "recommended"))
+    least = lambda t: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in TARGETS.items() for x in pair)), t["test_name"]), t["min_score"]).cast("double")
+    usable = F.filter(F.transform(wanted, lambda t: F.struct(t["test_name"].alias("name"), least(t).alias("need"))), lambda t: F.coalesce(t["need"], F.lit(0.0)) != 0)
+    rows = programs.withColumn("_usable", usable)
+    needs = {f"need_{name.lower()}": F.get(F.filter("_usable", _named(name)), F.lit(0))["need"] for name in SCORES}
+    names = F.transform("_usable", lambda t: t["name"])
+    return rows.withColumns({**needs, "plain_tests": F.size(F.array_distinct(names)) == F.size(names)}).drop("_usable")
+
+
+def _named(name: str):
+    return lambda t: t["name"] == name
+
+
+def plain_tests() -> Column:
+    """As `tests`, from the columns of `with_needs`, where no test is named twice."""
+    total, n = F.lit(0.0), F.lit(0)
+    for name, score in SCORES.items():
+        need, have = F.col(f"need_{name.lower()}"), F.col(score).cast("double")
+        met = F.coalesce(need, F.lit(0.0)) * F.coalesce(have, F.lit(0.0)) != 0
+        total = total + F.when(met, F.least(F.lit(100.0), have / need * 100)).otherwise(0.0)
+        n = n + F.when(met, 1).otherwise(0)
+    return F.when(n > 0, total / n).otherwise(F.lit(85.0))
+
+
 def tests(pairs: DataFrame) -> Column:
     """Mean share of the asked tests' scores, of the tests that an applicant has; 85 if none."""
     def share(t: Column) -> Column:
@@ -53,19 +83,33 @@ def chance(score: Column) -> Column:
     return F.when(score >= 90, 0.8).when(score >= 80, 0.65).when(score >= 70, 0.45).when(score >= 60, 0.25).otherwise(0.1)
 
 
-def fit(applicants: DataFrame, programs: DataFrame, least: float | None = None) -> DataFrame:
-    """Each applicant with each program of the wished degree (any, if none is wished): scores,
-    what is missing, strengths and advice.
+def _scored(applicants: DataFrame, programs: DataFrame) -> DataFrame:
+    """Applicants with the programs of the wished degree (any, if none is wished), and their scores.
 
-    programs: program_id, degree, country, modalities, tests, gpa_min, min_experience_years,
-    application_fee. applicants: applicant_id, degree, gpa, gre_total, ...
+    An applicant without a wish is given every degree, so that pairs meet in an equi-join on the
+    degree: with the applicants broadcast if they are few, else with both sides dealt over parts.
     """
+    from ..sources.scratch import materialize
+
+    offered = materialize(with_needs(programs))
+    degrees = offered.select("degree").distinct()
     asked = applicants.withColumnRenamed("degree", "wished")
-    side = F.broadcast(asked) if applicants.count() <= BROADCAST_APPLICANTS else asked
-    some = programs.join(side.filter("wished is not null"), F.col("degree") == F.col("wished"))
-    pairs = some.unionByName(programs.join(side.filter("wished is null"), F.lit(True)))
-    parts = pairs.withColumns({"test_match": tests(pairs), "gpa_match": grades(), "experience_match": experience(), "preference_match": wishes()})
-    scored = parts.withColumn("overall", (F.col("test_match") + F.col("gpa_match") + F.col("experience_match") + F.col("preference_match")) / 4)
+    every = asked.filter("wished is null").join(F.broadcast(degrees.select(F.array_agg("degree").alias("_all"))), F.lit(True))  # one row
+    meant = asked.filter("wished is not null").withColumn("degree", F.col("wished")).unionByName(every.withColumn("degree", F.explode("_all")).drop("_all"))
+    n = applicants.count()
+    if n <= BROADCAST_APPLICANTS:
+        pairs = offered.join(F.broadcast(meant), "degree")
+    else:
+        parts = -(-n // BROADCAST_APPLICANTS)
+        one = meant.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = offered.withColumn("_part", F.pmod(F.xxhash64("program_id"), F.lit(parts))).join(one, ["degree", "_part"]).drop("_part")
+    met = F.when(F.col("plain_tests"), plain_tests()).otherwise(tests(pairs))
+    parts = pairs.withColumns({"test_match": met, "gpa_match": grades(), "experience_match": experience(), "preference_match": wishes()})
+    return parts.withColumn("overall", (F.col("test_match") + F.col("gpa_match") + F.col("experience_match") + F.col("preference_match")) / 4)
+
+
+def _told(scored: DataFrame, *more: str) -> DataFrame:
+    """Scores (and `more` columns) with what is missing, strengths and advice."""
     under = lambda have, need: given(need) & (~given(have) | (F.col(have) < F.col(need)))
     lists = {
         "missing": F.array_compact(F.array(F.when(under("gpa", "gpa_min"), F.concat(F.lit("Minimum GPA: "), "gpa_min")), F.when(under("work_experience_years", "min_experience_years"), F.format_string("Minimum experience: %s years", F.col("min_experience_years").cast("string"))))),
@@ -73,5 +117,32 @@ def fit(applicants: DataFrame, programs: DataFrame, least: float | None = None)
         "advice": F.array_compact(F.array(F.when(F.col("test_match") < 60, "Consider retaking standardized tests"), F.when(F.col("preference_match") < 50, "Review program location and format preferences"))),
     }
     out = scored.withColumns(lists).withColumn("admission_chance", chance(F.col("overall")))
-    kept = out.filter(F.col("overall") >= least) if least is not None else out
-    return kept.select("applicant_id", "program_id", "test_match", "gpa_match", "experience_match", "preference_match", "overall", "admission_chance", *lists)
+    return out.select("applicant_id", "program_id", "test_match", "gpa_match", "experience_match", "preference_match", "overall", "admission_chance", *more, *lists)
+
+
+def fit(applicants: DataFrame, programs: DataFrame, least: float | None = None) -> DataFrame:
+    """Each applicant with each program of the wished degree (any, if none is wished): scores,
+    what is missing, strengths and advice.
+
+    programs: program_id, degree, country, modalities, tests, gpa_min, min_experience_years,
+    application_fee. applicants: applicant_id, degree, gpa, gre_total, ...
+    """
+    scored = _scored(applicants, programs)
+    return _told(scored.filter(F.col("overall") >= least) if least is not None else scored)
+
+
+def fit_top(applicants: DataFrame, programs: DataFrame, k: int = 10) -> DataFrame:
+    """The `k` best programs of each applicant, with their place; the smaller program_id first among
+    equals.
+
+    What tells programs apart for an applicant is their profile: programs with the same one score the
+    same, and only the first `k` of them can be among the best. So pairs are applicants by profiles
+    of `k` programs, each task keeps its `k` best of an applicant before they are shuffled, and the
+    lists are made for those that stay.
+    """
+    profile = ["degree", "country", "modalities", "tests", "gpa_min", "min_experience_years", "application_fee"]
+    order = W.partitionBy(*profile).orderBy("program_id")
+    few = programs.select("program_id", *profile).withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= k).drop("_nth")
+    best = W.partitionBy("applicant_id").orderBy(F.desc("overall"), "program_id")
+    top = _scored(applicants, few).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    return _told(top, "place")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.names import fresh
 from ..functions.text import first_name, last_name, name_variants, normalize
+from ..sources.scratch import materialize
 
 #: Days that an end date must lie ahead, and years since the start that count.
 AHEAD, YEARS = 365, 3
@@ -55,14 +57,31 @@ def by_last_name(authors: DataFrame, awards: DataFrame, few: int = 10) -> DataFr
 
 
 def once(found: DataFrame) -> DataFrame:
-    """Each award once per author: first by id, then by title and funder; the earlier step wins.
+    """Each award once per author: rows with the same id, or with the same title and funder, are one
+    award, also over several steps of both kinds; of these the earliest `step`, then the least id,
+    title and funder is left. Null ids are no id, and null titles no title.
 
-    found: author_id, grant_id, title, funder, step.
+    found: author_id, grant_id, title, funder, step. Labels (at first a number of each row's own) go to
+    the least of all rows that share an id or a title, until none changes.
     """
-    by_id = W.partitionBy("author_id", "grant_id").orderBy("step", "title", "funder")
-    by_title = W.partitionBy("author_id", "title", "funder").orderBy("step", "grant_id")
-    kept = found.withColumn("n", F.row_number().over(by_id)).filter("n = 1")
-    return kept.withColumn("n", F.row_number().over(by_title)).filter("n = 1").drop("n")
+    number, label, new = fresh(found.columns, "_row", "_label", "_new")
+    rows = materialize(found.withColumn(number, F.monotonically_increasing_id()))
+    now = rows.select(number, "author_id", "grant_id", F.when(F.col("title").isNotNull(), F.struct("title", "funder")).alias("named"), F.col(number).alias(label))
+    while True:
+        least = F.col(label)
+        for key in ("grant_id", "named"):
+            # rows without a key stand alone: their own number is part of what they are grouped by
+            alone = F.when(F.col(key).isNull(), F.col(number))
+            least = F.least(least, F.min(label).over(W.partitionBy("author_id", key, alone)))
+        moved = materialize(now.withColumn(new, least))
+        if moved.filter(F.col(new) < F.col(label)).isEmpty():
+            break
+        # a label leads on to the label that its own row has got
+        onward = moved.select(F.col(number).alias(label), F.col(new).alias("_next"))
+        now = moved.drop(label).withColumnRenamed(new, label).join(onward, label).drop(label).withColumnRenamed("_next", label)
+    order = W.partitionBy(label).orderBy("step", F.asc_nulls_last("grant_id"), F.asc_nulls_last("title"), "funder", number)
+    kept = rows.join(now.select(number, label), number).withColumn(new, F.row_number().over(order)).filter(F.col(new) == 1)
+    return kept.select(*found.columns)
 
 
 def for_authors(authors: DataFrame, nih: DataFrame, nsf: DataFrame, as_of: str) -> DataFrame:

@@ -281,20 +281,29 @@ def text_blocks(chars: DataFrame, line_step: float = 2.0, block_step: float = 10
     line's by more than `line_step`, a new block where it leaves it by more than `block_step`.
 
     chars: page, pos, top, bottom, x0, x1, size, text. A line's height is that of its first
-    character, so the fold runs in order over each page.
+    character, so the characters of a page pass in order, and nothing but the line's height and the
+    number of the block is kept in mind; pages are dealt over the tasks.
     """
-    row = F.struct("pos", "top", "bottom", "x0", "x1", "size", "text")
-    pages = chars.groupBy("page").agg(F.array_sort(F.collect_list(row)).alias("chars"))
-
-    def step(state: Column, c: Column) -> Column:
-        moved = F.abs(c["top"] - state["line"])
-        line = F.when(state["line"].isNull() | (moved > line_step), c["top"]).otherwise(state["line"])
-        block = state["block"] + F.when(moved > block_step, 1).otherwise(0)
-        return F.struct(line.alias("line"), block.alias("block"), F.array_append(state["ids"], block).alias("ids"))
-
-    zero = F.struct(F.lit(None).cast("double").alias("line"), F.lit(0).alias("block"), F.array().cast("array<int>").alias("ids"))
-    ids = F.aggregate("chars", zero, step)["ids"]
-    each = pages.select("page", F.explode(F.arrays_zip(F.col("chars"), ids.alias("block"))).alias("z")).select("page", "z.block", "z.chars.*")
+    ordered = chars.select("page", "pos", "top", "bottom", "x0", "x1", "size", "text").repartition("page").sortWithinPartitions("page", "pos")
+
+    def number(batches):
+        page = line = None
+        block = 0
+        for batch in batches:
+            blocks = []
+            for own, top in zip(batch.column("page").to_pylist(), batch.column("top").to_pylist(), strict=True):
+                if own != page or not blocks and page is None:
+                    page, line, block = own, None, 0
+                moved = None if line is None or top is None else abs(top - line)
+                if moved is not None and moved > block_step:
+                    block += 1
+                if line is None or moved is not None and moved > line_step:
+                    line = top
+                blocks.append(block)
+            yield pa.record_batch([*batch.columns, pa.array(blocks, pa.int32())], [*batch.schema.names, "block"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields)
+    each = ordered.mapInArrow(number, f"{fields}, block int")
     blocks = each.groupBy("page", "block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "").alias("text"),
         F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.avg("size").alias("size"),

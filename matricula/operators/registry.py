@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.names import fresh
+from ..sources.scratch import materialize
+from .programs import placed
+
 #: What a round is called that has none, and the open statuses.
 NO_ROUND = "-"
 APPROVED, NEEDS_REVIEW, DRAFT = "approved", "needs_review", "draft"
@@ -92,6 +96,80 @@ def page(found: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
     return ordered.offset((number - 1) * size).limit(size)
 
 
+#: The order of a search: (column, whether the greatest comes first); the id settles ties.
+PAGE_ORDER = (("priority_tier", False), ("confidence", True), ("last_verified_at", True), ("program_id", False))
+
+
+def _keys() -> list[Column]:
+    """The order as columns of which each ascends and holds no null: greatest-first columns with
+    nulls first, the others with nulls first as well."""
+    out = []
+    for c, down in PAGE_ORDER:
+        value = F.col(c)
+        if down:
+            value = -(F.unix_micros(value) if c.endswith("_at") else value.cast("decimal(20,6)"))
+        out += [value.isNotNull().cast("int"), value]
+    return out
+
+
+def after(found: DataFrame, border: dict, size: int = 20) -> DataFrame:
+    """The `size` rows that follow a row (its values of PAGE_ORDER) in a search: sought by its values,
+    so that nothing before it is sorted or passed over."""
+    last = found.sparkSession.createDataFrame([tuple(border[c] for c, _ in PAGE_ORDER)], found.select(*(c for c, _ in PAGE_ORDER)).schema)
+    place = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(_keys())))
+    behind = found.withColumn("_place", place).join(F.broadcast(last.select(place.alias("_last"))), F.col("_place") > F.col("_last"))  # one row
+    return behind.drop("_place", "_last").orderBy(*_keys()).limit(size)
+
+
+def borders(found: DataFrame, size: int = 20) -> DataFrame:
+    """page, the last row before it (`last`) and its own last row (`end`) for each page of a search, by
+    numbers that ranges of the order are given, each by itself."""
+    keys = [k.alias(f"k{i}") for i, k in enumerate(_keys())]
+    numbered = placed(found.select(*keys), *(f"k{i}" for i in range(len(keys))))
+    rows = numbered.filter((F.col("place") % size == 0)).select(F.expr(f"place div {size}").alias("page"), F.struct(*(f"k{i}" for i in range(len(keys)))).alias("end"))
+    ends = rows.select((F.col("page") + 1).alias("page"), F.col("end").alias("last"))
+    return rows.join(ends, "page", "full")
+
+
+def all_pages(found: DataFrame, size: int = 20) -> DataFrame:
+    """Every row of a search with its page, each page sought between its borders. Rows are dealt by
+    the first column of the order."""
+    place = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(_keys())))
+    rows = found.withColumn("_place", place)
+    starts = borders(found, size).filter("end is not null").select("page", F.col("end").alias("_place"))
+    kind = {c: F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns}
+    both = rows.withColumn("page", F.lit(None).cast("long")).unionByName(starts.select(*kind.values(), "_place", "page"))
+    ranged = both.repartitionByRange("_place").withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged)
+    # a row's page follows the last border before it: in its range, or at the end of the ranges before
+    tops = ranged.filter("page is not null").groupBy("_part").agg(F.max("page").alias("top"))
+    whole = ranged.select("_part").distinct().join(tops, "_part", "left")
+    before = whole.select("_part", F.coalesce(F.max("top").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
+    order = W.partitionBy("_part").orderBy("_place", F.asc_nulls_first("page"))
+    seen = F.max("page").over(order.rowsBetween(W.unboundedPreceding, -1))
+    out = ranged.join(F.broadcast(before), "_part").withColumn("_page", F.coalesce(seen, F.col("_before")) + 1)
+    return out.filter("page is null").drop("page", "_place", "_part", "_before").withColumnRenamed("_page", "page")
+
+
+def create_functions(spark, sets: DataFrame, view: str = "requirement_sets") -> None:
+    """The table function get_current_requirement(track, term, round) of SQL, over a view of the sets:
+    the latest approved set, of a null round those without one."""
+    sets.createOrReplaceTempView(view)
+    kinds = {c: sets.schema[c].dataType.simpleString() for c in ("track_id", "term_year", "round_id", "id")}
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION get_current_requirement(track {kinds["track_id"]}, term {kinds["term_year"]}, round {kinds["round_id"]})
+        RETURNS TABLE (id {kinds["id"]}, last_verified_at TIMESTAMP)
+        RETURN SELECT best.id, best.last_verified_at FROM (SELECT min_by(struct(s.id, s.last_verified_at), struct(s.last_verified_at IS NOT NULL, -unix_micros(s.last_verified_at), s.id)) AS best
+          FROM {view} s WHERE s.status = '{APPROVED}' AND s.track_id = track AND s.term_year = term AND coalesce(s.round_id, '{NO_ROUND}') = coalesce(round, '{NO_ROUND}'))""")
+
+
+def variant_fields(rows: DataFrame, column: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows with fields of a JSON text, by path and type; the text is parsed once, to a VARIANT. What
+    is no JSON, lacks the path or has no such type is null."""
+    parsed, = fresh(rows.columns, "_variant")
+    read = rows.withColumn(parsed, F.try_parse_json(column))
+    return read.withColumns({name: F.try_variant_get(parsed, path, kind) for name, (path, kind) in fields.items()}).drop(parsed)
+
+
 def page_count(found: DataFrame, size: int = 20) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("total")).select("total", F.ceil(F.col("total") / size).alias("pages"))
 

@@ -165,17 +165,17 @@ def batch_approve(s, d):
 
 
 def _actions(s, d) -> DataFrame:
-    """A decision on every tenth order, half of them with notes."""
-    return A.read(s, d, "orders").filter("o_orderkey % 10 = 0").selectExpr("o_orderkey AS id", "'ann' AS reviewer", "TIMESTAMP '2001-08-01' AS at", "CASE WHEN o_orderkey % 20 = 0 THEN 0.9D END AS confidence", "CASE WHEN o_orderkey % 20 = 0 THEN 'seen' END AS notes")
+    """A decision on every order, those divisible by 20 with a confidence and notes."""
+    return A.read(s, d, "orders").selectExpr("o_orderkey AS id", "'ann' AS reviewer", "TIMESTAMP '2001-08-01' AS at", "CASE WHEN o_orderkey % 20 = 0 THEN 0.9D END AS confidence", "CASE WHEN o_orderkey % 20 = 0 THEN 'seen' END AS notes")
 
 
 @query("approve_sets", sql("""SELECT id, CASE WHEN hit THEN 'approved' ELSE status END AS status, CASE WHEN hit AND id % 20 = 0 THEN CAST(0.9 AS DECIMAL(3,2)) ELSE confidence END AS confidence, CASE WHEN hit THEN 'ann' END AS reviewer
-    FROM (SELECT *, id % 10 = 0 AND status <> 'approved' AS hit FROM requirement_set)""", "requirement_set"))
+    FROM (SELECT *, status <> 'approved' AS hit FROM requirement_set)""", "requirement_set"))
 def approve_sets(s, d):
     return review.decide(A.requirement_set(s, d), _actions(s, d), "approve")[0].select("id", "status", "confidence", "reviewer")
 
 
-@query("refused_rejections", sql("SELECT id, 'ann' AS reviewer FROM requirement_set WHERE id % 10 = 0 AND status <> 'needs_review'", "requirement_set"))
+@query("refused_rejections", sql("SELECT id, 'ann' AS reviewer FROM requirement_set WHERE status <> 'needs_review'", "requirement_set"))
 def refused_rejections(s, d):
     return review.decide(A.requirement_set(s, d), _actions(s, d), "reject")[1].select("id", "reviewer")
 
@@ -438,9 +438,9 @@ def validate_sets(s, d):
     return rules.validate(A.requirements(s, d), KNOWN_CODES, AS_OF_GRANTS)[1].withColumn("confidence", r6("confidence"))
 
 
-def _applicants(s, d) -> DataFrame:
-    """The query set: customers whose key is divisible by 50, each against all programs."""
-    return A.read(s, d, "customer").filter("c_custkey % 50 = 0").selectExpr("*", "c_custkey div 50 AS a").selectExpr(
+def applicants(s, d, every: int = 50) -> DataFrame:
+    """The query set: customers whose key is divisible by `every`, each against all programs."""
+    return A.read(s, d, "customer").filter(F.col("c_custkey") % every == 0).selectExpr("*", "c_custkey div 50 AS a").selectExpr(
         "c_custkey AS applicant_id", "CASE WHEN a % 2 = 0 THEN 'MS' END AS degree", "2 + (a % 20) / 10D AS gpa", "CAST(300 + a % 40 AS INT) AS gre_total", "CAST(90 + a % 30 AS INT) AS toefl_total",
         "6.5D AS ielts_total", "CAST(600 AS INT) AS gmat_total", "CAST(a % 5 AS INT) AS work_experience_years", "CAST(a % 2 AS INT) AS publications", "array('ASIA') AS preferred_countries", "array('online') AS preferred_modalities", "100D AS max_application_fee")
 
@@ -454,14 +454,17 @@ def _applicants(s, d) -> DataFrame:
       least(100e0, greatest(0e0, 70e0 + CASE WHEN country = 'ASIA' THEN 20 ELSE -10 END + 10 + CASE WHEN fee <= 100 THEN 5 ELSE -5 END)) AS w FROM p JOIN a ON wished IS NULL OR wished = degree)
     SELECT applicant_id, program_id, round(t, 6) AS test_match, round(g, 6) AS gpa_match, round(e, 6) AS experience_match, round(w, 6) AS preference_match, round((t + g + e + w) / 4, 6) AS overall, CASE WHEN (t + g + e + w) / 4 >= 90 THEN 0.8e0 WHEN (t + g + e + w) / 4 >= 80 THEN 0.65e0 WHEN (t + g + e + w) / 4 >= 70 THEN 0.45e0 WHEN (t + g + e + w) / 4 >= 60 THEN 0.25e0 ELSE 0.1e0 END AS admission_chance FROM m""")
 def fit_check(s, d):
+    out = fit.fit(applicants(s, d), offered(s, d))
+    return out.select("applicant_id", "program_id", *(r6(c).alias(c) for c in ("test_match", "gpa_match", "experience_match", "preference_match", "overall")), "admission_chance")
+
+
+def offered(s, d) -> DataFrame:
     test = lambda name, least: f"named_struct('test_name', '{name}', 'status', 'required', 'min_score', {least}, 'code', CAST(NULL AS STRING))"
     gre, toefl = test("GRE", "CAST(NULL AS INT)"), test("TOEFL", "100")
-    offered = A.read(s, d, "part").selectExpr(
+    return A.read(s, d, "part").selectExpr(
         "p_partkey AS program_id", "CASE WHEN p_partkey % 3 = 0 THEN 'MS' ELSE 'PhD' END AS degree", "CASE WHEN p_partkey % 2 = 0 THEN 'ASIA' ELSE 'EUROPE' END AS country", "array('online', 'hybrid') AS modalities",
         "(p_partkey % 4) / 2D + 2 AS gpa_min", "CAST(p_partkey % 3 AS INT) AS min_experience_years", "CAST(p_size * 5 AS DOUBLE) AS application_fee",
         f"CASE p_partkey % 5 WHEN 1 THEN array({gre}) WHEN 2 THEN array({toefl}) WHEN 4 THEN array({gre}, {toefl}) ELSE filter(array({gre}), x -> false) END AS tests")
-    out = fit.fit(_applicants(s, d), offered)
-    return out.select("applicant_id", "program_id", *(r6(c).alias(c) for c in ("test_match", "gpa_match", "experience_match", "preference_match", "overall")), "admission_chance")
 
 
 @query("rank_overlay", """SELECT p_partkey AS program_id, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 99 ELSE p_size END AS toefl_min, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_partkey % 50 AS INT) ELSE 999 END AS rank FROM part""")
@@ -736,4 +739,4 @@ def guessed_pages(s, d):
     return U.guessed(sites, captured, ["/en", "/fr"], first_only=True).select("url", "site")
 
 
-from . import dumps  # noqa: E402, F401  registers its queries
+from . import dumps, further  # noqa: E402, F401  register their queries
