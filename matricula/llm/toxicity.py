@@ -120,10 +120,10 @@ def coded(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and spans less one of every subsequence of three letters, one row per piece; 0 is
     none."""
-    found, spans = [], []
+    found, spans, length = [], [], rows.shape[1]
     other = np.flatnonzero(rows.max(axis=1, initial=0) > _LATIN)
     for a, b in _PATTERNS:
-        first, second, third = rows[:, : LENGTH - b], rows[:, a : LENGTH - b + a], rows[:, b:]
+        first, second, third = rows[:, : length - b], rows[:, a : length - b + a], rows[:, b:]
         number = (first * 32 + second) * 32 + third
         if len(other):
             x, y, z = first[other], second[other], third[other]
@@ -180,18 +180,23 @@ class Kernel:
         out = np.zeros((len(units), self.table.shape[1]), dtype=np.float32)
         for at in range(0, len(units), 2000):
             rows, owner = coded(units[at : at + 2000])
-            numbers, spans = subsequences(rows)
             part = np.zeros((len(rows), out.shape[1]), dtype=np.float32)
-            piece, place = np.nonzero(self.known[numbers])  # most subsequences are in no landmark
-            if not len(piece):
-                continue
+            short = rows[:, HEAD + 1] == 0  # those need no look at places that they don't have
+            part[short], part[~short] = self._of_pieces(rows[short, : HEAD + 1]), self._of_pieces(rows[~short])
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            out[at : at + len(starts)] = part if len(starts) == len(part) else np.maximum.reduceat(part, starts, axis=0)
+        return out
+
+    def _of_pieces(self, rows: np.ndarray) -> np.ndarray:
+        numbers, spans = subsequences(rows)
+        out = np.zeros((len(rows), self.table.shape[1]), dtype=np.float32)
+        piece, place = np.nonzero(self.known[numbers])  # most subsequences are in no landmark
+        if len(piece):
             terms = self.table[numbers[piece, place]] * _WEIGHTS[spans[place]][:, None]
             starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
             told = piece[starts]
-            part[told] = np.add.reduceat(terms, starts, axis=0)
-            part[told] /= np.sqrt(np.maximum(own_kernel(numbers[told], spans), 1e-9))[:, None].astype(np.float32)
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            out[at : at + len(starts)] = part if len(starts) == len(part) else np.maximum.reduceat(part, starts, axis=0)
+            out[told] = np.add.reduceat(terms, starts, axis=0)
+            out[told] /= np.sqrt(np.maximum(own_kernel(numbers[told], spans), 1e-9))[:, None].astype(np.float32)
         return out
 
 
@@ -225,17 +230,18 @@ class Features:
     """Sentences by landmarks: the best kernel value of a sentence's units with each landmark, in
     steps of 1/255. Values of units are kept in a memo of `most` of them, which changes nothing."""
 
-    def __init__(self, kernel: Kernel, most: int = 150_000) -> None:
-        self.kernel, self.most = kernel, most
+    def __init__(self, kernel: Kernel, model: Model | None = None, most: int = 150_000) -> None:
+        self.kernel, self.model, self.most = kernel, model, most
         self.number: dict[str, int] = {}
         self.table = np.zeros((1 << 14, kernel.table.shape[1]), dtype=np.uint8)
+        self.told = np.zeros((len(self.table), len(TOLD)), dtype=np.uint8)
 
     def of(self, sentences: list[list[str]]) -> np.ndarray:
-        return self.with_hits(sentences, None)[0]
+        return self.with_hits(sentences)[0]
 
-    def with_hits(self, sentences: list[list[str]], model: Model | None) -> tuple[np.ndarray, np.ndarray]:
-        """The values, and how many units of each sentence have a margin of their own above each of
-        TOLD."""
+    def with_hits(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The values, and how many units of each sentence have a margin of their own, by the model,
+        above each of TOLD."""
         hits = np.zeros((len(sentences), len(TOLD)), dtype=np.int64)
         units = [u for s in sentences for u in s]
         known, kept = self.number, len(self.number)
@@ -243,8 +249,12 @@ class Features:
         if new:
             end = kept + len(new)
             if end > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.uint8)])
+                more = max(end, 2 * len(self.table)) - len(self.table)
+                self.table, self.told = (np.concatenate([x, np.zeros((more, x.shape[1]), np.uint8)]) for x in (self.table, self.told))
             self.table[kept:end] = np.rint(self.kernel.values(new) * 255)
+            if self.model:
+                own = self.table[kept:end] @ (self.model.alpha / 255).astype(np.float32) - self.model.shift
+                self.told[kept:end] = own[:, None] > TOLD
             known.update(zip(new, range(kept, end), strict=True))
         out = np.zeros((len(sentences), self.table.shape[1]), dtype=np.uint8)
         at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
@@ -253,15 +263,13 @@ class Features:
             part = owner[k : k + (1 << 15)]
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             who = part[starts]
-            rows = self.table[at[k : k + (1 << 15)]]
-            out[who] = np.maximum(out[who], np.maximum.reduceat(rows, starts, axis=0))
-            if model:
-                own = rows @ (model.alpha / 255).astype(np.float32) - model.shift
-                hits[who] += np.add.reduceat((own[:, None] > TOLD).astype(np.int64), starts, axis=0)
+            mine = at[k : k + (1 << 15)]
+            out[who] = np.maximum(out[who], np.maximum.reduceat(self.table[mine], starts, axis=0))
+            hits[who] += np.add.reduceat(self.told[mine].astype(np.int64), starts, axis=0)
         for unit in new[max(0, self.most - kept) :]:  # what the memo has no room for
             del known[unit]
         if len(self.table) > 2 * self.most:
-            self.table = self.table[: self.most].copy()
+            self.table, self.told = self.table[: self.most].copy(), self.told[: self.most].copy()
         return out.astype(np.float32) / 255, hits
 
 
@@ -532,14 +540,14 @@ def _out_of_fold(table: DataFrame, models: list[Model], part: dict[int, int]) ->
 
     def run(batches):
         models, part = shared.value
-        features = [Features(m.kernel) for m in models]
+        features = [Features(m.kernel, m) for m in models]
         for batch in batches:
             fold = np.array([part[i] for i in batch.column("doc_id").to_pylist()])
             margins, hits = np.zeros(len(fold)), np.zeros((len(fold), len(TOLD)), dtype=np.int64)
             units = batch.column("units").to_pylist()
             for k, model in enumerate(models):
                 for mine in np.array_split(np.flatnonzero(fold == k), 1 + (fold == k).sum() // 2000):
-                    values, hits[mine] = features[k].with_hits([units[i] for i in mine.tolist()], model)
+                    values, hits[mine] = features[k].with_hits([units[i] for i in mine.tolist()])
                     margins[mine] = values @ model.alpha - model.shift
             yield pa.record_batch([batch.column("doc_id"), pa.array(margins), pa.array(hits.tolist(), pa.list_(pa.int64())), batch.column("n")], ["doc_id", "margin", "hits", "n"])
 
@@ -591,7 +599,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
 
     def make():
         model = shared.value
-        features = Features(model.kernel)
+        features = Features(model.kernel, model)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found, sizes, units = [], [], []
@@ -600,7 +608,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
                 found += own
                 sizes.append(len(own))
                 units.append(sum(map(len, own)))
-            values, hits = features.with_hits(found, model)
+            values, hits = features.with_hits(found)
             margins = values @ model.alpha - model.shift
             ends = np.cumsum(sizes)
             seen = np.array([evidence(margins[b - n : b], hits[b - n : b].sum(axis=0), k, -model.shift) for b, n, k in zip(ends.tolist(), sizes, units, strict=True)]).reshape(-1, SEEN)

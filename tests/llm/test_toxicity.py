@@ -90,7 +90,7 @@ def test_hits_of_units():
     kernel = toxicity.Kernel(["idiot", "banana"])
     model = toxicity.Model(kernel, np.array([2.0, -1.0]), 0.4, np.zeros(toxicity.SEEN + 1))
     parts = [["idiot", "idiot", "xyz"], [], ["banana"], ["idiott", "idxiot", "qq"] * 20_000]
-    values, hits = toxicity.Features(kernel).with_hits(parts, model)
+    values, hits = toxicity.Features(kernel, model).with_hits(parts)
     own = {u: kernel.values([u])[0] @ model.alpha - model.shift for p in parts for u in p}
     assert hits.tolist() == [[sum(own[u] > t for u in p) for t in toxicity.TOLD] for p in parts]
     assert np.allclose(values[2], kernel.values(["banana"])[0], atol=0.01)
