@@ -20,8 +20,10 @@ __all__ = ["WORD", "WORD_BREAK", "bitmap", "crc_rest", "fresh", "in_bitmap", "ma
 WORD_BREAK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Text bytes that one step of a batch function works on at a time.
-SLICE_BYTES = 4 << 20
+#: Text bytes that one step of a batch function works on at a time, and bytes of an Arrow batch, which
+#: both the executor and its Python worker hold.
+SLICE_BYTES, ARROW_BYTES = 4 << 20, 8 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +50,10 @@ def release() -> None:
 
 
 def per_batch(df: DataFrame, text_column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow over bounded slices; `make` builds the batch function once in each task."""
+    """mapInArrow over bounded slices; `make` builds the batch function once in each task. From here
+    on the session's Arrow batches have ARROW_BYTES at most, as executors are sized tightly."""
+    if int(df.sparkSession.conf.get(_ARROW_LIMIT).rstrip("b")) > ARROW_BYTES:
+        df.sparkSession.conf.set(_ARROW_LIMIT, ARROW_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

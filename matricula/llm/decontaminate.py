@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bitmap, in_bitmap, materialize, per_batch
+from .common import bitmap, in_bitmap, materialize, per_batch, release
 
 SEED, STRETCH = 3, 8
 MIN_SCORE, EXCERPT = 0.4, 30
@@ -230,6 +230,7 @@ def _aligned(min_score: float):
                         found.append((r["row"], r["doc_id"], r["item"], r["item_id"], score / (MATCH * len(item)), r["first"] + first, r["first"] + last))
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
                 yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 7, types, strict=True)], ["row", "doc_id", "item", "item_id", "score", "first_word", "last_word"])
+            release()
 
     return run
 

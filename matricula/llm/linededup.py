@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, per_batch
+from .common import fresh, materialize, per_batch, release
 
 SEED_WORDS = 8
 BLOCK_WORDS = 40
 #: A line, or a first holder, is heavy with more than one in HEAVY of all rows; SALTS parts of it.
 HEAVY, SALTS = 1000, 32
 #: Bits of a table of common subsequences that are held at once.
-TABLE_BITS = 1 << 29
+TABLE_BITS = 1 << 26
 
 _LINES = "doc_id long, hashes array<long>, words array<int>, runs array<long>"
 
@@ -256,6 +256,7 @@ def repeated_lines(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: i
                 sides = (part.column(c).to_pylist() for c in ("early", "late", "words"))
                 found = [shared_lines(a, b, n, block_words) for a, b, n in zip(*sides, strict=True)]
                 yield pa.record_batch([part.column("later"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "same"])
+            release()
 
     aligned = pairs.join(early, ["first", "part"]).join(late, "later").select("later", "early", "late", "words").mapInArrow(align, "doc_id long, same array<int>")
     merged = aligned.select("doc_id", F.explode("same").alias("line")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("same"))
@@ -270,6 +271,7 @@ def repeated_lines(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: i
                     gone.append(out)
                     count.append(sum(words[i] for i in out))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32())), pa.array(count, pa.int64())], ["doc_id", "gone", "gone_words"])
+            release()
 
     return merged.join(one.select("doc_id", "words"), "doc_id").mapInArrow(runs, "doc_id long, gone array<int>, gone_words long")
 

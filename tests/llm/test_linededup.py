@@ -112,7 +112,7 @@ def test_longest_common_subsequences(monkeypatch):
             row = new
         return row[-1]
 
-    for bits in (1 << 29, 50):
+    for bits in (1 << 26, 50):
         monkeypatch.setattr(linededup, "TABLE_BITS", bits)
         for _ in range(60):
             a, b = ([rng.randrange(rng.choice([2, 3, 9])) for _ in range(rng.randrange(40))] for _ in range(2))
