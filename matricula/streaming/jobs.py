@@ -11,33 +11,83 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.window import Window as W
 
 from ..operators.rules import Rule, validate
 
 CHANGE = "url string, at timestamp, content_hash string"
-
-
-def _changes(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values(["at", "content_hash"])
-    out = []
-    for at, h in zip(rows["at"], rows["content_hash"], strict=True):
-        if h != last:
-            out.append((key[0], at, h))
-            last = h
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["url", "at", "content_hash"])
-
-
-def page_changes(captures: DataFrame) -> DataFrame:
-    """Captures (url, at, html) whose content differs from the last one of the same address."""
+#: The state store that timers and lists of state need.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Changes(StatefulProcessor):
+    """Captures of an address wait until the watermark has passed them, then go by in order of time;
+    what is kept of those that went by is the last content, for `live` milliseconds at most."""
+
+    def __init__(self, live: int) -> None:
+        self.live = live
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at timestamp, content_hash string")
+        self.last = handle.getValueState("last", "content_hash string, until long")
+
+    def _timer(self, at: int) -> None:
+        if at not in {x[0] if isinstance(x, tuple) else x for x in self.handle.listTimers()}:
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for frame in rows:
+            new += [(at.to_pydatetime(), h) for at, h in zip(frame["at"], frame["content_hash"], strict=True)]
+        if new:
+            self.waiting.appendList(new)
+        for at in {int(pd.Timestamp(at).timestamp() * 1000) for at, _ in new}:
+            self._timer(max(at + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"url": pd.Series(dtype=str), "at": pd.Series(dtype="datetime64[us]"), "content_hash": pd.Series(dtype=str)})
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted((pd.Timestamp(at), h) for at, h in self.waiting.get()) if self.waiting.exists() else []
+        due = [(at, h) for at, h in rows if at.timestamp() * 1000 < now]
+        last, until = self.last.get() if self.last.exists() else (None, 0)
+        out = []
+        for at, h in due:
+            stamp = int(at.timestamp() * 1000)
+            if h != last or stamp > until:
+                out.append((key[0], at, h))
+            last, until = h, stamp + self.live
+        if due:
+            self.last.update((last, until))
+            self._timer(max(until, now) + 1)
+            rest = [(at.to_pydatetime(), h) for at, h in rows[len(due) :]]
+            self.waiting.clear()
+            if rest:
+                self.waiting.appendList(rest)
+        elif self.last.exists() and now > until:
+            self.last.clear()
+        yield pd.DataFrame(out, columns=["url", "at", "content_hash"]).astype({"url": str, "content_hash": str, "at": "datetime64[us]"})
+
+    def close(self) -> None:
+        pass
+
+
+def page_changes(captures: DataFrame, late: str = "1 day", live: str = "3650 days") -> DataFrame:
+    """Captures (url, at, html) whose content differs from the last one of the same address, or whose
+    last one is more than `live` back.
+
+    A stream gives them in order of time, once the watermark (`late` behind the newest capture) has
+    passed; what comes later still is dropped. It needs the session's state store to be STATE_STORE;
+    state is what still waits, and one content for each address seen within `live`."""
     hashed = captures.select("url", "at", F.sha2("html", 256).alias("content_hash"))
     if captures.isStreaming:
-        return hashed.groupBy("url").applyInPandasWithState(_changes, CHANGE, "last string", "append", GroupStateTimeout.NoTimeout)
-    last = F.lag("content_hash").over(W.partitionBy("url").orderBy("at", "content_hash"))
-    return hashed.withColumn("last", last).filter("last is null or last <> content_hash").drop("last")
+        return hashed.withWatermark("at", late).groupBy("url").transformWithStateInPandas(_Changes(_micros(live) // 1000), CHANGE, "Append", "EventTime")
+    order = W.partitionBy("url").orderBy("at", "content_hash")
+    seen = hashed.withColumns({"last": F.lag("content_hash").over(order), "before": F.lag("at").over(order)})
+    old = F.unix_micros("at") - F.unix_micros("before") > _micros(live)
+    return seen.filter(F.col("last").isNull() | (F.col("last") != F.col("content_hash")) | old).select("url", "at", "content_hash")
 
 
 def _micros(span: str) -> int:

@@ -12,20 +12,26 @@ def drain(stream, name, spark, mode="append"):
     return spark.table(name)
 
 
-@pytest.fixture
-def captures(spark, tmp_path):
-    rows = [("u", f"2025-01-01 00:00:0{k}", c) for k, c in enumerate("AABA")] + [("v", "2025-01-01 00:00:00", "Z")]
-    frame = spark.createDataFrame(rows, "url string, at string, html string").withColumn("at", F.to_timestamp("at"))
-    frame.write.parquet(f"{tmp_path}/in")
-    return f"{tmp_path}/in"
-
+def test_page_changes_match_the_batch_twin(spark, tmp_path):
+    """Files that are not in order of time, late rows among them, and an end mark that lets all pass."""
+    import random
 
-def test_page_changes_match_the_batch_twin(spark, captures):
-    batch = spark.read.parquet(captures)
-    stream = spark.readStream.schema(batch.schema).parquet(captures)
-    want = sorted(map(tuple, jobs.page_changes(batch).select("url", "at", "content_hash").collect()))
-    assert len(want) == 4
-    assert sorted(map(tuple, drain(jobs.page_changes(stream), "changes", spark).select("url", "at", "content_hash").collect())) == want
+    rng = random.Random(3)
+    rows = [(f"u{rng.randrange(5)}", day * 24 + rng.randrange(24), rng.choice("AB")) for day in range(12) for _ in range(6)]
+    frame = lambda x: spark.createDataFrame(x, "url string, h int, html string").selectExpr("url", "timestamp_seconds(1735689600 + h * 3600) AS at", "html")
+    for k in range(0, 72, 24):
+        part = rows[k : k + 24]
+        rng.shuffle(part)
+        frame(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    frame([("end", 24 * 4000, "Z")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set(*jobs.STATE_STORE)
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    for live in ("3650 days", "1 day"):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        want = sorted(map(tuple, jobs.page_changes(frame(rows), live=live).collect()))
+        found = drain(jobs.page_changes(stream, "10 days", live), f"changes{live[0]}", spark).filter("url <> 'end'")
+        assert sorted(map(tuple, found.select("url", "at", "content_hash").collect())) == want and len(want) > 15
+    spark.conf.unset(jobs.STATE_STORE[0])
 
 
 def test_rates_repeats_and_activity(spark, tmp_path):
