@@ -14,7 +14,7 @@ from .registry import first_by
 #: Points for a name, an alias and an acronym, from equal to similar.
 NAME, ALIAS, ACRONYM = (100, 80, 60, 40), (90, 50, 30), (95, 70)
 ACTIVE, EDUCATION, SIMILAR = 10, 5, 0.7
-#: Queries that the loose mode takes; they are broadcast to the registry.
+#: Queries of the loose mode that are broadcast to the registry at once.
 MOST_LOOSE = 1000
 
 
@@ -81,11 +81,18 @@ def resolve(queries: DataFrame, registry: DataFrame, strict: bool = True) -> Dat
     """
     asked = queries.select("query").distinct()
     if strict:
-        pairs = candidates(asked, registry)
-    else:
-        if asked.count() > MOST_LOOSE:
-            raise ValueError(f"the loose mode scores every row for every query, {MOST_LOOSE} queries at most")
-        pairs = registry.select("id").join(F.broadcast(asked), F.lit(True))
+        return _best(candidates(asked, registry), registry, strict)
+    blocks = max(1, -(-asked.count() // MOST_LOOSE))
+    asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))))
+    out = None
+    for k in range(blocks):  # about MOST_LOOSE queries at once, each block against all rows
+        some = F.broadcast(asked.filter(F.col("block") == k).select("query"))
+        found = _best(registry.select("id").join(some, F.lit(True)), registry, strict)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _best(pairs: DataFrame, registry: DataFrame, strict: bool) -> DataFrame:
     scored = pairs.join(registry, "id").withColumn("score", match_score(normalize("query"), strict)).filter("score > 0")
     return first_by(scored, ["query"], F.desc("score"), F.asc("pos"), F.asc("id"))
 

@@ -336,10 +336,35 @@ def author_stats(s, d):
     return scoring.author_stats(placed, "place").withColumns({"avg_score": r6("avg_score"), "active": F.col("active").cast("long")})
 
 
-@query("advisor_filter", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{M}\\p{N}_])the($|[^\\p{L}\\p{M}\\p{N}_])')")
+_POOL = ["Cancer biology", "Psychology of trauma", "Robotics and network design", "Patient care in hospital medicine", "Surgery, medical school", "The mind", "Physician training, clinical practice", "Depression", "History of the book", "Optics"]
+_ASKED, _SPREAD = ["the mind", "history", "physician", "patient"], ["mind", "book", "care", "design", "trauma", "school", "robotics", "biology", "training", "optics", "network", "depression"]
+
+
+def _quoted(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _naming(fields: list[str]) -> str:
+    return f"len(list_filter(topics[1:5], lambda t: len(list_filter({_quoted(fields)}, lambda f: contains(lower(t), f))) > 0))"
+
+
+def _sharing(keywords: list[str]) -> str:
+    have = r"regexp_extract_all(lower(array_to_string(topics, ' ')), '\w+')"
+    return rf"len(list_filter({_quoted(keywords)}, lambda k: list_has_any({have}, regexp_extract_all(k, '\w+'))))"
+
+
+_TOPICS = "doc_id % 11, doc_id // 11 % 11, doc_id // 121 % 11, doc_id // 7 % 11, doc_id // 13 % 11"
+
+
+@query("advisor_filter", f"""WITH authors AS (SELECT doc_id, list_filter(list_transform([{_TOPICS}], lambda k: ({_quoted(_POOL)})[k + 1]), lambda t: t IS NOT NULL) AS topics FROM documents)
+    SELECT doc_id FROM authors WHERE CASE WHEN len(topics) = 0 THEN FALSE WHEN {_sharing(_ASKED)} < 3 THEN FALSE WHEN {_naming(scoring.UNRELATED)} >= 2 AND {_naming(scoring.RELEVANT)} = 0 THEN FALSE
+      WHEN {_naming(scoring.RELEVANT)} >= 1 THEN TRUE WHEN {_sharing(_SPREAD)} / {len(_SPREAD)}e0 < 0.15 THEN FALSE WHEN {_naming(scoring.MEDICAL)} >= 3 THEN FALSE ELSE TRUE END""")
 def advisor_filter(s, d):
-    authors = A.read(s, d, "documents").select("doc_id", F.array("text").alias("topics"))
-    return scoring.match_filter(authors, ["the", "of"], ["the"], unrelated=["qqq"], relevant=["qqq"], medical=["qqq"]).select("doc_id")
+    """Every document as an author of up to five topics, so that each rule has hits."""
+    pool = F.array(*map(F.lit, _POOL))
+    picks = F.transform(F.array(*(F.expr(f"CAST({x.replace('//', 'div')} AS INT)") for x in _TOPICS.split(", "))), lambda k: F.get(pool, k))
+    authors = A.read(s, d, "documents").select("doc_id", F.filter(picks, lambda t: t.isNotNull()).alias("topics"))
+    return scoring.match_filter(authors, _ASKED, _SPREAD).select("doc_id")
 
 
 @query("keyword_containment", "SELECT doc_id, array_to_string(list_filter(['the', 'tion', 'und', 'para', 'est', 'ing'], lambda k: contains(lower(text), k)), ',') AS found FROM documents")
@@ -538,9 +563,12 @@ def daily_activity(s, d):
     return jobs.daily_activity(marked)
 
 
-@query("page_change", "SELECT url, \"at\", content_hash FROM (SELECT CAST(user_id AS VARCHAR) AS url, ts AS \"at\", sha256(event_type) AS content_hash, lag(sha256(event_type)) OVER (PARTITION BY user_id ORDER BY ts, sha256(event_type)) AS last FROM events) WHERE last IS NULL OR last <> content_hash")
+@query("page_change", """WITH captures AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS url, TIMESTAMP '2025-01-01' + to_hours(CAST(page_id AS INT)) AS "at", sha256(regexp_extract(html, '<(h[1-6]|table|ul)', 1)) AS content_hash FROM pages)
+    SELECT url, "at", content_hash FROM (SELECT *, lag(content_hash) OVER (PARTITION BY url ORDER BY "at", content_hash) AS last FROM captures) WHERE last IS NULL OR last <> content_hash""")
 def page_change(s, d):
-    return jobs.page_changes(A.read(s, d, "events").select(F.col("user_id").cast("string").alias("url"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("html")))
+    """Captures of every host, hour by hour; what is compared is the kind of element that a page opens with."""
+    captures = A.read(s, d, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("url"), F.expr("TIMESTAMP '2025-01-01' + make_interval(0, 0, 0, 0, CAST(page_id AS INT))").alias("at"), F.regexp_extract("html", "<(h[1-6]|table|ul)", 1).alias("html"))
+    return jobs.page_changes(captures)
 
 
 @query("link_facts", "SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=\"')) AS BIGINT) AS n_links FROM pages WHERE len(regexp_extract_all(html, '<a [^>]*href=\"')) > 0")
@@ -730,13 +758,17 @@ def id_text_join(s, d):
 _FOLDER = "^[a-zA-Z]+://[^/]+/[a-z]+"
 
 
-@query("guessed_pages", f"""WITH captured AS (SELECT DISTINCT regexp_extract(url, '{_FOLDER}') AS url FROM pages WHERE regexp_matches(url, '{_FOLDER}'))
-    SELECT url, regexp_extract(url, '^[a-zA-Z]+://[^/]+') AS site FROM captured WHERE regexp_matches(url, '/(?:en|fr)$') QUALIFY row_number() OVER (PARTITION BY site ORDER BY url) = 1""")
+@query("guessed_pages", f"""WITH sites AS (SELECT DISTINCT page_id % 200 AS site, 'https://s' || page_id % 200 || '.example.edu' AS base FROM pages),
+    captured AS (SELECT DISTINCT 'https://s' || page_id % 200 || '.example.edu' || ({_quoted(U.COMMON_PATHS)})[page_id * 7 % 90 + 1] AS url FROM pages),
+    paths AS (SELECT unnest({_quoted(U.COMMON_PATHS)}) AS path, generate_subscripts({_quoted(U.COMMON_PATHS)}, 1) AS pos)
+    SELECT url, site FROM (SELECT base || path AS url, site, pos FROM sites, paths) JOIN captured USING (url) QUALIFY row_number() OVER (PARTITION BY site ORDER BY pos) = 1""")
 def guessed_pages(s, d):
-    """The first of two usual folders of each site that was captured."""
-    captured = A.read(s, d, "pages").select(F.regexp_extract("url", _FOLDER, 0).alias("url")).filter("url <> ''")
-    sites = captured.select(F.regexp_extract("url", "^[a-zA-Z]+://[^/]+", 0).alias("base")).distinct().withColumn("site", F.col("base"))
-    return U.guessed(sites, captured, ["/en", "/fr"], first_only=True).select("url", "site")
+    """The first of all usual addresses of each site that was captured; sites and captures by the pages' numbers."""
+    base = F.concat(F.lit("https://s"), F.col("page_id") % 200, F.lit(".example.edu"))
+    rows = A.read(s, d, "pages")
+    path = F.get(F.array(*map(F.lit, U.COMMON_PATHS)), (F.col("page_id") * 7 % 90).cast("int"))
+    captured = rows.select(F.concat(base, path).alias("url")).filter("url is not null")
+    return U.guessed(rows.select((F.col("page_id") % 200).alias("site"), base.alias("base")).distinct(), captured, first_only=True).select("url", "site")
 
 
 from . import dumps, further  # noqa: E402, F401  register their queries

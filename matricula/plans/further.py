@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fit, grants, keywords, pages, programs, registry
+from ..functions import urls as U
+from ..operators import extract, fit, grants, keywords, pages, programs, registry, rules, scoring, sets
 from ..sources import store
 from ..sources.scratch import new_path
 from ..streaming import jobs
@@ -131,3 +132,105 @@ def faculty_first(s, d):
     people = A.read(s, d, "supplier").select("s_nationkey", F.col("s_name").alias("name"), F.slice(F.array(*map(F.lit, "abcd")), F.lit(1), F.expr("CAST(s_suppkey % 4 AS INT)")).alias("areas"))
     listed = programs.faculty_of(people.select("s_nationkey").distinct(), people, ["s_nationkey"], 3)
     return listed.select("s_nationkey", F.get("faculty", F.lit(0))["name"].alias("first"), F.size("faculty").cast("long").alias("n"))
+
+
+@query("page_change_stream", C.ORACLE["page_change"])
+def page_change_stream(s, d):
+    """Captures that arrive in three files, not in order of time, and an end mark; changes are read
+    back from where the stream wrote them."""
+    name, store_class = jobs.STATE_STORE
+    before, base = s.conf.get(name), new_path(s, "captures-")
+    rows = A.read(s, d, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("url"), F.expr("TIMESTAMP '2025-01-01' + make_interval(0, 0, 0, 0, CAST(page_id AS INT))").alias("at"), F.regexp_extract("html", "<(h[1-6]|table|ul)", 1).alias("html"))
+    for k in range(3):
+        rows.filter(F.pmod(F.xxhash64("url", "at"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    s.sql("SELECT '' AS url, TIMESTAMP '2200-01-01' AS at, '' AS html").write.mode("append").parquet(f"{base}/in")
+    s.conf.set(name, store_class)
+    try:
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        run = jobs.page_changes(stream, late="18250 days").writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out")
+        run.awaitTermination()
+        if run.exception() is not None:
+            raise run.exception()
+    finally:
+        s.conf.set(name, before)
+    return s.read.parquet(f"{base}/out").filter("url <> ''").select("url", "at", "content_hash")
+
+
+@query("score_threshold", "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n FROM lineitem) WHERE n <= 25 AND l_quantity >= 48")
+def score_threshold(s, d):
+    """The first 25 of each group, and of those the ones that reach a score."""
+    order = (F.desc("l_quantity"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_extendedprice"))
+    return scoring.cap_per_group(A.read(s, d, "lineitem"), "l_suppkey", 25, *order, least=("l_quantity", 48)).select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+_SAYINGS = ["Graduate  Admissions", "apply NOW", "School of Engineering", "news", "Department of Computer Science", "GRE scores", "greatest"]
+
+
+@query("link_text_flags", f"""SELECT page_id, text, regexp_matches(lower(text), '\\bgraduate\\s+admissions?\\b|\\bapply\\s+now\\b|\\bschool\\s+of\\s+engineering\\b|\\bdepartment\\s+of\\s+computer\\s+science\\b|\\bgre\\b') AS admissions, regexp_matches(lower(text), 'group|social') AS field, regexp_matches(lower(text), 'crisis') AS topic
+    FROM (SELECT page_id, ({_SAYINGS})[page_id % 7 + 1] || CASE page_id % 5 WHEN 0 THEN ' social group' WHEN 1 THEN ' Crisis intervention' ELSE '' END AS text FROM pages)""")
+def link_text_flags(s, d):
+    """Link texts that name admissions, a field, a topic."""
+    said = F.get(F.array(*map(F.lit, _SAYINGS)), (F.col("page_id") % 7).cast("int"))
+    ending = F.when(F.col("page_id") % 5 == 0, " social group").when(F.col("page_id") % 5 == 1, " Crisis intervention").otherwise("")
+    rows = A.read(s, d, "pages").select("page_id", F.concat(said, ending).alias("text"))
+    return rows.select("page_id", "text", U.is_admissions_text("text").alias("admissions"), U.in_field(F.array("text")).alias("field"), U.on_topic("text").alias("topic"))
+
+
+@query("absolute_links", """SELECT page_id, h AS href, CASE WHEN h LIKE 'http%' THEN h WHEN h LIKE '//%' THEN split_part(url, ':', 1) || ':' || h WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') || h
+      ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', '') || h END AS url, h LIKE 'http%' AS valid
+    FROM (SELECT page_id, url, ['a.html', '/b', '//c.org/x', 'http://d.org/', 'http://e.org'][page_id % 5 + 1] AS h FROM pages)""")
+def absolute_links(s, d):
+    """Addresses seen from each page, and whether they are whole."""
+    href = F.get(F.array(*map(F.lit, ["a.html", "/b", "//c.org/x", "http://d.org/", "http://e.org"])), (F.col("page_id") % 5).cast("int"))
+    return A.read(s, d, "pages").withColumn("href", href).select("page_id", "href", U.absolute("href", "url").alias("url"), U.is_valid("href").alias("valid"))
+
+
+@query("processing_order", """SELECT page_id, CAST(row_number() OVER (ORDER BY CASE WHEN kind = 'program' THEN 1 WHEN kind = 'department' THEN 2 WHEN kind = 'school' THEN 3 ELSE 4 END, page_id) AS BIGINT) AS place FROM (
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'school' WHEN 1 THEN 'program' WHEN 2 THEN 'department' ELSE 'general' END AS kind FROM pages)""")
+def processing_order(s, d):
+    """Pages by the class of their address."""
+    sign = F.get(F.array(*map(F.lit, ["https://law.x.edu/", "https://x.edu/phd", "https://x.edu/physics", "https://x.edu/"])), (F.col("page_id") % 4).cast("int"))
+    rows = A.read(s, d, "pages").select("page_id", sign.alias("url"), F.col("page_id").alias("pos"))
+    ordered = rows.withColumn("rank", F.array_position(F.array(*map(F.lit, U.PROCESS_ORDER)), U.url_class("url")))
+    return programs.placed(ordered.select("page_id", "rank", "pos"), "rank", "pos").select("page_id", "place")
+
+
+@query("page_places", """SELECT url, CASE p WHEN 0 THEN 'School of Law' WHEN 1 THEN 'School of Engineering' ELSE 'Graduate School' END AS school, CASE p WHEN 1 THEN 'Physics' WHEN 2 THEN 'Chemistry' ELSE 'General' END AS department, CASE p WHEN 0 THEN 'PhD' WHEN 2 THEN 'MBA' ELSE 'MS' END AS degree
+    FROM (SELECT ['https://law.x.edu/phd/', 'https://x.edu/a/', 'https://x.edu/chemistry/mba/', 'https://x.edu/b/'][page_id % 4 + 1] || page_id AS url, page_id % 4 AS p FROM pages)""")
+def page_places(s, d):
+    """School, department and degree of each page, from its address or its segments."""
+    start = F.get(F.array(*map(F.lit, ["https://law.x.edu/phd/", "https://x.edu/a/", "https://x.edu/chemistry/mba/", "https://x.edu/b/"])), (F.col("page_id") % 4).cast("int"))
+    rows = A.read(s, d, "pages").select(F.concat(start, "page_id").alias("url"), "page_id")
+    told = rows.filter("page_id % 4 = 1").select("url", F.lit(2).alias("pos"), F.lit("The School of Engineering, Department of Physics").alias("text"))
+    early = rows.filter("page_id % 4 = 1").select("url", F.lit(1).alias("pos"), F.lit("welcome").alias("text"))
+    return extract.place_of(rows.select("url"), told.unionByName(early))
+
+
+@query("cited_segments", """SELECT doc_id, field_name FROM (SELECT doc_id, unnest(['toefl_min', 'gre_status', 'rec_min']) AS field_name, CASE doc_id % 3 WHEN 0 THEN ' TOEFL of 90' WHEN 1 THEN ' the GRE, two letters of recommendation' ELSE '' END AS ending, text FROM documents)
+    WHERE CASE field_name WHEN 'toefl_min' THEN regexp_matches(lower(ending || '.'), 'toefl.{0,80}?[0-9]{2,3}') WHEN 'gre_status' THEN regexp_matches(lower(text || ending), '\\bgre\\b') ELSE contains(ending, 'letters of') END""")
+def cited_segments(s, d):
+    """Which fields each document, with a sentence put at its end, supports."""
+    ending = F.expr("CASE doc_id % 3 WHEN 0 THEN ' TOEFL of 90' WHEN 1 THEN ' the GRE, two letters of recommendation' ELSE '' END")
+    rows = A.read(s, d, "documents").select("doc_id", F.lit(0).alias("pos"), F.concat("text", ending).alias("text"))
+    return extract.citations(rows).select("doc_id", "field_name")
+
+
+@query("citation_issues", "SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'A' THEN 'selector' ELSE 'page_num' END AS field_name FROM lineitem WHERE (l_returnflag = 'A' AND l_linenumber % 2 = 0) OR (l_returnflag = 'N' AND l_linenumber % 3 = 0)")
+def citation_issues(s, d):
+    """Page citations without a selector, document citations without a page."""
+    cited = A.read(s, d, "lineitem").selectExpr("l_orderkey AS id", "CASE l_returnflag WHEN 'A' THEN 'html' WHEN 'N' THEN 'pdf' ELSE 'other' END AS kind", "CASE WHEN l_linenumber % 2 = 1 THEN 'h1' END AS selector", "CASE WHEN l_linenumber % 3 <> 0 THEN 4 END AS page_num")
+    return rules.issues(cited, rules.citation_checks()).select("id", "field_name")
+
+
+@query("listed_with_repeats", "SELECT name, count(*) AS n FROM (SELECT c_mktsegment AS name FROM customer UNION ALL SELECT p_brand FROM part UNION ALL SELECT c_mktsegment FROM customer) GROUP BY 1")
+def listed_with_repeats(s, d):
+    """Lists one after the other, with repeats."""
+    customers, parts = A.read(s, d, "customer").select(F.col("c_mktsegment").alias("name")), A.read(s, d, "part").select(F.col("p_brand").alias("name"))
+    return sets.listed(customers, parts, customers).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cache_keys", """SELECT page_id, md5('{"url":"' || replace(url, '/', '/') || '","params":[{"key":"a","value":"' || page_id || '"},{"key":"b","value":"2"}]}') AS key FROM pages""")
+def cache_keys(s, d):
+    """Keys of requests, the same in whatever order the parameters came."""
+    asked = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.col("page_id").cast("string"))).otherwise(F.create_map(F.lit("a"), F.col("page_id").cast("string"), F.lit("b"), F.lit("2")))
+    return A.read(s, d, "pages").select("page_id", T.cache_key("url", asked).alias("key"))
