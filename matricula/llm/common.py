@@ -52,7 +52,7 @@ def release() -> None:
 def per_batch(df: DataFrame, text_column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow over bounded slices; `make` builds the batch function once in each task. From here
     on the session's Arrow batches have ARROW_BYTES at most, as executors are sized tightly."""
-    now = df.sparkSession.conf.get(_ARROW_LIMIT, "0b").rstrip("b")
+    now = (df.sparkSession.conf.get(_ARROW_LIMIT, None) or "").rstrip("b")
     if now.isdigit() and int(now) > ARROW_BYTES:
         df.sparkSession.conf.set(_ARROW_LIMIT, ARROW_BYTES)
 
