@@ -47,7 +47,7 @@ from .common import crc_rest, materialize, per_batch
 
 #: Labelled texts and sentences that are learned from, at most.
 SAMPLE, SENTENCES = 4000, 100_000
-LANDMARKS = 96
+LANDMARKS, PLAIN_LANDMARKS = 80, 8
 DECAY, SPAN = 0.7, 6
 #: Power of the normalised kernel: higher tells near units from middling ones.
 POWER = 2
@@ -559,15 +559,15 @@ def _out_of_fold(table: DataFrame, models: list[Model], part: dict[int, int]) ->
 
 
 def choose_landmarks(names: np.ndarray, value: np.ndarray, often: np.ndarray, n: int = LANDMARKS) -> list[str]:
-    """Three quarters of the landmarks stand for the units that are toxic (`value`, STANDING of the
-    greatest one or more), the rest are the commonest units that the SVM holds clean (below 0)."""
+    """Landmarks stand for the units that are toxic (`value`, STANDING of the greatest one or more),
+    and PLAIN_LANDMARKS are the commonest units that the SVM holds clean (below 0)."""
     order = np.argsort(-value, kind="stable")
     order = order[: 8 * n]
     telling = {names[i]: float(value[i]) for i in order.tolist() if value[i] > 0 and value[i] >= value[order[0]] * STANDING}
     if not telling:
         return []
-    out = spread(telling, n * 3 // 4)
-    plain = np.argsort(-np.where(value < 0, often, 0), kind="stable")[: n - len(out)]
+    out = spread(telling, n - PLAIN_LANDMARKS)
+    plain = np.argsort(-np.where(value < 0, often, 0), kind="stable")[:PLAIN_LANDMARKS]
     return out + sorted(names[i] for i in plain.tolist() if value[i] < 0)
 
 
