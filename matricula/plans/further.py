@@ -18,7 +18,7 @@ from .catalogue import query, r6
 _KEYWORDS = r"""words AS (SELECT DISTINCT lower(p_name) AS keyword FROM part UNION SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) FROM benchmark)"""
 
 
-@query("keyword_table", f"""WITH {_KEYWORDS} SELECT doc_id, keyword FROM documents JOIN words ON contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), keyword)""")
+@query("keyword_table", rf"""WITH {_KEYWORDS}, plain AS MATERIALIZED (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, keyword FROM plain JOIN words ON contains(t, keyword)""")
 def keyword_table(s, d):
     """Part names and the words of the benchmark, some thousands, in all documents."""
     of_parts = A.read(s, d, "part").select(F.lower("p_name").alias("keyword"))
