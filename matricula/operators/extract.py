@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.dates import parse_long
+from ..functions.names import fresh
 from ..functions.text import _col, literals, normalize, snippet
 from .registry import first_by
 
@@ -96,12 +97,13 @@ def recruiting(rows: DataFrame, phrases: list[str] = RECRUITING, patterns: list[
     plain = normalize(text)
     quoted = [rf"\b{p}\b" for p in phrases]
     signs = literals([*quoted, *patterns])
-    hit = F.get(F.filter(signs, lambda p: F.regexp_like(F.col("__plain"), p)), F.lit(0))
-    marked = rows.withColumn("__plain", plain).withColumn("hit", hit)
+    (name,) = fresh(rows.columns, "_plain")
+    hit = F.get(F.filter(signs, lambda p: F.regexp_like(F.col(name), p)), F.lit(0))
+    marked = rows.withColumn(name, plain).withColumn("hit", hit)
     around = F.lit(None).cast("string")
     for p in reversed([*quoted, *patterns]):
-        around = F.when(F.col("hit") == p, snippet("__plain", p)).otherwise(around)
-    return marked.withColumns({"is_recruiting": F.col("hit").isNotNull(), "snippet": around}).drop("__plain")
+        around = F.when(F.col("hit") == p, snippet(name, p)).otherwise(around)
+    return marked.withColumns({"is_recruiting": F.col("hit").isNotNull(), "snippet": around}).drop(name)
 
 
 def recruiting_by_phrases(text: Column | str, phrases: list[str] = LAB_PHRASES, activity: list[str] = ACTIVITY, least: int = 3) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.names import fresh
 from ..sources.scratch import materialize
 
 #: Fixed value: the rank of what has none.
@@ -94,9 +95,9 @@ def faculty_of(programs: DataFrame, faculty: DataFrame, keys: list[str], most: i
 def placed(rows: DataFrame, *order) -> DataFrame:
     """`rows` with their place in an order that no two share, from 1: ranges of the order are numbered
     each by itself, and moved by the rows before them."""
-    part = F.spark_partition_id().alias("__part")
-    ranged = materialize(rows.repartitionByRange(*order).select("*", part))
-    within = ranged.withColumn("place", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("__part", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("before"))  # one row a range
-    return within.join(F.broadcast(before), "__part").withColumn("place", F.col("place") + F.col("before")).drop("__part", "before")
+    part, earlier = fresh(rows.columns, "_part", "_before")
+    ranged = materialize(rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias(part)))
+    within = ranged.withColumn("place", F.row_number().over(W.partitionBy(part).orderBy(*order)))
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(part, (F.sum("n").over(W.orderBy(part)) - F.col("n")).alias(earlier))  # one row a range
+    return within.join(F.broadcast(before), part).withColumn("place", F.col("place") + F.col(earlier)).drop(part, earlier)

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FOLDERS: list[str] = []
+#: The scratch folders that are open, of each thread by itself.
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str = "") -> str:
     """A new path for a table; within `scratch` it goes with that scratch."""
-    folder = _FOLDERS[-1] if _FOLDERS else f"{shared_dir(spark)}/matricula"
+    own = getattr(_OPEN, "folders", None)
+    folder = own[-1] if own else f"{shared_dir(spark)}/matricula"
     return f"{folder}/{name}{uuid.uuid4().hex}"
 
 
@@ -47,10 +50,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are written inside are deleted at the end: results that are still wanted must
     have been written elsewhere (`materialize(df, path)`) by then."""
     folder = new_path(spark, "scratch-")
-    _FOLDERS.append(folder)
+    if not hasattr(_OPEN, "folders"):
+        _OPEN.folders = []
+    _OPEN.folders.append(folder)
     try:
         yield
     finally:
-        _FOLDERS.remove(folder)
+        _OPEN.folders.remove(folder)
         target = spark._jvm.org.apache.hadoop.fs.Path(folder)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

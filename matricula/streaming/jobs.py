@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.window import Window as W
 
+from ..functions.names import fresh
 from ..operators.rules import Rule, validate
 
 CHANGE = "url string, at timestamp, content_hash string"
@@ -104,17 +105,18 @@ def without_repeats(requests: DataFrame, key: str, at: str = "ts", ttl: str = "2
     if requests.isStreaming:
         return requests.withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
     columns = requests.columns
-    ordered = requests.select(F.xxhash64(key).alias("__k"), F.unix_micros(at).alias("__at"), F.lit(_micros(ttl)).alias("__ttl"), *columns)
-    ordered = ordered.repartition("__k").sortWithinPartitions("__k", "__at")
+    k_, at_, ttl_ = fresh(columns, "_k", "_at", "_ttl")
+    ordered = requests.select(F.xxhash64(key).alias(k_), F.unix_micros(at).alias(at_), F.lit(_micros(ttl)).alias(ttl_), *columns)
+    ordered = ordered.repartition(k_).sortWithinPartitions(k_, at_)
 
     def first_of_each(batches):
         known, until = None, None
         for batch in batches:
             keep = []
-            for k, t, live in zip(*(batch.column(c).to_pylist() for c in ("__k", "__at", "__ttl")), strict=True):
-                fresh = k != known or until is None or t is None or t > until
-                keep.append(fresh)
-                if fresh:
+            for k, t, live in zip(*(batch.column(c).to_pylist() for c in (k_, at_, ttl_)), strict=True):
+                new = k != known or until is None or t is None or t > until
+                keep.append(new)
+                if new:
                     known, until = k, None if t is None else t + live
             yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
 
