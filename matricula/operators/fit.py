@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.scratch import materialize
 from .rules import given
 
 #: Scores that tests without a minimum are held against.
@@ -89,20 +90,18 @@ def _scored(applicants: DataFrame, programs: DataFrame) -> DataFrame:
     An applicant without a wish is given every degree, so that pairs meet in an equi-join on the
     degree: with the applicants broadcast if they are few, else with both sides dealt over parts.
     """
-    from ..sources.scratch import materialize
-
-    offered = materialize(with_needs(programs))
-    degrees = offered.select("degree").distinct()
+    offered = materialize(with_needs(programs).withColumn("_key", F.coalesce(F.concat(F.lit("="), "degree"), F.lit(""))))
+    degrees = offered.select("_key").distinct()
     asked = applicants.withColumnRenamed("degree", "wished")
-    every = asked.filter("wished is null").join(F.broadcast(degrees.select(F.array_agg("degree").alias("_all"))), F.lit(True))  # one row
-    meant = asked.filter("wished is not null").withColumn("degree", F.col("wished")).unionByName(every.withColumn("degree", F.explode("_all")).drop("_all"))
+    every = asked.filter("wished is null").join(F.broadcast(degrees.select(F.array_agg("_key").alias("_all"))), F.lit(True))  # one row
+    meant = asked.filter("wished is not null").withColumn("_key", F.concat(F.lit("="), "wished")).unionByName(every.withColumn("_key", F.explode("_all")).drop("_all"))
     n = applicants.count()
     if n <= BROADCAST_APPLICANTS:
-        pairs = offered.join(F.broadcast(meant), "degree")
+        pairs = offered.join(F.broadcast(meant), "_key")
     else:
         parts = -(-n // BROADCAST_APPLICANTS)
         one = meant.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        pairs = offered.withColumn("_part", F.pmod(F.xxhash64("program_id"), F.lit(parts))).join(one, ["degree", "_part"]).drop("_part")
+        pairs = offered.withColumn("_part", F.pmod(F.xxhash64("program_id"), F.lit(parts))).join(one, ["_key", "_part"]).drop("_part")
     met = F.when(F.col("plain_tests"), plain_tests()).otherwise(tests(pairs))
     parts = pairs.withColumns({"test_match": met, "gpa_match": grades(), "experience_match": experience(), "preference_match": wishes()})
     return parts.withColumn("overall", (F.col("test_match") + F.col("gpa_match") + F.col("experience_match") + F.col("preference_match")) / 4)

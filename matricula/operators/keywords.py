@@ -36,7 +36,7 @@ def keyword_hits(texts: DataFrame, key: str, text: str, keywords: DataFrame, par
         hits = _search(source, key, spark.sparkContext.broadcast(words))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return texts.select(key).join(named.select("keyword_id"), F.lit(False))
+        return texts.select(key, F.lit(None).cast(keywords.schema["keyword_id"].dataType).alias("keyword_id")).filter(F.lit(False))
     return found.join(named.select("plain", "keyword_id"), "plain").select(key, "keyword_id")
 
 

@@ -292,7 +292,7 @@ def text_blocks(chars: DataFrame, line_step: float = 2.0, block_step: float = 10
         for batch in batches:
             blocks = []
             for own, top in zip(batch.column("page").to_pylist(), batch.column("top").to_pylist(), strict=True):
-                if own != page or not blocks and page is None:
+                if own != page:
                     page, line, block = own, None, 0
                 moved = None if line is None or top is None else abs(top - line)
                 if moved is not None and moved > block_step:

@@ -50,6 +50,8 @@ def pairs(spark):
 
 def test_the_best_programs_are_those_of_all_pairs(spark, pairs, monkeypatch):
     every = fit.fit(*pairs).collect()
+    wished = {r.applicant_id: r.degree for r in pairs[0].collect()}
+    assert {(r.applicant_id, r.program_id) for r in every} == {(a, p.program_id) for a, w in wished.items() for p in pairs[1].collect() if w in (None, p.degree)}
     assert len(every) == len({(r.applicant_id, r.program_id) for r in every})
     want = []
     for a in {r.applicant_id for r in every}:
