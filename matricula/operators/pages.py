@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -36,6 +37,12 @@ _FIELDS = ["pos", "parent", "depth", "tag", "names", "href", "selector", "text",
 TOKENS = "url string, pos int, parent int, depth int, tag string, names string, href string, selector string, text string, noise boolean, end int, table int, under array<struct<head:int,part:int>>"
 _TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.struct([("head", pa.int32()), ("part", pa.int32())]))]
 _SPACE = re.compile(r"\s+")
+_REFERENCE = re.compile(r"&(?:(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);)?")
+
+
+def _whole_references(html: str) -> str:
+    """Only known names and numbers that end in a semicolon stand for a sign; other ampersands are text."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or f"{m[1]};" in html5) else f"&amp;{m[0][1:]}", html)
 
 
 class _Open:
@@ -118,9 +125,11 @@ class _Reader(HTMLParser):
             self._close()
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """One row per element and text node of each page (url, html).
+def tokens(pages: DataFrame, key: str = "url") -> DataFrame:
+    """One row per element and text node of each page (`key`, html).
 
+    `key` tells pages apart and stands, as text, in the result's url: where an address was captured
+    more than once, take a key of the capture, as rows with one url are one page to all that follows.
     pos, parent: places in document order; end: the place after the element's last; text: a text
     node's own, with a blank where a word starts, or an element's whole text (`TOLD`), without what
     is noise inside it; table: the nearest one around; under: of a text, each heading that it
@@ -133,13 +142,13 @@ def tokens(pages: DataFrame) -> DataFrame:
                 urls, rows = [], []
                 for url, html in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                     reader = _Reader()
-                    reader.feed(html or "")
+                    reader.feed(_whole_references(html or ""))
                     reader.close()
                     urls += [url] * len(reader.rows)
                     rows += reader.rows
                 yield pa.record_batch([pa.array(urls, pa.string()), *(pa.array([r[f] for r in rows], t) for f, t in zip(_FIELDS, _TYPES, strict=True))], ["url", *_FIELDS])
 
-    return pages.select("url", "html").mapInArrow(read, TOKENS)
+    return pages.select(F.col(key).cast("string").alias("url"), "html").mapInArrow(read, TOKENS)
 
 
 def clean(found: DataFrame) -> DataFrame:

@@ -242,3 +242,25 @@ def test_dates_and_text(spark):
     ).first()
     assert one.t == "Social-Cognition Lab" and one.v == ["Ann Mary Lee", "Lee, Ann Mary", "Ann Lee"] and one.b == [[0, 1], [2, 3], [4]] and one.a == "a b a"
     assert one.h == '=HYPERLINK("u""","l")' and str(one.y) == "2026-01-01" and one.n is None
+
+
+def test_an_address_captured_twice_is_two_pages(spark, tmp_path):
+    from matricula.plans import catalogue
+
+    link = '<a href="/x">here it is</a>'
+    told = "what we ask of those who want to come here to study with us"
+    rows = [(1, "u", f"<p>first {link}</p><h2>What we ask</h2><p>{told}</p>"), (2, "u", f"<p>second {link}{link}</p>"), (3, "u", f"<p>second {link}{link}</p>"), (4, "v", "<script>1</script>"), (5, None, "<p>no address</p>"), (6, "w", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    ask = lambda name: sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+    twice = "second here it ishere it is"
+    assert ask("page_text") == sorted([("u", f"first here it is What we ask {told}"), ("u", twice), ("u", twice), ("v", ""), (None, "no address"), ("w", None)], key=str)
+    assert [(r[0], r[3], r[4]) for r in ask("heading_sections")] == [("u", "What we ask", told)]
+    assert sorted((r[0], r[2]) for r in ask("page_segments")) == [("u", "paragraph"), ("u", "section")]
+    assert [r[0] for r in ask("prompt_text")] == ["u", "u", "u", "v", "w", None]
+
+
+def test_ampersands_that_are_no_whole_reference_stay(spark):
+    rows = [("u", "<h1>les&amp;&amp</h1><p>a &amp; b &lt;i&gt; &copy 1 &ampx; &eacute; &#39; AT&T &amp;amp &</p><a href='?a=1&copy=2&amp;b'>x</a>")]
+    found = pages.tokens(spark.createDataFrame(rows, "url string, html string"))
+    assert pages.page_text(found).first().text == "les&&amp a & b <i> &copy 1 &ampx; é ' AT&T &amp & x"
+    assert pages.links(found).first().href == "?a=1&copy=2&b"
