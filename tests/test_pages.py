@@ -252,6 +252,7 @@ def test_an_address_captured_twice_is_two_pages(spark, tmp_path):
     rows = [(1, "u", f"<p>first {link}</p><h2>What we ask</h2><p>{told}</p>"), (2, "u", f"<p>second {link}{link}</p>"), (3, "u", f"<p>second {link}{link}</p>"), (4, "v", "<script>1</script>"), (5, None, "<p>no address</p>"), (6, "w", None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     ask = lambda name: sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+    assert ask("link_facts") == [(1, 1), (2, 2), (3, 2)]
     twice = "second here it ishere it is"
     assert ask("page_text") == sorted([("u", f"first here it is What we ask {told}"), ("u", twice), ("u", twice), ("v", ""), (None, "no address"), ("w", None)], key=str)
     assert [(r[0], r[3], r[4]) for r in ask("heading_sections")] == [("u", "What we ask", told)]
