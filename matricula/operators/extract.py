@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.dates import parse_long
 from ..functions.names import fresh
-from ..functions.text import _col, literals, normalize, snippet
+from ..functions.text import _col, literals, normalize, once, snippet
 from .registry import first_by
 
 #: How pages say each requirement, the patterns in the order in which they are tried,
@@ -96,9 +97,14 @@ def recruiting(rows: DataFrame, phrases: list[str] = RECRUITING, patterns: list[
     """
     plain = normalize(text)
     quoted = [rf"\b{p}\b" for p in phrases]
-    signs = literals([*quoted, *patterns])
     (name,) = fresh(rows.columns, "_plain")
-    hit = F.get(F.filter(signs, lambda p: F.regexp_like(F.col(name), p)), F.lit(0))
+    # a text is worked out once for all signs, each of which is compiled once; a phrase without signs
+    # of a pattern is first looked for as it stands, plain patterns all at once
+    meets = lambda t, p, q: (F.contains(t, F.lit(p)) & t.rlike(q)) if re.fullmatch(r"[a-z ]+", p) else t.rlike(q)
+    some = lambda t: t.rlike(rf"\b(?:{'|'.join(p[2:] for p in patterns)})") if patterns and all(re.fullmatch(r"\\b(?:[a-z ]|\[[a-z-]+\]|\\[bs]|[?*+])+", p) for p in patterns) else F.lit(True)
+    none = F.lit(None).cast("string")
+    phrase = lambda t: (F.when(meets(t, p, q), q) for p, q in zip(phrases, quoted, strict=True))
+    hit = once(plain, lambda t: F.coalesce(*phrase(t), F.when(some(t), F.coalesce(*(F.when(t.rlike(p), p) for p in patterns), none))))
     marked = rows.withColumn(name, plain).withColumn("hit", hit)
     around = F.lit(None).cast("string")
     for p in reversed([*quoted, *patterns]):
@@ -108,9 +114,8 @@ def recruiting(rows: DataFrame, phrases: list[str] = RECRUITING, patterns: list[
 
 def recruiting_by_phrases(text: Column | str, phrases: list[str] = LAB_PHRASES, activity: list[str] = ACTIVITY, least: int = 3) -> Column:
     """Any phrase, or at least three signs of an active lab."""
-    plain = normalize(text)
-    has = lambda values: F.size(F.filter(literals(values), lambda p: F.contains(plain, p)))
-    return (has(phrases) > 0) | (has(activity) >= least)
+    has = lambda plain, values: F.size(F.filter(literals(values), lambda p: F.contains(plain, p)))
+    return once(normalize(text), lambda plain: (has(plain, phrases) > 0) | (has(plain, activity) >= least))
 
 
 def recruiting_first(rows: DataFrame, order: list[str], most: int = 50, **options) -> DataFrame:

@@ -80,6 +80,17 @@ def test_awards_by_either_key(spark):
     assert grants.once(spark.createDataFrame(chain, "author_id int, grant_id int, title string, funder string, step int")).count() == 1
 
 
+def test_awards_of_authors_with_few_and_many_rows(spark, monkeypatch):
+    """One pass and steps give the same, also when both are at work, and rows of one author pass once."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3, 3, 3]), rng.choice([None, *range(30)]), rng.choice([None, *"abcdefghij"]), rng.choice([None, "f", "g"]), rng.randrange(3)) for _ in range(150)]
+    frame = spark.createDataFrame(rows, "author_id int, grant_id int, title string, funder string, step int")
+    found = [sorted(map(tuple, grants.once(frame, most).collect()), key=str) for most in (1000, 40, 0)]
+    assert found[0] == found[1] == found[2] and 0 < len(found[0]) < 150
+    monkeypatch.setattr(grants, "_once_by_steps", None)
+    assert grants.once(frame).count() == len(found[0])
+
+
 def test_a_page_of_a_million_characters(spark):
     start = time.time()
     chars = spark.range(1_000_000).selectExpr("1 AS page", "id AS pos", "CAST(id div 100 * 12 AS DOUBLE) AS top", "CAST(id div 100 * 12 + 8 AS DOUBLE) AS bottom", "CAST(id % 100 AS DOUBLE) AS x0", "CAST(id % 100 + 1 AS DOUBLE) AS x1", "9D AS size", "chr(97 + id % 26) AS text")
@@ -113,3 +124,25 @@ def test_function_and_variant(spark):
     rows = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": "x"}]}}'), (2, "{broken"), (3, None), (4, '{"a": 5}')], "k int, body string")
     found = registry.variant_fields(rows, "body", {"c": ("$.a.b[1].c", "string"), "a": ("$.a", "int")}).orderBy("k").collect()
     assert [(r.c, r.a) for r in found] == [("x", None), (None, None), (None, None), (None, 5)]
+
+
+def test_texts_are_normalised_once_for_all_signs(spark):
+    from matricula.operators import extract
+
+    rows = spark.createDataFrame([(1, "Join  OUR lab"), (2, "rejoin our labs"), (3, "Student\twanted"), (4, "RA positions, hiring"), (5, None), (6, "news, updates and PhD  students"), (7, "posted openings for")], "k int, text string")
+    signs, lab = extract.recruiting(rows).select("k", "hit"), rows.select("k", extract.recruiting_by_phrases("text").alias("lab"))
+    for found in (signs, lab):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" in plan and "regexp_replace" not in plan[plan.index("lambdafunction(") :]
+    assert dict(map(tuple, signs.collect())) == {1: r"\bjoin our lab\b", 2: None, 3: r"\bstudent[s]?\s+wanted\b", 4: r"\bhiring\b", 5: None, 6: None, 7: r"\bopening[s]?\s+for\b"}
+    assert dict(map(tuple, lab.collect())) == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True, 7: False}
+    own = extract.recruiting(rows, ["labs"], [r"\bposted|wanted", r"(?:hir)ing"]).collect()
+    assert {r.k: r.hit for r in own if r.hit} == {2: r"\blabs\b", 3: r"\bposted|wanted", 4: "(?:hir)ing", 7: r"\bposted|wanted"}
+
+
+def test_words_of_an_index_are_not_shuffled(spark):
+    from matricula.plans import catalogue
+    from tests.conftest import SF
+
+    plan = catalogue.QUERIES["inverted_index"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
