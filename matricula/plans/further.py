@@ -108,11 +108,12 @@ def validated_stream(s, d):
     """Sets that arrive in files, validated by a stream that ends in mid-run and is started again;
     its issues are read back from where it wrote them."""
     rows, base = A.requirements(s, d), new_path(s, "stream-")
-    arriving = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(4)))
+    files = int(s.conf.get("spark.sql.shuffle.partitions"))
+    arriving = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(4))).repartition(files, "id")
     for k in range(4):
-        arriving.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
-        if k in (1, 3):  # two files, an end, and two more from the same checkpoint
-            stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        arriving.filter(F.col("part") == k).drop("part").write.mode("append").parquet(f"{base}/in")
+        if k in (1, 3):  # two batches of files, an end, and two more from the same checkpoint
+            stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
             run = jobs.validate_stream(stream, f"{base}/issues", f"{base}/verdicts", f"{base}/checkpoint", C.KNOWN_CODES, C.AS_OF_GRANTS)
             run.awaitTermination()
             if run.exception() is not None:
@@ -136,17 +137,19 @@ def faculty_first(s, d):
 
 @query("page_change_stream", C.ORACLE["page_change"])
 def page_change_stream(s, d):
-    """Captures that arrive in three files, not in order of time, and an end mark; changes are read
+    """Captures that arrive in three batches of files, not in order of time, and an end mark; changes are read
     back from where the stream wrote them."""
     name, store_class = jobs.STATE_STORE
     before, base = s.conf.get(name), new_path(s, "captures-")
     rows = A.read(s, d, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("url"), F.expr("TIMESTAMP '2025-01-01' + make_interval(0, 0, 0, 0, CAST(page_id AS INT))").alias("at"), F.regexp_extract("html", "<(h[1-6]|table|ul)", 1).alias("html"))
+    files = int(s.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(files, "url", "at")
     for k in range(3):
-        rows.filter(F.pmod(F.xxhash64("url", "at"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        dealt.filter(F.pmod(F.xxhash64("url", "at"), F.lit(3)) == k).write.mode("append").parquet(f"{base}/in")
     s.sql("SELECT '' AS url, TIMESTAMP '2200-01-01' AS at, '' AS html").write.mode("append").parquet(f"{base}/in")
     s.conf.set(name, store_class)
     try:
-        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
         run = jobs.page_changes(stream, late="18250 days").writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out")
         run.awaitTermination()
         if run.exception() is not None:

@@ -62,3 +62,35 @@ def test_repeats_in_a_batch_go_for_the_time_to_live(spark):
     rows = spark.createDataFrame(hours, "k string, h int").selectExpr("k", "h", "timestamp_seconds(h * 3600) AS ts")
     found = sorted((r.k or "", r.h) for r in jobs.without_repeats(rows, "k").collect())
     assert found == [("", 1), ("a", 0), ("a", 25), ("a", 50), ("b", 3)]
+
+
+def test_an_address_has_one_timer():
+    """However many captures wait; each of them had a timer of its own, which read all that waits."""
+    import pandas as pd
+
+    class State:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, x: setattr(self, "value", x)
+        clear = lambda self: setattr(self, "value", None)
+        appendList = lambda self, x: setattr(self, "value", (self.value or []) + x)
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        getListState = getValueState = lambda self, *_: State()
+        registerTimer = lambda self, at: self.timers.add(at)
+        deleteTimer = lambda self, at: self.timers.discard(at)
+        listTimers = lambda self: iter([(t,) for t in self.timers])
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    handle, changes = Handle(), jobs._Changes(1000)
+    changes.init(handle)
+    for start in (50, 0, 100):
+        frame = pd.DataFrame({"at": pd.to_datetime([1000 * (start + k) for k in range(50)], unit="ms"), "content_hash": ["x"] * 50})
+        list(changes.handleInputRows(("u",), iter([frame]), Now()))
+    assert handle.timers == {1}
