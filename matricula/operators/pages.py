@@ -13,9 +13,12 @@ from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DoubleType, IntegerType, LongType, ShortType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..sources.scratch import materialize
@@ -291,9 +294,12 @@ def text_blocks(chars: DataFrame, line_step: float = 2.0, block_step: float = 10
 
     chars: page, pos, top, bottom, x0, x1, size, text. A line's height is that of its first
     character, so the characters of a page pass in order, and nothing but the line's height and the
-    number of the block is kept in mind; pages are dealt over the tasks.
+    number of the block is kept in mind; pages are dealt over the tasks. Neighbours of one height are
+    put together where they lie, before they are dealt.
     """
-    ordered = chars.select("page", "pos", "top", "bottom", "x0", "x1", "size", "text").repartition("page").sortWithinPartitions("page", "pos")
+    names = ["page", "pos", "top", "bottom", "x0", "x1", "size", "text"]
+    runs = _runs(chars.select(*names)) if block_step >= line_step else chars.select(*names, F.col("size").cast("double").alias("sizes"), F.col("size").isNotNull().cast("long").alias("sized"))
+    ordered = runs.drop("size").repartition("page").sortWithinPartitions("page", "pos")
 
     def number(batches):
         page = line = None
@@ -311,15 +317,56 @@ def text_blocks(chars: DataFrame, line_step: float = 2.0, block_step: float = 10
                 blocks.append(block)
             yield pa.record_batch([*batch.columns, pa.array(blocks, pa.int32())], [*batch.schema.names, "block"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields)
-    each = ordered.mapInArrow(number, f"{fields}, block int")
+    each = ordered.mapInArrow(number, StructType([*ordered.schema.fields, StructField("block", IntegerType())]))
     blocks = each.groupBy("page", "block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "").alias("text"),
-        F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.avg("size").alias("size"),
+        F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.try_divide(F.sum("sizes"), F.sum("sized")).alias("size"),
     )
     return blocks.filter(F.length("text") >= least)
 
 
+def _runs(chars: DataFrame) -> DataFrame:
+    """Characters that follow each other, with one height and places one apart, as one row: its first
+    place, its text, its bounds, the sum of sizes and their number. Any of them is in the line and the
+    block of the first. Rows without a number stay alone, as do all where places are no whole numbers."""
+    whole = isinstance(chars.schema["pos"].dataType, (ByteType, ShortType, IntegerType, LongType))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = {name: batch.column(name) for name in batch.schema.names}
+            numbers = ["top", "bottom", "x0", "x1", "size"]
+            odd = np.zeros(batch.num_rows, dtype=bool)
+            for name in ["page", "pos", "text", *numbers]:
+                odd |= part[name].is_null(nan_is_null=name in numbers).to_numpy(zero_copy_only=False)
+            page = part["page"].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            joined = np.zeros(batch.num_rows, dtype=bool)
+            if whole:
+                pos, top = (pc.fill_null(part[x], 0).to_numpy(zero_copy_only=False) for x in ("pos", "top"))
+                joined[1:] = (page[1:] == page[:-1]) & (np.diff(pos.astype(np.int64)) == 1) & (top[1:] == top[:-1]) & ~odd[1:] & ~odd[:-1]
+            starts = np.flatnonzero(~joined)
+            first = pa.array(starts)
+            bound = lambda name, least: _bound(part[name], starts, first, least)  # noqa: B023, E731
+            text = part["text"].cast(pa.large_string()).fill_null("")
+            ends = text.cast(pa.large_binary()).buffers()[1]
+            offsets = np.frombuffer(ends, dtype=np.int64)[text.offset : text.offset + batch.num_rows + 1][np.r_[starts, batch.num_rows]]
+            told = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), text.buffers()[2]).cast(pa.string())
+            size = part["size"].cast(pa.float64())
+            sizes = np.add.reduceat(size.fill_null(0.0).to_numpy(zero_copy_only=False), starts)
+            sized = np.add.reduceat(size.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), starts)
+            columns = [part["page"].take(first), part["pos"].take(first), part["top"].take(first), bound("bottom", False), bound("x0", True), bound("x1", False), part["size"].take(first), told]
+            yield pa.record_batch([*columns, pa.array(sizes, pa.float64(), mask=sized == 0), pa.array(sized)], [*batch.schema.names, "sizes", "sized"])
+
+    return chars.mapInArrow(fold, StructType([*chars.schema.fields, StructField("sizes", DoubleType()), StructField("sized", LongType())]))
+
+
+def _bound(values: pa.Array, starts: np.ndarray, first: pa.Array, least: bool) -> pa.Array:
+    """The least or the greatest value of each run; null where its only row has none."""
+    own = (np.minimum if least else np.maximum).reduceat(pc.fill_null(values, 0).to_numpy(zero_copy_only=False), starts)
+    return pa.array(own, values.type, mask=values.take(first).is_null().to_numpy(zero_copy_only=False))
+
+
 #: How headings of documents look.
 HEADING_PATTERNS = r"^[A-Z][A-Z\s]+$|^\d+\.\s*[A-Z]|^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*:?$"
 HEADING_WORDS = ["requirements", "admission", "application", "deadline", "tests", "english", "international"]

@@ -99,6 +99,33 @@ def test_a_page_of_a_million_characters(spark):
     assert time.time() - start < 60
 
 
+def test_neighbours_are_put_together_before_pages_are_dealt(spark):
+    """Against a row for each character; in any order, with gaps, nulls and other types of places."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for page in (1, 2, None):
+        line, block, top = None, 0, 50.0
+        for pos in range(400):
+            top = rng.choice([top] * 12 + [top + 1.5, top + 12.0, None]) if top is not None else 80.0
+            moved = None if line is None or top is None else abs(top - line)
+            block += moved is not None and moved > 10
+            if line is None or moved is not None and moved > 2:
+                line = top
+            row = (page, pos, top, top and top + 8, float(rng.randrange(90)), rng.choice([None, 5.0]), rng.choice([None, 9.0, 12.0]), rng.choice(["a", "é", "\U0001f600", None]))
+            rows.append(row)
+            want.setdefault((page, block), []).append(row)
+    schema = "page int, pos int, top double, bottom double, x0 double, x1 double, size double, text string"
+    have = lambda part, k: [r[k] for r in part if r[k] is not None]
+    expect = sorted(((p, b, "".join(have(x, 7)), min(have(x, 4)), max(have(x, 3)), round(sum(have(x, 6)) / len(have(x, 6)), 6)) for (p, b), x in want.items() if len("".join(have(x, 7))) >= 30), key=str)
+    straight = spark.createDataFrame(rows, schema).coalesce(1)
+    shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), schema)
+    for frame in (straight, shuffled, straight.withColumn("pos", F.col("pos") / 7), straight.withColumn("pos", F.col("pos") * 2)):
+        found = [(r.page, r.block, r.text, r.x0, r.bottom, round(r.size, 6)) for r in pages.text_blocks(frame).collect()]
+        assert sorted(found, key=str) == expect and len(expect) > 3
+    page = spark.range(0, 100_000, 1, 1).selectExpr("1 AS page", "id AS pos", "CAST(id div 100 * 12 AS DOUBLE) AS top", "1D AS bottom", "1D AS x0", "1D AS x1", "9D AS size", "'x' AS text")
+    assert pages._runs(page).count() <= 1_000 + 100  # a line for each height, cut by batches
+
+
 def test_pages_by_seeking(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([1, 2, None]), rng.choice([None, 0.5, 0.7]), rng.choice([None, "2025-01-01", "2025-02-01"])) for i in range(95)]
