@@ -173,3 +173,17 @@ def test_words_of_an_index_are_not_shuffled(spark):
 
     plan = catalogue.QUERIES["inverted_index"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_applicants_that_are_alike_are_scored_once(spark, pairs, monkeypatch):
+    applicants, programs = pairs
+    many = applicants.withColumn("applicant_id", F.explode(F.array("applicant_id", F.col("applicant_id") + 100)))
+    seen = []
+    scored = fit._scored
+    monkeypatch.setattr(fit, "_scored", lambda a, p: seen.append(a.count()) or scored(a, p))
+    found = fit.fit_top(many, programs, 3).collect()
+    assert seen[0] <= 25 and {r.applicant_id for r in found} == {r.applicant_id for r in many.collect()}
+    lists = {}
+    for r in found:
+        lists.setdefault(r.applicant_id, []).append((r.place, r.program_id, r.overall))
+    assert all(sorted(lists[k]) == sorted(lists[k + 100]) for k in range(25))
