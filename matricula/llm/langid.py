@@ -7,7 +7,8 @@ text; a text's probabilities are the softmax of its mean window scores, weighted
 
 A softmax always gives some learned language, and often with certainty, so that its score does not
 tell what the network never saw. `keep_known` therefore asks how many of a text's letter trigrams
-are usual in some learned language, and sets its limits by labelled texts held out of training.
+are usual in some learned language, counted over all texts to learn from, and sets its limits by all
+labelled texts held out of training.
 
 Defined results: null text, or text without any letter, is `und` with score 0. With no labelled
 text at all every text is `und`. Repeated rows and null ids are scored row by row; lang, source
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, fresh, per_batch
+from .common import bitmap, crc_rest, fresh, in_bitmap, materialize, per_batch
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -180,27 +181,33 @@ def letter_grams(text: str) -> np.ndarray:
     return ((x[:-2] << 16) | (x[1:-1] << 8) | x[2:])[whole]
 
 
-def usual_grams(labelled: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """The letter trigrams that are usual in some language of the sample, as one bit each."""
+def usual_grams(labelled: DataFrame, languages: list[str] | None = None) -> np.ndarray:
+    """The letter trigrams that are usual in some of the languages (all, if not given), as a bitmap.
+
+    They are counted over all texts of `labelled`, a text that repeats in a language once. Trigrams as
+    common as the last that is usual are usual too.
+    """
     from pyspark.sql.window import Window as W
 
-    bits = np.zeros(1 << 24, dtype=bool)
-    languages, picked = _sampled(labelled, sample)
-    if not languages:
-        return np.packbits(bits)
+    usable = labelled.select("lang", "text").filter("text is not null and lang is not null").filter(F.col("text").rlike(_LETTER))
+    if languages is not None:
+        usable = usable.join(F.broadcast(labelled.sparkSession.createDataFrame([(x,) for x in languages], "lang string")), "lang")  # as many as were learned
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, texts = (batch.column(c).to_pylist() for c in ("lang", "text"))
-        out = [(lang, *np.unique(np.concatenate([letter_grams(t) for t, x in zip(texts, langs, strict=True) if x == lang]), return_counts=True)) for lang in sorted(set(langs))]
-        names = np.repeat(np.array([x for x, _, _ in out], dtype=object), [len(g) for _, g, _ in out])
-        return pa.record_batch([pa.array(names, pa.string()), pa.array(np.concatenate([g for _, g, _ in out]), pa.int32()), pa.array(np.concatenate([n for _, _, n in out]), pa.int64())], ["lang", "gram", "n"])
-
-    found = per_batch(picked, "text", lambda: count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        grams: dict[str, list[np.ndarray]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            grams.setdefault(lang, []).append(letter_grams(text))
+        out = [np.unique(np.concatenate(g), return_counts=True) for g in grams.values()]
+        names = np.repeat(np.array(list(grams), dtype=object), [len(g) for g, _ in out])
+        return pa.record_batch([pa.array(names, pa.string()), pa.array(np.concatenate([g for g, _ in out]), pa.int32()), pa.array(np.concatenate([n for _, n in out]), pa.int64())], ["lang", "gram", "n"])
+
+    found = materialize(per_batch(usable.distinct(), "text", lambda: count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    # trigrams of one count stay together, so that a language is ordered by its few different counts
     whole = W.partitionBy("lang")
-    before = F.sum("n").over(whole.orderBy(F.desc("n"), "gram")) - F.col("n")
-    usual = found.withColumns({"before": before, "all": F.sum("n").over(whole)}).filter(F.col("before") < USUAL * F.col("all"))
-    bits[[r["gram"] for r in usual.select("gram").distinct().collect()]] = True  # 2^24 at most
-    return np.packbits(bits)
+    steps = found.groupBy("lang", "n").agg(F.sum("n").alias("mass"))
+    before = F.sum("mass").over(whole.orderBy(F.desc("n"))) - F.col("mass")
+    least = steps.withColumns({"before": before, "all": F.sum("mass").over(whole)}).filter(F.col("before") < USUAL * F.col("all")).groupBy("lang").agg(F.min("n").alias("least"))
+    return bitmap(found.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")), "gram", 1 << 24)
 
 
 def predict(docs: DataFrame, net: ByteConvNet | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("lang_pred", "score"), bits: np.ndarray | None = None) -> DataFrame:
@@ -250,7 +257,7 @@ def identify(docs: DataFrame, rest: int = 1, modulus: int = 3, sample: int = SAM
 def shares(texts: list[str | None], bits: np.ndarray) -> pa.Array:
     """The share of usual letter trigrams in each text."""
     grams = [letter_grams(t or "") for t in texts]
-    seen = [int(((bits[g >> 3] >> (7 - (g & 7))) & 1).sum()) for g in grams]
+    seen = [int(in_bitmap(bits, g).sum()) for g in grams]
     return pa.array([(n + PRIOR) / (len(g) + PRIOR) for n, g in zip(seen, grams, strict=True)], pa.float64())
 
 
@@ -271,7 +278,8 @@ def keep_known(docs: DataFrame, quantile: float = QUANTILE, margin: float = MARG
     names = tuple(fresh(columns, "__language", "__probability", "__familiar", "__limit"))
     share = names[2]
     trained = docs.filter(crc_rest("doc_id", 3) != 1).select("text", "lang")
-    net, bits = train(trained), usual_grams(trained)
+    net = train(trained)
+    bits = usual_grams(trained, net.languages if net else [])
     held = docs.filter((crc_rest("doc_id", 3) == 1) & F.col("lang").isNotNull() & F.col("text").rlike(_LETTER)).select("lang", "text")
     found = familiar(held, bits, share)
     low = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(share, quantile, 10000).alias("low"))

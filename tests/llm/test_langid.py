@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -92,6 +94,27 @@ def test_an_unlearned_language_and_letter_junk_go(spark):
     assert not kept & {10**9, 10**9 + 1, 10**9 + 2} and len(kept) >= 0.99 * docs.count()
 
 
+def test_usual_grams_are_counted_over_all_texts(spark):
+    """7,000 texts of a language, more than the network learns from, and another with copies."""
+    rng = random.Random(6)
+    signs, weights = "abcdefghijklmnopqrstuvwxyzé", [2.0**-k for k in range(27)]
+    rows = [(" ".join("".join(rng.choices(signs, weights, k=rng.randrange(2, 9))) for _ in range(12)), "a") for _ in range(7000)]
+    rows += [("zq " * k, "b") for k in range(1, 40)] + [("wv wv wv", "b")] * 5000 + [(None, "a"), ("zzz", None)]
+    grams, usual = lambda t: [int(g) for g in langid.letter_grams(t)], set()
+    for lang in "ab":
+        n = Counter(g for t in {t for t, x in rows if x == lang and t} for g in grams(t))
+        left = langid.USUAL * sum(n.values())
+        for step in sorted(set(n.values()), reverse=True):
+            if left > 0:
+                usual |= {g for g in n if n[g] == step}
+            left -= sum(x for x in n.values() if x == step)
+    bits = langid.usual_grams(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    asked = {g: g.to_bytes(3, "big").decode("utf-8", "ignore") for t, _ in rows if t for g in grams(t)}
+    asked = {g: t for g, t in asked.items() if grams(t) == [g]}
+    shares = langid.shares(list(asked.values()), bits).to_pylist()
+    assert {g for g, x in zip(asked, shares, strict=True) if x == 1} == usual & set(asked) and 100 < len(usual & set(asked)) < len(asked)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     found = {r.doc_id: r.lang_pred for r in langid.identify(odd_docs).collect()}
     assert found[2] == found[3] == found[8] == "und" and found[4] in {"en", "fr", "de"}
