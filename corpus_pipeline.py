@@ -11,31 +11,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from matricula.llm import decontaminate, langid, linededup, packing, simhash
-from matricula.llm.common import materialize, new_path, scratch, table
+from matricula.llm.common import arrow_rows, materialize, new_path, scratch, table
+
+#: Rows of an Arrow batch in all stages, some megabytes of texts. Executors and their Python workers keep
+#: much of what batches have taken outside the heap, and over five stages that adds up.
+ARROW_ROWS = 500
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows."""
+    arrow_rows(spark, ARROW_ROWS)
     return langid.keep_known(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without blocks of lines that an earlier document has."""
+    arrow_rows(spark, ARROW_ROWS)
     return linededup.dedup(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies."""
+    arrow_rows(spark, ARROW_ROWS)
     return simhash.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    arrow_rows(spark, ARROW_ROWS)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece in the training sequences."""
+    arrow_rows(spark, ARROW_ROWS)
     return packing.pack(docs)
 
 

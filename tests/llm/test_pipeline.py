@@ -75,3 +75,20 @@ def test_odd_rows_pass_all_stages(spark, odd_docs, no_docs, tmp_path):
                 assert docs.columns == columns
             rows = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
             assert (len(rows) > 0) == (len(docs.columns) > 5)
+
+
+def test_stages_hand_texts_over_in_small_batches(spark, no_docs):
+    """What a Python worker gets at once is bounded in rows: mapInArrow does not heed the limit in bytes."""
+    import pyarrow as pa
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches)
+    before = spark.conf.get(rows)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(rows, 10_000)
+            stage(spark, no_docs, SF)
+            found = [r.n for r in spark.range(0, 2000, 1, 1).mapInArrow(sizes, "n long").collect()]
+            assert sum(found) == 2000 and max(found) <= 500
+    finally:
+        spark.conf.set(rows, before)
