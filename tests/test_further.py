@@ -187,3 +187,20 @@ def test_applicants_that_are_alike_are_scored_once(spark, pairs, monkeypatch):
     for r in found:
         lists.setdefault(r.applicant_id, []).append((r.place, r.program_id, r.overall))
     assert all(sorted(lists[k]) == sorted(lists[k + 100]) for k in range(25))
+
+
+def test_pairs_that_are_alike_are_scored_once(spark, pairs, monkeypatch):
+    """As every pair by itself, with ids that are null or there twice, in rows of few ids and in blocks."""
+    again = lambda rows, name: rows.withColumn(name, F.explode(F.array(F.lit(7), F.when(F.col(name) > 3, F.col(name)))))
+    applicants, programs = again(pairs[0].limit(9), "applicant_id"), again(pairs[1].limit(20), "program_id")
+    scored, seen = fit._scored, []
+    every = fit._told(scored(applicants, programs)).collect()
+    monkeypatch.setattr(fit, "_scored", lambda a, p, *k: seen.append((a.count(), p.count())) or scored(a, p, *k))
+    for alike, most, each, least in ((1000, 10_000, 10**9, None), (2, 4, 100, 75.0)):
+        monkeypatch.setattr(fit, "ALIKE", alike)
+        monkeypatch.setattr(fit, "BROADCAST_APPLICANTS", most)
+        monkeypatch.setattr(fit, "TASK_PAIRS", each)
+        want = [str(r) for r in every if least is None or r.overall >= least]
+        assert sorted(map(str, fit.fit(applicants, programs, least).collect())) == sorted(want) and len(want) > 20
+    assert len(want) < len(every) and seen[0][0] <= 9 and seen[0][1] <= 20 and seen[1][0] > 4
+    assert fit.fit(applicants.limit(0), programs).count() == 0
