@@ -288,17 +288,24 @@ def cards(found: DataFrame, areas: list[str] = AREAS, names: str = CARD_NAMES, m
     return told.select("url", F.col("pos_").alias("pos"), "name", "title", "areas", F.regexp_replace("mail", "^mailto:", "").alias("email"), "website")
 
 
+#: Characters of an Arrow batch, a few megabytes.
+CHAR_ROWS = 50_000
+
+
 def text_blocks(chars: DataFrame, line_step: float = 2.0, block_step: float = 10.0, least: int = 30) -> DataFrame:
     """Characters of a laid-out page grouped into blocks: a new line where the height leaves the
     line's by more than `line_step`, a new block where it leaves it by more than `block_step`.
 
     chars: page, pos, top, bottom, x0, x1, size, text. A line's height is that of its first
     character, so the characters of a page pass in order, and nothing but the line's height and the
-    number of the block is kept in mind; pages are dealt over the tasks. Neighbours of one height are
-    put together where they lie, before they are dealt.
+    number of the block is kept in mind; pages are dealt over the tasks. Neighbours that are surely of
+    one block are put together where they lie, and written, before they are dealt.
     """
     names = ["page", "pos", "top", "bottom", "x0", "x1", "size", "text"]
-    runs = _runs(chars.select(*names)) if block_step >= line_step else chars.select(*names, F.col("size").cast("double").alias("sizes"), F.col("size").isNotNull().cast("long").alias("sized"))
+    if 0 <= line_step <= block_step:
+        runs = _written(_runs(chars.select(*names), line_step, block_step))
+    else:
+        runs = chars.select(*names, F.col("size").cast("double").alias("sizes"), F.col("size").isNotNull().cast("long").alias("sized"), F.col("top").alias("low"), F.lit(None).cast("double").alias("line"))
     ordered = runs.drop("size").repartition("page").sortWithinPartitions("page", "pos")
 
     def number(batches):
@@ -306,7 +313,7 @@ def text_blocks(chars: DataFrame, line_step: float = 2.0, block_step: float = 10
         block = 0
         for batch in batches:
             blocks = []
-            for own, top in zip(batch.column("page").to_pylist(), batch.column("top").to_pylist(), strict=True):
+            for own, top, last in zip(*(batch.column(x).to_pylist() for x in ("page", "top", "line")), strict=True):
                 if own != page:
                     page, line, block = own, None, 0
                 moved = None if line is None or top is None else abs(top - line)
@@ -314,21 +321,41 @@ def text_blocks(chars: DataFrame, line_step: float = 2.0, block_step: float = 10
                     block += 1
                 if line is None or moved is not None and moved > line_step:
                     line = top
+                if last is not None:
+                    line = last
                 blocks.append(block)
             yield pa.record_batch([*batch.columns, pa.array(blocks, pa.int32())], [*batch.schema.names, "block"])
 
     each = ordered.mapInArrow(number, StructType([*ordered.schema.fields, StructField("block", IntegerType())]))
     blocks = each.groupBy("page", "block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "").alias("text"),
-        F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.try_divide(F.sum("sizes"), F.sum("sized")).alias("size"),
+        F.min("x0").alias("x0"), F.min("low").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.try_divide(F.sum("sizes"), F.sum("sized")).alias("size"),
     )
     return blocks.filter(F.length("text") >= least)
 
 
-def _runs(chars: DataFrame) -> DataFrame:
-    """Characters that follow each other, with one height and places one apart, as one row: its first
-    place, its text, its bounds, the sum of sizes and their number. Any of them is in the line and the
-    block of the first. Rows without a number stay alone, as do all where places are no whole numbers."""
+def _written(runs: DataFrame) -> DataFrame:
+    """The rows, written by Arrow batches of `CHAR_ROWS` that are limited by their rows alone: a batch with
+    a limit in bytes is measured anew after each row, which takes four times as long as a character's
+    whole way to Python. Steps in Python that `runs` are made by share that; later steps and other queries
+    have the session's limits again."""
+    conf = runs.sparkSession.conf
+    asked = {"spark.sql.execution.arrow.maxRecordsPerBatch": CHAR_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": 2**31 - 1}
+    before = {key: conf.get(key, None) for key in asked}
+    try:
+        for key, value in asked.items():
+            conf.set(key, value)
+        return materialize(runs)
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
+def _runs(chars: DataFrame, line_step: float = 2.0, block_step: float = 10.0) -> DataFrame:
+    """Characters that follow each other, with places one apart, as one row while they are of one height,
+    or surely of one block: its first place and height, its text, its bounds, the sum of sizes and their
+    number, and the height of its last line where that is known. Rows without a number stay alone, as do
+    all where places are no whole numbers."""
     whole = isinstance(chars.schema["pos"].dataType, (ByteType, ShortType, IntegerType, LongType))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,11 +368,17 @@ def _runs(chars: DataFrame) -> DataFrame:
             for name in ["page", "pos", "text", *numbers]:
                 odd |= part[name].is_null(nan_is_null=name in numbers).to_numpy(zero_copy_only=False)
             page = part["page"].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            joined = np.zeros(batch.num_rows, dtype=bool)
+            linked = np.zeros(batch.num_rows, dtype=bool)
             if whole:
                 pos, top = (pc.fill_null(part[x], 0).to_numpy(zero_copy_only=False) for x in ("pos", "top"))
-                joined[1:] = (page[1:] == page[:-1]) & (np.diff(pos.astype(np.int64)) == 1) & (top[1:] == top[:-1]) & ~odd[1:] & ~odd[:-1]
-            starts = np.flatnonzero(~joined)
+                linked[1:] = (page[1:] == page[:-1]) & (np.diff(pos.astype(np.int64)) == 1) & ~odd[1:] & ~odd[:-1]
+                starts = np.flatnonzero(~linked | np.r_[True, top[1:] != top[:-1]])
+            else:
+                starts = np.arange(batch.num_rows)
+            lines = [None] * len(starts)
+            if whole and top.dtype.kind in "fiu":
+                kept, lines = _one_block(top[starts].tolist(), linked[starts].tolist(), line_step, block_step)
+                starts = starts[kept]
             first = pa.array(starts)
             bound = lambda name, least: _bound(part[name], starts, first, least)  # noqa: B023, E731
             text = part["text"].cast(pa.large_string()).fill_null("")
@@ -356,9 +389,39 @@ def _runs(chars: DataFrame) -> DataFrame:
             sizes = np.add.reduceat(size.fill_null(0.0).to_numpy(zero_copy_only=False), starts)
             sized = np.add.reduceat(size.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), starts)
             columns = [part["page"].take(first), part["pos"].take(first), part["top"].take(first), bound("bottom", False), bound("x0", True), bound("x1", False), part["size"].take(first), told]
-            yield pa.record_batch([*columns, pa.array(sizes, pa.float64(), mask=sized == 0), pa.array(sized)], [*batch.schema.names, "sizes", "sized"])
-
-    return chars.mapInArrow(fold, StructType([*chars.schema.fields, StructField("sizes", DoubleType()), StructField("sized", LongType())]))
+            yield pa.record_batch([*columns, pa.array(sizes, pa.float64(), mask=sized == 0), pa.array(sized), bound("top", True), pa.array(lines, pa.float64())], names)
+
+    fields = [*chars.schema.fields, StructField("sizes", DoubleType()), StructField("sized", LongType()), StructField("low", chars.schema["top"].dataType), StructField("line", DoubleType())]
+    names = [f.name for f in fields]
+    return chars.mapInArrow(fold, StructType(fields))
+
+
+def _one_block(tops: list[float], linked: list[bool], line_step: float, block_step: float) -> tuple[list[int], list[float | None]]:
+    """Which runs, of one height each, begin a row, and the line's height at the row's end, if it is known.
+
+    A run's line is at most `line_step` from its height. So the line is known from the first run on that
+    is over twice that from the one before (here two and a half times, for what rounding does); up to
+    there a run is of the block before only if its height is as near as every such line allows."""
+    begin, lines, line, before = [], [], None, 0.0
+    for k, (top, on) in enumerate(zip(tops, linked, strict=True)):
+        if not on:
+            new, line = True, None
+        elif line is not None:
+            moved = abs(top - line)
+            new = moved > block_step
+            line = top if moved > line_step else line
+        else:
+            moved = abs(top - before)
+            sure = moved > 2.5 * line_step
+            new = not (sure and moved <= block_step - 1.5 * line_step)
+            line = top if sure else None
+        if new:
+            begin.append(k)
+            lines.append(line)
+        else:
+            lines[-1] = line
+        before = top
+    return begin, lines
 
 
 def _bound(values: pa.Array, starts: np.ndarray, first: pa.Array, least: bool) -> pa.Array:

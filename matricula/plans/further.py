@@ -56,7 +56,9 @@ def fit_top(s, d):
     FROM (SELECT doc_id, text, unnest(range((length(text) + 96) // 97)) AS b FROM documents WHERE text <> '') WHERE least(length(text) - b * 97, 97) >= 30""")
 def text_blocks(s, d):
     """The characters of all documents, laid out by a rule, put together to blocks again."""
-    chars = A.read(s, d, "documents").filter("text <> ''").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "")).alias("pos", "text")).filter("text <> ''")
+    # few splits hold many texts, and a character takes longer to lay out than a text to deal
+    docs = A.read(s, d, "documents").select("doc_id", "text").filter("text <> ''").repartition("doc_id", "text")
+    chars = docs.select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "")).alias("pos", "text")).filter("text <> ''")
     laid = chars.withColumn("top", (F.expr("pos div 97") * 13 + F.expr("(pos div 41) % 2") * 1.5).cast("double")).withColumns({"bottom": F.expr("pos div 97") * 13.0 + 8, "x0": (F.col("pos") % 97).cast("double"), "x1": (F.col("pos") % 97 + 1).cast("double"), "size": F.lit(9.0)})
     return pages.text_blocks(laid).select("page", "block", F.sha2("text", 256).alias("content"), F.col("bottom").cast("int").alias("bottom"))
 

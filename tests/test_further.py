@@ -204,3 +204,48 @@ def test_pairs_that_are_alike_are_scored_once(spark, pairs, monkeypatch):
         assert sorted(map(str, fit.fit(applicants, programs, least).collect())) == sorted(want) and len(want) > 20
     assert len(want) < len(every) and seen[0][0] <= 9 and seen[0][1] <= 20 and seen[1][0] > 4
     assert fit.fit(applicants.limit(0), programs).count() == 0
+
+
+def test_characters_pass_in_batches_that_are_not_measured(spark, monkeypatch):
+    """While runs are written; the session's own limits are there again afterwards, whatever happens."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    limits, seen, write = lambda: [str(spark.conf.get(k)) for k in keys], [], pages.materialize
+    page = spark.range(0, 100_000, 1, 1).selectExpr("1 AS page", "id AS pos", "CAST(id div 100 * 12 AS DOUBLE) AS top", "1D AS bottom", "1D AS x0", "1D AS x1", "9D AS size", "'x' AS text")
+    spark.conf.set(keys[0], "777")
+    before = limits()
+    try:
+        monkeypatch.setattr(pages, "materialize", lambda runs: seen.append(limits()) or write(runs))
+        assert pages.text_blocks(page).filter("length(text) = 100").count() == 1000
+        assert seen == [[str(pages.CHAR_ROWS), str(2**31 - 1)]] and limits() == before
+        monkeypatch.setattr(pages, "materialize", lambda runs: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            pages.text_blocks(page)
+        assert limits() == before
+    finally:
+        spark.conf.unset(keys[0])
+
+
+def test_lines_that_are_surely_of_one_block_are_put_together(spark):
+    """Against the rule for each character, over several steps, cut at any place; a row for a block of lines."""
+    rng = random.Random(11)
+    cut = 0
+    for line_step, block_step in ((2.0, 10.0), (0.0, 3.0), (3.0, 3.0)) * 40:
+        tops = [50.0]
+        for _ in range(60):
+            tops.append(tops[-1] + rng.choice([0.0, 0.0, 0.5, 1.5, -1.5, 2.0, 4.0, 6.0, -6.0, 7.0, 9.0, 12.0, 14.0, -30.0]))
+        linked = [k > 0 and rng.random() < 0.95 for k in range(61)]
+        begin, lines = pages._one_block(tops, linked, line_step, block_step)
+        line, block, state = None, 0, []
+        for top in tops:
+            block += line is not None and abs(top - line) > block_step
+            line = top if line is None or abs(top - line) > line_step else line
+            state.append((line, block))
+        for first, after, known in zip(begin, [*begin[1:], 61], lines, strict=True):
+            assert len({b for _, b in state[first:after]}) == 1 and all(linked[first + 1 : after])
+            assert known is None and after == first + 1 or known == state[after - 1][0]
+        cut += 61 - len(begin)
+    assert cut > 1000
+    rows = "pos div 97 * 13 + pos div 41 % 2 * 1.5D"
+    page = spark.range(0, 97_000, 1, 1).withColumnRenamed("id", "pos").selectExpr("1 AS page", "pos", f"{rows} AS top", f"{rows} + 8 AS bottom", "1D AS x0", "1D AS x1", "9D AS size", "'x' AS text")
+    assert pages._runs(page).count() <= 1000 + 100
+    assert pages.text_blocks(page).filter("length(text) = 97 AND top = block * 13 AND bottom >= top + 9.5").count() >= 970
