@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, DoubleType, IntegerType, LongType, ShortType, StructField, StructType
+from pyspark.sql.types import ByteType, DoubleType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..sources.scratch import materialize
@@ -306,34 +306,66 @@ def text_blocks(chars: DataFrame, line_step: float = 2.0, block_step: float = 10
         runs = _written(_runs(chars.select(*names), line_step, block_step))
     else:
         runs = chars.select(*names, F.col("size").cast("double").alias("sizes"), F.col("size").isNotNull().cast("long").alias("sized"), F.col("top").alias("low"), F.lit(None).cast("double").alias("line"))
-    ordered = runs.drop("size").repartition("page").sortWithinPartitions("page", "pos")
+    ordered = runs.drop("size").repartition("page").sortWithinPartitions("page", "pos", "text")
+    told = ["x0", "low", "x1", "bottom"]
+    kinds = [("page", runs.schema["page"].dataType), ("block", IntegerType()), ("text", StringType()), *((x, runs.schema[x].dataType) for x in told), ("sizes", DoubleType()), ("sized", LongType())]
 
-    def number(batches):
-        page = line = None
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page = line = held = None  # held: the block that rows are added to
         block = 0
+        types = {"block": pa.int32()}
+
+        def out(done: list) -> pa.RecordBatch:
+            values = dict(zip((name for name, _ in kinds), zip(*done, strict=True), strict=True))
+            values["text"] = ["".join(x for x in texts if x is not None) for texts in values["text"]]
+            return pa.record_batch([pa.array(v, types[name]) for name, v in values.items()], list(values))
+
         for batch in batches:
-            blocks = []
-            for own, top, last in zip(*(batch.column(x).to_pylist() for x in ("page", "top", "line")), strict=True):
-                if own != page:
+            types |= {f.name: f.type for f in batch.schema}
+            done = []
+            for own, top, last, text, sizes, sized, *bounds in zip(*(batch.column(x).to_pylist() for x in ("page", "top", "line", "text", "sizes", "sized", *told)), strict=True):
+                new = held is None or own != page
+                if new:
                     page, line, block = own, None, 0
                 moved = None if line is None or top is None else abs(top - line)
                 if moved is not None and moved > block_step:
-                    block += 1
+                    block, new = block + 1, True
                 if line is None or moved is not None and moved > line_step:
                     line = top
                 if last is not None:
                     line = last
-                blocks.append(block)
-            yield pa.record_batch([*batch.columns, pa.array(blocks, pa.int32())], [*batch.schema.names, "block"])
-
-    each = ordered.mapInArrow(number, StructType([*ordered.schema.fields, StructField("block", IntegerType())]))
-    blocks = each.groupBy("page", "block").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "").alias("text"),
-        F.min("x0").alias("x0"), F.min("low").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.try_divide(F.sum("sizes"), F.sum("sized")).alias("size"),
-    )
+                if new:
+                    if held is not None:
+                        done.append(held)
+                    held = [own, block, [text], *bounds, sizes, sized]
+                else:
+                    held[2].append(text)
+                    held[3:7] = _least(held[3], bounds[0]), _least(held[4], bounds[1]), _most(held[5], bounds[2]), _most(held[6], bounds[3])
+                    held[7] = sizes if held[7] is None else held[7] + (sizes or 0.0)
+                    held[8] += sized
+            if done:
+                yield out(done)
+        if held is not None:
+            yield out([held])
+
+    each = ordered.mapInArrow(number, StructType([StructField(*kind) for kind in kinds]))
+    blocks = each.select("page", "block", "text", "x0", F.col("low").alias("top"), "x1", "bottom", F.try_divide("sizes", "sized").alias("size"))
     return blocks.filter(F.length("text") >= least)
 
 
+def _least(one: float | None, other: float | None) -> float | None:
+    """The lesser; null is none, and NaN is over all numbers."""
+    if one is None or other is None:
+        return other if one is None else one
+    return other if one != one or other < one else one
+
+
+def _most(one: float | None, other: float | None) -> float | None:
+    if one is None or other is None:
+        return other if one is None else one
+    return other if other != other or other > one else one
+
+
 def _written(runs: DataFrame) -> DataFrame:
     """The rows, written by Arrow batches of `CHAR_ROWS` that are limited by their rows alone: a batch with
     a limit in bytes is measured anew after each row, which takes four times as long as a character's

@@ -249,3 +249,14 @@ def test_lines_that_are_surely_of_one_block_are_put_together(spark):
     page = spark.range(0, 97_000, 1, 1).withColumnRenamed("id", "pos").selectExpr("1 AS page", "pos", f"{rows} AS top", f"{rows} + 8 AS bottom", "1D AS x0", "1D AS x1", "9D AS size", "'x' AS text")
     assert pages._runs(page).count() <= 1000 + 100
     assert pages.text_blocks(page).filter("length(text) = 97 AND top = block * 13 AND bottom >= top + 9.5").count() >= 970
+
+
+def test_blocks_are_made_where_pages_lie(spark):
+    """One exchange deals the runs, none their blocks; bounds are as Spark's min and max, with nulls and NaN."""
+    nan = float("nan")
+    rows = [(1, k, 1.0, [None, nan, 5.0][k % 3], [3.0, nan, None][k % 3], [None, nan, 2.0][k % 3], None, "x") for k in range(40)]
+    found = pages.text_blocks(spark.createDataFrame([*rows, (2, 0, None, None, None, None, None, "y" * 30)], "page int, pos int, top double, bottom double, x0 double, x1 double, size double, text string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    one, other = sorted(found.collect())
+    assert (one.text, one.top, one.x0, one.size) == ("x" * 40, 1.0, 3.0, None) and one.bottom != one.bottom and one.x1 != one.x1
+    assert tuple(other) == (2, 0, "y" * 30, None, None, None, None, None)
